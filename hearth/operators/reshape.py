@@ -23,7 +23,7 @@ def melt_wide(df: DataFrame, id_cols, value_name: str, date_col: str = "date",
     long = df.select(*id_cols, *[F.col(f"`{c}`").cast("string").alias(c) for c in value_cols]) \
              .unpivot(id_cols, value_cols, "_header", "_raw")
     return (long
-            .withColumn(date_col, F.try_to_date(F.col("_header"), F.lit(date_format)))
+            .withColumn(date_col, F.try_to_date(F.col("_header"), date_format))
             .withColumn(value_name, to_num("_raw"))
             .where(F.col(date_col).isNotNull() & F.col(value_name).isNotNull())
             .drop("_header", "_raw"))

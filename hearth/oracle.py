@@ -22,10 +22,17 @@ def p10(k: int) -> str:
 
 
 def rhe(x: str, k: int) -> str:
-    """pandas-style half-even rounding."""
+    """pandas-style half-even rounding (k < 0: tens, hundreds, ...)."""
+    if k < 0:
+        return f"(round_even(({x}) / {p10(-k)}, 0) * {p10(-k)})"
     return f"(round_even(({x}) * {p10(k)}, 0) / {p10(k)})"
 
 
+def dbl(x: float) -> str:
+    """A DOUBLE literal (a bare 0.04 is DECIMAL in DuckDB)."""
+    return f"cast({x!r} as double)"
+
+
 def rhu(x: str, k: int) -> str:
     """half away from zero."""
     return f"(sign({x}) * floor(abs({x}) * {p10(k)} + 0.5) / {p10(k)})"
@@ -474,4 +481,103 @@ select * from (
   group by metro_area, state) t
 where zip_count >= 3
 order by avg_education desc nulls last, avg_income desc nulls last, metro_area, state limit 10""")
+    q.update(panel_queries())
+    return q
+
+
+def _valuation_ctes():
+    year_now = "year((select max(date) from fx_zip_market))"
+    cond = ("(case lower(p.condition) when 'excellent' then {e} when 'good' then {g} "
+            "when 'fair' then {f} when 'poor' then {po} else {one} end)").format(
+        e=dbl(1.10), g=dbl(1.00), f=dbl(0.88), po=dbl(0.75), one=dbl(1.0))
+    typ = ("(case lower(p.property_type) when 'single_family' then {s} when 'condo' then {c} "
+           "when 'townhouse' then {t} else {one} end)").format(
+        s=dbl(1.00), c=dbl(0.88), t=dbl(0.93), one=dbl(1.0))
+    base = f"coalesce(nullif(f.zhvi_sfr, 0), nullif(f.zhvi_sfrcondo, 0), {dbl(350000.0)})"
+    est = (f"{base} * pow(p.sqft / {dbl(1800.0)}, {dbl(0.85)}) "
+           f"* (1 + (p.bedrooms - 3) * {dbl(0.04)}) * (1 + (p.bathrooms - 2) * {dbl(0.03)}) "
+           f"* greatest({dbl(0.65)}, 1 - greatest(0, {year_now} - p.year_built) * {dbl(0.003)}) "
+           f"* {cond} * {typ} * (case when p.garage then {dbl(1.04)} else {dbl(1.0)} end)")
+    vals = f"""
+select p.property_id, p.zip_code, f.city, f.state, f.metro_area, p.forecast_years,
+       {rhe(est, -2)} as estimated_value, {rhe(f'({est}) * {dbl(0.92)}', -2)} as low_estimate,
+       {rhe(f'({est}) * {dbl(1.08)}', -2)} as high_estimate, {dbl(75.0)} as confidence,
+       {rhe(f'({est}) / p.sqft', 2)} as price_per_sqft, 'fallback' as model_version
+from fx_properties p join features f on p.zip_code = f.zip_code"""
+    return features_ctes() + with_fx("fx_zip_market", "fx_properties") + [("valuations", vals)]
+
+
+def panel_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    as_of = _as_of()
+    q["melt_wide"] = render(with_fx("fx_zip_market"), """
+select zip_code, city, state, metro_area, date, zhvi_sfr from fx_zip_market where zhvi_sfr is not null""")
+    q["align_outer"] = render(with_fx("fx_zip_market"), """
+select zip_code, city, state, metro_area, date, zhvi_sfr, zhvi_sfrcondo, zori_rent from fx_zip_market""")
+    q["zip_market_build"] = render(with_fx("fx_zip_market"), """
+select zip_code, city, state, metro_area, cast(null as varchar) as county, date,
+       zhvi_sfr, zhvi_sfrcondo, zori_rent from fx_zip_market""")
+    q["metro_market_build"] = render(with_fx("fx_metro_market"), """
+select metro_area, state, date, median_sale_price, days_to_pending, market_heat_index,
+       for_sale_inventory, pct_sold_above_list from fx_metro_market""")
+    q["snapshot"] = render(with_fx("fx_zip_market"), """
+select zip_code, arg_max(city, date) as city, arg_max(state, date) as state,
+       arg_max(metro_area, date) as metro_area, arg_max(zhvi_sfr, date) as zhvi_sfr,
+       arg_max(zhvi_sfrcondo, date) as zhvi_sfrcondo,
+       (select z2.zori_rent from fx_zip_market z2 where z2.zip_code = z.zip_code
+        order by z2.date desc limit 1) as zori_rent,
+       max(date) as last_updated
+from fx_zip_market z group by zip_code""")
+    q["market_trends"] = render(with_fx("fx_zip_market", "fx_features_base") + [
+        ("tr_rows", f"""
+select zip_code, date, zhvi_sfr, zhvi_sfrcondo, zori_rent from fx_zip_market
+where date >= {as_of} - interval 12 month and zip_code in (select zip_code from fx_features_base)"""),
+        ("tr_agg", """
+select zip_code, count(*) as n, coalesce(arg_min(zhvi_sfr, date), 0) as f,
+       coalesce(arg_max(zhvi_sfr, date), 0) as l from tr_rows group by zip_code""")], f"""
+select r.*, case when a.n < 2 then cast(null as double) when a.f = 0 then {dbl(0.0)}
+                 else {rhe('(a.l - a.f) / a.f * 100', 2)} end as appreciation
+from tr_rows r join tr_agg a on r.zip_code = a.zip_code""")
+    q["valuation_fallback"] = render(_valuation_ctes(), "select * from valuations")
+    stats = f"""
+select zip_code, count(*) as n_months, max(case when rn = 1 then zhvi_sfr end) as zhvi_last,
+       max(case when rn = 12 then zhvi_sfr end) as zhvi_12th_last
+from (select zip_code, zhvi_sfr, row_number() over (partition by zip_code order by date desc) as rn
+      from fx_zip_market where date >= {as_of} - interval 14 month) t group by zip_code"""
+    cur = "coalesce(nullif(s.zhvi_last, 0), v.estimated_value)"
+    ago = f"coalesce(nullif(s.zhvi_12th_last, 0), {cur})"
+    rate = (f"(case when coalesce(s.n_months, 0) >= 12 and {ago} is not null and {ago} > 0 "
+            f"then least(greatest(({cur} - {ago}) / {ago}, {dbl(-0.1)}), {dbl(0.2)}) "
+            f"else {dbl(0.04)} end)")
+    fc = f"""
+select v.property_id, v.estimated_value as base_value, {rate} as annual_rate, v.forecast_years
+from valuations v left join trend_stats s on v.zip_code = s.zip_code where v.forecast_years >= 1"""
+    proj = "(base_value * pow(1 + annual_rate, yr))"
+    margin = f"({dbl(0.06)} + (yr - 1) * {dbl(0.03)})"
+    q["forecast"] = render(_valuation_ctes() + [("trend_stats", stats), ("fc_base", fc)], f"""
+select property_id, cast(year({as_of}) + yr as integer) as year,
+       {rhe(proj, -2)} as projected_value, {rhe(f'{proj} * (1 - {margin})', -2)} as low_estimate,
+       {rhe(f'{proj} * (1 + {margin})', -2)} as high_estimate,
+       {rhe('annual_rate * 100', 1)} as annual_rate_pct,
+       {rhe(f'({proj} - base_value) / base_value * 100', 1)} as total_gain_pct
+from (select *, unnest(range(1, forecast_years + 1)) as yr from fc_base) t""")
+    lag = "lag(z.zhvi_sfr, {n}) over (partition by z.zip_code order by z.date)"
+    q["training_data"] = render(features_ctes() + with_fx("fx_zip_market"), f"""
+select z.zhvi_sfr as home_value, z.zip_code, z.state, z.metro_area,
+       cast(year(z.date) as integer) as year, cast(month(z.date) as integer) as month,
+       z.zhvi_sfr as current_zhvi, z.zhvi_sfrcondo, z.zori_rent,
+       (z.zhvi_sfr - {lag.format(n=12)}) / nullif({lag.format(n=12)}, 0) * 100 as price_yoy_pct,
+       (z.zhvi_sfr - {lag.format(n=3)}) / nullif({lag.format(n=3)}, 0) * 100 as price_3mo_pct,
+       c.median_income, c.owner_occupied_pct, c.total_units, c.median_rooms,
+       e.education_index, e.academic_score, e.total_schools,
+       m.median_sale_price as metro_median_price, m.days_to_pending as metro_days_pending,
+       m.market_heat_index as metro_heat_index, m.for_sale_inventory as metro_inventory,
+       m.pct_sold_above_list as metro_pct_above_list,
+       nf.safety_index, nf.air_quality_index, nf.natural_amenity_score
+from fx_zip_market z
+left join census c on z.zip_code = c.zip_code
+left join education e on z.zip_code = e.zip_code
+left join fx_metro_market m on z.metro_area = m.metro_area and z.date = m.date
+left join features nf on z.zip_code = nf.zip_code
+where z.zhvi_sfr is not null and z.date >= date '1998-01-01' and c.median_income is not null""")
     return q

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,31 @@ TOP_METROS_MAX_BUDGET = 600000.0
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Warehouse tables of one sf directory.
+
+    ``Catalog.of(spark, sf_dir)`` memoises per session, and the small
+    one-row-per-zip tables are persisted (MEMORY_AND_DISK: a lost executor
+    recomputes its blocks from lineage), so a batch of queries builds the
+    mart once instead of once per query.
+    """
+
+    _instances: dict = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir
         self.fx = Fixtures(spark, sf_dir)
+        self._persist = persist
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
+        key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._instances:
+            cls._instances[key] = cls(spark, sf_dir, persist=True)
+        return cls._instances[key]
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
 
     # raw-shaped inputs derived from the fixtures -------------------------
     @cached_property
@@ -58,32 +80,32 @@ class Catalog:
     # warehouse tables -----------------------------------------------------
     @cached_property
     def crosswalk(self) -> DataFrame:
-        return etl.build_crosswalk(self.crosswalk_raw)
+        return self._keep(etl.build_crosswalk(self.crosswalk_raw))
 
     @cached_property
     def crime(self) -> DataFrame:
-        return etl.build_crime(self.fx.fx_crime_raw, self.crosswalk)
+        return self._keep(etl.build_crime(self.fx.fx_crime_raw, self.crosswalk))
 
     @cached_property
     def air_quality(self) -> DataFrame:
-        return etl.build_air_quality(self.fx.fx_aqi_raw, self.crosswalk,
-                                     state_is_abbreviation=True)
+        return self._keep(etl.build_air_quality(self.fx.fx_aqi_raw, self.crosswalk,
+                                                state_is_abbreviation=True))
 
     @cached_property
     def amenities(self) -> DataFrame:
-        return etl.build_amenities(self.fx.fx_amenity_raw, self.crosswalk)
+        return self._keep(etl.build_amenities(self.fx.fx_amenity_raw, self.crosswalk))
 
     @cached_property
     def education(self) -> DataFrame:
-        return etl.build_education(self.fx.fx_schools_raw, self.fx.fx_seda_raw)
+        return self._keep(etl.build_education(self.fx.fx_schools_raw, self.fx.fx_seda_raw))
 
     @cached_property
     def census(self) -> DataFrame:
-        return etl.build_census(self.income_raw, self.housing_raw)
+        return self._keep(etl.build_census(self.income_raw, self.housing_raw))
 
     @cached_property
     def zip_market(self) -> DataFrame:
-        return self.fx.fx_zip_market
+        return self._keep(self.fx.fx_zip_market)
 
     @cached_property
     def metro_market(self) -> DataFrame:
@@ -91,9 +113,9 @@ class Catalog:
 
     @cached_property
     def features(self) -> DataFrame:
-        return build_neighborhood_features(
+        return self._keep(build_neighborhood_features(
             self.fx.fx_features_base, self.census, self.education, self.crime,
-            self.air_quality, self.amenities, metro_snapshot(self.metro_market))
+            self.air_quality, self.amenities, metro_snapshot(self.metro_market)))
 
     @cached_property
     def properties(self) -> DataFrame:

@@ -41,12 +41,12 @@ def punctuated_crime_raw(raw: DataFrame) -> DataFrame:
 
 @query("crosswalk")
 def q_crosswalk(spark, sf):
-    return Catalog(spark, sf).crosswalk
+    return Catalog.of(spark, sf).crosswalk
 
 
 @query("county_clean")
 def q_county_clean(spark, sf):
-    raw = Catalog(spark, sf).fx.fx_crime_raw
+    raw = Catalog.of(spark, sf).fx.fx_crime_raw
     return raw.select(
         "county_name",
         state_from_county_name("county_name").alias("state_abbr"),
@@ -58,53 +58,53 @@ def q_county_clean(spark, sf):
 
 @query("crime")
 def q_crime(spark, sf):
-    return Catalog(spark, sf).crime
+    return Catalog.of(spark, sf).crime
 
 
 @query("crime_fuzzy")
 def q_crime_fuzzy(spark, sf):
-    c = Catalog(spark, sf)
+    c = Catalog.of(spark, sf)
     return etl.build_crime(punctuated_crime_raw(c.fx.fx_crime_raw), c.crosswalk)
 
 
 @query("air_quality")
 def q_air_quality(spark, sf):
-    return Catalog(spark, sf).air_quality
+    return Catalog.of(spark, sf).air_quality
 
 
 @query("amenities")
 def q_amenities(spark, sf):
-    return Catalog(spark, sf).amenities
+    return Catalog.of(spark, sf).amenities
 
 
 @query("school_zip_stats")
 def q_school_zip_stats(spark, sf):
-    return etl.school_zip_stats(Catalog(spark, sf).fx.fx_schools_raw)[0]
+    return etl.school_zip_stats(Catalog.of(spark, sf).fx.fx_schools_raw)[0]
 
 
 @query("district_scores")
 def q_district_scores(spark, sf):
-    return etl.district_scores(Catalog(spark, sf).fx.fx_seda_raw)
+    return etl.district_scores(Catalog.of(spark, sf).fx.fx_seda_raw)
 
 
 @query("education")
 def q_education(spark, sf):
-    return Catalog(spark, sf).education
+    return Catalog.of(spark, sf).education
 
 
 @query("census_join")
 def q_census_join(spark, sf):
-    return Catalog(spark, sf).census
+    return Catalog.of(spark, sf).census
 
 
 @query("features")
 def q_features(spark, sf):
-    return Catalog(spark, sf).features
+    return Catalog.of(spark, sf).features
 
 
 @query("match_report")
 def q_match_report(spark, sf):
-    c = Catalog(spark, sf)
+    c = Catalog.of(spark, sf)
     return etl.match_report(c.education, c.crosswalk)
 
 
@@ -112,76 +112,164 @@ def q_match_report(spark, sf):
 
 @query("search")
 def q_search(spark, sf):
-    return explore.search_neighborhoods(Catalog(spark, sf).features, min_income=50000,
+    return explore.search_neighborhoods(Catalog.of(spark, sf).features, min_income=50000,
                                         min_education=30, sort_by="value_score", limit=20)
 
 
 @query("search_affordable")
 def q_search_affordable(spark, sf):
-    return explore.search_neighborhoods(Catalog(spark, sf).features, q="0", max_budget=900000,
+    return explore.search_neighborhoods(Catalog.of(spark, sf).features, q="0", max_budget=900000,
                                         pop_class="urban", sort_by="price_to_income_ratio",
                                         limit=25)
 
 
 @query("lookup")
 def q_lookup(spark, sf):
-    c = Catalog(spark, sf)
+    c = Catalog.of(spark, sf)
     return explore.get_neighborhoods(c.features, c.properties)
 
 
 @query("price_history")
 def q_price_history(spark, sf):
-    c = Catalog(spark, sf)
+    c = Catalog.of(spark, sf)
     return explore.price_history(c.zip_market, c.fx.fx_features_base, months=24)
 
 
 @query("top_metric")
 def q_top_metric(spark, sf):
-    return explore.top_neighborhoods(Catalog(spark, sf).features, "education_index", limit=10)
+    return explore.top_neighborhoods(Catalog.of(spark, sf).features, "education_index", limit=10)
 
 
 @query("metros")
 def q_metros(spark, sf):
-    return explore.metro_summary(Catalog(spark, sf).features, limit=20)
+    return explore.metro_summary(Catalog.of(spark, sf).features, limit=20)
 
 
 # --------------------------------------------------------------- dashboard
 
 @query("kpis")
 def q_kpis(spark, sf):
-    return dashboard.kpis(Catalog(spark, sf).features)
+    return dashboard.kpis(Catalog.of(spark, sf).features)
 
 
 @query("price_trends_month")
 def q_price_trends_month(spark, sf):
-    return dashboard.price_trends(Catalog(spark, sf).zip_market, months=24, interval="month")
+    return dashboard.price_trends(Catalog.of(spark, sf).zip_market, months=24, interval="month")
 
 
 @query("price_trends_quarter")
 def q_price_trends_quarter(spark, sf):
-    return dashboard.price_trends(Catalog(spark, sf).zip_market, months=84, interval="quarter")
+    return dashboard.price_trends(Catalog.of(spark, sf).zip_market, months=84, interval="quarter")
 
 
 @query("metro_compare")
 def q_metro_compare(spark, sf):
-    return dashboard.metro_comparison(Catalog(spark, sf).features, limit=15)
+    return dashboard.metro_comparison(Catalog.of(spark, sf).features, limit=15)
 
 
 @query("distribution")
 def q_distribution(spark, sf):
-    return dashboard.value_distribution(Catalog(spark, sf).features)
+    return dashboard.value_distribution(Catalog.of(spark, sf).features)
 
 
 @query("edu_vs_value")
 def q_edu_vs_value(spark, sf):
-    return dashboard.education_vs_value(Catalog(spark, sf).features, limit=100)
+    return dashboard.education_vs_value(Catalog.of(spark, sf).features, limit=100)
 
 
 @query("affordability")
 def q_affordability(spark, sf):
-    return dashboard.affordability(Catalog(spark, sf).features, limit=20)
+    return dashboard.affordability(Catalog.of(spark, sf).features, limit=20)
 
 
 @query("top_metros")
 def q_top_metros(spark, sf):
-    return top_metros_for_budget(Catalog(spark, sf).features, TOP_METROS_MAX_BUDGET, limit=10)
+    return top_metros_for_budget(Catalog.of(spark, sf).features, TOP_METROS_MAX_BUDGET, limit=10)
+
+
+# --------------------------------------------------------------- panel / E1, W5, Q17
+
+from .features import zip_snapshot  # noqa: E402
+from .training import build_training_data  # noqa: E402
+from .catalog import TRAINING_START  # noqa: E402
+from . import valuation  # noqa: E402
+from ..operators.reshape import align_outer  # noqa: E402
+
+ZIP_IDS = ("zip_code", "city", "state", "metro_area")
+
+
+def pivot_wide(long: DataFrame, ids, value: str) -> DataFrame:
+    """A long panel back to the raw 'one column per month' file layout
+    (values as text, plus a non-date column the reader must drop)."""
+    return (long.select(*ids, F.date_format("date", "yyyy-MM-dd").alias("_d"),
+                        F.col(value).cast("string").alias("_v"))
+                .groupBy(*ids).pivot("_d").agg(F.first("_v"))
+                .withColumn("notes", F.lit("n/a")))
+
+
+@query("melt_wide")
+def q_melt_wide(spark, sf):
+    from ..operators.reshape import melt_wide
+    zm = Catalog.of(spark, sf).zip_market
+    return melt_wide(pivot_wide(zm, ZIP_IDS, "zhvi_sfr"), ZIP_IDS, "zhvi_sfr")
+
+
+@query("align_outer")
+def q_align_outer(spark, sf):
+    zm = Catalog.of(spark, sf).zip_market
+    keys = [*ZIP_IDS, "date"]
+    parts = [zm.select(*keys, v).where(F.col(v).isNotNull())
+             for v in ("zhvi_sfr", "zhvi_sfrcondo", "zori_rent")]
+    return align_outer(parts, keys)
+
+
+@query("zip_market_build")
+def q_zip_market_build(spark, sf):
+    zm = Catalog.of(spark, sf).zip_market
+    raw_ids = {"zip_code": "RegionName", "city": "City", "state": "State", "metro_area": "Metro"}
+    raws = {}
+    for v in ("zhvi_sfr", "zhvi_sfrcondo", "zori_rent"):
+        wide = pivot_wide(zm.where(F.col(v).isNotNull()), ZIP_IDS, v)
+        raws[v] = wide.withColumnsRenamed(raw_ids).withColumn(
+            "RegionName", F.col("RegionName").cast("int").cast("string"))
+    return etl.build_zip_market(raws)
+
+
+@query("metro_market_build")
+def q_metro_market_build(spark, sf):
+    mm = Catalog.of(spark, sf).metro_market
+    raws = {v: pivot_wide(mm, ("metro_area", "state"), v)
+            .withColumnsRenamed({"metro_area": "RegionName", "state": "StateName"})
+            for v in etl.METRO_VALUE_NAMES}
+    return etl.build_metro_market(raws)
+
+
+@query("snapshot")
+def q_snapshot(spark, sf):
+    return zip_snapshot(Catalog.of(spark, sf).zip_market)
+
+
+@query("market_trends")
+def q_market_trends(spark, sf):
+    c = Catalog.of(spark, sf)
+    return valuation.market_trends(c.zip_market, c.fx.fx_features_base, months=12)
+
+
+@query("valuation_fallback")
+def q_valuation_fallback(spark, sf):
+    c = Catalog.of(spark, sf)
+    return valuation.valuation_fallback(c.properties, c.features, c.zip_market)
+
+
+@query("forecast")
+def q_forecast(spark, sf):
+    c = Catalog.of(spark, sf)
+    vals = valuation.valuation_fallback(c.properties, c.features, c.zip_market)
+    return valuation.forecast(vals, c.zip_market)
+
+
+@query("training_data")
+def q_training_data(spark, sf):
+    c = Catalog.of(spark, sf)
+    return build_training_data(c.zip_market, c.census, c.education, c.metro_market, c.features,
+                               start=TRAINING_START)
