@@ -27,32 +27,33 @@ def join_county_metrics(crosswalk: DataFrame, county: DataFrame, metric_cols,
     """Crosswalk (zip, state, county_clean) x county metrics.
 
     Exact join on (county_clean, state). When fewer than
-    ``min_exact_matches`` rows match, a second join on alphanumeric-only
-    county keys is tried and used if it matches more rows. The choice is
-    made inside the plan with a scalar subquery over the two match counts,
-    so no driver round trip and no cross join is needed.
-
-    The county side is one row per county (thousands of rows); Catalyst /
-    AQE broadcast it when the size statistics allow, otherwise the join
-    shuffles on the county key.
+    ``min_exact_matches`` rows match, the join on alphanumeric-only county
+    keys is used instead if it matches more rows.
+
+    Exact equality implies equal alphanumeric keys, so ONE equi-join on
+    (alphanumeric key, state) yields both match sets: exact pairs are the
+    ones whose names are also equal. The choice is a scalar subquery over
+    the two counts, so there is no driver round trip, no cross join, and
+    the county table is planned once. The county side is one row per
+    county; AQE broadcasts it when its runtime size allows.
     """
     metric_cols = list(metric_cols)
     xw = crosswalk.select("zip_code", "state", "county_clean")
     cm = county.select(F.col("county_clean").alias("_c"), F.col(county_state_col).alias("_s"),
                        *metric_cols)
-    exact = (xw.join(cm, (xw.county_clean == cm._c) & (xw.state == cm._s), "inner")
-               .select("zip_code", "county_clean", "state", *metric_cols))
     if min_exact_matches is None:
-        chosen = exact
+        chosen = (xw.join(cm, (xw.county_clean == cm._c) & (xw.state == cm._s), "inner")
+                    .select("zip_code", "county_clean", "state", *metric_cols))
     else:
         xf = xw.withColumn("_fk", fuzzy_key("county_clean"))
         cf = cm.withColumn("_fk2", fuzzy_key("_c"))
-        fuzzy = (xf.join(cf, (xf._fk == cf._fk2) & (xf.state == cf._s), "inner")
-                   .select("zip_code", "county_clean", "state", *metric_cols))
-        n_exact = exact.select(F.count(F.lit(1)).alias("n")).scalar()
-        n_fuzzy = fuzzy.select(F.count(F.lit(1)).alias("n")).scalar()
+        pairs = (xf.join(cf, (xf._fk == cf._fk2) & (xf.state == cf._s), "inner")
+                   .select("zip_code", "county_clean", "state", *metric_cols,
+                           (F.col("county_clean") == F.col("_c")).alias("_exact")))
+        tally = pairs.select(F.struct(F.count_if("_exact").alias("e"),
+                                      F.count(F.lit(1)).alias("f"))).scalar()
+        n_exact, n_fuzzy = tally.getField("e"), tally.getField("f")
         use_fuzzy = (n_exact < F.lit(min_exact_matches)) & (n_fuzzy > n_exact)
-        chosen = (exact.where(~use_fuzzy)
-                  .unionByName(fuzzy.where(use_fuzzy)))
+        chosen = pairs.where(F.col("_exact") | use_fuzzy).drop("_exact")
     order = ["county_clean", "state", *metric_cols]
     return keep_first(chosen, "zip_code", order).select("zip_code", *metric_cols)

@@ -482,6 +482,17 @@ select * from (
 where zip_count >= 3
 order by avg_education desc nulls last, avg_income desc nulls last, metro_area, state limit 10""")
     q.update(panel_queries())
+    q.update(recommend_queries())
+    q["comparables"] = _feat("""
+select target_zip, zip_code, city, state, zhvi_sfr, median_income, education_index, value_diff,
+       cast(rn as integer) as rank
+from (select t.zip_code as target_zip, n.zip_code, n.city, n.state, n.zhvi_sfr, n.median_income,
+             n.education_index, abs(n.zhvi_sfr - t.zhvi_sfr) as value_diff,
+             row_number() over (partition by t.zip_code
+                                order by abs(n.zhvi_sfr - t.zhvi_sfr), n.zip_code) as rn
+      from features t join features n on n.metro_area = t.metro_area and n.zip_code <> t.zip_code
+      where n.zhvi_sfr is not null and t.zhvi_sfr is not null) p
+where rn <= 5""")
     return q
 
 
@@ -581,3 +592,83 @@ left join fx_metro_market m on z.metro_area = m.metro_area and z.date = m.date
 left join features nf on z.zip_code = nf.zip_code
 where z.zhvi_sfr is not null and z.date >= date '1998-01-01' and c.median_income is not null""")
     return q
+
+
+def _t(metric: str, scale: float, w: float) -> str:
+    return (f"(case when {metric} is not null then least({dbl(1.0)}, {metric} / {dbl(scale)}) "
+            f"* {dbl(w)} else {dbl(0.0)} end)")
+
+
+def recommend_queries() -> dict[str, str]:
+    from .plans.recommend import METRIC_MAX, PRIORITY_WEIGHTS
+    q: dict[str, str] = {}
+    prefs = """
+select user_id, max_budget, min_budget,
+       case when priorities_csv = '' then []::varchar[] else string_split(priorities_csv, ',') end as priorities
+from fx_preferences"""
+    pairs = f"""
+select p.user_id, p.max_budget, p.min_budget, p.priorities, f.zip_code, f.city, f.state, f.metro_area,
+       f.zhvi_sfr, f.zhvi_sfrcondo, f.zori_rent, f.median_income, f.owner_occupied_pct,
+       f.education_index, f.academic_score, f.total_schools, f.last_updated
+from rc_prefs p join features f
+  on f.zhvi_sfr <= p.max_budget * {dbl(1.2)}
+ and (coalesce(p.min_budget, 0) = 0 or f.zhvi_sfr >= p.min_budget * {dbl(0.8)})
+where f.zhvi_sfr is not null and f.city is not null"""
+    capped = """
+select * from (select *, row_number() over (partition by user_id order by zhvi_sfr desc, zip_code) as rn
+               from rc_pairs) t where rn <= 200"""
+    cases = " ".join(
+        f"when '{name}' then [{', '.join(_t(m, METRIC_MAX.get(m, 100.0), w) for m, w in mw)}]"
+        for name, mw in PRIORITY_WEIGHTS.items())
+    psum = (f"list_reduce(list_prepend({dbl(0.0)}, flatten(list_transform(priorities, "
+            f"lambda p: case p {cases} else []::double[] end))), lambda a, b: a + b)")
+    hv, mx = "coalesce(zhvi_sfr, 0.0)", "max_budget"
+    mn = f"coalesce(nullif(min_budget, 0), {mx} * {dbl(0.5)})"
+    budget = (f"(case when {hv} <= {mx} and {hv} >= {mn} then greatest({dbl(0.0)}, {dbl(1.0)} - "
+              f"abs({hv} - {mx} * {dbl(0.85)}) / ({mx} * {dbl(0.5)})) * 40 "
+              f"when {hv} < {mn} then {dbl(15.0)} else {dbl(0.0)} - ({hv} - {mx}) / {mx} * 30 end)")
+    parts = f"select *, {budget} as _b, {psum} as _ps from rc_capped"
+    s1 = "(case when len(priorities) > 0 then _b + _ps / len(priorities) * 40 else _b end)"
+    s2 = f"({s1} + coalesce(nullif(education_index, 0), {dbl(0.0)}) / 100 * 10)"
+    inc = f"coalesce(nullif(median_income, 0), {dbl(0.0)})"
+    s3 = f"(case when {inc} > 50000 then {s2} + least({dbl(10.0)}, ({inc} - 50000) / 20000) else {s2} end)"
+    score = rhe(f"least({dbl(100.0)}, greatest({dbl(0.0)}, {s3}))", 1)
+    reason = f"""(case when education_index is not null and education_index <> 0 and education_index >= 60
+            then 'Strong education index of ' || cast(education_index as varchar)
+       when median_income is not null and median_income <> 0 and median_income >= 80000
+            then 'Median income of $' || format('{{:,.0f}}', median_income)
+       when zhvi_sfr is not null and zhvi_sfr <> 0 and zhvi_sfr <= max_budget then 'Within your budget'
+       when zhvi_sfr is not null and zhvi_sfr <> 0 and zhvi_sfr <= max_budget * {dbl(1.1)}
+            then 'Slightly above budget but strong match'
+       else 'Matches your location and lifestyle preferences' end)"""
+    scored = f"select *, {score} as match_score, {reason} as reason from rc_parts"
+    ctes = features_ctes() + with_fx("fx_preferences") + [
+        ("rc_prefs", prefs), ("rc_pairs", pairs), ("rc_capped", capped), ("rc_parts", parts),
+        ("rc_scored", scored)]
+    q["recommend"] = render(ctes, """
+select user_id, cast(rk as integer) as rank, zip_code, city, state, metro_area, zhvi_sfr, zhvi_sfrcondo,
+       zori_rent, median_income, owner_occupied_pct, education_index, academic_score, total_schools,
+       last_updated, match_score, reason
+from (select *, row_number() over (partition by user_id
+                                   order by match_score desc, zhvi_sfr desc, zip_code) as rk
+      from rc_scored) t where rk <= 10""")
+
+    refs = ", ".join(f"coalesce(nullif({m}, 0), {dbl(d)}) as r_{m}" for m, d in
+                     (("zhvi_sfr", 400000.0), ("median_income", 65000.0),
+                      ("education_index", 50.0), ("owner_occupied_pct", 60.0)))
+    dist = "sqrt(" + " + ".join(f"pow((c.{m} - t.r_{m}) / nullif(t.r_{m}, 0), 2)" for m in
+                                ("zhvi_sfr", "median_income", "education_index",
+                                 "owner_occupied_pct")) + ")"
+    sim = [("sim_t", f"select zip_code as target_zip, {refs} from features"),
+           ("sim_c", "select zip_code, city, state, metro_area, zhvi_sfr, median_income, education_index, "
+                     "owner_occupied_pct from features where zhvi_sfr is not null and "
+                     "median_income is not null and education_index is not null"),
+           ("sim_p", f"select t.target_zip, c.*, {dist} as d from sim_t t join sim_c c "
+                     f"on c.zip_code <> t.target_zip")]
+    q["similar"] = render(features_ctes() + sim, f"""
+select target_zip, cast(rn as integer) as rank, zip_code, city, state, metro_area, zhvi_sfr,
+       median_income, education_index, owner_occupied_pct,
+       {rhe(f"greatest({dbl(0.0)}, 100 - coalesce(nullif(d, 0), {dbl(1.0)}) * 50)", 1)} as similarity_score
+from (select *, row_number() over (partition by target_zip order by d asc nulls first, zip_code) as rn
+      from sim_p) t where rn <= 5""")
+    return q

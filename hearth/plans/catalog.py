@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.fixtures import Fixtures
 from . import etl
 from .features import build_neighborhood_features, metro_snapshot
@@ -27,10 +27,9 @@ TOP_METROS_MAX_BUDGET = 600000.0
 class Catalog:
     """Warehouse tables of one sf directory.
 
-    ``Catalog.of(spark, sf_dir)`` memoises per session, and the small
-    one-row-per-zip tables are persisted (MEMORY_AND_DISK: a lost executor
-    recomputes its blocks from lineage), so a batch of queries builds the
-    mart once instead of once per query.
+    ``Catalog.of(spark, sf_dir)`` memoises per session and checkpoints the
+    feature mart and the panel, so a batch of queries builds them once
+    instead of once per query.
     """
 
     _instances: dict = {}
@@ -49,7 +48,10 @@ class Catalog:
         return cls._instances[key]
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
+        """Materialise once into the shared checkpoint folder (reliable:
+        survives executor loss, and later plans read the stored rows
+        instead of re-running the ETL and its statistics subqueries)."""
+        return cut_lineage(df) if self._persist else df
 
     # raw-shaped inputs derived from the fixtures -------------------------
     @cached_property
@@ -80,28 +82,28 @@ class Catalog:
     # warehouse tables -----------------------------------------------------
     @cached_property
     def crosswalk(self) -> DataFrame:
-        return self._keep(etl.build_crosswalk(self.crosswalk_raw))
+        return etl.build_crosswalk(self.crosswalk_raw)
 
     @cached_property
     def crime(self) -> DataFrame:
-        return self._keep(etl.build_crime(self.fx.fx_crime_raw, self.crosswalk))
+        return etl.build_crime(self.fx.fx_crime_raw, self.crosswalk)
 
     @cached_property
     def air_quality(self) -> DataFrame:
-        return self._keep(etl.build_air_quality(self.fx.fx_aqi_raw, self.crosswalk,
-                                                state_is_abbreviation=True))
+        return etl.build_air_quality(self.fx.fx_aqi_raw, self.crosswalk,
+                                     state_is_abbreviation=True)
 
     @cached_property
     def amenities(self) -> DataFrame:
-        return self._keep(etl.build_amenities(self.fx.fx_amenity_raw, self.crosswalk))
+        return etl.build_amenities(self.fx.fx_amenity_raw, self.crosswalk)
 
     @cached_property
     def education(self) -> DataFrame:
-        return self._keep(etl.build_education(self.fx.fx_schools_raw, self.fx.fx_seda_raw))
+        return etl.build_education(self.fx.fx_schools_raw, self.fx.fx_seda_raw)
 
     @cached_property
     def census(self) -> DataFrame:
-        return self._keep(etl.build_census(self.income_raw, self.housing_raw))
+        return etl.build_census(self.income_raw, self.housing_raw)
 
     @cached_property
     def zip_market(self) -> DataFrame:

@@ -22,6 +22,7 @@ from ..functions.indices import (air_quality_index, education_index, minmax_0_10
 from ..functions.numeric import exact_mean, nonzero, round_half_even, to_int, to_num
 from ..operators.county import join_county_metrics
 from ..operators.reshape import align_outer, melt_wide
+from ..session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Id columns of the wide market files and their value names.
@@ -154,8 +155,9 @@ def district_scores(raw: DataFrame) -> DataFrame:
     by_district = (df.groupBy("district_name", "state")
                      .agg(F.avg("score").alias("avg_score"))
                      .where(F.col("avg_score").isNotNull()))
-    lo = by_district.select(F.min("avg_score")).scalar()
-    hi = by_district.select(F.max("avg_score")).scalar()
+    bounds = by_district.select(F.struct(F.min("avg_score").alias("lo"),
+                                         F.max("avg_score").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     norm = minmax_0_100("avg_score", lo, hi)
     # 0.5 * ela_norm + 0.5 * math_norm with ela == math
     return by_district.select("district_name", "state",
@@ -164,7 +166,7 @@ def district_scores(raw: DataFrame) -> DataFrame:
 
 def build_education(schools_raw: DataFrame, scores_raw: DataFrame) -> DataFrame:
     by_zip, district_zip = school_zip_stats(schools_raw)
-    scores = district_scores(scores_raw)
+    scores = cut_lineage(district_scores(scores_raw))   # one row per district
     seda_by_zip = (district_zip.join(scores, ["district_name", "state"], "left")
                    .groupBy("zip_code")
                    .agg(exact_mean("academic_score", 1).alias("academic_score")))
@@ -212,8 +214,10 @@ def crime_by_county(raw: DataFrame, suffixes=COUNTY_SUFFIXES_CRIME) -> DataFrame
                       state_from_county_name("COUNTY_NAME").alias("state_abbr"),
                       rate_per_100k(violent, pop).alias("violent_crime_rate"),
                       rate_per_100k(prop, pop).alias("property_crime_rate"))
-    p95v = rates.select(F.percentile("violent_crime_rate", 0.95)).scalar()
-    p95p = rates.select(F.percentile("property_crime_rate", 0.95)).scalar()
+    # one subquery for both statistics (referenced twice, executed once)
+    p95 = rates.select(F.struct(F.percentile("violent_crime_rate", 0.95).alias("v"),
+                                F.percentile("property_crime_rate", 0.95).alias("p"))).scalar()
+    p95v, p95p = p95.getField("v"), p95.getField("p")
     out = rates.withColumn("safety_index", safety_index("violent_crime_rate",
                                                         "property_crime_rate", p95v, p95p))
     return out.dropna()
@@ -221,7 +225,10 @@ def crime_by_county(raw: DataFrame, suffixes=COUNTY_SUFFIXES_CRIME) -> DataFrame
 
 def build_crime(raw: DataFrame, crosswalk: DataFrame,
                 min_exact_matches: int | None = FUZZY_MIN_EXACT_MATCHES) -> DataFrame:
-    return join_county_metrics(crosswalk_keys(crosswalk), crime_by_county(raw),
+    # The county table (one row per county) is written to the checkpoint
+    # folder: the zip join then scans stored rows instead of re-planning
+    # the percentile subqueries inside every branch of the fuzzy decision.
+    return join_county_metrics(crosswalk_keys(crosswalk), cut_lineage(crime_by_county(raw)),
                                ["violent_crime_rate", "property_crime_rate", "safety_index"],
                                min_exact_matches=min_exact_matches)
 
@@ -248,7 +255,7 @@ def aqi_by_county(raw: DataFrame, state_is_abbreviation: bool = False,
 def build_air_quality(raw: DataFrame, crosswalk: DataFrame,
                       state_is_abbreviation: bool = False) -> DataFrame:
     return join_county_metrics(crosswalk_keys(crosswalk),
-                               aqi_by_county(raw, state_is_abbreviation),
+                               cut_lineage(aqi_by_county(raw, state_is_abbreviation)),
                                ["median_aqi", "good_day_pct", "air_quality_index"],
                                min_exact_matches=None)
 
@@ -268,7 +275,8 @@ def amenities_by_county(raw: DataFrame, positional: bool = False,
 
 
 def build_amenities(raw: DataFrame, crosswalk: DataFrame, positional: bool = False) -> DataFrame:
-    return join_county_metrics(crosswalk_keys(crosswalk), amenities_by_county(raw, positional),
+    return join_county_metrics(crosswalk_keys(crosswalk),
+                               cut_lineage(amenities_by_county(raw, positional)),
                                ["amenity_rank", "natural_amenity_score", "topography_z",
                                 "water_area_pct"],
                                county_state_col="state", min_exact_matches=None)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mean_round_half_up
+from ..functions.numeric import mean_round_half_up, round_half_even
+from ..session import cut_lineage
 
 
 def top_metros_for_budget(features: DataFrame, max_budget: float, min_budget: float | None = None,
@@ -26,3 +27,277 @@ def top_metros_for_budget(features: DataFrame, max_budget: float, min_budget: fl
             .orderBy(F.col("avg_education").desc_nulls_last(), F.col("avg_income").desc_nulls_last(),
                      "metro_area", "state")
             .limit(limit))
+
+
+# ---------------------------------------------------------------------------
+# Fixed values of the match score: priority -> (metric, weight) in source
+# order, and the scale each metric is divided by (others: 100).
+# ---------------------------------------------------------------------------
+PRIORITY_WEIGHTS = {
+    "schools": (("education_index", 0.5), ("academic_score", 0.3), ("zhvi_sfr", 0.2)),
+    "safety": (("education_index", 0.2), ("median_income", 0.3), ("zhvi_sfr", 0.5)),
+    "walkable": (("zhvi_sfr", 0.3), ("median_income", 0.3), ("education_index", 0.4)),
+    "transit": (("zhvi_sfr", 0.4), ("median_income", 0.3), ("education_index", 0.3)),
+    "parks": (("education_index", 0.3), ("median_income", 0.3), ("zhvi_sfr", 0.4)),
+    "nightlife": (("zhvi_sfr", 0.5), ("median_income", 0.3), ("education_index", 0.2)),
+    "quiet": (("education_index", 0.3), ("median_income", 0.4), ("zhvi_sfr", 0.3)),
+    "appreciate": (("zhvi_sfr", 0.6), ("median_income", 0.2), ("education_index", 0.2)),
+    "affordable": (("zhvi_sfr", 0.1), ("median_income", 0.5), ("education_index", 0.4)),
+    "family": (("education_index", 0.5), ("median_income", 0.3), ("zhvi_sfr", 0.2)),
+}
+METRIC_MAX = {"zhvi_sfr": 2000000.0, "zhvi_sfrcondo": 1500000.0, "zori_rent": 5000.0,
+              "median_income": 200000.0, "education_index": 100.0, "academic_score": 100.0,
+              "owner_occupied_pct": 100.0}
+CANDIDATE_CAP = 200
+BUDGET_OVER = 1.2            # candidates up to 20 % over the maximum
+BUDGET_UNDER = 0.8           # and down to 80 % of the minimum
+REASONS = ("Strong education index of ", "Median income of $", "Within your budget",
+           "Slightly above budget but strong match",
+           "Matches your location and lifestyle preferences")
+# ---------------------------------------------------------------------------
+
+RESULT_COLS = ("zip_code", "city", "state", "metro_area", "zhvi_sfr", "zhvi_sfrcondo",
+               "zori_rent", "median_income", "owner_occupied_pct", "education_index",
+               "academic_score", "total_schools", "last_updated")
+
+
+def _metric_term(metric: str, weight: float):
+    v = F.col(metric)
+    return F.when(v.isNotNull(), F.least(F.lit(1.0), v / METRIC_MAX.get(metric, 100.0)) * weight) \
+            .otherwise(F.lit(0.0))
+
+
+def priority_sum(priorities) -> F.Column:
+    """Sum over the user's priorities (duplicates and unknown names
+    included) of min(1, metric / scale) * weight, added left to right in
+    the source's order; an unknown priority adds nothing."""
+    def terms(p):
+        out = None
+        for name, mw in PRIORITY_WEIGHTS.items():
+            arr = F.array(*[_metric_term(m, w) for m, w in mw])
+            out = F.when(p == name, arr) if out is None else out.when(p == name, arr)
+        return out.otherwise(F.array().cast("array<double>"))
+    flat = F.flatten(F.transform(priorities, terms))
+    return F.aggregate(flat, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def match_score() -> F.Column:
+    """N18 over a (user, candidate) row: budget fit 40, priorities 40,
+    education 10, income 10, clipped to 0-100, one decimal."""
+    hv = F.coalesce(F.col("zhvi_sfr"), F.lit(0.0))
+    mx = F.col("max_budget")
+    mn = F.coalesce(F.nullif(F.col("min_budget"), F.lit(0.0)), mx * 0.5)
+    budget = (F.when((hv <= mx) & (hv >= mn),
+                     F.greatest(F.lit(0.0), 1.0 - F.abs(hv - mx * 0.85) / (mx * 0.5)) * 40)
+               .when(hv < mn, F.lit(15.0))
+               .otherwise(0.0 - (hv - mx) / mx * 30))
+    n = F.size("priorities")
+    s = F.when(n > 0, budget + priority_sum(F.col("priorities")) / n * 40).otherwise(budget)
+    s = s + F.coalesce(F.nullif(F.col("education_index"), F.lit(0.0)), F.lit(0.0)) / 100 * 10
+    inc = F.coalesce(F.nullif(F.col("median_income"), F.lit(0.0)), F.lit(0.0))
+    s = F.when(inc > 50000, s + F.least(F.lit(10.0), (inc - 50000) / 20000)).otherwise(s)
+    return round_half_even(F.least(F.lit(100.0), F.greatest(F.lit(0.0), s)), 1)
+
+
+def reason() -> F.Column:
+    """N19: the first reason that applies."""
+    edu, inc, hv, mx = (F.col("education_index"), F.col("median_income"), F.col("zhvi_sfr"),
+                        F.col("max_budget"))
+    truthy = lambda c: c.isNotNull() & (c != 0)
+    return (F.when(truthy(edu) & (edu >= 60), F.concat(F.lit(REASONS[0]), edu.cast("string")))
+             .when(truthy(inc) & (inc >= 80000), F.concat(F.lit(REASONS[1]), F.format_number(inc, 0)))
+             .when(truthy(hv) & (hv <= mx), F.lit(REASONS[2]))
+             .when(truthy(hv) & (hv <= mx * 1.1), F.lit(REASONS[3]))
+             .otherwise(F.lit(REASONS[4])))
+
+
+def _opt(prefs: DataFrame, name: str, dtype: str) -> F.Column:
+    return F.col(name) if name in prefs.columns else F.lit(None).cast(dtype)
+
+
+def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10,
+              cap: int = CANDIDATE_CAP) -> DataFrame:
+    """Q12 for every user at once.
+
+    Per user the candidates are the ``cap`` most expensive zips priced at
+    most 1.2 x max_budget (and at least 0.8 x min_budget) that pass the
+    user's optional filters. Zips are numbered by (price desc, zip); each
+    user's scan starts where its price cap falls in that order
+    (``insertion_points``) and reads a band of positions. A band of
+    ``cap`` rows settles every user without extra filters; users with
+    filters re-scan with a 4x wider band until they have ``cap``
+    qualifying rows, the band passed their price floor, or the list
+    ended. No user meets more than a few bands of rows, so the work is
+    O(users x cap) however skewed prices are.
+    """
+    from ..operators.positions import band_join, with_positions
+    cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("city").isNotNull()) \
+                   .select(*RESULT_COLS)
+    users = prefs.select(
+        "user_id", "max_budget", "min_budget", "priorities",
+        _opt(prefs, "state", "string").alias("u_state"),
+        _opt(prefs, "metro_area", "string").alias("u_metro"),
+        _opt(prefs, "min_education", "double").alias("u_min_edu"),
+        _opt(prefs, "min_income", "double").alias("u_min_income"),
+        (F.col("max_budget") * BUDGET_OVER).alias("_cap"),
+        F.when(F.coalesce(F.col("min_budget"), F.lit(0.0)) != 0,
+               F.col("min_budget") * BUDGET_UNDER).alias("_floor"))
+    pos = with_positions(cand, [F.col("zhvi_sfr").desc(), F.col("zip_code").asc()])
+    n_total = pos.select(F.count(F.lit(1))).scalar()
+    starts = _starts(users, cand)
+    todo = users.join(starts, "user_id")
+    qualify = ((F.col("_floor").isNull() | (F.col("zhvi_sfr") >= F.col("_floor")))
+               & (F.col("u_state").isNull() | (F.upper("state") == F.upper("u_state")))
+               & (F.col("u_metro").isNull()
+                  | F.lower("metro_area").contains(F.lower(F.coalesce("u_metro", F.lit("")))))
+               & (F.col("u_min_edu").isNull() | (F.col("u_min_edu") == 0)
+                  | (F.col("education_index") >= F.col("u_min_edu")))
+               & (F.col("u_min_income").isNull() | (F.col("u_min_income") == 0)
+                  | (F.col("median_income") >= F.col("u_min_income"))))
+    found = []
+    width = cap
+    while True:
+        pairs = band_join(todo, pos, "_start", "_pos", 0, width - 1, block=width)
+        per_user = pairs.groupBy("user_id").agg(
+            F.count_if(qualify).alias("_nq"),
+            F.max(F.when(F.col("_pos") == F.col("_start") + width - 1, F.col("zhvi_sfr"))).alias("_last"))
+        status = cut_lineage(
+            todo.join(per_user, "user_id", "left").select(
+                "user_id",
+                ((F.coalesce("_nq", F.lit(0)) >= cap)
+                 | (F.col("_start") + width >= n_total)
+                 | (F.col("_last") < F.col("_floor"))).alias("_done")))
+        done = status.where("_done").select("user_id")
+        found.append(pairs.join(done, "user_id", "left_semi").where(qualify))
+        todo = todo.join(status.where(~F.col("_done")).select("user_id"), "user_id", "left_semi")
+        if todo.isEmpty():
+            break
+        width *= 4
+    cands = found[0]
+    for f in found[1:]:
+        cands = cands.unionByName(f)
+    first = Window.partitionBy("user_id").orderBy("_pos")
+    capped = cands.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= cap)
+    scored = capped.withColumn("match_score", match_score()).withColumn("reason", reason())
+    best = Window.partitionBy("user_id").orderBy(F.col("match_score").desc(),
+                                                 F.col("zhvi_sfr").desc(), F.col("zip_code").asc())
+    return (scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+                  .select("user_id", "rank", *RESULT_COLS, "match_score", "reason"))
+
+
+def _starts(users: DataFrame, cand: DataFrame) -> DataFrame:
+    """Start position of each user's scan: the number of candidates priced
+    above the user's cap."""
+    from ..operators.positions import insertion_points
+    pts = insertion_points(users.select(F.col("user_id").cast("string").alias("_uid"), "_cap"),
+                           cand.select("zip_code", F.col("zhvi_sfr").alias("_cap")),
+                           key="_cap", tie="_uid", descending=True, marker_first=True,
+                           item_tie="zip_code")
+    return pts.select(F.col("_uid"), F.col("_start")).join(
+        users.select("user_id", F.col("user_id").cast("string").alias("_uid")), "_uid") \
+        .select("user_id", "_start")
+
+
+# Reference values used when the target's own value is missing or 0.
+SIMILAR_DEFAULTS = (("zhvi_sfr", 400000.0), ("median_income", 65000.0),
+                    ("education_index", 50.0), ("owner_occupied_pct", 60.0))
+SIMILAR_COLS = ("zip_code", "city", "state", "metro_area", "zhvi_sfr", "median_income",
+                "education_index", "owner_occupied_pct")
+
+
+def _distance() -> F.Column:
+    """Relative Euclidean distance to the target's reference values
+    (NULL when the candidate lacks any of the four values)."""
+    total = None
+    for metric, _ in SIMILAR_DEFAULTS:
+        ref = F.col(f"r_{metric}")
+        term = F.pow((F.col(metric) - ref) / ref, 2)
+        total = term if total is None else total + term
+    return F.sqrt(total)
+
+
+def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
+                 targets: DataFrame | None = None, first_width: int | None = None) -> DataFrame:
+    """Q13 for many target zips at once: the k most similar other zips.
+
+    Order is distance ascending with NULL distances first (the warehouse's
+    ASC default) and zip code as tie-break. NULL distances come from
+    candidates without an owner share; they are the same for every target,
+    so the k+1 smallest such zips are one bounded array handed to every
+    target by a scalar subquery.
+
+    Targets still short of k take an exact nearest-neighbour search over
+    the other candidates without pairing everything: candidates are
+    numbered by home value, each target starts at its own value's
+    insertion point and reads the candidates within ``w`` positions on
+    both sides. Any candidate outside the band differs in home value by at
+    least the band edge's relative gap, which bounds its distance from
+    below; a target is settled once its k-th distance beats that bound (or
+    the band covers everything), otherwise it retries with a 4x band.
+    """
+    from ..operators.positions import band_join, insertion_points, with_positions
+    from .explore import state_is
+    cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("median_income").isNotNull()
+                          & F.col("education_index").isNotNull())
+    if state:
+        cand = cand.where(state_is(state))
+    cand = cand.select(*SIMILAR_COLS)
+    tg = features if targets is None else features.join(targets.select("zip_code"), "zip_code",
+                                                        "left_semi")
+    tg = tg.select(F.col("zip_code").alias("target_zip"),
+                   *[F.coalesce(F.nullif(F.col(m), F.lit(0.0)), F.lit(d)).alias(f"r_{m}")
+                     for m, d in SIMILAR_DEFAULTS])
+
+    item = lambda d: F.struct(d.alias("d"), *[F.col(c) for c in SIMILAR_COLS])
+    heads = cand.where(F.col("owner_occupied_pct").isNull()).orderBy("zip_code").limit(k + 1)
+    null_arr = heads.select(F.sort_array(F.collect_list(item(F.lit(None).cast("double"))))).scalar()
+    tg = tg.withColumn("_nulls", F.slice(F.filter(null_arr, lambda x: x["zip_code"] != F.col("target_zip")),
+                                         1, k))
+    tg = tg.withColumn("_need", F.lit(k) - F.size("_nulls"))
+
+    scored = cand.where(F.col("owner_occupied_pct").isNotNull())
+    pos = with_positions(scored, [F.col("zhvi_sfr").asc(), F.col("zip_code").asc()])
+    n_total = pos.select(F.count(F.lit(1))).scalar()
+    need = tg.where(F.col("_need") > 0)
+    starts = insertion_points(need.select("target_zip", F.col("r_zhvi_sfr").alias("_key")),
+                              scored.select("zip_code", F.col("zhvi_sfr").alias("_key")),
+                              key="_key", tie="target_zip", item_tie="zip_code")
+    todo = need.join(starts, "target_zip")
+    found = []
+    width = first_width or 4 * k
+    while True:
+        pairs = band_join(todo, pos, "_start", "_pos", -width - 1, width, block=2 * width + 2)
+        inner = (F.col("_pos") >= F.col("_start") - width) & (F.col("_pos") < F.col("_start") + width) \
+            & (F.col("zip_code") != F.col("target_zip"))
+        agg = pairs.groupBy("target_zip").agg(
+            F.sort_array(F.collect_list(F.when(inner, item(_distance())))).alias("_all"),
+            F.max(F.when(F.col("_pos") == F.col("_start") - width - 1, F.col("zhvi_sfr"))).alias("_lk"),
+            F.max(F.when(F.col("_pos") == F.col("_start") + width, F.col("zhvi_sfr"))).alias("_rk"))
+        st = todo.join(agg, "target_zip", "left")
+        best = F.slice(F.coalesce(F.col("_all"), F.array()), 1, F.col("_need"))
+        kth = F.element_at(best, F.col("_need"))["d"]
+        ref = F.col("r_zhvi_sfr")
+        inf = F.lit(float("inf"))
+        lb = F.least(F.when(F.col("_lk").isNull(), inf).otherwise((ref - F.col("_lk")) / ref),
+                     F.when(F.col("_rk").isNull(), inf).otherwise((F.col("_rk") - ref) / ref))
+        seen_all = (F.col("_start") - width - 1 < 0) & (F.col("_start") + width >= n_total)
+        done = ((F.size(best) >= F.col("_need")) & (kth < lb * (1 - 1e-9))) | seen_all
+        st = cut_lineage(st.select("target_zip", best.alias("_best"), done.alias("_done")))
+        found.append(st.where("_done").select("target_zip", "_best"))
+        todo = todo.join(st.where(~F.col("_done")).select("target_zip"), "target_zip", "left_semi")
+        if todo.isEmpty():
+            break
+        width *= 4
+    near = found[0]
+    for f in found[1:]:
+        near = near.unionByName(f)
+    out = (tg.join(near, "target_zip", "left")
+             .select("target_zip", F.concat(F.col("_nulls"),
+                                            F.coalesce(F.col("_best"), F.array())).alias("_res")))
+    out = out.select("target_zip", F.posexplode("_res").alias("_i", "_r"))
+    score = round_half_even(F.greatest(F.lit(0.0),
+                                       100 - F.coalesce(F.nullif(F.col("_r.d"), F.lit(0.0)),
+                                                        F.lit(1.0)) * 50), 1)
+    return out.select("target_zip", (F.col("_i") + 1).alias("rank"),
+                      *[F.col(f"_r.{c}").alias(c) for c in SIMILAR_COLS],
+                      score.alias("similarity_score"))

@@ -273,3 +273,21 @@ def q_training_data(spark, sf):
     c = Catalog.of(spark, sf)
     return build_training_data(c.zip_market, c.census, c.education, c.metro_market, c.features,
                                start=TRAINING_START)
+
+
+@query("comparables")
+def q_comparables(spark, sf):
+    return valuation.comparables(Catalog.of(spark, sf).features, k=5)
+
+
+@query("recommend")
+def q_recommend(spark, sf):
+    from .recommend import recommend
+    c = Catalog.of(spark, sf)
+    return recommend(c.features, c.preferences, limit=10)
+
+
+@query("similar")
+def q_similar(spark, sf):
+    from .recommend import find_similar
+    return find_similar(Catalog.of(spark, sf).features, k=5)

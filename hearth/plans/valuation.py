@@ -147,3 +147,46 @@ def market_trends(panel: DataFrame, zips: DataFrame, months: int = 12, as_of=Non
                     .when(first == 0, F.lit(0.0))
                     .otherwise(round_half_even((last - first) / first * 100, 2)))
     return rows.withColumn("appreciation", appreciation)
+
+
+def comparables(features: DataFrame, k: int = 5, targets: DataFrame | None = None) -> DataFrame:
+    """Q16 (batch): for each target zip, the k zips of the same metro with
+    the closest home value (ties: smaller zip first).
+
+    No metro-wide self join: zips are numbered in (metro, value, zip) order
+    and each target meets only the candidates within 3k positions of its
+    own. That band provably holds the answer once every run of identical
+    (metro, value) is cut to its k+1 smallest zips: at most 2k rows below
+    and k above are needed, plus at most k tied rows on each side. Targets
+    beyond the first k+1 of such a run take its first k zips directly.
+    """
+    from ..operators.positions import band_join, with_positions
+    cols = ["zip_code", "city", "state", "metro_area", "zhvi_sfr", "median_income",
+            "education_index"]
+    f = features.where(F.col("zhvi_sfr").isNotNull() & F.col("metro_area").isNotNull()).select(*cols)
+    run = Window.partitionBy("metro_area", "zhvi_sfr").orderBy("zip_code")
+    cand = f.withColumn("_g", F.row_number().over(run)).where(F.col("_g") <= k + 1)
+    if targets is not None:
+        f = f.join(targets.select("zip_code"), "zip_code", "left_semi")
+    overflow = f.join(cand.select("zip_code"), "zip_code", "left_anti")
+    cand_t = cand if targets is None else cand.join(targets.select("zip_code"), "zip_code", "left_semi")
+
+    pos = with_positions(cand, [F.col("metro_area"), F.col("zhvi_sfr"), F.col("zip_code")])
+    probe = (pos.join(cand_t.select("zip_code"), "zip_code", "left_semi")
+                .select(F.col("zip_code").alias("target_zip"), F.col("metro_area").alias("_tm"),
+                        F.col("zhvi_sfr").alias("_tv"), F.col("_pos").alias("_tp")))
+    build = pos.select(*cols, F.col("_pos").alias("_cp"))
+    w = 3 * k
+    pairs = (band_join(probe, build, "_tp", "_cp", -w, w, block=w)
+             .where((F.col("metro_area") == F.col("_tm")) & (F.col("zip_code") != F.col("target_zip")))
+             .withColumn("value_diff", F.abs(F.col("zhvi_sfr") - F.col("_tv"))))
+    heads = cand.where(F.col("_g") <= k).select(*cols)
+    tied = (overflow.select(F.col("zip_code").alias("target_zip"), F.col("metro_area").alias("_tm"),
+                            F.col("zhvi_sfr").alias("_tv"))
+            .join(heads, (F.col("metro_area") == F.col("_tm")) & (F.col("zhvi_sfr") == F.col("_tv")))
+            .withColumn("value_diff", F.lit(0.0)))
+    out_cols = ["target_zip", "zip_code", "city", "state", "zhvi_sfr", "median_income",
+                "education_index", "value_diff"]
+    both = pairs.select(*out_cols).unionByName(tied.select(*out_cols))
+    rank = Window.partitionBy("target_zip").orderBy("value_diff", "zip_code")
+    return (both.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k))

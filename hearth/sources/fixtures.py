@@ -136,11 +136,14 @@ def fixture_sql_for_duckdb(name: str) -> str:
     return text.format(**{t: t for t in _placeholders(text)})
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, sf_dir: str, name: str, tables: dict | None = None) -> DataFrame:
     """Build one fx_* view as a Spark DataFrame over the driver tables."""
     text = FX_SQL[name]
-    tables = {t: read_table(spark, sf_dir, t) for t in _placeholders(text)}
-    return spark.sql(text, **tables)
+    tables = tables if tables is not None else {}
+    for t in _placeholders(text):
+        if t not in tables:
+            tables[t] = read_table(spark, sf_dir, t)
+    return spark.sql(text, **{t: tables[t] for t in _placeholders(text)})
 
 
 class Fixtures:
@@ -150,10 +153,11 @@ class Fixtures:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}   # each driver table read once
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = fixture(self.spark, self.sf_dir, name)
+            self._cache[name] = fixture(self.spark, self.sf_dir, name, self._tables)
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:
