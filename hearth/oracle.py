@@ -665,6 +665,14 @@ from (select *, row_number() over (partition by user_id
                      "median_income is not null and education_index is not null"),
            ("sim_p", f"select t.target_zip, c.*, {dist} as d from sim_t t join sim_c c "
                      f"on c.zip_code <> t.target_zip")]
+    sim_full = [("sim_f", "select * from features where owner_occupied_pct is not null")] + [
+        (n, b.replace("from features", "from sim_f")) for n, b in sim]
+    q["similar_complete"] = render(features_ctes() + sim_full, f"""
+select target_zip, cast(rn as integer) as rank, zip_code, city, state, metro_area, zhvi_sfr,
+       median_income, education_index, owner_occupied_pct,
+       {rhe(f"greatest({dbl(0.0)}, 100 - coalesce(nullif(d, 0), {dbl(1.0)}) * 50)", 1)} as similarity_score
+from (select *, row_number() over (partition by target_zip order by d asc nulls first, zip_code) as rn
+      from sim_p) t where rn <= 5""")
     q["similar"] = render(features_ctes() + sim, f"""
 select target_zip, cast(rn as integer) as rank, zip_code, city, state, metro_area, zhvi_sfr,
        median_income, education_index, owner_occupied_pct,

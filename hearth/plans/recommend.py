@@ -251,8 +251,10 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     item = lambda d: F.struct(d.alias("d"), *[F.col(c) for c in SIMILAR_COLS])
     heads = cand.where(F.col("owner_occupied_pct").isNull()).orderBy("zip_code").limit(k + 1)
     null_arr = heads.select(F.sort_array(F.collect_list(item(F.lit(None).cast("double"))))).scalar()
-    tg = tg.withColumn("_nulls", F.slice(F.filter(null_arr, lambda x: x["zip_code"] != F.col("target_zip")),
-                                         1, k))
+    # (projected first: a subquery may not sit inside a higher-order function)
+    tg = tg.withColumn("_head", null_arr)
+    tg = tg.withColumn("_nulls", F.slice(F.filter("_head", lambda x: x["zip_code"] != F.col("target_zip")),
+                                         1, k)).drop("_head")
     tg = tg.withColumn("_need", F.lit(k) - F.size("_nulls"))
 
     scored = cand.where(F.col("owner_occupied_pct").isNotNull())

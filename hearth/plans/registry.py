@@ -291,3 +291,12 @@ def q_recommend(spark, sf):
 def q_similar(spark, sf):
     from .recommend import find_similar
     return find_similar(Catalog.of(spark, sf).features, k=5)
+
+
+@query("similar_complete")
+def q_similar_complete(spark, sf):
+    """Similar zips among neighborhoods with all four descriptors known:
+    every answer comes from the banded nearest-neighbour search."""
+    from .recommend import find_similar
+    f = Catalog.of(spark, sf).features.where(F.col("owner_occupied_pct").isNotNull())
+    return find_similar(f, k=5)
