@@ -129,3 +129,21 @@ class Catalog:
         prio = F.when(F.col("priorities_csv") == "", F.array().cast("array<string>")) \
                 .otherwise(F.split("priorities_csv", ","))
         return p.select("user_id", "max_budget", "min_budget", prio.alias("priorities"))
+
+    # model -----------------------------------------------------------------
+    # Boosting rounds of the registered queries; the library default (the
+    # source's 500) stays in training.GBT_PARAMS.
+    QUERY_GBT_ROUNDS = 40
+
+    @cached_property
+    def training_data(self) -> DataFrame:
+        from .training import build_training_data
+        return build_training_data(self.zip_market, self.census, self.education,
+                                   self.metro_market, self.features, start=TRAINING_START)
+
+    @cached_property
+    def model(self):
+        from .training import fit_valuation_model
+        model, metrics, importance = fit_valuation_model(self.training_data,
+                                                         maxIter=self.QUERY_GBT_ROUNDS)
+        return model, self._keep(metrics), self._keep(importance)

@@ -300,3 +300,23 @@ def q_similar_complete(spark, sf):
     from .recommend import find_similar
     f = Catalog.of(spark, sf).features.where(F.col("owner_occupied_pct").isNotNull())
     return find_similar(f, k=5)
+
+
+# --------------------------------------------------------------- model (M1-M10, Q15)
+
+@query("train_metrics")
+def q_train_metrics(spark, sf):
+    return Catalog.of(spark, sf).model[1]
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    return Catalog.of(spark, sf).model[2]
+
+
+@query("predict_ml")
+def q_predict_ml(spark, sf):
+    from .training import predict
+    c = Catalog.of(spark, sf)
+    model, metrics, _ = c.model
+    return predict(c.properties, c.features, c.zip_market, model, metrics)

@@ -59,3 +59,155 @@ def build_training_data(zip_market: DataFrame, census: DataFrame, education: Dat
         "education_index", "academic_score", "total_schools",
         "metro_median_price", "metro_days_pending", "metro_heat_index", "metro_inventory",
         "metro_pct_above_list", "safety_index", "air_quality_index", "natural_amenity_score")
+
+
+# ---------------------------------------------------------------------------
+# Model (M1-M10)
+# ---------------------------------------------------------------------------
+# Hyper-parameters of the source model, and serving defaults
+# for missing neighborhood values (None: always the constant).
+GBT_PARAMS = {"maxIter": 500, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
+              "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5, "seed": 42}
+TEST_PERCENT = 15
+VALIDATION_PERCENT = 15
+SERVING_DEFAULTS = (
+    ("median_income", "median_income", 65000.0), ("owner_occupied_pct", "owner_occupied_pct", 60.0),
+    ("total_units", None, 5000.0), ("median_rooms", None, 6.0),
+    ("education_index", "education_index", 50.0), ("academic_score", "academic_score", 50.0),
+    ("total_schools", "total_schools", 5.0), ("metro_median_price", "median_sale_price", 350000.0),
+    ("metro_days_pending", "days_to_pending", 20.0), ("metro_heat_index", "market_heat_index", 50.0),
+    ("metro_inventory", None, 1000.0), ("metro_pct_above_list", None, 0.3),
+    ("zori_rent", "zori_rent", 1500.0), ("zhvi_sfrcondo", "zhvi_sfrcondo", 300000.0),
+    ("safety_index", "safety_index", 50.0), ("air_quality_index", "air_quality_index", 65.0),
+    ("natural_amenity_score", "natural_amenity_score", 50.0),
+)
+MODEL_VERSION = "gbt-v1"
+
+
+def split_column(how: str = "row") -> F.Column:
+    """Deterministic hash split, independent of partitioning: 'row' hashes
+    (zip, year, month) like a random row split; 'zip' keeps all months of
+    a zip on one side (no leakage between months of one zip)."""
+    if how == "zip":
+        h = F.xxhash64("zip_code")
+    else:
+        h = F.xxhash64("zip_code", "year", "month")
+    b = F.pmod(h, F.lit(100))
+    return (F.when(b < TEST_PERCENT, "test")
+             .when(b < TEST_PERCENT + VALIDATION_PERCENT, "validation").otherwise("train"))
+
+
+def _num_features(df: DataFrame) -> DataFrame:
+    return df.select("*", *[F.col(c).cast("double").alias(f"_f_{c}") for c in FEATURE_COLS],
+                     F.coalesce(F.col("state"), F.lit("UNKNOWN")).alias("_state"))
+
+
+def fit_valuation_model(training: DataFrame, split: str = "row", **gbt_overrides):
+    """Fit state encoder + median imputer + assembler + boosted trees.
+
+    The imputer is fitted on training rows only; early stopping watches a
+    separate validation slice (the test slice only scores). Returns
+    (PipelineModel, metrics DataFrame, feature-importance DataFrame).
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    df = _num_features(training).withColumn("_split", split_column(split))
+    fit_rows = df.where(F.col("_split") != "test").withColumn(
+        "_is_val", F.col("_split") == "validation")
+    num_in = [f"_f_{c}" for c in FEATURE_COLS]
+    num_out = [f"_i_{c}" for c in FEATURE_COLS]
+    params = dict(GBT_PARAMS, **gbt_overrides)
+    stages = [
+        StringIndexer(inputCol="_state", outputCol=STATE_FEATURE, stringOrderType="alphabetAsc",
+                      handleInvalid="keep"),
+        Imputer(strategy="median", inputCols=num_in, outputCols=num_out),
+        VectorAssembler(inputCols=num_out + [STATE_FEATURE], outputCol="features",
+                        handleInvalid="keep"),
+        GBTRegressor(labelCol="home_value", featuresCol="features", predictionCol="prediction",
+                     validationIndicatorCol="_is_val", validationTol=0.0, **params),
+    ]
+    model = Pipeline(stages=stages).fit(fit_rows)
+    test = model.transform(df.where(F.col("_split") == "test"))
+    metrics = test.agg(
+        F.avg(F.abs(F.col("home_value") - F.col("prediction"))).alias("mae"),
+        (F.avg(F.abs((F.col("home_value") - F.col("prediction")) / F.col("home_value"))) * 100)
+        .alias("mape"),
+        F.count(F.lit(1)).alias("n_test"))
+    gbt = model.stages[-1]
+    names = list(FEATURE_COLS) + [STATE_FEATURE]
+    spark = training.sparkSession
+    imp = spark.createDataFrame(
+        [(n, float(v)) for n, v in zip(names, gbt.featureImportances.toArray())],
+        "feature string, importance double")
+    importance = imp.orderBy(F.col("importance").desc(), "feature").limit(10)
+    return model, metrics, importance
+
+
+def save_model(model, metrics: DataFrame, path: str) -> None:
+    model.write().overwrite().save(f"{path}/pipeline")
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+
+
+def load_model(spark, path: str):
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/metrics")
+
+
+def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
+            metrics: DataFrame, as_of=None) -> DataFrame:
+    """Q15 (batch): model valuation of every property whose zip is in the
+    mart, with the property adjustments, confidence and range."""
+    from .explore import as_of_date
+    from .valuation import ML_ADJ, adjusted_value, recent_trend_stats
+    from ..functions.numeric import falsy_to, round_half_even
+
+    as_of_c = as_of_date(panel, as_of)
+    stats = recent_trend_stats(panel, as_of=as_of)
+    nb = features.select("zip_code", "city", "state", "metro_area", "zhvi_sfr", "zhvi_sfrcondo",
+                         "zori_rent", "median_sale_price", "days_to_pending", "market_heat_index",
+                         "median_income", "owner_occupied_pct", "education_index",
+                         "academic_score", "total_schools", "safety_index", "air_quality_index",
+                         "natural_amenity_score", "value_score", "value_tier",
+                         "total_population", "pop_density_class")
+    df = properties.join(nb, "zip_code", "inner").join(stats, "zip_code", "left")
+    n = F.coalesce(F.col("n_months"), F.lit(0))
+    cur = falsy_to("zhvi_last", 0.0)
+    ago12 = falsy_to("zhvi_12th_last", cur)
+    ago3 = falsy_to("zhvi_3rd_last", cur)
+    yoy = F.when((n >= 12) & (ago12 != 0), (cur - ago12) / ago12 * 100).otherwise(0.0)
+    mo3 = F.when((n >= 12) & (ago3 != 0), (cur - ago3) / ago3 * 100).otherwise(0.0)
+    served = {"year": F.year(as_of_c).cast("double"), "month": F.month(as_of_c).cast("double"),
+              "price_yoy_pct": yoy, "price_3mo_pct": mo3}
+    for name, source, default in SERVING_DEFAULTS:
+        served[name] = F.lit(default) if source is None else falsy_to(F.col(source).cast("double"), default)
+    x = df.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
+                  F.coalesce(F.col("state"), F.lit("UNKNOWN")).alias("_state"))
+    indexer, _imputer, assembler, gbt = model.stages
+    n_labels = len(indexer.labelsArray[0])
+    x = indexer.transform(x)
+    x = x.withColumn(STATE_FEATURE, F.when(F.col(STATE_FEATURE) >= n_labels, 0.0)
+                     .otherwise(F.col(STATE_FEATURE)))          # unseen state -> 0
+    x = gbt.transform(assembler.transform(x))
+    mape = metrics.select(F.first("mape")).scalar()
+    conf = F.least(F.lit(92.0), F.greatest(F.lit(70.0), 100 - mape * 3))
+    conf = conf - F.when(falsy_to("median_income", 0.0) == 0, 5).otherwise(0) \
+        - F.when(falsy_to("education_index", 0.0) == 0, 3).otherwise(0) \
+        - F.when(n == 0, 4).otherwise(0)
+    est = adjusted_value(F.col("prediction"), ML_ADJ, F.year(as_of_c))
+    margin = (100 - F.col("_conf")) / 100
+    x = x.withColumn("_conf", conf).withColumn("_est", est)
+    nd = F.struct(*[F.col(c) for c in ("zhvi_sfr", "median_income", "education_index",
+                                       "owner_occupied_pct", "safety_index", "air_quality_index",
+                                       "natural_amenity_score", "value_tier", "value_score",
+                                       "pop_density_class", "total_population")])
+    return x.select(
+        "property_id", "zip_code", "city", "state", "metro_area",
+        round_half_even("_est", -2).alias("estimated_value"),
+        round_half_even(F.col("_est") * (1 - margin * 1.2), -2).alias("low_estimate"),
+        round_half_even(F.col("_est") * (1 + margin * 1.2), -2).alias("high_estimate"),
+        round_half_even("_conf", 1).alias("confidence"),
+        round_half_even(F.col("_est") / F.col("sqft"), 2).alias("price_per_sqft"),
+        F.lit(MODEL_VERSION).alias("model_version"), nd.alias("neighborhood_data"),
+        "forecast_years")
