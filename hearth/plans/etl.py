@@ -23,6 +23,7 @@ from ..functions.numeric import exact_mean, nonzero, round_half_even, to_int, to
 from ..operators.county import join_county_metrics
 from ..operators.reshape import align_outer, melt_wide
 from ..session import cut_lineage
+from ..sources.io import drop_repeated_header
 
 # ---------------------------------------------------------------------------
 # Id columns of the wide market files and their value names.
@@ -86,7 +87,7 @@ def build_metro_market(raw_by_value: dict[str, DataFrame]) -> DataFrame:
 
 def census_income(raw: DataFrame) -> DataFrame:
     """ACS income table: GEO_ID -> zip, median income (+ margin)."""
-    df = raw.where(F.col("GEO_ID") != "Geography")   # second header line, by content
+    df = drop_repeated_header(raw, "GEO_ID", "Geography")
     out = df.select(extract_zip("GEO_ID").alias("zip_code"),
                     to_num(col_or_null(df, "S1901_C01_012E")).alias("median_income"),
                     to_num(col_or_null(df, "S1901_C01_012M")).alias("income_margin"))
@@ -94,7 +95,7 @@ def census_income(raw: DataFrame) -> DataFrame:
 
 
 def census_housing(raw: DataFrame) -> DataFrame:
-    df = raw.where(F.col("GEO_ID") != "Geography")
+    df = drop_repeated_header(raw, "GEO_ID", "Geography")
     out = df.select(extract_zip("GEO_ID").alias("zip_code"),
                     to_num(col_or_null(df, "DP04_0001E")).alias("total_units"),
                     to_num(col_or_null(df, "DP04_0002E")).alias("occupied_units"),
