@@ -412,6 +412,12 @@ select * from features where zip_code in (select lpad(cast(o_custkey as varchar)
 select zip_code, date, zhvi_sfr, zhvi_sfrcondo, zori_rent from fx_zip_market
 where date >= {_as_of()} - interval 24 month
   and zip_code in (select zip_code from fx_features_base)""")
+    q["price_history_recent"] = render(with_fx("fx_zip_market", "fx_features_base"), f"""
+select zip_code, date, zhvi_sfr, zhvi_sfrcondo, zori_rent from (
+  select *, row_number() over (partition by zip_code order by date desc) as rn from fx_zip_market
+  where date >= {_as_of()} - interval 24 month
+    and zip_code in (select zip_code from fx_features_base)) t
+where rn <= 6""")
     q["top_metric"] = _feat("""
 select zip_code, city, state, metro_area, zhvi_sfr, median_income, education_index, academic_score,
        market_heat_index, education_index as sort_metric

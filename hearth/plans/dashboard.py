@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_round_half_up, round_half_up
-from .explore import all_of, as_of_date, metro_like, state_is
+from .explore import all_of, metro_like, state_is, trailing_months
 
 # Home-value bins (upper bounds, label), last one open-ended.
 VALUE_BINS = ((200000, "Under $200K"), (400000, "$200K - $400K"), (600000, "$400K - $600K"),
@@ -33,8 +33,7 @@ def price_trends(panel: DataFrame, metro_area: str | None = None, state: str | N
                  months: int = 24, interval: str = "month", as_of=None) -> DataFrame:
     """Q7: panel averages per month or quarter over a trailing window."""
     unit = "quarter" if interval == "quarter" else "month"
-    start = F.add_months(as_of_date(panel, as_of), -months)
-    cond = all_of([F.col("date") >= start, metro_like(metro_area), state_is(state)])
+    cond = all_of([trailing_months(panel, months, as_of), metro_like(metro_area), state_is(state)])
     return (panel.where(cond)
             .groupBy(F.trunc("date", unit).alias("period"))
             .agg(mean_round_half_up("zhvi_sfr", None, 0).alias("avg_zhvi_sfr"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_round_half_up
@@ -52,6 +52,17 @@ def as_of_date(panel: DataFrame, as_of=None) -> Column:
     return panel.select(F.max("date")).scalar()
 
 
+def trailing_months(panel: DataFrame, months: int, as_of=None) -> Column:
+    """``date >= as_of - months``; on a month-partitioned panel the same
+    bound is also put on the ``month`` partition column so the scan skips
+    whole directories."""
+    start = F.add_months(as_of_date(panel, as_of), -months)
+    cond = F.col("date") >= start
+    if "month" in panel.columns:
+        cond = cond & (F.col("month") >= F.date_format(start, "yyyy-MM"))
+    return cond
+
+
 def search_neighborhoods(features: DataFrame, q: str | None = None, state: str | None = None,
                          min_price=None, max_price=None, max_budget=None, min_education=None,
                          min_income=None, value_tier: str | None = None, min_population=None,
@@ -91,13 +102,18 @@ def get_neighborhoods(features: DataFrame, zips: DataFrame) -> DataFrame:
     return features.join(zips.select("zip_code"), "zip_code", "left_semi")
 
 
-def price_history(panel: DataFrame, zips: DataFrame, months: int = 24, as_of=None) -> DataFrame:
-    """Q3 (batch): trailing-N-month history of the requested zips."""
-    start = F.add_months(as_of_date(panel, as_of), -months)
-    rows = (panel.where(F.col("date") >= start)
+def price_history(panel: DataFrame, zips: DataFrame, months: int = 24, as_of=None,
+                  last_n: int | None = None) -> DataFrame:
+    """Q3 (batch): trailing-N-month history of the requested zips;
+    ``last_n`` keeps only each zip's latest rows (W6: the explorer shows 6)."""
+    rows = (panel.where(trailing_months(panel, months, as_of))
                  .select("zip_code", "date", "zhvi_sfr", "zhvi_sfrcondo", "zori_rent"))
-    return (rows.join(zips.select("zip_code").distinct(), "zip_code", "left_semi")
-                .orderBy("zip_code", "date"))
+    rows = rows.join(zips.select("zip_code").distinct(), "zip_code", "left_semi")
+    if last_n:
+        latest = Window.partitionBy("zip_code").orderBy(F.col("date").desc())
+        rows = rows.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= last_n) \
+                   .drop("_rn")
+    return rows.orderBy("zip_code", "date")
 
 
 def top_neighborhoods(features: DataFrame, metric: str, state: str | None = None,

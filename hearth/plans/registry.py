@@ -320,3 +320,16 @@ def q_predict_ml(spark, sf):
     c = Catalog.of(spark, sf)
     model, metrics, _ = c.model
     return predict(c.properties, c.features, c.zip_market, model, metrics)
+
+
+@query("training_stats")
+def q_training_stats(spark, sf):
+    from .training import feature_stats
+    return feature_stats(Catalog.of(spark, sf).training_data)
+
+
+@query("price_history_recent")
+def q_price_history_recent(spark, sf):
+    """The explorer's short history: each zip's last 6 months of the window."""
+    c = Catalog.of(spark, sf)
+    return explore.price_history(c.zip_market, c.fx.fx_features_base, months=24, last_n=6)

@@ -145,6 +145,20 @@ def fit_valuation_model(training: DataFrame, split: str = "row", **gbt_overrides
     return model, metrics, importance
 
 
+def encode_state(indexer, df: DataFrame) -> DataFrame:
+    """Fitted state encoder at serving time: a state never seen in training
+    gets code 0 (Spark's 'keep' puts it at the end; the source used 0)."""
+    n_labels = len(indexer.labelsArray[0])
+    out = indexer.transform(df)
+    return out.withColumn(STATE_FEATURE, F.when(F.col(STATE_FEATURE) >= n_labels, 0.0)
+                          .otherwise(F.col(STATE_FEATURE)))
+
+
+def feature_stats(training: DataFrame) -> DataFrame:
+    """A17: count, mean, stddev, min, quartiles, max of every feature."""
+    return training.select(*[F.col(c).cast("double").alias(c) for c in FEATURE_COLS]).summary()
+
+
 def save_model(model, metrics: DataFrame, path: str) -> None:
     model.write().overwrite().save(f"{path}/pipeline")
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
@@ -185,11 +199,7 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
     x = df.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
                   F.coalesce(F.col("state"), F.lit("UNKNOWN")).alias("_state"))
     indexer, _imputer, assembler, gbt = model.stages
-    n_labels = len(indexer.labelsArray[0])
-    x = indexer.transform(x)
-    x = x.withColumn(STATE_FEATURE, F.when(F.col(STATE_FEATURE) >= n_labels, 0.0)
-                     .otherwise(F.col(STATE_FEATURE)))          # unseen state -> 0
-    x = gbt.transform(assembler.transform(x))
+    x = gbt.transform(assembler.transform(encode_state(indexer, x)))
     mape = metrics.select(F.first("mape")).scalar()
     conf = F.least(F.lit(92.0), F.greatest(F.lit(70.0), 100 - mape * 3))
     conf = conf - F.when(falsy_to("median_income", 0.0) == 0, 5).otherwise(0) \

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import falsy_to, round_half_even
-from .explore import as_of_date
+from .explore import as_of_date, trailing_months
 
 # ---------------------------------------------------------------------------
 # Fixed values of the two valuation formulas.
@@ -87,9 +87,8 @@ def recent_trend_stats(panel: DataFrame, months: int = TREND_MONTHS, as_of=None)
     """Per zip over the trailing window: row count, latest value and the
     values 12 and 3 rows back from the end (positions -1, -12, -3 of the
     ascending list, as the source indexes them)."""
-    start = F.add_months(as_of_date(panel, as_of), -months)
     w = Window.partitionBy("zip_code").orderBy(F.col("date").desc())
-    ranked = (panel.where(F.col("date") >= start).select("zip_code", "date", "zhvi_sfr")
+    ranked = (panel.where(trailing_months(panel, months, as_of)).select("zip_code", "date", "zhvi_sfr")
                    .withColumn("_rn", F.row_number().over(w)))
     return ranked.groupBy("zip_code").agg(
         F.count(F.lit(1)).alias("n_months"),
@@ -135,8 +134,7 @@ def forecast(valuations: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
 def market_trends(panel: DataFrame, zips: DataFrame, months: int = 12, as_of=None) -> DataFrame:
     """Q17 (batch): trailing rows per zip plus first-to-last appreciation
     (NULL with fewer than 2 rows, 0 when the first value is 0/NULL)."""
-    start = F.add_months(as_of_date(panel, as_of), -months)
-    rows = (panel.where(F.col("date") >= start)
+    rows = (panel.where(trailing_months(panel, months, as_of))
                  .select("zip_code", "date", "zhvi_sfr", "zhvi_sfrcondo", "zori_rent")
                  .join(zips.select("zip_code").distinct(), "zip_code", "left_semi"))
     w = Window.partitionBy("zip_code")

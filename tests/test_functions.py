@@ -71,3 +71,28 @@ def test_density_and_scores_bounds(spark):
     out = df.select(ix.density_class("pop").alias("c"), ix.affordability_score("pti").alias("a")).collect()
     assert [r.c for r in out] == ["urban", "suburban", "small_town", "rural", None]
     assert all(r.a is None or 0 <= r.a <= 100 for r in out)
+
+
+def test_ui_helpers(spark):
+    assert col_values(spark, [40.0, 100.0, 101.0, None], clean.aqi_label, "double") == \
+        ["Good", "Moderate", "Unhealthy", None]
+    assert col_values(spark, ["Austin, TX", "Nowhere"], clean.short_metro) == ["Austin", "Nowhere"]
+
+
+def test_unseen_state_encodes_to_zero(spark):
+    from pyspark.ml.feature import StringIndexer
+    from hearth.plans.training import STATE_FEATURE, encode_state
+    train = spark.createDataFrame([("TX",), ("CA",), ("NY",)], "_state string")
+    idx = StringIndexer(inputCol="_state", outputCol=STATE_FEATURE, stringOrderType="alphabetAsc",
+                        handleInvalid="keep").fit(train)
+    serve = spark.createDataFrame([("CA",), ("NY",), ("TX",), ("ZZ",)], "_state string")
+    got = [r[0] for r in encode_state(idx, serve).select(STATE_FEATURE).collect()]
+    assert got == [0.0, 1.0, 2.0, 0.0]
+
+
+def test_positional_rename(spark):
+    df = spark.createDataFrame([("01", "TX", "Travis", "x")], "a string, b string, c string, d string")
+    out = clean.rename_positional(df, ["fips_code", "fips_used", "state", "county", "more", "names"])
+    assert out.columns == ["fips_code", "fips_used", "state", "county"]
+    assert clean.first_col(out, ["nope", "state"]) == "state"
+    assert clean.first_col(out, [], contains="cou") == "county"
