@@ -406,6 +406,37 @@ select {SEARCH_COLS} from features
 where zip_code is not null and (contains(lower(city), '0') or contains(zip_code, '0'))
   and zhvi_sfr <= 900000 and pop_density_class = 'urban'
 order by price_to_income_ratio asc nulls last, zip_code asc limit 25""")
+    q["search_quality"] = _feat(f"""
+select {SEARCH_COLS} from features
+where zip_code is not null and value_tier = 'Fair market' and total_population >= 1000
+  and total_population <= 12000 and safety_index >= 10 and air_quality_index >= 20
+order by safety_index desc nulls last, zip_code asc limit 30""")
+    q["top_value_state"] = _feat("""
+select zip_code, city, state, metro_area, zhvi_sfr, median_income, education_index, academic_score,
+       market_heat_index, value_score as sort_metric
+from features where value_score is not null and city is not null and upper(state) = 'AV'
+order by value_score desc, zip_code asc limit 10""")
+    q["kpis_metro"] = _feat(f"""
+select {mean_rhu('zhvi_sfr', None, 0)} as avg_home_value,
+       {mean_rhu('median_income', None, 0)} as avg_median_income,
+       {mean_rhu('education_index', 1, 1)} as avg_education_index,
+       {mean_rhu('owner_occupied_pct', 1, 1)} as avg_owner_occupied,
+       count(distinct zip_code) as total_zip_codes, count(distinct metro_area) as total_metros
+from features where zhvi_sfr is not null and contains(lower(metro_area), 'asia')""")
+    q["distribution_state"] = _feat(f"""
+select case when zhvi_sfr < 200000 then 'Under $200K' when zhvi_sfr < 400000 then '$200K - $400K'
+            when zhvi_sfr < 600000 then '$400K - $600K' when zhvi_sfr < 800000 then '$600K - $800K'
+            when zhvi_sfr < 1000000 then '$800K - $1M' else 'Over $1M' end as price_range,
+       count(*) as zip_count, {mean_rhu('zhvi_sfr', None, 0)} as avg_value
+from features where zhvi_sfr is not null and upper(state) = 'BW' group by 1 order by avg_value""")
+    q["price_trends_metro"] = render(with_fx("fx_zip_market"), f"""
+select cast(date_trunc('month', date) as date) as period,
+       {mean_rhu('zhvi_sfr', None, 0)} as avg_zhvi_sfr,
+       {mean_rhu('zhvi_sfrcondo', None, 0)} as avg_zhvi_sfrcondo,
+       {mean_rhu('zori_rent', None, 0)} as avg_rent,
+       count(distinct zip_code) as zip_count
+from fx_zip_market where date >= {_as_of()} - interval 36 month and contains(lower(metro_area), 'europe')
+group by cast(date_trunc('month', date) as date) order by period""")
     q["lookup"] = _feat("""
 select * from features where zip_code in (select lpad(cast(o_custkey as varchar), 5, '0') from orders)""")
     q["price_history"] = render(with_fx("fx_zip_market", "fx_features_base"), f"""

@@ -226,14 +226,17 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     so the k+1 smallest such zips are one bounded array handed to every
     target by a scalar subquery.
 
-    Targets still short of k take an exact nearest-neighbour search over
-    the other candidates without pairing everything: candidates are
-    numbered by home value, each target starts at its own value's
-    insertion point and reads the candidates within ``w`` positions on
-    both sides. Any candidate outside the band differs in home value by at
-    least the band edge's relative gap, which bounds its distance from
-    below; a target is settled once its k-th distance beats that bound (or
-    the band covers everything), otherwise it retries with a 4x band.
+    Targets still short of k take an exact nearest-neighbour search that
+    never pairs everything. Candidates are numbered four times, once per
+    dimension order (home value, income, education, owner share). Each
+    target reads, in every order, the candidates within ``w`` positions of
+    its own reference value. A candidate missed by all four bands lies
+    beyond the band edge in every dimension, so its distance is at least
+    sqrt(sum of the squared relative edge gaps); a target is settled once
+    its k-th distance beats that bound (or a band covers everything),
+    otherwise it retries with 4x wider bands. Band sizes are positions,
+    not values, so a value shared by a third of the zips cannot inflate
+    them.
     """
     from ..operators.positions import band_join, insertion_points, with_positions
     from .explore import state_is
@@ -244,6 +247,7 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     cand = cand.select(*SIMILAR_COLS)
     tg = features if targets is None else features.join(targets.select("zip_code"), "zip_code",
                                                         "left_semi")
+    dims = [m for m, _ in SIMILAR_DEFAULTS]
     tg = tg.select(F.col("zip_code").alias("target_zip"),
                    *[F.coalesce(F.nullif(F.col(m), F.lit(0.0)), F.lit(d)).alias(f"r_{m}")
                      for m, d in SIMILAR_DEFAULTS])
@@ -258,32 +262,68 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     tg = tg.withColumn("_need", F.lit(k) - F.size("_nulls"))
 
     scored = cand.where(F.col("owner_occupied_pct").isNotNull())
-    pos = with_positions(scored, [F.col("zhvi_sfr").asc(), F.col("zip_code").asc()])
-    n_total = pos.select(F.count(F.lit(1))).scalar()
-    need = tg.where(F.col("_need") > 0)
-    starts = insertion_points(need.select("target_zip", F.col("r_zhvi_sfr").alias("_key")),
-                              scored.select("zip_code", F.col("zhvi_sfr").alias("_key")),
-                              key="_key", tie="target_zip", item_tie="zip_code")
-    todo = need.join(starts, "target_zip")
+    n_total = scored.select(F.count(F.lit(1))).scalar()
+    need = cut_lineage(tg.where(F.col("_need") > 0))
     found = []
-    width = first_width or 4 * k
+    if need.isEmpty():          # the NULL-distance head already answers everyone
+        return _similar_output(tg, None, SIMILAR_COLS)
+    # Band centres: a target that is itself a candidate starts at its own
+    # position in each order; only the others need an insertion-point pass.
+    # (Edge gaps are clamped at 0 below, so any contiguous band gives a valid
+    # bound; the centre only decides how fast it closes.)
+    pos = {}
+    todo = need
+    for i, m in enumerate(dims):
+        pos[m] = with_positions(scored, [F.col(m).asc(), F.col("zip_code").asc()]) \
+            .withColumn("_dim", F.lit(i))
+        own = pos[m].select(F.col("zip_code").alias("target_zip"), F.col("_pos").alias(f"_s{i}"))
+        todo = todo.join(own, "target_zip", "left")
+    todo = cut_lineage(todo)
+    others = todo.where(F.col("_s0").isNull())
+    if not others.isEmpty():
+        for i, m in enumerate(dims):
+            st = insertion_points(others.select("target_zip", F.col(f"r_{m}").alias("_key")),
+                                  scored.select("zip_code", F.col(m).alias("_key")),
+                                  key="_key", tie="target_zip", item_tie="zip_code")
+            todo = (todo.join(st, "target_zip", "left")
+                        .withColumn(f"_s{i}", F.coalesce(f"_s{i}", "_start")).drop("_start"))
+        todo = cut_lineage(todo)
+
+    width = first_width or 16 * k
+    inf = F.lit(float("inf"))
     while True:
-        pairs = band_join(todo, pos, "_start", "_pos", -width - 1, width, block=2 * width + 2)
+        bands = None
+        for i, m in enumerate(dims):
+            b = band_join(todo.withColumn("_start", F.col(f"_s{i}")), pos[m], "_start", "_pos",
+                          -width - 1, width, block=2 * width + 2)
+            bands = b if bands is None else bands.unionByName(b)
         inner = (F.col("_pos") >= F.col("_start") - width) & (F.col("_pos") < F.col("_start") + width) \
             & (F.col("zip_code") != F.col("target_zip"))
-        agg = pairs.groupBy("target_zip").agg(
-            F.sort_array(F.collect_list(F.when(inner, item(_distance())))).alias("_all"),
-            F.max(F.when(F.col("_pos") == F.col("_start") - width - 1, F.col("zhvi_sfr"))).alias("_lk"),
-            F.max(F.when(F.col("_pos") == F.col("_start") + width, F.col("zhvi_sfr"))).alias("_rk"))
+        edges = []
+        for i, m in enumerate(dims):
+            on = F.col("_dim") == i
+            edges += [F.max(F.when(on & (F.col("_pos") == F.col("_start") - width - 1), F.col(m)))
+                      .alias(f"_l{i}"),
+                      F.max(F.when(on & (F.col("_pos") == F.col("_start") + width), F.col(m)))
+                      .alias(f"_r{i}")]
+        agg = bands.groupBy("target_zip").agg(
+            F.sort_array(F.collect_set(F.when(inner, item(_distance())))).alias("_all"), *edges)
         st = todo.join(agg, "target_zip", "left")
         best = F.slice(F.coalesce(F.col("_all"), F.array()), 1, F.col("_need"))
         kth = F.element_at(best, F.col("_need"))["d"]
-        ref = F.col("r_zhvi_sfr")
-        inf = F.lit(float("inf"))
-        lb = F.least(F.when(F.col("_lk").isNull(), inf).otherwise((ref - F.col("_lk")) / ref),
-                     F.when(F.col("_rk").isNull(), inf).otherwise((F.col("_rk") - ref) / ref))
-        seen_all = (F.col("_start") - width - 1 < 0) & (F.col("_start") + width >= n_total)
-        done = ((F.size(best) >= F.col("_need")) & (kth < lb * (1 - 1e-9))) | seen_all
+        lb2 = None
+        covered = F.lit(False)
+        for i, m in enumerate(dims):
+            ref = F.col(f"r_{m}")
+            zero = F.lit(0.0)
+            gap = F.least(
+                F.when(F.col(f"_l{i}").isNull(), inf)
+                 .otherwise(F.greatest(zero, (ref - F.col(f"_l{i}")) / ref)),
+                F.when(F.col(f"_r{i}").isNull(), inf)
+                 .otherwise(F.greatest(zero, (F.col(f"_r{i}") - ref) / ref)))
+            lb2 = gap * gap if lb2 is None else lb2 + gap * gap
+            covered = covered | ((F.col(f"_s{i}") - width - 1 < 0) & (F.col(f"_s{i}") + width >= n_total))
+        done = ((F.size(best) >= F.col("_need")) & (kth < F.sqrt(lb2) * (1 - 1e-9))) | covered
         st = cut_lineage(st.select("target_zip", best.alias("_best"), done.alias("_done")))
         found.append(st.where("_done").select("target_zip", "_best"))
         todo = todo.join(st.where(~F.col("_done")).select("target_zip"), "target_zip", "left_semi")
@@ -293,13 +333,21 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     near = found[0]
     for f in found[1:]:
         near = near.unionByName(f)
-    out = (tg.join(near, "target_zip", "left")
-             .select("target_zip", F.concat(F.col("_nulls"),
-                                            F.coalesce(F.col("_best"), F.array())).alias("_res")))
-    out = out.select("target_zip", F.posexplode("_res").alias("_i", "_r"))
+    return _similar_output(tg, near, SIMILAR_COLS)
+
+
+def _similar_output(tg: DataFrame, near: DataFrame | None, cols) -> DataFrame:
+    """NULL-distance picks first, then the nearest; one row per pick."""
+    if near is None:
+        res = tg.select("target_zip", F.col("_nulls").alias("_res"))
+    else:
+        res = (tg.join(near, "target_zip", "left")
+                 .select("target_zip", F.concat(F.col("_nulls"),
+                                                F.coalesce(F.col("_best"), F.array())).alias("_res")))
+    out = res.select("target_zip", F.posexplode("_res").alias("_i", "_r"))
     score = round_half_even(F.greatest(F.lit(0.0),
                                        100 - F.coalesce(F.nullif(F.col("_r.d"), F.lit(0.0)),
                                                         F.lit(1.0)) * 50), 1)
     return out.select("target_zip", (F.col("_i") + 1).alias("rank"),
-                      *[F.col(f"_r.{c}").alias(c) for c in SIMILAR_COLS],
+                      *[F.col(f"_r.{c}").alias(c) for c in cols],
                       score.alias("similarity_score"))

@@ -333,3 +333,34 @@ def q_price_history_recent(spark, sf):
     """The explorer's short history: each zip's last 6 months of the window."""
     c = Catalog.of(spark, sf)
     return explore.price_history(c.zip_market, c.fx.fx_features_base, months=24, last_n=6)
+
+
+# --------------------------------------------------------------- filter variants
+
+@query("search_quality")
+def q_search_quality(spark, sf):
+    return explore.search_neighborhoods(
+        Catalog.of(spark, sf).features, value_tier="Fair market", min_population=1000,
+        max_population=12000, min_safety=10, min_air_quality=20, sort_by="safety_index", limit=30)
+
+
+@query("top_value_state")
+def q_top_value_state(spark, sf):
+    return explore.top_neighborhoods(Catalog.of(spark, sf).features, "value_score", state="av",
+                                     limit=10)
+
+
+@query("kpis_metro")
+def q_kpis_metro(spark, sf):
+    return dashboard.kpis(Catalog.of(spark, sf).features, metro_area="AsIa")
+
+
+@query("distribution_state")
+def q_distribution_state(spark, sf):
+    return dashboard.value_distribution(Catalog.of(spark, sf).features, state="bw")
+
+
+@query("price_trends_metro")
+def q_price_trends_metro(spark, sf):
+    return dashboard.price_trends(Catalog.of(spark, sf).zip_market, metro_area="europe",
+                                  months=36, interval="month")

@@ -167,10 +167,10 @@ def comparables(features: DataFrame, k: int = 5, targets: DataFrame | None = Non
     if targets is not None:
         f = f.join(targets.select("zip_code"), "zip_code", "left_semi")
     overflow = f.join(cand.select("zip_code"), "zip_code", "left_anti")
-    cand_t = cand if targets is None else cand.join(targets.select("zip_code"), "zip_code", "left_semi")
-
     pos = with_positions(cand, [F.col("metro_area"), F.col("zhvi_sfr"), F.col("zip_code")])
-    probe = (pos.join(cand_t.select("zip_code"), "zip_code", "left_semi")
+    probe_rows = pos if targets is None else pos.join(targets.select("zip_code"), "zip_code",
+                                                       "left_semi")
+    probe = (probe_rows
                 .select(F.col("zip_code").alias("target_zip"), F.col("metro_area").alias("_tm"),
                         F.col("zhvi_sfr").alias("_tv"), F.col("_pos").alias("_tp")))
     build = pos.select(*cols, F.col("_pos").alias("_cp"))
