@@ -61,27 +61,56 @@ def band_join(probe: DataFrame, build: DataFrame, probe_pos: str, build_pos: str
              .drop("_blk"))
 
 
-def insertion_points(markers: DataFrame, items: DataFrame, key: str, tie: str,
-                     descending: bool = False, marker_first: bool = True,
-                     item_tie: str | None = None) -> DataFrame:
-    """For each marker row, the number of ``items`` that precede it when
-    markers are merged into the items' order on ``key`` (ties: markers
-    first if ``marker_first``), i.e. the position in ``items`` where a
-    forward scan for that marker starts.
-
-    Computed as (position in the merged order) - (position among markers),
-    two ``with_positions`` passes; no row of either side meets a row of the
-    other side, so nothing here grows with users x items.
+def merged_positions(markers: DataFrame, items: DataFrame, marker_key: str, item_key: str,
+                     marker_tie: str, item_tie: str, descending: bool = False,
+                     marker_first: bool = True, partitions: int | None = None):
+    """One pass that numbers ``items`` in (key, tie) order and tells each
+    marker where it falls in that order.
+
+    Markers and items are merged into one range-partitioned, sorted
+    sequence ordered by (key, kind, tie), markers before items of equal key
+    when ``marker_first``. Inside each range partition a running count of
+    item rows (a window over the partition's own rows, one balanced group
+    per partition) plus the item totals of the earlier partitions (one row
+    per partition, broadcast) gives every row the number of items before
+    it: an item's position, or a marker's scan start.
+
+    Returns (items + ``_pos``, markers + ``_start``).
     """
+    spark = items.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind_m, kind_i = (0, 1) if marker_first else (1, 0)
+    m = markers.select("*", F.col(marker_key).alias("_key"), F.lit(kind_m).alias("_kind"),
+                       F.col(marker_tie).cast("string").alias("_tie"))
+    i = items.select("*", F.col(item_key).alias("_key"), F.lit(kind_i).alias("_kind"),
+                     F.col(item_tie).cast("string").alias("_tie"))
     k = F.col("_key").desc() if descending else F.col("_key").asc()
-    m = markers.select(F.col(key).alias("_key"), F.lit(kind_m).alias("_kind"),
-                       F.col(tie).cast("string").alias("_tie"))
-    i = items.select(F.col(key).alias("_key"), F.lit(kind_i).alias("_kind"),
-                     F.col(item_tie or tie).cast("string").alias("_tie"))
     order = [k, F.col("_kind").asc(), F.col("_tie").asc()]
-    merged = with_positions(m.unionByName(i), order).where(F.col("_kind") == kind_m)
-    alone = with_positions(m, order)
-    return (merged.select("_tie", F.col(POS).alias("_upos"))
-                  .join(alone.select("_tie", F.col(POS).alias("_mpos")), "_tie")
-                  .select(F.col("_tie").alias(tie), (F.col("_upos") - F.col("_mpos")).alias("_start")))
+    tagged = cut_lineage(m.unionByName(i, allowMissingColumns=True)
+                         .repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = (tagged.withColumn("_pid", F.shiftright("_mid", 33))
+                    .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+                    .withColumn("_item", (F.col("_kind") == kind_i).cast("long")))
+    inside = Window.partitionBy("_pid").orderBy("_local") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    tagged = tagged.withColumn("_before", F.coalesce(F.sum("_item").over(inside), F.lit(0)))
+    counts = tagged.groupBy("_pid").agg(F.sum("_item").alias("_n"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    res = cut_lineage(tagged.join(F.broadcast(offsets), "_pid")
+                            .withColumn("_p", F.col("_off") + F.col("_before")))
+    items_out = res.where(F.col("_kind") == kind_i).select(*items.columns, F.col("_p").alias(POS))
+    markers_out = res.where(F.col("_kind") == kind_m).select(*markers.columns,
+                                                             F.col("_p").alias("_start"))
+    return items_out, markers_out
+
+
+def insertion_points(markers: DataFrame, items: DataFrame, key: str, tie: str,
+                     descending: bool = False, marker_first: bool = True,
+                     item_tie: str | None = None) -> DataFrame:
+    """For each marker (identified by ``tie``), the number of ``items``
+    that precede it in the items' order on ``key`` (``_start``)."""
+    _, marks = merged_positions(markers.select(tie, key), items.select(item_tie or tie, key),
+                                key, key, tie, item_tie or tie, descending, marker_first)
+    return marks.select(F.col(tie).cast("string").alias(tie), "_start")

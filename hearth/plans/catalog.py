@@ -113,8 +113,21 @@ class Catalog:
     def metro_market(self) -> DataFrame:
         return self.fx.fx_metro_market
 
+    def build_dimensions(self, threads: int = 4) -> None:
+        """Build the independent zip-level tables concurrently. Each is a
+        handful of small jobs; submitting them from several driver threads
+        lets the scheduler overlap them instead of leaving cores idle
+        between tiny stages."""
+        from concurrent.futures import ThreadPoolExecutor
+        self.crosswalk                       # shared input, resolved once up front
+        names = ("crime", "air_quality", "amenities", "education", "census")
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            for fut in [pool.submit(getattr, self, n) for n in names]:
+                fut.result()
+
     @cached_property
     def features(self) -> DataFrame:
+        self.build_dimensions()
         return self._keep(build_neighborhood_features(
             self.fx.fx_features_base, self.census, self.education, self.crime,
             self.air_quality, self.amenities, metro_snapshot(self.metro_market)))

@@ -123,14 +123,14 @@ def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10,
     most 1.2 x max_budget (and at least 0.8 x min_budget) that pass the
     user's optional filters. Zips are numbered by (price desc, zip); each
     user's scan starts where its price cap falls in that order
-    (``insertion_points``) and reads a band of positions. A band of
+    (``merged_positions``) and reads a band of positions. A band of
     ``cap`` rows settles every user without extra filters; users with
     filters re-scan with a 4x wider band until they have ``cap``
     qualifying rows, the band passed their price floor, or the list
     ended. No user meets more than a few bands of rows, so the work is
     O(users x cap) however skewed prices are.
     """
-    from ..operators.positions import band_join, with_positions
+    from ..operators.positions import band_join, merged_positions
     cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("city").isNotNull()) \
                    .select(*RESULT_COLS)
     users = prefs.select(
@@ -142,10 +142,11 @@ def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10,
         (F.col("max_budget") * BUDGET_OVER).alias("_cap"),
         F.when(F.coalesce(F.col("min_budget"), F.lit(0.0)) != 0,
                F.col("min_budget") * BUDGET_UNDER).alias("_floor"))
-    pos = with_positions(cand, [F.col("zhvi_sfr").desc(), F.col("zip_code").asc()])
+    # one pass: candidates numbered by (price desc, zip), each user's start
+    # = number of candidates priced above the user's cap
+    pos, todo = merged_positions(users, cand, "_cap", "zhvi_sfr", "user_id", "zip_code",
+                                 descending=True, marker_first=True)
     n_total = pos.select(F.count(F.lit(1))).scalar()
-    starts = _starts(users, cand)
-    todo = users.join(starts, "user_id")
     qualify = ((F.col("_floor").isNull() | (F.col("zhvi_sfr") >= F.col("_floor")))
                & (F.col("u_state").isNull() | (F.upper("state") == F.upper("u_state")))
                & (F.col("u_metro").isNull()
@@ -185,19 +186,6 @@ def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10,
                   .select("user_id", "rank", *RESULT_COLS, "match_score", "reason"))
 
 
-def _starts(users: DataFrame, cand: DataFrame) -> DataFrame:
-    """Start position of each user's scan: the number of candidates priced
-    above the user's cap."""
-    from ..operators.positions import insertion_points
-    pts = insertion_points(users.select(F.col("user_id").cast("string").alias("_uid"), "_cap"),
-                           cand.select("zip_code", F.col("zhvi_sfr").alias("_cap")),
-                           key="_cap", tie="_uid", descending=True, marker_first=True,
-                           item_tie="zip_code")
-    return pts.select(F.col("_uid"), F.col("_start")).join(
-        users.select("user_id", F.col("user_id").cast("string").alias("_uid")), "_uid") \
-        .select("user_id", "_start")
-
-
 # Reference values used when the target's own value is missing or 0.
 SIMILAR_DEFAULTS = (("zhvi_sfr", 400000.0), ("median_income", 65000.0),
                     ("education_index", 50.0), ("owner_occupied_pct", 60.0))
@@ -238,7 +226,7 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     not values, so a value shared by a third of the zips cannot inflate
     them.
     """
-    from ..operators.positions import band_join, insertion_points, with_positions
+    from ..operators.positions import band_join, merged_positions
     from .explore import state_is
     cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("median_income").isNotNull()
                           & F.col("education_index").isNotNull())
@@ -267,27 +255,15 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     found = []
     if need.isEmpty():          # the NULL-distance head already answers everyone
         return _similar_output(tg, None, SIMILAR_COLS)
-    # Band centres: a target that is itself a candidate starts at its own
-    # position in each order; only the others need an insertion-point pass.
-    # (Edge gaps are clamped at 0 below, so any contiguous band gives a valid
-    # bound; the centre only decides how fast it closes.)
+    # per dimension, one pass numbers the candidates and places every target
     pos = {}
     todo = need
     for i, m in enumerate(dims):
-        pos[m] = with_positions(scored, [F.col(m).asc(), F.col("zip_code").asc()]) \
-            .withColumn("_dim", F.lit(i))
-        own = pos[m].select(F.col("zip_code").alias("target_zip"), F.col("_pos").alias(f"_s{i}"))
-        todo = todo.join(own, "target_zip", "left")
+        p, st = merged_positions(need.select("target_zip", f"r_{m}"), scored, f"r_{m}", m,
+                                 "target_zip", "zip_code")
+        pos[m] = p.withColumn("_dim", F.lit(i))
+        todo = todo.join(st.select("target_zip", F.col("_start").alias(f"_s{i}")), "target_zip")
     todo = cut_lineage(todo)
-    others = todo.where(F.col("_s0").isNull())
-    if not others.isEmpty():
-        for i, m in enumerate(dims):
-            st = insertion_points(others.select("target_zip", F.col(f"r_{m}").alias("_key")),
-                                  scored.select("zip_code", F.col(m).alias("_key")),
-                                  key="_key", tie="target_zip", item_tie="zip_code")
-            todo = (todo.join(st, "target_zip", "left")
-                        .withColumn(f"_s{i}", F.coalesce(f"_s{i}", "_start")).drop("_start"))
-        todo = cut_lineage(todo)
 
     width = first_width or 16 * k
     inf = F.lit(float("inf"))

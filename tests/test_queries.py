@@ -17,7 +17,7 @@ from hearth.sources.tables import DRIVER_TABLES  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-ML_ONLY = {"train_metrics", "feature_importance", "predict_ml"}
+ML_ONLY = {"train_metrics", "feature_importance", "predict_ml", "training_stats"}
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +163,28 @@ def test_recommend_filters_match_brute_force(spark, catalog):
     # limit (10) exceeds the cap (7): every capped candidate is returned
     for uid, zips in expect:
         assert {r.zip_code for r in got if r.user_id == uid} == zips, uid
+
+
+def test_properties_of_batch_outputs(spark):
+    q = E.queries()
+    rec = q["recommend"](spark, SF_SMALL).groupBy("user_id").count().collect()
+    assert rec and max(r["count"] for r in rec) <= 10
+    sim = q["similar"](spark, SF_SMALL)
+    per = sim.groupBy("target_zip").agg(F.count(F.lit(1)).alias("n"),
+                                        F.countDistinct("zip_code").alias("d")).collect()
+    assert all(r.n <= 5 and r.n == r.d for r in per)
+    assert sim.where(F.col("zip_code") == F.col("target_zip")).count() == 0
+    comp = q["comparables"](spark, SF_SMALL)
+    assert comp.where(F.col("zip_code") == F.col("target_zip")).count() == 0
+    snap = q["snapshot"](spark, SF_SMALL)
+    assert snap.count() == snap.select("zip_code").distinct().count()
+
+
+def test_pivot_unpivot_identity(spark):
+    from hearth.operators.reshape import melt_wide
+    from hearth.plans.registry import ZIP_IDS, pivot_wide
+    zm = E.queries()["align_outer"](spark, SF_SMALL)
+    for v in ("zhvi_sfr", "zori_rent"):
+        back = melt_wide(pivot_wide(zm.where(F.col(v).isNotNull()), ZIP_IDS, v), ZIP_IDS, v)
+        orig = zm.where(F.col(v).isNotNull()).select(*ZIP_IDS, "date", v)
+        assert back.exceptAll(orig).count() == 0 and orig.exceptAll(back).count() == 0
