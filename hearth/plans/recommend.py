@@ -264,6 +264,10 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
         pos[m] = p.withColumn("_dim", F.lit(i))
         todo = todo.join(st.select("target_zip", F.col("_start").alias(f"_s{i}")), "target_zip")
     todo = cut_lineage(todo)
+    all_pos = None
+    for i, m in enumerate(dims):
+        a = pos[m].select(F.lit(i).alias("_dim"), "_pos", F.col(m).alias("_v"))
+        all_pos = a if all_pos is None else all_pos.unionByName(a)
 
     width = first_width or 16 * k
     inf = F.lit(float("inf"))
@@ -271,20 +275,34 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
         bands = None
         for i, m in enumerate(dims):
             b = band_join(todo.withColumn("_start", F.col(f"_s{i}")), pos[m], "_start", "_pos",
-                          -width - 1, width, block=2 * width + 2)
+                          -width, width - 1, block=2 * width)
             bands = b if bands is None else bands.unionByName(b)
         inner = (F.col("_pos") >= F.col("_start") - width) & (F.col("_pos") < F.col("_start") + width) \
             & (F.col("zip_code") != F.col("target_zip"))
-        edges = []
-        for i, m in enumerate(dims):
-            on = F.col("_dim") == i
-            edges += [F.max(F.when(on & (F.col("_pos") == F.col("_start") - width - 1), F.col(m)))
-                      .alias(f"_l{i}"),
-                      F.max(F.when(on & (F.col("_pos") == F.col("_start") + width), F.col(m)))
-                      .alias(f"_r{i}")]
-        agg = bands.groupBy("target_zip").agg(
-            F.sort_array(F.collect_set(F.when(inner, item(_distance())))).alias("_all"), *edges)
-        st = todo.join(agg, "target_zip", "left")
+        # values just outside each band (positions start-w-1 and start+w),
+        # fetched by an equi-join on (order, position); missing = exhausted side
+        asks = None
+        for i, _ in enumerate(dims):
+            a = todo.select("target_zip", F.lit(i).alias("_dim"), F.explode(F.array(
+                F.struct(F.lit(0).alias("side"), (F.col(f"_s{i}") - width - 1).alias("p")),
+                F.struct(F.lit(1).alias("side"), (F.col(f"_s{i}") + width).alias("p")))).alias("_e"))
+            asks = a if asks is None else asks.unionByName(a)
+        asks = asks.select("target_zip", "_dim", F.col("_e.side").alias("_side"),
+                           F.col("_e.p").alias("_pos"))
+        edge_vals = asks.join(all_pos, ["_dim", "_pos"]).groupBy("target_zip").agg(*[
+            F.max(F.when((F.col("_dim") == i) & (F.col("_side") == side), F.col("_v")))
+             .alias(f"_{'l' if side == 0 else 'r'}{i}")
+            for i in range(len(dims)) for side in (0, 1)])
+        # k nearest per target: dedupe pairs seen in several orders, keep a
+        # literal top-k (partial WindowGroupLimit before the shuffle), and
+        # only then collect, so no target gathers its whole band
+        near_k = (bands.where(inner).select("target_zip", "zip_code", item(_distance()).alias("_it"))
+                  .dropDuplicates(["target_zip", "zip_code"])
+                  .withColumn("_rk", F.row_number().over(
+                      Window.partitionBy("target_zip").orderBy(F.col("_it.d"), F.col("zip_code"))))
+                  .where(F.col("_rk") <= k)
+                  .groupBy("target_zip").agg(F.sort_array(F.collect_list("_it")).alias("_all")))
+        st = todo.join(near_k, "target_zip", "left").join(edge_vals, "target_zip", "left")
         best = F.slice(F.coalesce(F.col("_all"), F.array()), 1, F.col("_need"))
         kth = F.element_at(best, F.col("_need"))["d"]
         lb2 = None
