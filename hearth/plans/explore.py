@@ -49,6 +49,11 @@ def as_of_date(panel: DataFrame, as_of=None) -> Column:
     panel's latest month as a scalar subquery."""
     if as_of is not None:
         return F.lit(as_of).cast("date")
+    if "month" in panel.columns:
+        # month-partitioned panel: find the newest partition first, then read
+        # dates from that partition only
+        newest = panel.select(F.max("month")).scalar()
+        return panel.where(F.col("month") == newest).select(F.max("date")).scalar()
     return panel.select(F.max("date")).scalar()
 
 

@@ -8,10 +8,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins and coalesces shuffle
-# partitions at run time; skew-join splits oversized partitions.
+# partitions at run time towards ~128 MB each (so partitions fit executor
+# memory whatever the scale factor); skew-join splits oversized partitions.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",

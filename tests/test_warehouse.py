@@ -74,3 +74,20 @@ def test_enforce_schema_and_raw_reader(spark):
     assert got[0].LZIP == "01001"    # text: leading zero kept
     full = read_raw_csv(spark, path, encoding="ISO-8859-1").collect()
     assert full[0].LEA_NAME == "Montréal"
+
+
+def test_trailing_windows_prune_month_partitions(spark, catalog):
+    from hearth.plans import dashboard, explore
+    from hearth.sources.io import write_table
+    path = tempfile.mkdtemp(prefix="hearth-zm-") + "/zm"
+    write_table(catalog.fx.fx_zip_market, path, partition_by_month=True)
+    zm = spark.read.parquet(path)
+    part = dashboard.price_trends(zm, months=12)
+    flat = dashboard.price_trends(catalog.fx.fx_zip_market, months=12)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, flat.collect()))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    hist = explore.price_history(zm, catalog.fx.fx_features_base, months=24, last_n=6)
+    flat_hist = explore.price_history(catalog.fx.fx_zip_market, catalog.fx.fx_features_base,
+                                      months=24, last_n=6)
+    assert sorted(map(tuple, hist.collect())) == sorted(map(tuple, flat_hist.collect()))
