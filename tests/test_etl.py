@@ -81,3 +81,28 @@ def test_school_counts_and_flags(spark):
     assert r["01001"].total_schools == 2 and r["01001"].charter_schools == 1
     assert r["01001"].charter_pct == 50.0 and r["10010"].high_schools == 0
     assert districts.count() == 2
+
+
+def test_aqi_from_raw_headers_and_state_names(spark):
+    raw = spark.createDataFrame([
+        ("Texas", "Travis", "40", "300", "365"),
+        ("Texas", "Baltimore City", "80", "100", "0"),      # 0 days -> denominator 1
+        ("Atlantis", "Nowhere", "50", "10", "20"),          # unknown state -> dropped
+    ], '`"State"` string, `"County"` string, `"Median AQI"` string, `"Good Days"` string, '
+       '`"Days with AQI"` string')
+    out = {r.county_clean: r for r in etl.aqi_by_county(raw).collect()}
+    assert set(out) == {"TRAVIS", "BALTIMORE"}               # quality preset strips CITY
+    assert out["TRAVIS"].state_abbr == "TX" and out["TRAVIS"].good_day_pct == 82.2
+    assert out["BALTIMORE"].good_day_pct == 10000.0
+    assert all(0 <= r.air_quality_index <= 100 for r in out.values())
+
+
+def test_amenities_positional(spark):
+    cols = [f"c{i}" for i in range(22)]
+    row = ["01001", "01001", "al", " Autauga County ", *["0"] * 14, "1.5", "0", "3", "4"]
+    raw = spark.createDataFrame([tuple(row)], ", ".join(f"{c} string" for c in cols))
+    out = etl.amenities_by_county(raw, positional=True).collect()
+    assert len(out) == 1
+    r = out[0]
+    assert (r.county_clean, r.state, r.amenity_rank, r.topography_z) == ("AUTAUGA", "AL", 4.0, 1.5)
+    assert r.natural_amenity_score == 50.0
