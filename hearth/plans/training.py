@@ -84,10 +84,22 @@ SERVING_DEFAULTS = (
 MODEL_VERSION = "gbt-v1"
 
 
-def split_column(how: str = "row") -> F.Column:
-    """Deterministic hash split, independent of partitioning: 'row' hashes
+def split_column(how: str = "row", training: DataFrame | None = None) -> F.Column:
+    """Deterministic split, independent of partitioning: 'row' hashes
     (zip, year, month) like a random row split; 'zip' keeps all months of
-    a zip on one side (no leakage between months of one zip)."""
+    a zip on one side (no leakage between months of one zip); 'time' puts
+    the latest months in test and the months before them in validation
+    (cut points are exact percentiles of the month index, a scalar
+    subquery over ``training``)."""
+    if how == "time":
+        idx = F.col("year") * 12 + F.col("month")
+        cuts = training.select(F.struct(
+            F.percentile(F.col("year") * 12 + F.col("month"),
+                         1 - TEST_PERCENT / 100).alias("t"),
+            F.percentile(F.col("year") * 12 + F.col("month"),
+                         1 - (TEST_PERCENT + VALIDATION_PERCENT) / 100).alias("v"))).scalar()
+        return (F.when(idx > cuts.getField("t"), "test")
+                 .when(idx > cuts.getField("v"), "validation").otherwise("train"))
     if how == "zip":
         h = F.xxhash64("zip_code")
     else:
@@ -113,7 +125,7 @@ def fit_valuation_model(training: DataFrame, split: str = "row", **gbt_overrides
     from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    df = _num_features(training).withColumn("_split", split_column(split))
+    df = _num_features(training).withColumn("_split", split_column(split, training))
     fit_rows = df.where(F.col("_split") != "test").withColumn(
         "_is_val", F.col("_split") == "validation")
     num_in = [f"_f_{c}" for c in FEATURE_COLS]

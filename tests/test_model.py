@@ -34,3 +34,18 @@ def test_unmatched_requests(spark, catalog):
     props = catalog.properties.limit(3).unionByName(
         catalog.properties.limit(1).withColumn("zip_code", F.lit("99999")))
     assert [r.zip_code for r in unmatched(props, catalog.features).collect()] == ["99999"]
+
+
+def test_splits_are_deterministic_and_disjoint(spark, catalog):
+    from hearth.plans.training import split_column
+    t = catalog.training_data
+    for how in ("row", "zip", "time"):
+        a = t.select("zip_code", "year", "month", split_column(how, t).alias("s"))
+        counts = {r.s: r["count"] for r in a.groupBy("s").count().collect()}
+        assert set(counts) <= {"train", "validation", "test"} and counts.get("train", 0) > 0
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, a.repartition(5).collect()))
+    z = t.select("zip_code", split_column("zip", t).alias("s")).distinct()
+    assert z.count() == z.select("zip_code").distinct().count()     # a zip never straddles
+    tm = t.select("year", "month", split_column("time", t).alias("s")).distinct().toPandas()
+    idx = tm.year * 12 + tm.month
+    assert idx[tm.s == "test"].min() > idx[tm.s != "test"].max()

@@ -188,3 +188,43 @@ def test_pivot_unpivot_identity(spark):
         back = melt_wide(pivot_wide(zm.where(F.col(v).isNotNull()), ZIP_IDS, v), ZIP_IDS, v)
         orig = zm.where(F.col(v).isNotNull()).select(*ZIP_IDS, "date", v)
         assert back.exceptAll(orig).count() == 0 and orig.exceptAll(back).count() == 0
+
+
+def test_mart_scores_recomputed_in_pandas(catalog):
+    """Independent restatement of the documented scoring (tiers, affordability,
+    value score, density) over the mart's own inputs."""
+    f = catalog.features.toPandas()
+    for _, r in f.iterrows():
+        pti = r.price_to_income_ratio
+        edu = r.education_index
+        if pd.isna(pti):
+            tier = "Unknown"
+        elif pti < 3 and pd.notna(edu) and edu >= 55:
+            tier = "Hidden gem"
+        elif pti < 5 and pd.notna(edu) and edu >= 45:
+            tier = "Great value"
+        elif pti < 8:
+            tier = "Fair market"
+        elif pti < 12:
+            tier = "Premium"
+        else:
+            tier = "Overpriced"
+        assert r.value_tier == tier, r.zip_code
+        aff = None if pd.isna(pti) else 100 - min(pti, 20.0) / 20 * 100
+        assert (pd.isna(r.affordability_score) and aff is None) or abs(r.affordability_score - aff) <= 0.05 + 1e-9
+        parts = [r.affordability_score, r.safety_index, r.education_index, r.air_quality_index,
+                 r.natural_amenity_score,
+                 {"Hidden gem": 100, "Great value": 80, "Fair market": 60, "Premium": 30,
+                  "Overpriced": 0}.get(tier)]
+        w = [0.25, 0.20, 0.20, 0.15, 0.12, 0.08]
+        vs = sum((50.0 if p is None or pd.isna(p) else p) * x for p, x in zip(parts, w))
+        assert abs(r.value_score - vs) <= 0.05 + 1e-9, r.zip_code
+        pop = r.total_population
+        cls = (None if pd.isna(pop) else "urban" if pop >= 8000 else "suburban" if pop >= 2500
+               else "small_town" if pop >= 800 else "rural")
+        assert r.pop_density_class == cls
+
+
+def test_capped_top_k_plans(spark):
+    plan = _plan(E.queries()["recommend"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in plan
