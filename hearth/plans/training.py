@@ -186,7 +186,7 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
     """Q15 (batch): model valuation of every property whose zip is in the
     mart, with the property adjustments, confidence and range."""
     from .explore import as_of_date
-    from .valuation import ML_ADJ, adjusted_value, recent_trend_stats
+    from .valuation import ML_ADJ, adjusted_value, forecast, recent_trend_stats
     from ..functions.numeric import falsy_to, round_half_even
 
     as_of_c = as_of_date(panel, as_of)
@@ -224,7 +224,7 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
                                        "owner_occupied_pct", "safety_index", "air_quality_index",
                                        "natural_amenity_score", "value_tier", "value_score",
                                        "pop_density_class", "total_population")])
-    return x.select(
+    out = x.select(
         "property_id", "zip_code", "city", "state", "metro_area",
         round_half_even("_est", -2).alias("estimated_value"),
         round_half_even(F.col("_est") * (1 - margin * 1.2), -2).alias("low_estimate"),
@@ -233,3 +233,10 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
         round_half_even(F.col("_est") / F.col("sqft"), 2).alias("price_per_sqft"),
         F.lit(MODEL_VERSION).alias("model_version"), nd.alias("neighborhood_data"),
         "forecast_years")
+    # the response's forecast list (NULL when no years were requested):
+    # at most forecast_years rows per property, gathered per property
+    years = forecast(out, panel, as_of)
+    per_property = years.groupBy("property_id").agg(F.sort_array(F.collect_list(F.struct(
+        "year", "projected_value", "low_estimate", "high_estimate", "annual_rate_pct",
+        "total_gain_pct"))).alias("forecast"))
+    return out.join(per_property, "property_id", "left")

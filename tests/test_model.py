@@ -49,3 +49,15 @@ def test_splits_are_deterministic_and_disjoint(spark, catalog):
     tm = t.select("year", "month", split_column("time", t).alias("s")).distinct().toPandas()
     idx = tm.year * 12 + tm.month
     assert idx[tm.s == "test"].min() > idx[tm.s != "test"].max()
+
+
+def test_predict_carries_forecast_list(spark, catalog):
+    model, metrics, _ = catalog.model
+    out = predict(catalog.properties, catalog.features, catalog.zip_market, model, metrics)
+    rows = out.select("forecast_years", "forecast").collect()
+    for r in rows:
+        if r.forecast_years >= 1:
+            assert [f.year for f in r.forecast] == sorted(f.year for f in r.forecast)
+            assert len(r.forecast) == r.forecast_years
+        else:
+            assert r.forecast is None
