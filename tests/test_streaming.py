@@ -28,3 +28,23 @@ def test_stream_snapshot_matches_batch(spark, catalog):
         "zip_code", "city", "state", "metro_area", "zhvi_sfr", "zhvi_sfrcondo", "zori_rent",
         "last_updated").collect()))
     assert got == expect
+
+
+def test_stream_panel_to_partitioned_table(spark, catalog):
+    from hearth.streaming.panel import write_panel
+    panel = catalog.zip_market
+    src = tempfile.mkdtemp(prefix="hearth-stream-src2-")
+    out = tempfile.mkdtemp(prefix="hearth-stream-out-")
+    ckpt = tempfile.mkdtemp(prefix="hearth-stream-ckpt-")
+    text = panel.select(*[F.col(c).cast("string").alias(c) for c in panel.columns])
+    text.write.mode("overwrite").option("header", True).csv(src)
+    q = write_panel(ingest_panel_files(spark, src), out, ckpt)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(out)
+    assert "month" in got.columns
+    cols = ["zip_code", "city", "state", "metro_area", "date", "zhvi_sfr", "zhvi_sfrcondo", "zori_rent"]
+    assert got.select(*cols).exceptAll(panel.select(*cols)).count() == 0
+    assert got.count() == panel.count()
