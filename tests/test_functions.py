@@ -96,3 +96,45 @@ def test_positional_rename(spark):
     assert out.columns == ["fips_code", "fips_used", "state", "county"]
     assert clean.first_col(out, ["nope", "state"]) == "state"
     assert clean.first_col(out, [], contains="cou") == "county"
+
+
+def test_rounding_matches_numpy_property(spark):
+    """Property: half-even rounding equals numpy's (what pandas .round does),
+    bit for bit, over many generated values."""
+    import numpy as np
+    from hypothesis import given, settings, strategies as st
+
+    values = []
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.floats(min_value=-1e7, max_value=1e7, allow_nan=False, allow_infinity=False))
+    def collect(x):
+        values.append(x)
+
+    collect()
+    values += [0.25, 0.15, 2.675, -0.05, 1234.5, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", nm.round_half_even("x", 1).alias("r1"),
+                    nm.round_half_even("x", -2).alias("r2")).collect()
+    for r in got:
+        assert r.r1 == np.round(r.x, 1), r.x
+        assert r.r2 == float(np.rint(r.x / 100.0) * 100.0), r.x
+
+
+def test_to_num_property(spark):
+    import re
+    from hypothesis import given, settings, strategies as st
+    texts = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.one_of(st.text(alphabet=" +-.eE0123456789,dNa", max_size=8),
+                     st.floats(allow_nan=False, allow_infinity=False).map(repr)))
+    def collect(t):
+        texts.append(t)
+
+    collect()
+    pat = re.compile(nm.NUMERIC_PATTERN)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", nm.to_num("t").alias("v")).collect():
+        expect = float(r.t.strip()) if pat.search(r.t) else None
+        assert r.v == expect, repr(r.t)
