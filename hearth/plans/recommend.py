@@ -240,7 +240,9 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
                    *[F.coalesce(F.nullif(F.col(m), F.lit(0.0)), F.lit(d)).alias(f"r_{m}")
                      for m, d in SIMILAR_DEFAULTS])
 
-    item = lambda d: F.struct(d.alias("d"), *[F.col(c) for c in SIMILAR_COLS])
+    # ranked items are (distance, zip) only; attributes are joined back for
+    # the final k rows per target, so bands and shuffles carry numbers
+    item = lambda d: F.struct(d.alias("d"), F.col("zip_code"))
     heads = cand.where(F.col("owner_occupied_pct").isNull()).orderBy("zip_code").limit(k + 1)
     null_arr = heads.select(F.sort_array(F.collect_list(item(F.lit(None).cast("double"))))).scalar()
     # (projected first: a subquery may not sit inside a higher-order function)
@@ -249,12 +251,12 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
                                          1, k)).drop("_head")
     tg = tg.withColumn("_need", F.lit(k) - F.size("_nulls"))
 
-    scored = cand.where(F.col("owner_occupied_pct").isNotNull())
+    scored = cand.where(F.col("owner_occupied_pct").isNotNull()).select("zip_code", *dims)
     n_total = scored.select(F.count(F.lit(1))).scalar()
     need = cut_lineage(tg.where(F.col("_need") > 0))
     found = []
     if need.isEmpty():          # the NULL-distance head already answers everyone
-        return _similar_output(tg, None, SIMILAR_COLS)
+        return _similar_output(tg, None, cand)
     # per dimension, one pass numbers the candidates and places every target
     pos = {}
     todo = need
@@ -327,11 +329,12 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     near = found[0]
     for f in found[1:]:
         near = near.unionByName(f)
-    return _similar_output(tg, near, SIMILAR_COLS)
+    return _similar_output(tg, near, cand)
 
 
-def _similar_output(tg: DataFrame, near: DataFrame | None, cols) -> DataFrame:
-    """NULL-distance picks first, then the nearest; one row per pick."""
+def _similar_output(tg: DataFrame, near: DataFrame | None, cand: DataFrame) -> DataFrame:
+    """NULL-distance picks first, then the nearest; one row per pick, with
+    the candidate's attributes joined back (one row per zip)."""
     if near is None:
         res = tg.select("target_zip", F.col("_nulls").alias("_res"))
     else:
@@ -342,6 +345,7 @@ def _similar_output(tg: DataFrame, near: DataFrame | None, cols) -> DataFrame:
     score = round_half_even(F.greatest(F.lit(0.0),
                                        100 - F.coalesce(F.nullif(F.col("_r.d"), F.lit(0.0)),
                                                         F.lit(1.0)) * 50), 1)
-    return out.select("target_zip", (F.col("_i") + 1).alias("rank"),
-                      *[F.col(f"_r.{c}").alias(c) for c in cols],
-                      score.alias("similarity_score"))
+    picks = out.select("target_zip", (F.col("_i") + 1).alias("rank"),
+                       F.col("_r.zip_code").alias("zip_code"), score.alias("similarity_score"))
+    return picks.join(cand.select(*SIMILAR_COLS), "zip_code") \
+                .select("target_zip", "rank", *SIMILAR_COLS, "similarity_score")
