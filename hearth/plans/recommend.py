@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,6 +193,8 @@ SIMILAR_DEFAULTS = (("zhvi_sfr", 400000.0), ("median_income", 65000.0),
                     ("education_index", 50.0), ("owner_occupied_pct", 60.0))
 SIMILAR_COLS = ("zip_code", "city", "state", "metro_area", "zhvi_sfr", "median_income",
                 "education_index", "owner_occupied_pct")
+FIRST_CELL = 0.05     # first grid cell size, in log units (about 5 % relative)
+TINY = 1e-9           # values at or below this share the lowest cell
 
 
 def _distance() -> F.Column:
@@ -205,7 +209,7 @@ def _distance() -> F.Column:
 
 
 def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
-                 targets: DataFrame | None = None, first_width: int | None = None) -> DataFrame:
+                 targets: DataFrame | None = None, first_cell: float | None = None) -> DataFrame:
     """Q13 for many target zips at once: the k most similar other zips.
 
     Order is distance ascending with NULL distances first (the warehouse's
@@ -214,19 +218,20 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     so the k+1 smallest such zips are one bounded array handed to every
     target by a scalar subquery.
 
-    Targets still short of k take an exact nearest-neighbour search that
-    never pairs everything. Candidates are numbered four times, once per
-    dimension order (home value, income, education, owner share). Each
-    target reads, in every order, the candidates within ``w`` positions of
-    its own reference value. A candidate missed by all four bands lies
-    beyond the band edge in every dimension, so its distance is at least
-    sqrt(sum of the squared relative edge gaps); a target is settled once
-    its k-th distance beats that bound (or a band covers everything),
-    otherwise it retries with 4x wider bands. Band sizes are positions,
-    not values, so a value shared by a third of the zips cannot inflate
-    them.
+    Targets still short of k take an exact nearest-neighbour search over a
+    grid instead of all pairs. Candidate values are taken in log space
+    (values at or below ``TINY`` share the lowest cell) and bucketed into
+    cells of side h; a target reads the 3^4 cells around its own reference
+    point (an equi-join on the four cell ids). A candidate outside that box
+    is more than h away in some log coordinate, so its relative difference
+    there, and hence its distance, exceeds 1 - e^-h. A target is settled
+    once its k-th distance beats that bound or the box covers every
+    candidate; otherwise the next round uses 4x larger cells. Exact copies
+    of one value vector are first cut to their k+1 smallest zips, which
+    cannot change any answer. Pairs per target stay roughly constant on
+    spread data; a cell can still be hot when many distinct zips have
+    nearly the same values (see README).
     """
-    from ..operators.positions import band_join, merged_positions
     from .explore import state_is
     cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("median_income").isNotNull()
                           & F.col("education_index").isNotNull())
@@ -257,75 +262,52 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     found = []
     if need.isEmpty():          # the NULL-distance head already answers everyone
         return _similar_output(tg, None, cand)
-    # per dimension, one pass numbers the candidates and places every target
-    pos = {}
-    todo = need
-    for i, m in enumerate(dims):
-        p, st = merged_positions(need.select("target_zip", f"r_{m}"), scored, f"r_{m}", m,
-                                 "target_zip", "zip_code")
-        pos[m] = p.withColumn("_dim", F.lit(i))
-        todo = todo.join(st.select("target_zip", F.col("_start").alias(f"_s{i}")), "target_zip")
-    todo = cut_lineage(todo)
-    all_pos = None
-    for i, m in enumerate(dims):
-        a = pos[m].select(F.lit(i).alias("_dim"), "_pos", F.col(m).alias("_v"))
-        all_pos = a if all_pos is None else all_pos.unionByName(a)
-
-    width = first_width or 16 * k
-    inf = F.lit(float("inf"))
+    # Grid search in log space. Exact copies beyond the k+1 smallest zips of
+    # one value vector can never be chosen (at most one of them is the
+    # target itself), so each vector is cut to k+1 rows first.
+    copies = Window.partitionBy(*dims).orderBy("zip_code")
+    pts = scored.withColumn("_g", F.row_number().over(copies)).where(F.col("_g") <= k + 1) \
+                .drop("_g")
+    logs = {m: F.log(F.greatest(F.col(m), F.lit(TINY))) for m in dims}
+    pts = cut_lineage(pts.select("zip_code", *dims, *[logs[m].alias(f"_u{i}")
+                                                      for i, m in enumerate(dims)]))
+    span = pts.select(F.struct(*[F.min(f"_u{i}").alias(f"lo{i}") for i in range(len(dims))],
+                               *[F.max(f"_u{i}").alias(f"hi{i}") for i in range(len(dims))])).scalar()
+    todo = need.select("target_zip", "_need", *[f"r_{m}" for m in dims],
+                       *[F.log(F.greatest(F.col(f"r_{m}"), F.lit(TINY))).alias(f"_t{i}")
+                         for i, m in enumerate(dims)])
+    h = first_cell or FIRST_CELL
     while True:
-        bands = None
-        for i, m in enumerate(dims):
-            b = band_join(todo.withColumn("_start", F.col(f"_s{i}")), pos[m], "_start", "_pos",
-                          -width, width - 1, block=2 * width)
-            bands = b if bands is None else bands.unionByName(b)
-        inner = (F.col("_pos") >= F.col("_start") - width) & (F.col("_pos") < F.col("_start") + width) \
-            & (F.col("zip_code") != F.col("target_zip"))
-        # values just outside each band (positions start-w-1 and start+w),
-        # fetched by an equi-join on (order, position); missing = exhausted side
-        asks = None
-        for i, _ in enumerate(dims):
-            a = todo.select("target_zip", F.lit(i).alias("_dim"), F.explode(F.array(
-                F.struct(F.lit(0).alias("side"), (F.col(f"_s{i}") - width - 1).alias("p")),
-                F.struct(F.lit(1).alias("side"), (F.col(f"_s{i}") + width).alias("p")))).alias("_e"))
-            asks = a if asks is None else asks.unionByName(a)
-        asks = asks.select("target_zip", "_dim", F.col("_e.side").alias("_side"),
-                           F.col("_e.p").alias("_pos"))
-        edge_vals = asks.join(all_pos, ["_dim", "_pos"]).groupBy("target_zip").agg(*[
-            F.max(F.when((F.col("_dim") == i) & (F.col("_side") == side), F.col("_v")))
-             .alias(f"_{'l' if side == 0 else 'r'}{i}")
-            for i in range(len(dims)) for side in (0, 1)])
-        # k nearest per target: dedupe pairs seen in several orders, keep a
-        # literal top-k (partial WindowGroupLimit before the shuffle), and
-        # only then collect, so no target gathers its whole band
-        near_k = (bands.where(inner).select("target_zip", "zip_code", item(_distance()).alias("_it"))
-                  .dropDuplicates(["target_zip", "zip_code"])
+        cells = pts.select("*", *[F.floor(F.col(f"_u{i}") / h).alias(f"_c{i}")
+                                  for i in range(len(dims))])
+        probe = todo
+        for i in range(len(dims)):
+            c = F.floor(F.col(f"_t{i}") / h)
+            probe = probe.withColumn(f"_c{i}", F.explode(F.sequence(c - 1, c + 1)))
+        pairs = (probe.join(cells, [f"_c{i}" for i in range(len(dims))])
+                      .where(F.col("zip_code") != F.col("target_zip")))
+        near_k = (pairs.select("target_zip", "zip_code", item(_distance()).alias("_it"))
                   .withColumn("_rk", F.row_number().over(
                       Window.partitionBy("target_zip").orderBy(F.col("_it.d"), F.col("zip_code"))))
                   .where(F.col("_rk") <= k)
                   .groupBy("target_zip").agg(F.sort_array(F.collect_list("_it")).alias("_all")))
-        st = todo.join(near_k, "target_zip", "left").join(edge_vals, "target_zip", "left")
+        st = todo.join(near_k, "target_zip", "left")
         best = F.slice(F.coalesce(F.col("_all"), F.array()), 1, F.col("_need"))
         kth = F.element_at(best, F.col("_need"))["d"]
-        lb2 = None
-        covered = F.lit(False)
-        for i, m in enumerate(dims):
-            ref = F.col(f"r_{m}")
-            zero = F.lit(0.0)
-            gap = F.least(
-                F.when(F.col(f"_l{i}").isNull(), inf)
-                 .otherwise(F.greatest(zero, (ref - F.col(f"_l{i}")) / ref)),
-                F.when(F.col(f"_r{i}").isNull(), inf)
-                 .otherwise(F.greatest(zero, (F.col(f"_r{i}") - ref) / ref)))
-            lb2 = gap * gap if lb2 is None else lb2 + gap * gap
-            covered = covered | ((F.col(f"_s{i}") - width - 1 < 0) & (F.col(f"_s{i}") + width >= n_total))
-        done = ((F.size(best) >= F.col("_need")) & (kth < F.sqrt(lb2) * (1 - 1e-9))) | covered
+        bound = 1.0 - math.exp(-h)           # any point outside the 3^4 cell box is this far
+        covered = None
+        for i in range(len(dims)):
+            c = F.floor(F.col(f"_t{i}") / h)
+            inside = (F.floor(span.getField(f"lo{i}") / h) >= c - 1) & \
+                     (F.floor(span.getField(f"hi{i}") / h) <= c + 1)
+            covered = inside if covered is None else covered & inside
+        done = ((F.size(best) >= F.col("_need")) & (kth < bound * (1 - 1e-9))) | covered
         st = cut_lineage(st.select("target_zip", best.alias("_best"), done.alias("_done")))
         found.append(st.where("_done").select("target_zip", "_best"))
         todo = todo.join(st.where(~F.col("_done")).select("target_zip"), "target_zip", "left_semi")
         if todo.isEmpty():
             break
-        width *= 4
+        h *= 4
     near = found[0]
     for f in found[1:]:
         near = near.unionByName(f)

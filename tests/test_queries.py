@@ -130,7 +130,7 @@ def test_similar_matches_brute_force(spark, catalog, fill_owner):
     if fill_owner:   # everyone has a distance: the banded search does all the work
         f = f.withColumn("owner_occupied_pct", F.coalesce("owner_occupied_pct", F.lit(55.0)))
     got = sorted((r.target_zip, r.rank, r.zip_code)
-                 for r in find_similar(f, k=4, first_width=2).collect())
+                 for r in find_similar(f, k=4, first_cell=0.01).collect())
     assert got == _brute_similar(f.toPandas(), 4)
 
 
