@@ -550,7 +550,7 @@ def _valuation_ctes():
 select p.property_id, p.zip_code, f.city, f.state, f.metro_area, p.forecast_years,
        {rhe(est, -2)} as estimated_value, {rhe(f'({est}) * {dbl(0.92)}', -2)} as low_estimate,
        {rhe(f'({est}) * {dbl(1.08)}', -2)} as high_estimate, {dbl(75.0)} as confidence,
-       {rhe(f'({est}) / p.sqft', 2)} as price_per_sqft, 'fallback' as model_version
+       {rhe(f'({est}) / nullif(p.sqft, 0)', 2)} as price_per_sqft, 'fallback' as model_version
 from fx_properties p join features f on p.zip_code = f.zip_code"""
     return features_ctes() + with_fx("fx_zip_market", "fx_properties") + [("valuations", vals)]
 
@@ -607,7 +607,7 @@ select property_id, cast(year({as_of}) + yr as integer) as year,
        {rhe(proj, -2)} as projected_value, {rhe(f'{proj} * (1 - {margin})', -2)} as low_estimate,
        {rhe(f'{proj} * (1 + {margin})', -2)} as high_estimate,
        {rhe('annual_rate * 100', 1)} as annual_rate_pct,
-       {rhe(f'({proj} - base_value) / base_value * 100', 1)} as total_gain_pct
+       {rhe(f'({proj} - base_value) / nullif(base_value, 0) * 100', 1)} as total_gain_pct
 from (select *, unnest(range(1, forecast_years + 1)) as yr from fc_base) t""")
     lag = "lag(z.zhvi_sfr, {n}) over (partition by z.zip_code order by z.date)"
     q["training_data"] = render(features_ctes() + with_fx("fx_zip_market"), f"""

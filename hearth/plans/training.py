@@ -230,7 +230,7 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
         round_half_even(F.col("_est") * (1 - margin * 1.2), -2).alias("low_estimate"),
         round_half_even(F.col("_est") * (1 + margin * 1.2), -2).alias("high_estimate"),
         round_half_even("_conf", 1).alias("confidence"),
-        round_half_even(F.col("_est") / F.col("sqft"), 2).alias("price_per_sqft"),
+        round_half_even(F.try_divide(F.col("_est"), F.col("sqft")), 2).alias("price_per_sqft"),
         F.lit(MODEL_VERSION).alias("model_version"), nd.alias("neighborhood_data"),
         "forecast_years")
     # the response's forecast list (NULL when no years were requested):

@@ -74,7 +74,7 @@ def valuation_fallback(properties: DataFrame, features: DataFrame, panel: DataFr
         round_half_even(est * lo, -2).alias("low_estimate"),
         round_half_even(est * hi, -2).alias("high_estimate"),
         F.lit(FALLBACK_CONFIDENCE).alias("confidence"),
-        round_half_even(est / F.col("sqft"), 2).alias("price_per_sqft"),
+        round_half_even(F.try_divide(est, F.col("sqft")), 2).alias("price_per_sqft"),
         F.lit("fallback").alias("model_version"))
 
 
@@ -127,7 +127,7 @@ def forecast(valuations: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
         round_half_even(projected * (1 - margin), -2).alias("low_estimate"),
         round_half_even(projected * (1 + margin), -2).alias("high_estimate"),
         round_half_even(F.col("annual_rate") * 100, 1).alias("annual_rate_pct"),
-        round_half_even((projected - F.col("base_value")) / F.col("base_value") * 100, 1)
+        round_half_even(F.try_divide(projected - F.col("base_value"), F.col("base_value")) * 100, 1)
         .alias("total_gain_pct"))
 
 
