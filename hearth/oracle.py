@@ -662,8 +662,8 @@ select * from (select *, row_number() over (partition by user_id order by zhvi_s
     hv, mx = "coalesce(zhvi_sfr, 0.0)", "max_budget"
     mn = f"coalesce(nullif(min_budget, 0), {mx} * {dbl(0.5)})"
     budget = (f"(case when {hv} <= {mx} and {hv} >= {mn} then greatest({dbl(0.0)}, {dbl(1.0)} - "
-              f"abs({hv} - {mx} * {dbl(0.85)}) / ({mx} * {dbl(0.5)})) * 40 "
-              f"when {hv} < {mn} then {dbl(15.0)} else {dbl(0.0)} - ({hv} - {mx}) / {mx} * 30 end)")
+              f"abs({hv} - {mx} * {dbl(0.85)}) / nullif({mx} * {dbl(0.5)}, 0)) * 40 "
+              f"when {hv} < {mn} then {dbl(15.0)} else {dbl(0.0)} - ({hv} - {mx}) / nullif({mx}, 0) * 30 end)")
     parts = f"select *, {budget} as _b, {psum} as _ps from rc_capped"
     s1 = "(case when len(priorities) > 0 then _b + _ps / len(priorities) * 40 else _b end)"
     s2 = f"({s1} + coalesce(nullif(education_index, 0), {dbl(0.0)}) / 100 * 10)"

@@ -90,9 +90,9 @@ def match_score() -> F.Column:
     mx = F.col("max_budget")
     mn = F.coalesce(F.nullif(F.col("min_budget"), F.lit(0.0)), mx * 0.5)
     budget = (F.when((hv <= mx) & (hv >= mn),
-                     F.greatest(F.lit(0.0), 1.0 - F.abs(hv - mx * 0.85) / (mx * 0.5)) * 40)
+                     F.greatest(F.lit(0.0), 1.0 - F.try_divide(F.abs(hv - mx * 0.85), mx * 0.5)) * 40)
                .when(hv < mn, F.lit(15.0))
-               .otherwise(0.0 - (hv - mx) / mx * 30))
+               .otherwise(0.0 - F.try_divide(hv - mx, mx) * 30))
     n = F.size("priorities")
     s = F.when(n > 0, budget + priority_sum(F.col("priorities")) / n * 40).otherwise(budget)
     s = s + F.coalesce(F.nullif(F.col("education_index"), F.lit(0.0)), F.lit(0.0)) / 100 * 10
