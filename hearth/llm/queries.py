@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, quality
+from . import exact_dedup, langid, mixing, ngram_join, pieces, quality, token_files
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2,
     "op4_quality_rules": quality.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op7_pieces": pieces.op7,
     "op8_language_id": langid.op8,
+    "op9_token_files": token_files.op9,
     "op10_mix_sources": mixing.op10,
 }
 
 ORACLES = {
+    "op2_ngram_join": ngram_join.ORACLE_OP2,
     "op5_exact_dedup": exact_dedup.ORACLE_OP5,
     "op10_mix_sources": mixing.ORACLE_OP10,
 }
