@@ -122,7 +122,7 @@ class PieceCoder:
         try:
             got = [cache[w] for w in words]
         except KeyError:
-            for w in set(words) - cache.keys():
+            for w in {w for w in words if w not in cache}:
                 ids, score = self.viterbi(SPACE + w)
                 cache[w] = (np.array(ids, "<i4").tobytes(), score)
             got = [cache[w] for w in words]

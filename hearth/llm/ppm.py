@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Lookup, Words, as_bytes, documents, fold, mix, pack, partitions, slices, store, unpack
 
-ORDER = 4
+ORDER = 5
 START, END = 0xFF, 0xFE            # bytes that UTF-8 never uses
 SYMBOLS = 256
 GRAM, WORD, LOW = 0, 1, 2          # kinds of request
@@ -253,7 +253,7 @@ def ppm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     p = partitions(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(3 * p)).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p)).cast("int"))
     requests = store(rows.select("chunk", "text", "train").groupBy("chunk").applyInArrow(_request_pass(p), REQUEST),
                      "ppm-requests")
     low = np.zeros(1 << 16, np.int64)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, ngram_join, pieces, quality, token_files
+from . import exact_dedup, langid, mixing, ngram_join, pieces, ppm, quality, quotes, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_ngram_join": ngram_join.op2,
+    "op3_quote_links": quotes.op3,
     "op4_quality_rules": quality.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_ppm": ppm.op6,
     "op7_pieces": pieces.op7,
     "op8_language_id": langid.op8,
     "op9_token_files": token_files.op9,
