@@ -8,10 +8,17 @@ hashes, sorted). Two link when 100 * intersection >= percent * union.
 2. Sizes fall into bands. A linked pair of a band differs in at most H
    elements, so of H + 1 + E parts of the hash space at least 1 + E hold
    the same elements on both sides. Each non-empty part of a set is a key
-   (a set with over E empty parts, which is rare, also gives keys of those), so
+   (a set of all elements with over E empty parts, which is rare, also gives
+   keys of those), so
    linked sets of two or more elements always share a key, while unlinked ones
    must agree in all some five n-grams of a part: shared passages and frequent
    lines don't make candidates.
+   Parts are cut from the elements that are not common: any fixed set of
+   elements may be left out on both sides without adding differences. Common
+   is what a Bloom filter of fixed size, filled with the elements most often
+   met twice in a task, says; a set with too many empty parts (mostly common
+   elements) gives the keys of all its elements as well, and so do all others
+   like it, so nothing is lost whatever the filter holds.
    Keys go to their buckets in packed arrays; a bucket hangs all sets with
    one key on the smallest. Components of these links are clusters.
 3. A cluster is a tile; a large one is cut by size band and hash into tiles,
@@ -43,7 +50,11 @@ from .components import components
 
 TILE = 512
 BITS = 1024
-RATIO = 1.5
+RATIO = 1.25
+#: Common elements in the filter at most, and the filter's size: fixed, whatever the input.
+COMMON = 1 << 20
+FILTER_BITS = 25
+COMMON_COUNT = 12
 FLUSH_KEYS = 1 << 20
 
 
@@ -95,40 +106,112 @@ def band_edges(percent: int, limit: int) -> list[int]:
     return edges
 
 
-def part_keys(sets: np.ndarray, bounds: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def is_common(filter_bits: np.ndarray | None, sets: np.ndarray) -> np.ndarray:
+    if filter_bits is None:
+        return np.zeros(len(sets), bool)
+    out = np.ones(len(sets), bool)
+    for shift in (0, 24):
+        at = (sets >> U64(shift)) & U64((1 << FILTER_BITS) - 1)
+        out &= (filter_bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def _band_keys(h, doc, n_own, parts, salt):
+    """Non-empty parts of a band's sets: keys, their set, and which parts."""
+    part = ((h >> U64(32)) * U64(parts)) >> U64(32)
+    cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else \
+        np.zeros(0, np.int64)
+    sums = np.add.reduceat(mix(h), cut) if len(h) else np.zeros(0, U64)
+    return mix(sums + part[cut] * U64(0xD1B54A32D192ED03) + salt), doc[cut], part[cut]
+
+
+def part_keys(sets: np.ndarray, bounds: np.ndarray, sig: np.ndarray, percent: int,
+              common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets in all their bands, and the signature each key came from."""
     size = np.diff(bounds)
     edges = band_edges(percent, int(size.max(initial=0)) * 2 + 2)
+    if common is None:
+        common = np.zeros(len(sets), bool)
     keys, sigs = [], []
     band = np.searchsorted(edges, size, side="right") - 1
     for j in range(len(edges) - 1):
         upper = edges[j + 1] - 1
         differ = 2 * upper * (100 - percent) // (100 + percent)
-        spare = 3 + -(-differ // 20)
+        spare = 1 + -(-differ // 12)
         parts = differ + 1 + spare
         # sets of the band, and smaller ones that can link with a set of it
         own = np.flatnonzero((band == j) | ((band == j - 1) & (100 * size >= percent * edges[j])))
         if not len(own):
             continue
-        n = size[own]
-        at = np.repeat(bounds[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        h, doc = sets[at], np.repeat(np.arange(len(own)), n)
-        part = ((h >> U64(32)) * U64(parts)) >> U64(32)
-        cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
-        sums = np.add.reduceat(mix(h), cut)
         salt = U64((j + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        keys.append(mix(sums + part[cut] * U64(0xD1B54A32D192ED03) + salt))
-        sigs.append(sig[own][doc[cut]])
-        filled = np.bincount(doc[cut], minlength=len(own))
-        for i in np.flatnonzero(parts - filled > spare):
-            empty = np.setdiff1d(np.arange(parts, dtype=U64), part[cut][doc[cut] == i])
-            keys.append(mix(empty * U64(0xD1B54A32D192ED03) + salt))
-            sigs.append(np.full(len(empty), sig[own][i]))
+        for whole in (False, True):
+            n = size[own]
+            at = np.repeat(bounds[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            doc = np.repeat(np.arange(len(own)), n)
+            if not whole:
+                rare = ~common[at]
+                at, doc = at[rare], doc[rare]
+            key, of, part = _band_keys(sets[at], doc, len(own), parts, salt + U64(whole))
+            keys.append(key)
+            sigs.append(sig[own][of])
+            short = np.flatnonzero(parts - np.bincount(of, minlength=len(own)) > spare)
+            if not whole:
+                own = own[short]                     # too many empty parts: all elements count
+                if not len(own):
+                    break
+                continue
+            for i in short:
+                empty = np.setdiff1d(np.arange(parts, dtype=U64), part[of == i])
+                keys.append(mix(empty * U64(0xD1B54A32D192ED03) + salt + U64(2)))
+                sigs.append(np.full(len(empty), sig[own][i]))
     if not keys:
         return np.zeros(0, U64), np.zeros(0, U64)
     return np.concatenate(keys), np.concatenate(sigs)
 
 
+def _common_pass(n: int):
+    """Elements that several distinct sets of a task hold, with their number."""
+    def run(batches):
+        seen, held = set(), []
+        for batch in batches:
+            for lo, hi in slices(batch.column(0)):
+                sets, bounds = shingle_sets(as_bytes(batch.column(0).slice(lo, hi - lo)), n)
+                for i, s in enumerate(signatures(sets, bounds).tolist()):
+                    if s and s not in seen:
+                        seen.add(s)
+                        held.append(sets[bounds[i]:bounds[i + 1]])
+                if sum(map(len, held)) > 16 * FLUSH_KEYS:
+                    yield from several(held)
+                    held = []
+        if held:
+            yield from several(held)
+
+    def several(held):
+        h = np.concatenate(held)
+        h.sort()
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff([*cut, len(h)])
+        often = count > 2
+        yield pa.RecordBatch.from_arrays([pa.array(h[cut][often].view(np.int64)), pa.array(count[often])], names=["h", "c"])
+
+    return run
+
+
+def common_filter(docs: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter over the elements most often met more than twice in one task; at most COMMON of them.
+
+    Which elements it holds decides only how well keys discriminate, never
+    which links are found, so the limit loses nothing.
+    """
+    counts = docs.select("text").mapInArrow(_common_pass(n), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")) \
+        .where(F.col("c") >= COMMON_COUNT).orderBy(F.desc("c"), "h").limit(COMMON).select("h").toArrow()
+    h = counts.column(0).to_numpy().view(U64)
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for shift in (0, 24):
+        bits[((h >> U64(shift)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def _signature_pass(n: int):
     def run(batches):
         for batch in batches:
@@ -141,7 +224,7 @@ def _signature_pass(n: int):
     return run
 
 
-def _key_pass(n: int, percent: int, buckets: int):
+def _key_pass(n: int, percent: int, buckets: int, common):
     def flush(keys, sigs):
         key, sig = np.concatenate(keys), np.concatenate(sigs)
         bucket = key % U64(buckets)
@@ -168,7 +251,8 @@ def _key_pass(n: int, percent: int, buckets: int):
                         fresh[i] = True
                 size = np.where(fresh, np.diff(bounds), 0)
                 at = np.flatnonzero(np.repeat(fresh, np.diff(bounds)))
-                k, s = part_keys(sets[at], np.concatenate([[0], np.cumsum(size)]), sig, percent)
+                k, s = part_keys(sets[at], np.concatenate([[0], np.cumsum(size)]), sig, percent,
+                                 is_common(common.value, sets[at]))
                 keys.append(k)
                 sigs.append(s)
                 held += len(k)
@@ -321,7 +405,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = store(docs.mapInArrow(_signature_pass(n), "doc_id long, sig long, n long"), "ngram-rows")
     classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
 
-    keys = docs.select("text").mapInArrow(_key_pass(n, percent, 4 * p), "bucket long, entries binary")
+    common = spark.sparkContext.broadcast(common_filter(docs, n))      # 4 MB, a fixed size
+    keys = docs.select("text").mapInArrow(_key_pass(n, percent, 4 * p, common), "bucket long, entries binary")
     edges = keys.repartition(p, "bucket").sortWithinPartitions("bucket") \
                 .mapInArrow(_link_pass, "a long, b long")
     clusters = components(edges, "ngram-clusters")
