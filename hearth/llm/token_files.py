@@ -21,7 +21,10 @@ one. Only the named columns are read.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, slices, store
 
 END_ID = 2
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 _worker: dict = {}
@@ -43,42 +46,83 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Letters and a tail of ASCII punctuation other than the apostrophe: two pre-tokens.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class CachedEncoder:
-    """Ids of texts as int32 arrays, each distinct space-separated piece encoded once."""
+    """Ids of texts as int32 arrays, each distinct space-separated piece encoded once.
+
+    A new piece of letters (with a punctuation tail, over several lines) goes
+    pre-token by pre-token to the library's model, others to its encoder. The
+    table has two generations: when the young one is full the old one goes,
+    and pieces still in use move back on their next miss.
+    """
 
     def __init__(self, vocabulary: str, entries: int = CACHE_ENTRIES):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = [chr(c) for c in range(0x41, 0x100) if WORD.fullmatch(chr(c))]
+        self.spelled = str.maketrans({c: split(c)[0][0] for c in letters})
+        self.space = split(" a")[0][0][0]
         self.entries = entries
-        self.first: dict[str, bytes | None] = {}     # a text's first piece
-        self.later: dict[str, bytes | None] = {}     # a piece after a space
+        self.tails: dict[str, bytes] = {"": b"", "\n": self._plain(["\n"])[0]}
+        self.young: list[dict] = [{}, {}]        # of a text's first piece, and of pieces after a space
+        self.old: list[dict] = [{}, {}]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32).tobytes() for e in got]
 
-    def _learn(self, cache: dict, pieces: set, prefix: str) -> None:
-        good = []
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 50_000:
+                self.tails = {k: self.tails[k] for k in ("", "\n")}
+            self.tails[tail] = self._plain([tail])[0]
+        return self.tails[tail]
+
+    def _letters(self, word: str, after_space: int) -> bytes:
+        known = self.young[after_space].get(word) or self.old[after_space].get(word)
+        if known is None:
+            spelled = word.translate(self.spelled)
+            tokens = self.model.tokenize(self.space + spelled if after_space else spelled)
+            known = self.young[after_space][word] = array("i", [t.id for t in tokens]).tobytes()
+        return known
+
+    def _piece(self, piece: str, after_space: int) -> bytes | None:
+        out = b""
+        for line in piece.split("\n"):
+            word = WORD.fullmatch(line)
+            if word is None:
+                return self._plain([" " + piece if after_space else piece])[0]
+            out += (self.tails["\n"] if out else b"") + self._letters(word[1], after_space) + self._tail(word[2])
+            after_space = 0
+        return out
+
+    def _learn(self, pieces: set, after_space: int) -> None:
+        young, old = self.young[after_space], self.old[after_space]
         for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace():
-                cache[p] = None                      # a run of spaces touches it: no safe cut
+            if p in old:
+                young[p] = old[p]
+            elif not p or p[0].isspace() or p[-1].isspace():
+                young[p] = None                      # a run of spaces touches it: no safe cut
             else:
-                good.append(p)
-        cache.update(zip(good, self._plain([prefix + p for p in good])))
+                young[p] = self._piece(p, after_space)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.entries:
-            self.first, self.later = {}, {}
+        if sum(map(len, self.young)) > self.entries:
+            self.old, self.young = self.young, [{}, {}]
+        first, later = self.young
         parts = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in parts} - self.first.keys(), "")
-        later = self.later
-        self._learn(later, {x for p in parts for x in p[1:] if x not in later}, " ")
+        self._learn({p[0] for p in parts if p[0] not in first}, 0)
+        self._learn({x for p in parts for x in p[1:] if x not in later}, 1)
         out = []
         for text, p in zip(texts, parts):
-            ids = [self.first[p[0]], *map(later.__getitem__, p[1:])]
+            ids = [first[p[0]], *map(later.__getitem__, p[1:])]
             out.append(b"".join(ids) if None not in ids else self._plain([text])[0] if text else b"")
         return out
 
