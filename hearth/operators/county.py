@@ -22,38 +22,29 @@ def keep_first(df: DataFrame, key: str, order_cols) -> DataFrame:
 
 
 def join_county_metrics(crosswalk: DataFrame, county: DataFrame, metric_cols,
-                        county_state_col: str = "state_abbr",
-                        min_exact_matches: int | None = 1000) -> DataFrame:
+                        county_state_col: str = "state_abbr", match: str = "exact") -> DataFrame:
     """Crosswalk (zip, state, county_clean) x county metrics.
 
-    Exact join on (county_clean, state). When fewer than
-    ``min_exact_matches`` rows match, the join on alphanumeric-only county
-    keys is used instead if it matches more rows.
+    ``match="exact"`` joins on (county_clean, state). ``match="fuzzy"`` also
+    accepts equal alphanumeric-only county keys where a zip has no exact
+    match; a zip's result depends on its own rows only, never on how many
+    other rows match.
 
     Exact equality implies equal alphanumeric keys, so ONE equi-join on
     (alphanumeric key, state) yields both match sets: exact pairs are the
-    ones whose names are also equal. The choice is a scalar subquery over
-    the two counts, so there is no driver round trip, no cross join, and
-    the county table is planned once. The county side is one row per
-    county; AQE broadcasts it when its runtime size allows.
+    ones whose names are also equal, and sort first. The county side is one
+    row per county; AQE broadcasts it when its runtime size allows.
     """
+    if match not in ("exact", "fuzzy"):
+        raise ValueError(f"match is exact or fuzzy, not {match!r}")
     metric_cols = list(metric_cols)
     xw = crosswalk.select("zip_code", "state", "county_clean")
     cm = county.select(F.col("county_clean").alias("_c"), F.col(county_state_col).alias("_s"),
                        *metric_cols)
-    if min_exact_matches is None:
-        chosen = (xw.join(cm, (xw.county_clean == cm._c) & (xw.state == cm._s), "inner")
-                    .select("zip_code", "county_clean", "state", *metric_cols))
-    else:
-        xf = xw.withColumn("_fk", fuzzy_key("county_clean"))
-        cf = cm.withColumn("_fk2", fuzzy_key("_c"))
-        pairs = (xf.join(cf, (xf._fk == cf._fk2) & (xf.state == cf._s), "inner")
-                   .select("zip_code", "county_clean", "state", *metric_cols,
-                           (F.col("county_clean") == F.col("_c")).alias("_exact")))
-        tally = pairs.select(F.struct(F.count_if("_exact").alias("e"),
-                                      F.count(F.lit(1)).alias("f"))).scalar()
-        n_exact, n_fuzzy = tally.getField("e"), tally.getField("f")
-        use_fuzzy = (n_exact < F.lit(min_exact_matches)) & (n_fuzzy > n_exact)
-        chosen = pairs.where(F.col("_exact") | use_fuzzy).drop("_exact")
-    order = ["county_clean", "state", *metric_cols]
-    return keep_first(chosen, "zip_code", order).select("zip_code", *metric_cols)
+    on = (xw.county_clean == cm._c) if match == "exact" else \
+        (fuzzy_key(xw.county_clean) == fuzzy_key(cm._c))
+    pairs = (xw.join(cm, on & (xw.state == cm._s), "inner")
+               .select("zip_code", "county_clean", "state", *metric_cols,
+                       (F.col("county_clean") != F.col("_c")).alias("_inexact")))
+    order = ["_inexact", "county_clean", "state", *metric_cols]
+    return keep_first(pairs, "zip_code", order).select("zip_code", *metric_cols)

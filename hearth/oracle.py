@@ -114,25 +114,15 @@ select distinct zip_code, state, city, metro_area, county_raw, county_clean from
 
 
 def _county_join(name: str, county_cte: str, metric_cols, state_col: str,
-                 fuzzy_min: int | None):
+                 fuzzy: bool):
     m = ", ".join(metric_cols)
     mq = ", ".join(f"c.{c}" for c in metric_cols)
-    exact = (f"select x.zip_code, x.county_clean, x.state, {mq} from xw_keys x join {county_cte} c "
-             f"on x.county_clean = c.county_clean and x.state = c.{state_col}")
-    ctes = [(f"{name}_exact", exact)]
-    if fuzzy_min is None:
-        chosen = f"select * from {name}_exact"
-    else:
-        fuzzy = (f"select x.zip_code, x.county_clean, x.state, {mq} from xw_keys x join {county_cte} c "
-                 f"on regexp_replace(x.county_clean, '[^A-Z0-9]', '', 'g') = "
-                 f"regexp_replace(c.county_clean, '[^A-Z0-9]', '', 'g') and x.state = c.{state_col}")
-        ctes.append((f"{name}_fuzzy", fuzzy))
-        use = (f"((select count(*) from {name}_exact) < {fuzzy_min} and "
-               f"(select count(*) from {name}_fuzzy) > (select count(*) from {name}_exact))")
-        chosen = (f"select * from {name}_exact where not {use} "
-                  f"union all select * from {name}_fuzzy where {use}")
-    ctes.append((f"{name}_chosen", chosen))
-    order = ", ".join(f"{c} asc nulls first" for c in ["county_clean", "state", *metric_cols])
+    key = "regexp_replace({}, '[^A-Z0-9]', '', 'g')".format
+    on = f"{key('x.county_clean')} = {key('c.county_clean')}" if fuzzy else "x.county_clean = c.county_clean"
+    ctes = [(f"{name}_chosen",
+             f"select x.zip_code, x.county_clean, x.state, {mq}, x.county_clean <> c.county_clean as inexact "
+             f"from xw_keys x join {county_cte} c on {on} and x.state = c.{state_col}")]
+    order = ", ".join(f"{c} asc nulls first" for c in ["inexact", "county_clean", "state", *metric_cols])
     final = (f"select zip_code, {m} from (select *, row_number() over (partition by zip_code "
              f"order by {order}) as rn from {name}_chosen) t where rn = 1")
     ctes.append((name, final))
@@ -168,7 +158,7 @@ where county_clean is not null and state_abbr is not null and violent_crime_rate
     return crosswalk_ctes() + with_fx("fx_crime_raw") + [
         (f"{name}_rates", rates), (f"{name}_county", county_df)] + _county_join(
         name, f"{name}_county", ["violent_crime_rate", "property_crime_rate", "safety_index"],
-        "state_abbr", 1000)
+        "state_abbr", True)
 
 
 def air_quality_ctes():
@@ -186,7 +176,7 @@ where county_clean is not null and state_abbr is not null and median_aqi is not
   and good_day_pct is not null and air_quality_index is not null"""
     return crosswalk_ctes() + with_fx("fx_aqi_raw") + [("aqi_base", base), ("aqi_county", county_df)] + \
         _county_join("air_quality", "aqi_county", ["median_aqi", "good_day_pct", "air_quality_index"],
-                     "state_abbr", None)
+                     "state_abbr", False)
 
 
 def amenities_ctes():
@@ -199,13 +189,13 @@ from fx_amenity_raw where {rank} is not null"""
     return crosswalk_ctes() + with_fx("fx_amenity_raw") + [("amenity_county", county_df)] + \
         _county_join("amenities", "amenity_county",
                      ["amenity_rank", "natural_amenity_score", "topography_z", "water_area_pct"],
-                     "state", None)
+                     "state", False)
 
 
 def school_ctes():
     status = num("sy_status")
     body = f"""
-select {zfill5("substr(cast(lzip as varchar), 1, 5)")} as zip_code,
+select {zfill5("regexp_replace(cast(lzip as varchar), '^([0-9]{5})-[0-9]{4}$', '\\1')")} as zip_code,
        coalesce(cast(upper(trim(charter_text)) = 'YES' as integer), 0) as is_charter,
        upper(trim(lea_name)) as district_name, upper(trim(lstate)) as state,
        coalesce(cast(contains(upper(level), 'ELEMENTARY') as integer), 0) as is_elementary,
@@ -438,7 +428,7 @@ select cast(date_trunc('month', date) as date) as period,
 from fx_zip_market where date >= {_as_of()} - interval 36 month and contains(lower(metro_area), 'europe')
 group by cast(date_trunc('month', date) as date) order by period""")
     q["lookup"] = _feat("""
-select * from features where zip_code in (select lpad(cast(o_custkey as varchar), 5, '0') from orders)""")
+select * from features where zip_code in (select case when o_custkey < 10000 then lpad(cast(o_custkey as varchar), 5, '0') else cast(o_custkey as varchar) end from orders)""")
     q["price_history"] = render(with_fx("fx_zip_market", "fx_features_base"), f"""
 select zip_code, date, zhvi_sfr, zhvi_sfrcondo, zori_rent from fx_zip_market
 where date >= {_as_of()} - interval 24 month
@@ -652,8 +642,7 @@ from rc_prefs p join features f
  and (coalesce(p.min_budget, 0) = 0 or f.zhvi_sfr >= p.min_budget * {dbl(0.8)})
 where f.zhvi_sfr is not null and f.city is not null"""
     capped = """
-select * from (select *, row_number() over (partition by user_id order by zhvi_sfr desc, zip_code) as rn
-               from rc_pairs) t where rn <= 200"""
+select * from rc_pairs"""
     cases = " ".join(
         f"when '{name}' then [{', '.join(_t(m, METRIC_MAX.get(m, 100.0), w) for m, w in mw)}]"
         for name, mw in PRIORITY_WEIGHTS.items())
@@ -679,16 +668,34 @@ select * from (select *, row_number() over (partition by user_id order by zhvi_s
             then 'Slightly above budget but strong match'
        else 'Matches your location and lifestyle preferences' end)"""
     scored = f"select *, {score} as match_score, {reason} as reason from rc_parts"
-    ctes = features_ctes() + with_fx("fx_preferences") + [
-        ("rc_prefs", prefs), ("rc_pairs", pairs), ("rc_capped", capped), ("rc_parts", parts),
-        ("rc_scored", scored)]
-    q["recommend"] = render(ctes, """
+    def ctes(prefs: str, pairs: str):
+        return features_ctes() + with_fx("fx_preferences") + [
+            ("rc_prefs", prefs), ("rc_pairs", pairs), ("rc_capped", capped), ("rc_parts", parts),
+            ("rc_scored", scored)]
+
+    ranked = """
 select user_id, cast(rk as integer) as rank, zip_code, city, state, metro_area, zhvi_sfr, zhvi_sfrcondo,
        zori_rent, median_income, owner_occupied_pct, education_index, academic_score, total_schools,
        last_updated, match_score, reason
 from (select *, row_number() over (partition by user_id
                                    order by match_score desc, zhvi_sfr desc, zip_code) as rk
-      from rc_scored) t where rk <= 10""")
+      from rc_scored) t where rk <= 10"""
+    q["recommend"] = render(ctes(prefs, pairs), ranked)
+    filtered_prefs = f"""
+select *, case when user_id % 3 = 0 then substr('abcde', cast(user_id % 5 as int) + 1, 1)
+                 || substr('vwxyz', cast(user_id // 5 % 5 as int) + 1, 1) end as u_state,
+       case when user_id % 5 = 4 then 'A' end as u_metro,
+       case when user_id % 4 = 1 then {dbl(50.0)} end as u_edu,
+       case when user_id % 4 = 2 then {dbl(60000.0)} end as u_inc
+from ({prefs})"""
+    filtered_pairs = pairs + """
+ and (p.u_state is null or upper(f.state) = upper(p.u_state))
+ and (p.u_metro is null or contains(lower(f.metro_area), lower(p.u_metro)))
+ and (p.u_edu is null or f.education_index >= p.u_edu)
+ and (p.u_inc is null or f.median_income >= p.u_inc)"""
+    q["recommend_filtered"] = render(ctes(filtered_prefs, filtered_pairs), ranked)
+    q["recommend_unmatched"] = render(ctes(filtered_prefs, filtered_pairs),
+                                      "select user_id from rc_prefs where user_id not in (select user_id from rc_pairs)")
 
     refs = ", ".join(f"coalesce(nullif({m}, 0), {dbl(d)}) as r_{m}" for m, d in
                      (("zhvi_sfr", 400000.0), ("median_income", 65000.0),

@@ -143,6 +143,17 @@ class Catalog:
                 .otherwise(F.split("priorities_csv", ","))
         return p.select("user_id", "max_budget", "min_budget", prio.alias("priorities"))
 
+    @cached_property
+    def filtered_preferences(self) -> DataFrame:
+        """The same requests with optional filters on state, metro, education and income."""
+        u = F.col("user_id")
+        return self.preferences.select(
+            "*", F.expr("case when user_id % 3 = 0 then substr('abcde', cast(user_id % 5 as int) + 1, 1) || "
+                        "substr('vwxyz', cast(user_id div 5 % 5 as int) + 1, 1) end").alias("state"),
+            F.when(u % 5 == 4, F.lit("A")).alias("metro_area"),
+            F.when(u % 4 == 1, F.lit(50.0)).alias("min_education"),
+            F.when(u % 4 == 2, F.lit(60000.0)).alias("min_income"))
+
     # model -----------------------------------------------------------------
     # Boosting rounds of the registered queries; the library default (the
     # source's 500) stays in training.GBT_PARAMS.

@@ -45,7 +45,6 @@ AMENITY_COLUMNS = (
 )
 SEDA_NAME_CANDIDATES = ("sedaleaname", "sedaleanm", "geodistname", "distname", "leanm")
 SEDA_STATE_CANDIDATES = ("stateabb", "state", "st")
-FUZZY_MIN_EXACT_MATCHES = 1000
 # ---------------------------------------------------------------------------
 
 
@@ -116,7 +115,7 @@ def school_zip_stats(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "SY_STATUS" in df.columns:
         df = df.where(to_int("SY_STATUS").isin(*ACTIVE_SCHOOL_STATUS))
     df = df.select(
-        zfill5(F.substring(F.col("LZIP").cast("string"), 1, 5)).alias("zip_code"),
+        zfill5(F.regexp_replace(F.col("LZIP").cast("string"), r"^(\d{5})-\d{4}$", "$1")).alias("zip_code"),
         yes_flag("CHARTER_TEXT").alias("is_charter"),
         upper_trim("LEA_NAME").alias("district_name"),
         upper_trim("LSTATE").alias("state"),
@@ -225,13 +224,13 @@ def crime_by_county(raw: DataFrame, suffixes=COUNTY_SUFFIXES_CRIME) -> DataFrame
 
 
 def build_crime(raw: DataFrame, crosswalk: DataFrame,
-                min_exact_matches: int | None = FUZZY_MIN_EXACT_MATCHES) -> DataFrame:
+                match: str = "fuzzy") -> DataFrame:
     # The county table (one row per county) is written to the checkpoint
     # folder: the zip join then scans stored rows instead of re-planning
-    # the percentile subqueries inside every branch of the fuzzy decision.
+    # the percentile subqueries.
     return join_county_metrics(crosswalk_keys(crosswalk), cut_lineage(crime_by_county(raw)),
                                ["violent_crime_rate", "property_crime_rate", "safety_index"],
-                               min_exact_matches=min_exact_matches)
+                               match=match)
 
 
 def aqi_by_county(raw: DataFrame, state_is_abbreviation: bool = False,
@@ -258,7 +257,7 @@ def build_air_quality(raw: DataFrame, crosswalk: DataFrame,
     return join_county_metrics(crosswalk_keys(crosswalk),
                                cut_lineage(aqi_by_county(raw, state_is_abbreviation)),
                                ["median_aqi", "good_day_pct", "air_quality_index"],
-                               min_exact_matches=None)
+                               match="exact")
 
 
 def amenities_by_county(raw: DataFrame, positional: bool = False,
@@ -280,7 +279,7 @@ def build_amenities(raw: DataFrame, crosswalk: DataFrame, positional: bool = Fal
                                cut_lineage(amenities_by_county(raw, positional)),
                                ["amenity_rank", "natural_amenity_score", "topography_z",
                                 "water_area_pct"],
-                               county_state_col="state", min_exact_matches=None)
+                               county_state_col="state", match="exact")
 
 
 # ---------------------------------------------------------------- A15-A18

@@ -102,9 +102,9 @@ def search_neighborhoods(features: DataFrame, q: str | None = None, state: str |
 
 
 def get_neighborhoods(features: DataFrame, zips: DataFrame) -> DataFrame:
-    """Q2 (batch lookup): feature rows of the requested zip codes. A left
-    semi join; the request list is deduplicated by the join itself."""
-    return features.join(zips.select("zip_code"), "zip_code", "left_semi")
+    """Q2 (batch lookup): feature rows of the requested zip codes. The
+    request list is made distinct before it is shuffled for the semi join."""
+    return features.join(zips.select("zip_code").distinct(), "zip_code", "left_semi")
 
 
 def price_history(panel: DataFrame, zips: DataFrame, months: int = 24, as_of=None,
@@ -118,7 +118,8 @@ def price_history(panel: DataFrame, zips: DataFrame, months: int = 24, as_of=Non
         latest = Window.partitionBy("zip_code").orderBy(F.col("date").desc())
         rows = rows.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= last_n) \
                    .drop("_rn")
-    return rows.orderBy("zip_code", "date")
+    # the order is within a zip: no global sort of the output
+    return rows.repartition("zip_code").sortWithinPartitions("zip_code", "date")
 
 
 def top_neighborhoods(features: DataFrame, metric: str, state: str | None = None,

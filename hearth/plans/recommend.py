@@ -50,7 +50,6 @@ PRIORITY_WEIGHTS = {
 METRIC_MAX = {"zhvi_sfr": 2000000.0, "zhvi_sfrcondo": 1500000.0, "zori_rent": 5000.0,
               "median_income": 200000.0, "education_index": 100.0, "academic_score": 100.0,
               "owner_occupied_pct": 100.0}
-CANDIDATE_CAP = 200
 BUDGET_OVER = 1.2            # candidates up to 20 % over the maximum
 BUDGET_UNDER = 0.8           # and down to 80 % of the minimum
 REASONS = ("Strong education index of ", "Median income of $", "Within your budget",
@@ -117,38 +116,63 @@ def _opt(prefs: DataFrame, name: str, dtype: str) -> F.Column:
     return F.col(name) if name in prefs.columns else F.lit(None).cast(dtype)
 
 
-def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10,
-              cap: int = CANDIDATE_CAP) -> DataFrame:
-    """Q12 for every user at once.
-
-    Per user the candidates are the ``cap`` most expensive zips priced at
-    most 1.2 x max_budget (and at least 0.8 x min_budget) that pass the
-    user's optional filters. Zips are numbered by (price desc, zip); each
-    user's scan starts where its price cap falls in that order
-    (``merged_positions``) and reads a band of positions. A band of
-    ``cap`` rows settles every user without extra filters; users with
-    filters re-scan with a 4x wider band until they have ``cap``
-    qualifying rows, the band passed their price floor, or the list
-    ended. No user meets more than a few bands of rows, so the work is
-    O(users x cap) however skewed prices are.
+PROFILE = ("max_budget", "min_budget", "priorities", "u_state", "u_metro", "u_min_edu", "u_min_income")
+BLOCK = 256
+
+
+def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10) -> DataFrame:
+    """Q12 for every user at once: the ``limit`` best of all qualifying zips.
+
+    A result depends on the preferences only, so each distinct set of
+    preferences (a profile) is scored once and its users take the result.
+    A profile's candidates are the zips priced at most 1.2 x max_budget and
+    at least 0.8 x min_budget that pass its optional filters. Zips are
+    numbered by (price desc, zip); a profile meets those from its price cap
+    (``merged_positions``) to its price floor, block by block, and every
+    qualifying one is scored. The top-k window keeps ``limit`` rows per
+    profile before the shuffle. A profile without candidates gives no rows
+    (see ``without_candidates``).
     """
-    from ..operators.positions import band_join, merged_positions
-    cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("city").isNotNull()) \
-                   .select(*RESULT_COLS)
+    best = _ranked(features, profiles(prefs), limit)
+    users = _keyed(prefs).select("user_id", "_profile")
+    return users.join(best, "_profile").select("user_id", "rank", *RESULT_COLS, "match_score", "reason")
+
+
+def without_candidates(features: DataFrame, prefs: DataFrame) -> DataFrame:
+    """user_id of the requests that the source answers with 404: no zip qualifies."""
+    users = _keyed(prefs).select("user_id", "_profile")
+    found = _ranked(features, profiles(prefs), 1).select("_profile").distinct()
+    return users.join(found, "_profile", "left_anti").select("user_id")
+
+
+def _keyed(prefs: DataFrame) -> DataFrame:
+    """Preferences under their full column set, with the text of all of them as key."""
     users = prefs.select(
         "user_id", "max_budget", "min_budget", "priorities",
         _opt(prefs, "state", "string").alias("u_state"),
         _opt(prefs, "metro_area", "string").alias("u_metro"),
         _opt(prefs, "min_education", "double").alias("u_min_edu"),
-        _opt(prefs, "min_income", "double").alias("u_min_income"),
-        (F.col("max_budget") * BUDGET_OVER).alias("_cap"),
+        _opt(prefs, "min_income", "double").alias("u_min_income"))
+    return users.withColumn("_profile", F.to_json(F.struct(*PROFILE)))
+
+
+def profiles(prefs: DataFrame) -> DataFrame:
+    """One row per distinct set of preferences."""
+    return _keyed(prefs).groupBy("_profile").agg(*[F.first(c).alias(c) for c in PROFILE])
+
+
+def _ranked(features: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    from ..operators.positions import band_join, merged_positions
+    cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("city").isNotNull()) \
+                   .select(*RESULT_COLS)
+    asked = asked.select(
+        "*", (F.col("max_budget") * BUDGET_OVER).alias("_cap"),
         F.when(F.coalesce(F.col("min_budget"), F.lit(0.0)) != 0,
                F.col("min_budget") * BUDGET_UNDER).alias("_floor"))
-    # one pass: candidates numbered by (price desc, zip), each user's start
-    # = number of candidates priced above the user's cap
-    pos, todo = merged_positions(users, cand, "_cap", "zhvi_sfr", "user_id", "zip_code",
+    # one pass: candidates numbered by (price desc, zip), each profile's start
+    # = number of candidates priced above its cap
+    pos, todo = merged_positions(asked, cand, "_cap", "zhvi_sfr", "_profile", "zip_code",
                                  descending=True, marker_first=True)
-    n_total = pos.select(F.count(F.lit(1))).scalar()
     qualify = ((F.col("_floor").isNull() | (F.col("zhvi_sfr") >= F.col("_floor")))
                & (F.col("u_state").isNull() | (F.upper("state") == F.upper("u_state")))
                & (F.col("u_metro").isNull()
@@ -157,35 +181,19 @@ def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10,
                   | (F.col("education_index") >= F.col("u_min_edu")))
                & (F.col("u_min_income").isNull() | (F.col("u_min_income") == 0)
                   | (F.col("median_income") >= F.col("u_min_income"))))
-    found = []
-    width = cap
-    while True:
-        pairs = band_join(todo, pos, "_start", "_pos", 0, width - 1, block=width)
-        per_user = pairs.groupBy("user_id").agg(
-            F.count_if(qualify).alias("_nq"),
-            F.max(F.when(F.col("_pos") == F.col("_start") + width - 1, F.col("zhvi_sfr"))).alias("_last"))
-        status = cut_lineage(
-            todo.join(per_user, "user_id", "left").select(
-                "user_id",
-                ((F.coalesce("_nq", F.lit(0)) >= cap)
-                 | (F.col("_start") + width >= n_total)
-                 | (F.col("_last") < F.col("_floor"))).alias("_done")))
-        done = status.where("_done").select("user_id")
-        found.append(pairs.join(done, "user_id", "left_semi").where(qualify))
-        todo = todo.join(status.where(~F.col("_done")).select("user_id"), "user_id", "left_semi")
-        if todo.isEmpty():
-            break
-        width *= 4
-    cands = found[0]
-    for f in found[1:]:
-        cands = cands.unionByName(f)
-    first = Window.partitionBy("user_id").orderBy("_pos")
-    capped = cands.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= cap)
-    scored = capped.withColumn("match_score", match_score()).withColumn("reason", reason())
-    best = Window.partitionBy("user_id").orderBy(F.col("match_score").desc(),
-                                                 F.col("zhvi_sfr").desc(), F.col("zip_code").asc())
+    # the cheapest price of each block: blocks below a profile's floor are not read
+    blocks = pos.groupBy(F.floor(F.col("_pos") / BLOCK).alias("_b")).agg(F.max("zhvi_sfr").alias("top"))
+    tops = blocks.select(F.array_sort(F.collect_list(F.struct("_b", "top")))).scalar()
+    todo = todo.withColumn("_tops", tops)
+    last = F.aggregate("_tops", F.col("_start") - 1, lambda a, b: F.when(
+        F.col("_floor").isNull() | (b["top"] >= F.col("_floor")), F.greatest(a, (b["_b"] + 1) * BLOCK - 1)).otherwise(a))
+    todo = todo.withColumn("_reach", last - F.col("_start")).drop("_tops").where("_reach >= 0")
+    pairs = band_join(todo, pos, "_start", "_pos", 0, F.col("_reach"), block=BLOCK).where(qualify)
+    scored = pairs.withColumn("match_score", match_score()).withColumn("reason", reason())
+    best = Window.partitionBy("_profile").orderBy(F.col("match_score").desc(),
+                                                  F.col("zhvi_sfr").desc(), F.col("zip_code").asc())
     return (scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-                  .select("user_id", "rank", *RESULT_COLS, "match_score", "reason"))
+                  .select("_profile", "rank", *RESULT_COLS, "match_score", "reason"))
 
 
 # Reference values used when the target's own value is missing or 0.
@@ -293,7 +301,7 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
                   .groupBy("target_zip").agg(F.sort_array(F.collect_list("_it")).alias("_all")))
         st = todo.join(near_k, "target_zip", "left")
         best = F.slice(F.coalesce(F.col("_all"), F.array()), 1, F.col("_need"))
-        kth = F.element_at(best, F.col("_need"))["d"]
+        kth = F.try_element_at(best, F.col("_need"))["d"]
         bound = 1.0 - math.exp(-h)           # any point outside the 3^4 cell box is this far
         covered = None
         for i in range(len(dims)):

@@ -287,6 +287,20 @@ def q_recommend(spark, sf):
     return recommend(c.features, c.preferences, limit=10)
 
 
+@query("recommend_filtered")
+def q_recommend_filtered(spark, sf):
+    from .recommend import recommend
+    c = Catalog.of(spark, sf)
+    return recommend(c.features, c.filtered_preferences, limit=10)
+
+
+@query("recommend_unmatched")
+def q_recommend_unmatched(spark, sf):
+    from .recommend import without_candidates
+    c = Catalog.of(spark, sf)
+    return without_candidates(c.features, c.filtered_preferences)
+
+
 @query("similar")
 def q_similar(spark, sf):
     from .recommend import find_similar

@@ -43,14 +43,17 @@ def get_spark(master: str | None = None, app: str = "hearth",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Where it is unset
+    a local session takes a fresh scratch folder; any other master is an
+    error, as its executors would each write to their own disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="hearth-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()

@@ -19,9 +19,16 @@ from .tables import read_table
 _STATE = ("substr('ABCDE',cast(n_nationkey % 5 as int)+1,1) || "
           "substr('VWXYZ',cast(floor(n_nationkey/5) as int)+1,1)")
 
+
+def _zip(key: str) -> str:
+    """A key as a zip code: five digits at least, never cut."""
+    return (f"case when {key} < 10000 then lpad(cast({key} as string), 5, '0') "
+            f"else cast({key} as string) end")
+
+
 FX_SQL: dict[str, str] = {
     "fx_zip_market": f"""
-select lpad(cast(l_suppkey as string),5,'0') as zip_code, s_name as city, {_STATE} as state,
+select {_zip('l_suppkey')} as zip_code, s_name as city, {_STATE} as state,
        r_name || '-' || cast(s_suppkey % 4 as string) as metro_area,
        cast(date_trunc('month', l_shipdate) as date) as date,
        cast(floor(cast(sum(cast(round(l_extendedprice * 100, 0) as bigint)) as double) / count(*) / 10) as double) as zhvi_sfr,
@@ -43,17 +50,17 @@ from {orders} join {customer} on o_custkey = c_custkey
 join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
 group by r_name || '-' || cast(c_custkey % 4 as string), r_name, cast(date_trunc('month', o_orderdate) as date)""",
 
-    "fx_census": """
-select lpad(cast(c_custkey as string),5,'0') as zip_code,
+    "fx_census": f"""
+select {_zip('c_custkey')} as zip_code,
        case when c_custkey % 17 = 0 then null else cast(floor(40000 + c_acctbal * 8) as double) end as median_income,
        cast(1000 + c_custkey % 5000 as double) as total_units,
        cast(100 + (c_custkey * 7) % 6000 as double) as occupied_units,
        case when c_custkey % 13 = 0 then null else cast(30 + c_custkey % 60 as double) end as owner_occupied_pct,
        cast(4 + c_custkey % 5 as double) as median_rooms
-from {customer}""",
+from {{customer}}""",
 
     "fx_crosswalk": f"""
-select lpad(cast(c_custkey as string),5,'0') as zip_code, {_STATE} as state, c_name as city,
+select {_zip('c_custkey')} as zip_code, {_STATE} as state, c_name as city,
        r_name || '-' || cast(c_custkey % 4 as string) as metro_area,
        c_mktsegment || case when c_custkey % 2 = 0 then ' County' else ' Parish' end as county_raw,
        c_mktsegment as county_clean
@@ -87,7 +94,7 @@ select {_STATE} as state, c_mktsegment as county,
 from {{customer}} join {{nation}} on c_nationkey = n_nationkey group by n_nationkey, c_mktsegment""",
 
     "fx_schools_raw": f"""
-select p_partkey as school_id, lpad(cast(cast(floor(p_partkey / 3) as bigint) as string),5,'0') as lzip,
+select p_partkey as school_id, {_zip('cast(floor(p_partkey / 3) as bigint)')} as lzip,
        p_size % 6 as sy_status, case when p_type = 'PROMO' then 'Yes' else 'No' end as charter_text,
        lower(p_brand) as lea_name, {_STATE} as lstate,
        case when p_type in ('SMALL','ECONOMY') then 'Elementary' when p_type in ('LARGE','STANDARD') then 'High' else 'Other' end as level
@@ -99,7 +106,7 @@ select upper(p_brand) as sedaleaname, {_STATE} as stateabb, 2000 + p_size % 3 as
 from {{part}} join {{nation}} on n_nationkey = p_partkey % 25""",
 
     "fx_features_base": f"""
-select lpad(cast(c_custkey as string),5,'0') as zip_code, c_name as city, {_STATE} as state,
+select {_zip('c_custkey')} as zip_code, c_name as city, {_STATE} as state,
        case when c_custkey % 29 = 0 then null else r_name || '-' || cast(c_custkey % 4 as string) end as metro_area,
        cast(floor(cast(sum(cast(round(o_totalprice * 100, 0) as bigint)) as double) / count(*) * 3 / 100) as double) as zhvi_sfr,
        cast(floor(cast(sum(cast(round(o_totalprice * 100, 0) as bigint)) as double) / count(*) / 40) as double) as zhvi_sfrcondo,
@@ -109,20 +116,20 @@ from {{customer}} join {{orders}} on o_custkey = c_custkey
 join {{nation}} on c_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey
 group by c_custkey, c_name, n_nationkey, r_name""",
 
-    "fx_properties": """
-select o_orderkey as property_id, lpad(cast(o_custkey as string),5,'0') as zip_code,
+    "fx_properties": f"""
+select o_orderkey as property_id, {_zip('o_custkey')} as zip_code,
        cast(600 + o_orderkey % 3400 as double) as sqft, cast(1 + o_orderkey % 6 as int) as bedrooms,
        cast(1 + o_orderkey % 7 as double) / 2 + 0.5 as bathrooms, cast(1920 + o_orderkey % 82 as int) as year_built,
        case o_orderkey % 5 when 0 then 'excellent' when 1 then 'Good' when 2 then 'fair' when 3 then 'poor' else 'unheard' end as condition,
        case o_orderkey % 4 when 0 then 'single_family' when 1 then 'condo' when 2 then 'townhouse' else 'loft' end as property_type,
        o_orderkey % 3 = 0 as garage, cast(o_orderkey % 4 as int) as forecast_years
-from {orders}""",
+from {{orders}}""",
 
     "fx_preferences": """
 select c_custkey as user_id, cast(300000 + (c_custkey * 37) % 700 * 1000 as double) as max_budget,
        case when c_custkey % 3 = 0 then null else cast(150000 + (c_custkey * 11) % 100 * 1000 as double) end as min_budget,
        case c_custkey % 4 when 0 then 'schools,family' when 1 then 'appreciate' when 2 then 'quiet,bogus' else '' end as priorities_csv
-from {customer} where c_custkey % 10 = 0""",
+from {customer}""",
 }
 
 

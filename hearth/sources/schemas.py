@@ -47,10 +47,10 @@ TABLES = {"zip_market": ZIP_MARKET, "metro_market": METRO_MARKET, "census": CENS
           "neighborhood_features": NEIGHBORHOOD_FEATURES}
 
 
-def enforce_schema(df: DataFrame, schema: StructType, drop_invalid: bool = True) -> DataFrame:
+def enforce_schema(df: DataFrame, schema: StructType, drop_invalid: bool = False) -> DataFrame:
     """Select the schema's columns in order, ``try_cast`` each to its type
-    (missing columns become NULL), and drop rows whose required columns are
-    NULL (or raise if ``drop_invalid`` is False and any exist)."""
+    (missing columns become NULL). A NULL in a required column fails the job,
+    as the load of the source does; ``drop_invalid`` drops such rows instead."""
     cols = []
     for f in schema.fields:
         src = F.col(f.name) if f.name in df.columns else F.lit(None)
@@ -64,5 +64,7 @@ def enforce_schema(df: DataFrame, schema: StructType, drop_invalid: bool = True)
         if drop_invalid:
             out = out.where(ok)
         else:
-            out = out.withColumn("_ok", F.assert_true(ok, "required column is NULL")).drop("_ok")
+            # inside a kept column, so that no projection removes the check
+            out = out.withColumn(required[0], F.when(ok, F.col(required[0])).otherwise(
+                F.raise_error(F.lit(f"NULL in a required column of {', '.join(required)}"))))
     return out

@@ -54,12 +54,20 @@ def test_fuzzy_county_fallback(spark):
                                "zip_code string, state string, county_clean string")
     county = spark.createDataFrame([("ST LOUIS", "MO", 42.0)],
                                    "county_clean string, state_abbr string, safety_index double")
-    exact_only = join_county_metrics(xw, county, ["safety_index"], min_exact_matches=None)
+    exact_only = join_county_metrics(xw, county, ["safety_index"])
     assert exact_only.count() == 0
-    fuzzy = join_county_metrics(xw, county, ["safety_index"], min_exact_matches=1000)
+    fuzzy = join_county_metrics(xw, county, ["safety_index"], match="fuzzy")
     assert sorted(r.zip_code for r in fuzzy.collect()) == ["63101", "63102"]
-    # enough exact matches: the fallback is not taken
-    assert join_county_metrics(xw, county, ["safety_index"], min_exact_matches=0).count() == 0
+    # other rows, however many match exactly, change nothing; an exact match comes first
+    many = xw.unionByName(spark.range(1500).selectExpr(
+        "cast(70000 + id as string) as zip_code", "'TX' as state", "'TRAVIS' as county_clean"))
+    more = county.unionByName(spark.createDataFrame(
+        [("TRAVIS", "TX", 7.0), ("ST. LOUIS", "IL", 1.0)], county.schema))
+    got = {r.zip_code: r.safety_index for r in
+           join_county_metrics(many, more, ["safety_index"], match="fuzzy").collect()}
+    assert len(got) == 1502 and got["63101"] == got["63102"] == 42.0
+    both = county.unionByName(spark.createDataFrame([("ST. LOUIS", "MO", 9.0)], county.schema))
+    assert {r.safety_index for r in join_county_metrics(xw, both, ["safety_index"], match="fuzzy").collect()} == {9.0}
 
 
 def test_district_scores_empty_schema(spark):

@@ -134,16 +134,44 @@ def test_similar_matches_brute_force(spark, catalog, fill_owner):
     assert got == _brute_similar(f.toPandas(), 4)
 
 
+def test_every_request_is_answered_or_listed(spark):
+    q = E.queries()
+    users = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    answered = q["recommend_filtered"](spark, SF_SMALL).select("user_id").distinct()
+    unmatched = q["recommend_unmatched"](spark, SF_SMALL)
+    assert answered.join(unmatched, "user_id").count() == 0
+    assert answered.count() + unmatched.count() == users and unmatched.count() > 0
+
+
+def test_zip_keys_are_never_cut(spark):
+    from hearth.sources.fixtures import _zip
+    got = spark.sql(f"select {_zip('k')} as z from values (7L), (99999L), (100000L), (1000009L) t(k)").collect()
+    assert [r.z for r in got] == ["00007", "99999", "100000", "1000009"]
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+    from hearth.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)))
+
+
 def test_recommend_filters_match_brute_force(spark, catalog):
     from hearth.plans.recommend import recommend
     f = catalog.features
+    seen = f.where("zhvi_sfr is not null and city is not null").toPandas()
+    seen = seen[seen.zhvi_sfr <= 700000 * 1.2].sort_values("zhvi_sfr")
+    state, metro = seen.state.iloc[0].lower(), seen.metro_area.dropna().iloc[0][:4].lower()
     prefs = spark.createDataFrame([
-        (1, 700000.0, None, ["schools"], "AV", None, 40.0, None),
-        (2, 500000.0, 300000.0, [], None, "asia", None, 60000.0),
+        (1, 700000.0, None, ["schools"], state, None, None, None),
+        (2, 700000.0, None, [], None, metro, None, None),
+        (4, 700000.0, None, [], None, None, float(seen.education_index.median()), None),
+        (5, 700000.0, 1000.0, [], None, None, None, float(seen.median_income.median())),
         (3, 900000.0, 0.0, ["quiet", "bogus", "quiet"], None, None, None, None),
     ], "user_id long, max_budget double, min_budget double, priorities array<string>, "
        "state string, metro_area string, min_education double, min_income double")
-    got = recommend(f, prefs, limit=10, cap=7).select("user_id", "rank", "zip_code").collect()
+    got = recommend(f, prefs, limit=100_000).select("user_id", "rank", "zip_code").collect()
     pdf = f.toPandas()
     expect = []
     for u in prefs.collect():
@@ -158,9 +186,9 @@ def test_recommend_filters_match_brute_force(spark, catalog):
             c = c[c.education_index >= u.min_education]
         if u.min_income:
             c = c[c.median_income >= u.min_income]
-        c = c.sort_values(["zhvi_sfr", "zip_code"], ascending=[False, True]).head(7)
+        assert len(c), u.user_id
         expect.append((u.user_id, set(c.zip_code)))
-    # limit (10) exceeds the cap (7): every capped candidate is returned
+    # the limit exceeds the table: every qualifying zip is returned
     for uid, zips in expect:
         assert {r.zip_code for r in got if r.user_id == uid} == zips, uid
 

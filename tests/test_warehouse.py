@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hearth.plans import etl
@@ -64,7 +66,9 @@ def test_build_warehouse_from_raw_files(spark, catalog):
 
 def test_enforce_schema_and_raw_reader(spark):
     df = spark.createDataFrame([("01001", "x"), (None, "y")], "zip_code string, junk string")
-    out = enforce_schema(df, NEIGHBORHOOD_FEATURES)
+    with pytest.raises(Exception, match="required column"):
+        enforce_schema(df, NEIGHBORHOOD_FEATURES).select("zip_code").collect()
+    out = enforce_schema(df, NEIGHBORHOOD_FEATURES, drop_invalid=True)
     assert out.columns == [f.name for f in NEIGHBORHOOD_FEATURES.fields]
     assert out.count() == 0          # last_updated is required and missing
     path = tempfile.mkdtemp(prefix="hearth-csv-") + "/f.csv"
