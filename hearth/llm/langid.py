@@ -3,7 +3,7 @@
 Every letter owns a random +1/-1 vector (seeded by its code point). The
 trigram abc is bound as rot2(a) * rot1(b) * c, a text's profile is the
 sum (bundle) of its trigrams' vectors, a language's prototype the bundle of
-its training texts, and a text is compared with the prototypes by cosine.
+its training texts (each of one weight), and a text is compared with the prototypes by cosine.
 Prototypes are centred on their mean direction, which removes what all
 languages share (word gaps, frequent letters) before the comparison.
 
@@ -30,6 +30,7 @@ DIMENSIONS = 512
 #: Languages times dimensions are gathered as prototypes; beyond this many languages fitting stops.
 MAX_LANGUAGES = 2000
 UND = "und"
+UNITS = 1 << 20
 _cache: dict = {}
 
 
@@ -92,10 +93,13 @@ def _fit_task(dims: int):
             for lo, hi in slices(batch.column(0)):
                 grams = Trigrams([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()], dims)
                 langs = np.array(lang_all[lo:hi], object)
+                # each text has the same weight, dealt evenly (in whole units) to its trigrams
+                weight = (UNITS // np.maximum(np.diff(grams.bounds), 1))[grams.doc]
                 for lang in set(langs):
                     own = np.flatnonzero(langs == lang)
-                    counts = np.bincount(grams.index[np.isin(grams.doc, own)], minlength=len(grams.vectors))
-                    got = np.rint(counts.astype(np.float64) @ grams.vectors).astype(np.int64)
+                    mine = np.isin(grams.doc, own)
+                    counts = np.bincount(grams.index[mine], weights=weight[mine], minlength=len(grams.vectors))
+                    got = np.rint(counts @ grams.vectors.astype(np.float64)).astype(np.int64)
                     sums[lang] = sums.get(lang, 0) + got
         if sums:
             yield pa.RecordBatch.from_arrays(

@@ -365,7 +365,10 @@ def _tile_pass(percent: int):
                     rows.append((side, len(blob), rep, m, np.frombuffer(blob, U64)))
             rows.sort(key=lambda r: r[:3])
             split = sum(r[0] == 0 for r in rows)
-            within = split == len(rows)
+            place = tile.split("/")[1:]          # of a large cluster: band and tile of both sides
+            within = place[:2] == place[2:]
+            if not within and split in (0, len(rows)):
+                continue
             sets = [r[4] for r in rows]
             found = link_tile(sets, None, percent) if within else link_tile(sets[:split], sets[split:], percent)
             rep, m = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
