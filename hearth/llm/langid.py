@@ -56,7 +56,8 @@ class Trigrams:
         cp = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
         doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
         alpha = _letters()[cp]
-        keep = alpha | np.concatenate([[True], alpha[:-1]])      # of a gap only the first place
+        # of a gap only the first place stays, and the one in front of each text
+        keep = alpha | np.concatenate([[True], (doc[1:] != doc[:-1]) | alpha[:-1]])[:len(cp)]
         cp, doc = np.where(alpha, cp, 0)[keep], doc[keep]
         self.has_letter = np.bincount(doc, weights=cp > 0, minlength=len(low)) > 0
         symbols, dense = np.unique(cp, return_inverse=True)

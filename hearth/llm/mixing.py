@@ -136,11 +136,10 @@ def cover_weights(shares: DataFrame, max_repeats: float) -> DataFrame:
     source; with B = max(t_s / w_s) the largest is read once. Passes are cut
     to whole ones, which keeps every document.
     """
-    top = shares.agg(F.max("tokens").alias("top"), F.min("tokens").alias("least"), F.sum("tokens").alias("total"))
+    top, least = shares.agg(F.max("tokens")).scalar(), shares.agg(F.min("tokens")).scalar()
     ratio = (F.col("top") / F.col("least")).cast("double")
     flat = F.when(ratio <= max_repeats, F.lit(1.0)).otherwise(F.log(F.lit(float(max_repeats))) / F.log(ratio))
-    a = 1 - flat
-    out = shares.crossJoin(F.broadcast(top)).withColumn("exponent", F.round(a, 9))   # one row
+    out = shares.withColumn("top", top).withColumn("least", least).withColumn("exponent", F.round(1 - flat, 9))
     out = out.withColumn("_r", F.pow(F.col("top") / F.col("tokens"), 1 - F.col("exponent")))
     out = out.withColumn("passes", F.greatest(F.floor(F.col("_r") + 1e-6), F.lit(1)).cast("long"))
     total = F.sum(F.col("tokens") * F.col("passes")).over(Window.partitionBy(F.lit(0)))
