@@ -29,7 +29,7 @@ from hearth.session import get_spark  # noqa: E402
 HEADLINE = (
     "crime", "education", "search", "metros", "kpis", "price_trends_month", "metro_compare",
     "distribution", "affordability", "top_metros", "market_trends", "valuation_fallback",
-    "forecast", "training_data", "comparables", "recommend", "similar", "predict_ml",
+    "forecast", "training_data", "comparables", "recommend", "similar", "similar_complete", "predict_ml",
 )
 
 
