@@ -57,7 +57,7 @@ def units(word: str) -> list[str]:
 
 def read_words(text: str) -> list[str]:
     words = text.lower().split()
-    if sum([len(w) == 1 for w in words]) >= 4:
+    if list(map(len, words)).count(1) >= 4:
         run: list[str] = []
         for w in [*words, ""]:
             if len(w) == 1:
@@ -69,13 +69,18 @@ def read_words(text: str) -> list[str]:
     return words
 
 
-def triples(words: list[str], letter_id: dict[str, int], base: int):
-    """(word index, code, weight) of all three-letter subsequences; code is -1 if a letter has no id."""
-    size = np.array([len(w) for w in words])
+def triples(words: list[str], letters: str):
+    """(word index, code, weight) of all three-letter subsequences; code is -1 if a letter is not in ``letters`` (sorted)."""
+    base = len(letters) + 1
+    size = np.fromiter(map(len, words), np.int64, len(words))
     width = int(size.max(initial=0)) + SPAN
     ids = np.full((len(words), width), -1, np.int64)
-    for i, w in enumerate(words):
-        ids[i, :len(w)] = [letter_id.get(c, -2) for c in w]
+    cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    known = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
+    at = np.minimum(np.searchsorted(known, cp), len(known) - 1)
+    row = np.repeat(np.arange(len(words)), size)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(words) else size
+    ids[row, np.arange(len(cp)) - first[row]] = np.where(known[at] == cp, at, -2) if len(known) else -2
     where, codes, weights = [], [], []
     for b, c in _GAPS:
         x, y, z = ids[:, :width - c], ids[:, b:width - c + b], ids[:, c:]
@@ -90,9 +95,9 @@ def triples(words: list[str], letter_id: dict[str, int], base: int):
 
 def self_kernel(words: list[str]) -> np.ndarray:
     """K(s, s) of each word."""
-    letters = {c: i for i, c in enumerate(sorted({c for w in words for c in w}))}
+    letters = "".join(sorted(set("".join(words))))
     base = len(letters) + 1
-    row, code, weight = triples(words, letters, base)
+    row, code, weight = triples(words, letters)
     key = row * base ** 3 + code
     order = np.argsort(key)
     key, row, weight = key[order], row[order], weight[order].astype(np.float64)
@@ -106,9 +111,9 @@ class Kernel:
     """Normalised kernel of words with fixed landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        self.letters = {c: i for i, c in enumerate(sorted({c for w in landmarks for c in w}))}
+        self.letters = "".join(sorted(set("".join(landmarks))))
         self.base = len(self.letters) + 1
-        row, code, weight = triples(landmarks, self.letters, self.base)
+        row, code, weight = triples(landmarks, self.letters)
         self.codes = np.unique(code)
         table = np.zeros((len(self.codes), len(landmarks)))
         np.add.at(table, (np.searchsorted(self.codes, code), row), weight)
@@ -122,7 +127,7 @@ class Kernel:
         out = np.zeros((len(words), self.m), np.float32)
         for lo in range(0, len(words), 4096):
             part = words[lo:lo + 4096]
-            row, code, weight = triples(part, self.letters, self.base)
+            row, code, weight = triples(part, self.letters)
             place = np.where(code >= 0, self.place[code], -1)
             hit = place >= 0
             row, place, weight = row[hit], place[hit], weight[hit]
