@@ -186,7 +186,7 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
     """Q15 (batch): model valuation of every property whose zip is in the
     mart, with the property adjustments, confidence and range."""
     from .explore import as_of_date
-    from .valuation import ML_ADJ, adjusted_value, forecast, recent_trend_stats
+    from .valuation import ML_ADJ, adjusted_value, forecast_fields, growth_rate, recent_trend_stats
     from ..functions.numeric import falsy_to, round_half_even
 
     as_of_c = as_of_date(panel, as_of)
@@ -232,11 +232,14 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
         round_half_even("_conf", 1).alias("confidence"),
         round_half_even(F.try_divide(F.col("_est"), F.col("sqft")), 2).alias("price_per_sqft"),
         F.lit(MODEL_VERSION).alias("model_version"), nd.alias("neighborhood_data"),
-        "forecast_years")
-    # the response's forecast list (NULL when no years were requested):
-    # at most forecast_years rows per property, gathered per property
-    years = forecast(out, panel, as_of)
-    per_property = years.groupBy("property_id").agg(F.sort_array(F.collect_list(F.struct(
-        "year", "projected_value", "low_estimate", "high_estimate", "annual_rate_pct",
-        "total_gain_pct"))).alias("forecast"))
-    return out.join(per_property, "property_id", "left")
+        "forecast_years", n.alias("_n"), "zhvi_last", "zhvi_12th_last",
+        F.year(as_of_c).alias("_year"))
+    # the response's forecast list (NULL when no years were requested), built in
+    # the row; the year is a column because lambdas can't hold scalar subqueries
+    base, wanted = F.col("estimated_value"), F.col("forecast_years")
+    out = out.withColumn("_rate", growth_rate(F.col("_n"), F.col("zhvi_last"),
+                                              F.col("zhvi_12th_last"), base))
+    years = F.transform(F.sequence(F.lit(1), F.greatest(wanted, F.lit(1))), lambda yr: F.struct(
+        *forecast_fields(base, F.col("_rate"), yr, F.col("_year"))))
+    return out.withColumn("forecast", F.when(wanted >= 1, years)) \
+              .drop("_n", "zhvi_last", "zhvi_12th_last", "_year", "_rate")

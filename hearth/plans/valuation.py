@@ -108,6 +108,19 @@ def growth_rate(n_months: Column, last: Column, twelfth_last: Column, base: Colu
     return F.when(ok, clipped).otherwise(F.lit(DEFAULT_GROWTH))
 
 
+def forecast_fields(base: Column, rate: Column, yr: Column, year_now: Column) -> list[Column]:
+    """The columns of one forecast year."""
+    projected = base * F.pow(1 + rate, yr)
+    m0, step = FORECAST_MARGIN
+    margin = m0 + (yr - 1) * step
+    return [(year_now + yr).cast("int").alias("year"),
+            round_half_even(projected, -2).alias("projected_value"),
+            round_half_even(projected * (1 - margin), -2).alias("low_estimate"),
+            round_half_even(projected * (1 + margin), -2).alias("high_estimate"),
+            round_half_even(rate * 100, 1).alias("annual_rate_pct"),
+            round_half_even(F.try_divide(projected - base, base) * 100, 1).alias("total_gain_pct")]
+
+
 def forecast(valuations: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
     """One row per property and forecast year (years <= 0: no rows)."""
     as_of_c = as_of_date(panel, as_of)
@@ -118,17 +131,8 @@ def forecast(valuations: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
                        F.col("zhvi_12th_last"), base)
     v = v.select("property_id", base.alias("base_value"), rate.alias("annual_rate"),
                  F.explode(F.sequence(F.lit(1), F.col("forecast_years"))).alias("yr"))
-    projected = F.col("base_value") * F.pow(1 + F.col("annual_rate"), F.col("yr"))
-    m0, step = FORECAST_MARGIN
-    margin = m0 + (F.col("yr") - 1) * step
-    return v.select(
-        "property_id", (F.year(as_of_c) + F.col("yr")).cast("int").alias("year"),
-        round_half_even(projected, -2).alias("projected_value"),
-        round_half_even(projected * (1 - margin), -2).alias("low_estimate"),
-        round_half_even(projected * (1 + margin), -2).alias("high_estimate"),
-        round_half_even(F.col("annual_rate") * 100, 1).alias("annual_rate_pct"),
-        round_half_even(F.try_divide(projected - F.col("base_value"), F.col("base_value")) * 100, 1)
-        .alias("total_gain_pct"))
+    return v.select("property_id", *forecast_fields(F.col("base_value"), F.col("annual_rate"),
+                                                    F.col("yr"), F.year(as_of_c)))
 
 
 def market_trends(panel: DataFrame, zips: DataFrame, months: int = 12, as_of=None) -> DataFrame:

@@ -61,3 +61,12 @@ def test_predict_carries_forecast_list(spark, catalog):
             assert len(r.forecast) == r.forecast_years
         else:
             assert r.forecast is None
+    # the list in the row equals the forecast operator's rows
+    from hearth.plans.valuation import forecast
+    apart = forecast(out.drop("forecast"), catalog.zip_market)
+    inline = out.select("property_id", F.explode("forecast").alias("f")).select("property_id", "f.*")
+    assert sorted(map(tuple, inline.collect())) == sorted(map(tuple, apart.collect()))
+    assert inline.count() > 0
+    # one pass: the trees are applied once, the mart and the trends joined once
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 1 and plan.count("Join ") == 2 and "Generate" not in plan
