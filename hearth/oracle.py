@@ -509,6 +509,7 @@ select * from (
 where zip_count >= 3
 order by avg_education desc nulls last, avg_income desc nulls last, metro_area, state limit 10""")
     q.update(panel_queries())
+    q.update(source_queries())
     q.update(recommend_queries())
     q["comparables"] = _feat("""
 select target_zip, zip_code, city, state, zhvi_sfr, median_income, education_index, value_diff,
@@ -545,6 +546,20 @@ from fx_properties p join features f on p.zip_code = f.zip_code"""
     return features_ctes() + with_fx("fx_zip_market", "fx_properties") + [("valuations", vals)]
 
 
+def _trend_rate(base: str) -> tuple[str, str]:
+    """CTE body of the trailing trend, and the annual growth of a row joined to it as ``s``."""
+    stats = f"""
+select zip_code, count(*) as n_months, max(case when rn = 1 then zhvi_sfr end) as zhvi_last,
+       max(case when rn = 12 then zhvi_sfr end) as zhvi_12th_last
+from (select zip_code, zhvi_sfr, row_number() over (partition by zip_code order by date desc) as rn
+      from fx_zip_market where date >= {_as_of()} - interval 14 month) t group by zip_code"""
+    cur = f"coalesce(nullif(s.zhvi_last, 0), {base})"
+    ago = f"coalesce(nullif(s.zhvi_12th_last, 0), {cur})"
+    return stats, (f"(case when coalesce(s.n_months, 0) >= 12 and {ago} is not null and {ago} > 0 "
+                   f"then least(greatest(({cur} - {ago}) / {ago}, {dbl(-0.1)}), {dbl(0.2)}) "
+                   f"else {dbl(0.04)} end)")
+
+
 def panel_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     as_of = _as_of()
@@ -577,16 +592,7 @@ select r.*, case when a.n < 2 then cast(null as double) when a.f = 0 then {dbl(0
                  else {rhe('(a.l - a.f) / a.f * 100', 2)} end as appreciation
 from tr_rows r join tr_agg a on r.zip_code = a.zip_code""")
     q["valuation_fallback"] = render(_valuation_ctes(), "select * from valuations")
-    stats = f"""
-select zip_code, count(*) as n_months, max(case when rn = 1 then zhvi_sfr end) as zhvi_last,
-       max(case when rn = 12 then zhvi_sfr end) as zhvi_12th_last
-from (select zip_code, zhvi_sfr, row_number() over (partition by zip_code order by date desc) as rn
-      from fx_zip_market where date >= {as_of} - interval 14 month) t group by zip_code"""
-    cur = "coalesce(nullif(s.zhvi_last, 0), v.estimated_value)"
-    ago = f"coalesce(nullif(s.zhvi_12th_last, 0), {cur})"
-    rate = (f"(case when coalesce(s.n_months, 0) >= 12 and {ago} is not null and {ago} > 0 "
-            f"then least(greatest(({cur} - {ago}) / {ago}, {dbl(-0.1)}), {dbl(0.2)}) "
-            f"else {dbl(0.04)} end)")
+    stats, rate = _trend_rate("v.estimated_value")
     fc = f"""
 select v.property_id, v.estimated_value as base_value, {rate} as annual_rate, v.forecast_years
 from valuations v left join trend_stats s on v.zip_code = s.zip_code where v.forecast_years >= 1"""
@@ -621,6 +627,53 @@ where z.zhvi_sfr is not null and z.date >= date '1998-01-01' and c.median_income
     return q
 
 
+def source_queries() -> dict[str, str]:
+    from .plans.registry import named_states
+    from .functions.clean import STATE_ABBREVIATIONS
+    q: dict[str, str] = {}
+    yr = num("year")
+    pair = f"""
+select * from (
+  select upper(trim(sedaleaname)) as district_name, upper(trim(stateabb)) as state,
+         avg({num('gys_mn_all')}) as a0,
+         avg(cast(length(sedaleaname) * 7 - cast(gys_mn_all as integer) % 300 as double)) as a1
+  from fx_seda_raw where cast({yr} as bigint) = (select max(cast({yr} as bigint)) from fx_seda_raw)
+  group by upper(trim(sedaleaname)), upper(trim(stateabb))) t where a0 is not null and a1 is not null"""
+    n0, n1 = (rhe(tdiv(f"a{i} - (select min(a{i}) from pair_scores)",
+                       f"(select max(a{i}) from pair_scores) - (select min(a{i}) from pair_scores)") + " * 100", 1)
+              for i in (0, 1))
+    q["district_scores_pair"] = render(with_fx("fx_seda_raw") + [("pair_scores", pair)], f"""
+select district_name, state, {rhe(f'{n0} * 0.5 + {n1} * 0.5', 1)} as academic_score from pair_scores""")
+    code = "case state_abbr " + " ".join(f"when '{k}' then '{STATE_ABBREVIATIONS[v]}'" for k, v in
+                                         named_states().items() if v in STATE_ABBREVIATIONS) + " end"
+    ctes = air_quality_ctes()
+    names = [n for n, _ in ctes]
+    q["aqi_state_names"] = render(ctes[:names.index("aqi_county") + 1], f"""
+select county_clean, {code} as state_abbr, median_aqi, good_day_pct, air_quality_index from aqi_county
+where {code} is not null""")
+    q["census_two_headers"] = render(census_ctes(), "select * from census")
+    q["labels"] = _feat("""
+select zip_code, median_aqi, case when median_aqi <= 50 then 'Good' when median_aqi <= 100 then 'Moderate'
+       when median_aqi is not null then 'Unhealthy' end as aqi_label, metro_area as short_metro from features""")
+    stats, rate = _trend_rate("v.estimated_value")
+    years = "greatest(coalesce(v.forecast_years, 0), 0)"
+    value = rhe(f"v.estimated_value * pow(1 + {rate}, {years})", -2)
+    q["predict_fallback"] = render(_valuation_ctes() + [("trend_stats", stats)], f"""
+select v.property_id, v.zip_code, v.estimated_value, v.low_estimate, v.high_estimate, v.confidence,
+       v.price_per_sqft, v.model_version, f.value_tier, f.zhvi_sfr, cast({years} as integer) as forecast_rows,
+       case when {years} > 0 then cast(year({_as_of()}) + {years} as integer) end as last_year,
+       case when {years} > 0 then {value} end as last_value,
+       case when {years} > 0 then {rhe(f'{rate} * 100', 1)} end as annual_rate_pct
+from valuations v join features f using (zip_code) left join trend_stats s on v.zip_code = s.zip_code""")
+    q["unmatched_properties"] = render(features_ctes() + with_fx("fx_properties"), """
+select property_id, zip_code from fx_properties
+where zip_code not in (select zip_code from features where median_income is not null)""")
+    q["panel_table"] = render(with_fx("fx_zip_market"), f"""
+select zip_code, date, zhvi_sfr, zhvi_sfrcondo, zori_rent from fx_zip_market
+where date >= {_as_of()} - interval 24 month""")
+    return q
+
+
 def _t(metric: str, scale: float, w: float) -> str:
     return (f"(case when {metric} is not null then least({dbl(1.0)}, {metric} / {dbl(scale)}) "
             f"* {dbl(w)} else {dbl(0.0)} end)")

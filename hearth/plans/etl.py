@@ -134,34 +134,35 @@ def school_zip_stats(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def district_scores(raw: DataFrame) -> DataFrame:
     """Long district score file -> academic_score 0-100 per district.
 
-    Latest year only (a scalar subquery); the 'ELA' and 'math' columns are
-    the same column in the source, so the score is the min-max of one mean.
-    Returns an empty frame with the full schema when columns are missing.
+    Latest year only (a scalar subquery). An all-students mean serves as both
+    the 'ELA' and the 'math' column, as in the source; without one the first
+    two mean columns of the file do. Returns an empty frame with the full
+    schema when columns are missing.
     """
     df = normalize_headers(raw, "lower")
     name_col = first_col(df, SEDA_NAME_CANDIDATES)
     state_col = first_col(df, SEDA_STATE_CANDIDATES)
-    score_col = first_col(df, (), contains="mn_all")
+    both = first_col(df, (), contains="mn_all")
+    scores = [both, both] if both else [c for c in df.columns if "mn_" in c or "_mean" in c][:2]
     empty = df.sparkSession.createDataFrame(
         [], "district_name string, state string, academic_score double")
-    if not name_col or not score_col:
+    if not name_col or len(scores) < 2:
         return empty
     if "year" in df.columns:
         latest = df.select(F.max(to_int("year"))).scalar()
         df = df.where(to_int("year") == latest)
     df = df.select(upper_trim(name_col).alias("district_name"),
                    (upper_trim(state_col) if state_col else F.lit("UNKNOWN")).alias("state"),
-                   to_num(score_col).alias("score"))
+                   *[to_num(c).alias(f"score{i}") for i, c in enumerate(scores)])
     by_district = (df.groupBy("district_name", "state")
-                     .agg(F.avg("score").alias("avg_score"))
-                     .where(F.col("avg_score").isNotNull()))
-    bounds = by_district.select(F.struct(F.min("avg_score").alias("lo"),
-                                         F.max("avg_score").alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    norm = minmax_0_100("avg_score", lo, hi)
-    # 0.5 * ela_norm + 0.5 * math_norm with ela == math
+                     .agg(*[F.avg(f"score{i}").alias(f"avg{i}") for i in (0, 1)])
+                     .where(F.col("avg0").isNotNull() & F.col("avg1").isNotNull()))
+    bounds = by_district.select(F.struct(*[f(f"avg{i}").alias(f"{n}{i}") for i in (0, 1)
+                                           for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
+    ela, math = (minmax_0_100(f"avg{i}", bounds.getField(f"lo{i}"), bounds.getField(f"hi{i}"))
+                 for i in (0, 1))
     return by_district.select("district_name", "state",
-                              round_half_even(norm * 0.5 + norm * 0.5, 1).alias("academic_score"))
+                              round_half_even(ela * 0.5 + math * 0.5, 1).alias("academic_score"))
 
 
 def build_education(schools_raw: DataFrame, scores_raw: DataFrame) -> DataFrame:

@@ -201,7 +201,8 @@ SIMILAR_DEFAULTS = (("zhvi_sfr", 400000.0), ("median_income", 65000.0),
                     ("education_index", 50.0), ("owner_occupied_pct", 60.0))
 SIMILAR_COLS = ("zip_code", "city", "state", "metro_area", "zhvi_sfr", "median_income",
                 "education_index", "owner_occupied_pct")
-FIRST_CELL = 0.05     # first grid cell size, in log units (about 5 % relative)
+CELL_SIZES = tuple(0.0125 * 2 ** i for i in range(10))   # grid cell sizes to choose from, in log units
+CELL_POINTS = 8       # points that share a point's cell, on average, in the first grid
 TINY = 1e-9           # values at or below this share the lowest cell
 
 
@@ -216,6 +217,16 @@ def _distance() -> F.Column:
     return F.sqrt(total)
 
 
+def _first_cell(pts: DataFrame, dims: int) -> float:
+    """The largest of ``CELL_SIZES`` at which a point shares its cell with
+    ``CELL_POINTS`` points on average; one count per size reaches the driver."""
+    sizes = pts.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in CELL_SIZES])))
+    cells = sizes.groupBy("_h", *[F.floor(F.col(f"_u{i}") / F.col("_h")).alias(f"_c{i}") for i in range(dims)]) \
+                 .agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    shared = cells.groupBy("_h").agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("_s"))
+    return max((r["_h"] for r in shared.where(F.col("_s") <= CELL_POINTS).collect()), default=CELL_SIZES[0])
+
+
 def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
                  targets: DataFrame | None = None, first_cell: float | None = None) -> DataFrame:
     """Q13 for many target zips at once: the k most similar other zips.
@@ -234,11 +245,12 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     is more than h away in some log coordinate, so its relative difference
     there, and hence its distance, exceeds 1 - e^-h. A target is settled
     once its k-th distance beats that bound or the box covers every
-    candidate; otherwise the next round uses 4x larger cells. Exact copies
+    candidate; otherwise the next round uses cells of twice the side. The first size
+    comes from the data (``_first_cell``), so that a first round reads about
+    as many pairs per target however many zips there are. Exact copies
     of one value vector are first cut to their k+1 smallest zips, which
-    cannot change any answer. Pairs per target stay roughly constant on
-    spread data; a cell can still be hot when many distinct zips have
-    nearly the same values (see README).
+    cannot change any answer. A cell can still be hot when many distinct zips
+    have nearly the same values (see README).
     """
     from .explore import state_is
     cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("median_income").isNotNull()
@@ -284,7 +296,7 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     todo = need.select("target_zip", "_need", *[f"r_{m}" for m in dims],
                        *[F.log(F.greatest(F.col(f"r_{m}"), F.lit(TINY))).alias(f"_t{i}")
                          for i, m in enumerate(dims)])
-    h = first_cell or FIRST_CELL
+    h = first_cell or _first_cell(pts, len(dims))
     while True:
         cells = pts.select("*", *[F.floor(F.col(f"_u{i}") / h).alias(f"_c{i}")
                                   for i in range(len(dims))])
@@ -315,7 +327,7 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
         todo = todo.join(st.where(~F.col("_done")).select("target_zip"), "target_zip", "left_semi")
         if todo.isEmpty():
             break
-        h *= 4
+        h *= 2
     near = found[0]
     for f in found[1:]:
         near = near.unionByName(f)

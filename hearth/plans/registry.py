@@ -6,14 +6,17 @@ Each query runs the library's builders over the whole driver tables (via
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import (COUNTY_SUFFIXES_CRIME, COUNTY_SUFFIXES_CROSSWALK,
-                               COUNTY_SUFFIXES_QUALITY, clean_county,
-                               state_from_county_name, strip_state_suffix)
+                               COUNTY_SUFFIXES_QUALITY, STATE_ABBREVIATIONS, aqi_label, clean_county,
+                               short_metro, state_from_county_name, strip_state_suffix)
+from ..session import ensure_checkpoint_dir
+from ..sources import io, schemas
 from . import dashboard, etl, explore
 from .catalog import TOP_METROS_MAX_BUDGET, Catalog
 from .recommend import top_metros_for_budget
@@ -378,3 +381,90 @@ def q_distribution_state(spark, sf):
 def q_price_trends_metro(spark, sf):
     return dashboard.price_trends(Catalog.of(spark, sf).zip_market, metro_area="europe",
                                   months=36, interval="month")
+
+
+# --------------------------------------------------------------- second sources, rejects, files
+
+def pair_scores_raw(raw: DataFrame) -> DataFrame:
+    """A district file without an all-students mean: two mean columns instead."""
+    score = F.col("gys_mn_all").cast("int")
+    return raw.select("sedaleaname", "stateabb", "year", F.col("gys_mn_all").alias("gys_mn_ela"),
+                      (F.length("sedaleaname") * 7 - score % 300).cast("string").alias("math_mean"))
+
+
+@query("district_scores_pair")
+def q_district_scores_pair(spark, sf):
+    return etl.district_scores(pair_scores_raw(Catalog.of(spark, sf).fx.fx_seda_raw))
+
+
+def named_states() -> dict[str, str]:
+    """A full state name for each fixture abbreviation; the last one has no postal code."""
+    codes = [a + b for a in "ABCDE" for b in "VWXYZ"]
+    return dict(zip(codes, [*sorted(STATE_ABBREVIATIONS)[:24], "ATLANTIS"]))
+
+
+@query("aqi_state_names")
+def q_aqi_state_names(spark, sf):
+    """The county table of an air-quality file with quoted headers and full state names."""
+    raw = Catalog.of(spark, sf).fx.fx_aqi_raw
+    names = F.create_map(*[F.lit(x) for pair in named_states().items() for x in pair])
+    return etl.aqi_by_county(raw.select(
+        F.initcap(names[F.col("state_abbr")]).alias('"State"'), F.col("county").alias('"County"'),
+        F.col("median_aqi").alias('"Median AQI"'), F.col("good_days").alias('"Good Days"'),
+        F.col("days_with_aqi").alias('"Days with AQI"')))
+
+
+@query("census_two_headers")
+def q_census_two_headers(spark, sf):
+    """Census files that carry their label line as a row."""
+    c = Catalog.of(spark, sf)
+
+    def labelled(df):
+        label = spark.range(1).select(F.lit("Geography").alias("GEO_ID"),
+                                   *[F.lit("Estimate!!Total").alias(x) for x in df.columns if x != "GEO_ID"])
+        return label.unionByName(df)
+
+    return etl.build_census(labelled(c.income_raw), labelled(c.housing_raw))
+
+
+@query("labels")
+def q_labels(spark, sf):
+    f = Catalog.of(spark, sf).features
+    return f.select("zip_code", "median_aqi", aqi_label("median_aqi").alias("aqi_label"),
+                    short_metro(F.concat("metro_area", F.lit(", "), "state")).alias("short_metro"))
+
+
+@query("predict_fallback")
+def q_predict_fallback(spark, sf):
+    """Valuation requests while no model is available: the formula, with the whole response."""
+    from .training import predict
+    c = Catalog.of(spark, sf)
+    p = predict(c.properties, c.features, c.zip_market)
+    last = F.try_element_at("forecast", F.lit(-1))
+    return p.select("property_id", "zip_code", "estimated_value", "low_estimate", "high_estimate", "confidence",
+                    "price_per_sqft", "model_version", F.col("neighborhood_data.value_tier").alias("value_tier"),
+                    F.col("neighborhood_data.zhvi_sfr").alias("zhvi_sfr"),
+                    F.coalesce(F.size("forecast"), F.lit(0)).alias("forecast_rows"),
+                    last["year"].alias("last_year"), last["projected_value"].alias("last_value"),
+                    last["annual_rate_pct"].alias("annual_rate_pct"))
+
+
+@query("unmatched_properties")
+def q_unmatched_properties(spark, sf):
+    """Requests for zips outside the mart of zips with known income."""
+    c = Catalog.of(spark, sf)
+    return valuation.unmatched(c.properties, c.features.where(F.col("median_income").isNotNull())) \
+        .select("property_id", "zip_code")
+
+
+@query("panel_table")
+def q_panel_table(spark, sf):
+    """The panel through its table: schema, month partitions, sorted files, read back by month."""
+    c = Catalog.of(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panel-{uuid.uuid4().hex}"
+    schema = schemas.TABLES["zip_market"]
+    panel = c.zip_market.withColumn("county", F.lit(None).cast("string"))
+    io.write_table(panel, path, schema=schema, partition_by_month=True, sort_cols=["zip_code", "date"])
+    table = io.read_table(spark, path)
+    return table.where(explore.trailing_months(table, 24)) \
+                .select("zip_code", "date", "zhvi_sfr", "zhvi_sfrcondo", "zori_rent")

@@ -29,8 +29,10 @@ def build_training_data(zip_market: DataFrame, census: DataFrame, education: Dat
 
     The WHERE filters run before the window (as in the SQL it mirrors), so
     lags count filtered rows. The window is per zip: its size is bounded by
-    the number of months, not by the data volume. The dimension joins are
-    one row per zip (or per metro-month) and are broadcast by AQE when small.
+    the number of months, not by the data volume. All zip joins and the LAGs
+    come first, on one partitioning by zip; the metro join (one row per metro
+    and month, so it adds no rows) follows. The dimension tables are broadcast
+    by AQE when small.
     """
     z = zip_market.where(F.col("zhvi_sfr").isNotNull() & (F.col("date") >= F.lit(start).cast("date")))
     c = census.select("zip_code", "median_income", "owner_occupied_pct", "total_units",
@@ -44,17 +46,17 @@ def build_training_data(zip_market: DataFrame, census: DataFrame, education: Dat
         F.col("pct_sold_above_list").alias("metro_pct_above_list"))
     nf = features.select("zip_code", "safety_index", "air_quality_index", "natural_amenity_score")
     df = (z.join(c, "zip_code", "left").join(e, "zip_code", "left")
-           .join(m, ["metro_area", "date"], "left").join(nf, "zip_code", "left")
-           .where(F.col("median_income").isNotNull()))
+           .join(nf, "zip_code", "left").where(F.col("median_income").isNotNull()))
     w = Window.partitionBy("zip_code").orderBy("date")
     lag12 = F.lag("zhvi_sfr", 12).over(w)
     lag3 = F.lag("zhvi_sfr", 3).over(w)
-    return df.select(
+    df = df.withColumns({"price_yoy_pct": pct_change(F.col("zhvi_sfr"), lag12),
+                         "price_3mo_pct": pct_change(F.col("zhvi_sfr"), lag3)})
+    return df.join(m, ["metro_area", "date"], "left").select(
         F.col("zhvi_sfr").alias("home_value"), "zip_code", "state", "metro_area",
         F.year("date").alias("year"), F.month("date").alias("month"),
         F.col("zhvi_sfr").alias("current_zhvi"), "zhvi_sfrcondo", "zori_rent",
-        pct_change(F.col("zhvi_sfr"), lag12).alias("price_yoy_pct"),
-        pct_change(F.col("zhvi_sfr"), lag3).alias("price_3mo_pct"),
+        "price_yoy_pct", "price_3mo_pct",
         "median_income", "owner_occupied_pct", "total_units", "median_rooms",
         "education_index", "academic_score", "total_schools",
         "metro_median_price", "metro_days_pending", "metro_heat_index", "metro_inventory",
@@ -181,12 +183,15 @@ def load_model(spark, path: str):
     return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/metrics")
 
 
-def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
-            metrics: DataFrame, as_of=None) -> DataFrame:
-    """Q15 (batch): model valuation of every property whose zip is in the
-    mart, with the property adjustments, confidence and range."""
+def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model=None,
+            metrics: DataFrame | None = None, as_of=None) -> DataFrame:
+    """Q15 (batch): valuation of every property whose zip is in the mart,
+    with the property adjustments, confidence, range and forecast list. The
+    fitted model gives the base price; without a model the formula does
+    (``model_version`` says which). ``valuation.unmatched`` lists the rest."""
     from .explore import as_of_date
-    from .valuation import ML_ADJ, adjusted_value, forecast_fields, growth_rate, recent_trend_stats
+    from .valuation import (FALLBACK_ADJ, FALLBACK_CONFIDENCE, FALLBACK_RANGE, ML_ADJ, adjusted_value,
+                            fallback_base, forecast_fields, growth_rate, recent_trend_stats)
     from ..functions.numeric import falsy_to, round_half_even
 
     as_of_c = as_of_date(panel, as_of)
@@ -208,18 +213,26 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
               "price_yoy_pct": yoy, "price_3mo_pct": mo3}
     for name, source, default in SERVING_DEFAULTS:
         served[name] = F.lit(default) if source is None else falsy_to(F.col(source).cast("double"), default)
-    x = df.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
-                  F.coalesce(F.col("state"), F.lit("UNKNOWN")).alias("_state"))
-    indexer, _imputer, assembler, gbt = model.stages
-    x = gbt.transform(assembler.transform(encode_state(indexer, x)))
-    mape = metrics.select(F.first("mape")).scalar()
-    conf = F.least(F.lit(92.0), F.greatest(F.lit(70.0), 100 - mape * 3))
-    conf = conf - F.when(falsy_to("median_income", 0.0) == 0, 5).otherwise(0) \
-        - F.when(falsy_to("education_index", 0.0) == 0, 3).otherwise(0) \
-        - F.when(n == 0, 4).otherwise(0)
-    est = adjusted_value(F.col("prediction"), ML_ADJ, F.year(as_of_c))
-    margin = (100 - F.col("_conf")) / 100
-    x = x.withColumn("_conf", conf).withColumn("_est", est)
+    if model is None:
+        x = df.withColumn("_est", adjusted_value(fallback_base(), FALLBACK_ADJ, F.year(as_of_c))) \
+              .withColumn("_conf", F.lit(FALLBACK_CONFIDENCE))
+        low, high = (F.col("_est") * f for f in FALLBACK_RANGE)
+        version = "fallback"
+    else:
+        x = df.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
+                      F.coalesce(F.col("state"), F.lit("UNKNOWN")).alias("_state"))
+        indexer, _imputer, assembler, gbt = model.stages
+        x = gbt.transform(assembler.transform(encode_state(indexer, x)))
+        mape = metrics.select(F.first("mape")).scalar()
+        conf = F.least(F.lit(92.0), F.greatest(F.lit(70.0), 100 - mape * 3))
+        conf = conf - F.when(falsy_to("median_income", 0.0) == 0, 5).otherwise(0) \
+            - F.when(falsy_to("education_index", 0.0) == 0, 3).otherwise(0) \
+            - F.when(n == 0, 4).otherwise(0)
+        x = x.withColumn("_conf", conf) \
+             .withColumn("_est", adjusted_value(F.col("prediction"), ML_ADJ, F.year(as_of_c)))
+        margin = (100 - F.col("_conf")) / 100
+        low, high = F.col("_est") * (1 - margin * 1.2), F.col("_est") * (1 + margin * 1.2)
+        version = MODEL_VERSION
     nd = F.struct(*[F.col(c) for c in ("zhvi_sfr", "median_income", "education_index",
                                        "owner_occupied_pct", "safety_index", "air_quality_index",
                                        "natural_amenity_score", "value_tier", "value_score",
@@ -227,11 +240,11 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model,
     out = x.select(
         "property_id", "zip_code", "city", "state", "metro_area",
         round_half_even("_est", -2).alias("estimated_value"),
-        round_half_even(F.col("_est") * (1 - margin * 1.2), -2).alias("low_estimate"),
-        round_half_even(F.col("_est") * (1 + margin * 1.2), -2).alias("high_estimate"),
+        round_half_even(low, -2).alias("low_estimate"),
+        round_half_even(high, -2).alias("high_estimate"),
         round_half_even("_conf", 1).alias("confidence"),
         round_half_even(F.try_divide(F.col("_est"), F.col("sqft")), 2).alias("price_per_sqft"),
-        F.lit(MODEL_VERSION).alias("model_version"), nd.alias("neighborhood_data"),
+        F.lit(version).alias("model_version"), nd.alias("neighborhood_data"),
         "forecast_years", n.alias("_n"), "zhvi_last", "zhvi_12th_last",
         F.year(as_of_c).alias("_year"))
     # the response's forecast list (NULL when no years were requested), built in

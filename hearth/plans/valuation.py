@@ -58,6 +58,11 @@ def adjusted_value(base: Column, p: dict, year_now: Column) -> Column:
     return base * size * bed * bath * age_adj * cond * typ * garage
 
 
+def fallback_base() -> Column:
+    """The formula's base price: house value, else condo value, else a constant."""
+    return falsy_to("zhvi_sfr", falsy_to("zhvi_sfrcondo", FALLBACK_BASE_PRICE))
+
+
 def valuation_fallback(properties: DataFrame, features: DataFrame, panel: DataFrame,
                        as_of=None) -> DataFrame:
     """Formula valuation of every property whose zip is in the mart
@@ -65,8 +70,7 @@ def valuation_fallback(properties: DataFrame, features: DataFrame, panel: DataFr
     year_now = F.year(as_of_date(panel, as_of))
     nb = features.select("zip_code", "city", "state", "metro_area", "zhvi_sfr", "zhvi_sfrcondo")
     df = properties.join(nb, "zip_code", "inner")
-    base = falsy_to("zhvi_sfr", falsy_to("zhvi_sfrcondo", FALLBACK_BASE_PRICE))
-    est = adjusted_value(base, FALLBACK_ADJ, year_now)
+    est = adjusted_value(fallback_base(), FALLBACK_ADJ, year_now)
     lo, hi = FALLBACK_RANGE
     return df.select(
         "property_id", "zip_code", "city", "state", "metro_area", "forecast_years",

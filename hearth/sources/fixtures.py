@@ -30,13 +30,14 @@ FX_SQL: dict[str, str] = {
     "fx_zip_market": f"""
 select {_zip('l_suppkey')} as zip_code, s_name as city, {_STATE} as state,
        r_name || '-' || cast(s_suppkey % 4 as string) as metro_area,
-       cast(date_trunc('month', l_shipdate) as date) as date,
+       m.date, zhvi_sfr, zhvi_sfrcondo, zori_rent
+from (select l_suppkey, cast(date_trunc('month', l_shipdate) as date) as date,
        cast(floor(cast(sum(cast(round(l_extendedprice * 100, 0) as bigint)) as double) / count(*) / 10) as double) as zhvi_sfr,
        cast(floor(cast(sum(cast(round(l_extendedprice * 100, 0) as bigint) * (100 - cast(round(l_discount * 100, 0) as bigint))) as double) / count(*) / 1000) as double) as zhvi_sfrcondo,
        case when min(l_quantity) < 10 then cast(floor(sum(l_quantity) * 60 / count(*)) as double) end as zori_rent
-from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey
-join {{nation}} on s_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey
-group by l_suppkey, s_suppkey, s_name, n_nationkey, r_name, cast(date_trunc('month', l_shipdate) as date)""",
+      from {{lineitem}} group by l_suppkey, cast(date_trunc('month', l_shipdate) as date)) m
+join {{supplier}} on l_suppkey = s_suppkey
+join {{nation}} on s_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey""",
 
     "fx_metro_market": """
 select r_name || '-' || cast(c_custkey % 4 as string) as metro_area, r_name as state,
@@ -108,13 +109,15 @@ from {{part}} join {{nation}} on n_nationkey = p_partkey % 25""",
     "fx_features_base": f"""
 select {_zip('c_custkey')} as zip_code, c_name as city, {_STATE} as state,
        case when c_custkey % 29 = 0 then null else r_name || '-' || cast(c_custkey % 4 as string) end as metro_area,
-       cast(floor(cast(sum(cast(round(o_totalprice * 100, 0) as bigint)) as double) / count(*) * 3 / 100) as double) as zhvi_sfr,
-       cast(floor(cast(sum(cast(round(o_totalprice * 100, 0) as bigint)) as double) / count(*) / 40) as double) as zhvi_sfrcondo,
-       case when c_custkey % 5 = 0 then null else cast(floor(cast(sum(cast(round(o_totalprice * 100, 0) as bigint)) as double) / count(*) / 10000) as double) end as zori_rent,
-       max(cast(o_orderdate as date)) as last_updated
-from {{customer}} join {{orders}} on o_custkey = c_custkey
-join {{nation}} on c_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey
-group by c_custkey, c_name, n_nationkey, r_name""",
+       cast(floor(cents / n * 3 / 100) as double) as zhvi_sfr,
+       cast(floor(cents / n / 40) as double) as zhvi_sfrcondo,
+       case when c_custkey % 5 = 0 then null else cast(floor(cents / n / 10000) as double) end as zori_rent,
+       last_updated
+from (select o_custkey, cast(sum(cast(round(o_totalprice * 100, 0) as bigint)) as double) as cents,
+       count(*) as n, max(cast(o_orderdate as date)) as last_updated
+      from {{orders}} group by o_custkey) o
+join {{customer}} on o_custkey = c_custkey
+join {{nation}} on c_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey""",
 
     "fx_properties": f"""
 select o_orderkey as property_id, {_zip('o_custkey')} as zip_code,

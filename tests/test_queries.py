@@ -257,3 +257,22 @@ def test_mart_scores_recomputed_in_pandas(catalog):
 def test_capped_top_k_plans(spark):
     plan = _plan(E.queries()["recommend"](spark, SF_SMALL))
     assert "WindowGroupLimit" in plan
+
+
+def test_first_cell_shrinks_as_points_crowd(spark):
+    from hearth.plans.recommend import CELL_SIZES, _first_cell
+    spread = spark.range(400).select(*[(F.col("id") * (i + 1) * 0.37 % 9).alias(f"_u{i}") for i in range(4)])
+    crowded = spread.select(*[(F.col(c) / 300).alias(c) for c in spread.columns])
+    assert _first_cell(spread, 4) > _first_cell(crowded, 4)
+    assert _first_cell(spread.where("_u0 < 0"), 4) == CELL_SIZES[0]
+
+
+def test_predict_without_a_model_is_the_formula(spark):
+    from hearth.plans.catalog import Catalog
+    from hearth.plans.training import predict
+    from hearth.plans.valuation import valuation_fallback
+    c = Catalog.of(spark, SF_SMALL)
+    cols = ["property_id", "estimated_value", "low_estimate", "high_estimate", "confidence", "model_version"]
+    got = predict(c.properties, c.features, c.zip_market).select(*cols)
+    want = valuation_fallback(c.properties, c.features, c.zip_market).select(*cols)
+    assert sorted(got.collect()) == sorted(want.collect())
