@@ -393,3 +393,21 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert set(out) == expect and all(r.round_trip for r in out.values())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources",
                                                            "encode_pieces"]
+
+
+def test_pipeline_dedup_keeps_one_row_of_repeated_ids(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    one, other, third = _text(rng, n=50), _text(rng, n=50), _text(rng, n=50)
+    near = other + " again"
+    rows = [(4, one), (4, one), (4, one), (7, other), (7, third), (9, near)]
+    data = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact_dedup(spark, data, "")
+    assert sorted((r.doc_id, r.text) for r in exact.collect()) == sorted({(4, one), (7, other), (7, third), (9, near)})
+    assert exact.where("doc_id = 4").first().source == "s0"
+    # a larger id of a group goes, also where its id is smaller in another group
+    data = spark.createDataFrame([(7, other), (7, third), (9, near), (5, third + " too"), (8, one)], "doc_id long, text string") \
+        .selectExpr("*", "'en' as lang", "'s' as source", "0L as n_chars")
+    kept = corpus_pipeline.near_dedup(spark, data, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(7, other), (5, third + " too"), (8, one)])
