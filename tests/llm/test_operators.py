@@ -411,3 +411,22 @@ def test_pipeline_dedup_keeps_one_row_of_repeated_ids(spark):
         .selectExpr("*", "'en' as lang", "'s' as source", "0L as n_chars")
     kept = corpus_pipeline.near_dedup(spark, data, "").collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(7, other), (5, third + " too"), (8, one)])
+
+
+def test_pipeline_keeps_documents_without_id(spark, tmp_path):
+    import corpus_pipeline
+    rng = random.Random(12)
+    alone, shared, near, twice = (_text(rng, n=50) for _ in range(4))
+    rows = [(None, alone), (None, shared), (3, shared), (None, twice), (None, twice), (6, near), (None, near + " again"), (8, "x y")]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows],
+                          "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    exact = corpus_pipeline.exact_dedup(spark, docs, "")
+    expect = [(None, alone), (3, shared), (None, twice), (6, near), (None, near + " again"), (8, "x y")]
+    assert collections.Counter((r.doc_id, r.text) for r in exact.collect()) == collections.Counter(expect)
+    kept = corpus_pipeline.near_dedup(spark, exact, "")
+    expect.remove((None, near + " again"))
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(expect)
+    out = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert out == {None: 2, 3: 1, 6: 1, 8: 1}
