@@ -14,6 +14,10 @@ running sums that cut the partial pass are windows over a source's blocks and
 over one block's documents, never over a whole source. Each pass visits the
 blocks in an order of its own (``order_key``).
 
+The covering mix (``cover``) takes, for each exponent, the smallest budget with
+which the largest source is read once; every source gets its whole passes and
+its partial one, so a document has at least one copy.
+
 Cases: a null source is a source of its own; null and empty texts have one
 token (the end); repeated rows are separate documents; one source gets the
 whole budget; an empty table gives no rows; a budget above ``max_repeats``
@@ -49,17 +53,22 @@ def _bisect(holds) -> Column:
 
 
 def mixing_weights(shares: DataFrame, budget: Column | None = None, max_repeats: float | None = MAX_REPEATS,
-                   target_entropy: float | None = None) -> DataFrame:
+                   target_entropy: float | None = None, cover: bool = False) -> DataFrame:
     """(source, tokens) -> source, tokens, exponent, weight, budget, passes, rest.
 
     ``budget``: a column over one row with `total` (all tokens) and `t`
     (tokens by source); by default all tokens. One row holds all sources.
+    ``cover``: the smallest budget with which every source is read once, in
+    place of ``budget``.
     """
+    if cover and budget is not None:
+        raise ValueError("cover sets the budget itself")
     one = shares.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("k"), "source",
                                                           F.col("tokens")))).alias("s"))
     one = one.withColumn("t", F.transform("s", lambda x: x["tokens"].cast("double")))
     one = one.withColumn("total", F.aggregate("t", F.lit(0.0), lambda a, b: a + b))
-    one = one.withColumn("b", (budget if budget is not None else F.col("total")).cast("double"))
+    if not cover:
+        one = one.withColumn("b", (budget if budget is not None else F.col("total")).cast("double"))
     add = lambda a, b: a + b
 
     def norm(a):
@@ -67,7 +76,10 @@ def mixing_weights(shares: DataFrame, budget: Column | None = None, max_repeats:
 
     def repeats_ok(a):
         most = F.array_max(F.transform("t", lambda x: F.pow(x / F.col("total"), a) / x))
-        return F.col("b") * most <= max_repeats * norm(a)
+        return (covering(a) if cover else F.col("b")) * most <= max_repeats * norm(a)
+
+    def covering(a):
+        return F.array_max(F.transform("t", lambda x: x / F.pow(x / F.col("total"), a))) * norm(a)
 
     def entropy(a):
         z = norm(a)
@@ -83,14 +95,26 @@ def mixing_weights(shares: DataFrame, budget: Column | None = None, max_repeats:
                       .otherwise(1 - _bisect(lambda c: entropy(1 - c) >= goal)))
     a = limits[0] if len(limits) == 1 else F.greatest(*limits) if limits else F.lit(1.0)
     one = one.withColumn("exponent", F.round(a, 9)).withColumn("z", norm(F.col("exponent")))
+    if cover:
+        one = one.withColumn("b", covering(F.col("exponent")))
     out = one.select("exponent", "b", "z", "total", F.explode("s").alias("x")).select(
         F.col("x.source").alias("source"), F.col("x.tokens").alias("tokens"), "exponent",
         (F.pow(F.col("x.tokens") / F.col("total"), F.col("exponent")) / F.col("z")).alias("weight"), "b")
     out = out.withColumn("budget", F.floor(F.round(F.col("b") * F.col("weight"), 3)).cast("long"))
+    if cover:          # rounding drops no document and repeats none too often
+        out = out.withColumn("budget", F.greatest("budget", "tokens"))
+        if max_repeats is not None:
+            out = out.withColumn("budget", F.least("budget", F.floor(F.col("tokens") * max_repeats).cast("long")))
     return out.select("source", "tokens", "exponent", "weight", "budget",
                       F.expr("budget div tokens").alias("passes"), F.expr("budget % tokens").alias("rest"))
 
 
+def place(id_col: str, seed: str = SEED) -> Column:
+    """Where a document stands in its source's order: 32 bits of a seeded md5."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 keep: tuple[str, ...] = (), seed: str = SEED, block_tokens: int = BLOCK_TOKENS,
                 max_blocks: int = MAX_BLOCKS, cover: bool = False, **limits) -> DataFrame:
@@ -99,54 +123,39 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``cover``: take the smallest budget with which every source is seen at
     least once, so the mix only repeats documents and drops none.
     ``limits``: budget, max_repeats, target_entropy of ``mixing_weights``.
+    With ``keep`` (texts, say) the running sums are made without those
+    columns, and each source's last drawn document is looked up.
     """
     staged = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *keep,
                          F.col(text_col).alias("_text")).withColumn("n_tokens", F.expr(TOKENS).cast("long"))
     if text_col not in keep:
         staged = staged.drop("_text")
     shares = staged.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    if cover:
-        weights = cover_weights(shares, limits.get("max_repeats", MAX_REPEATS))
-    else:
-        weights = mixing_weights(shares, **limits)
+    weights = mixing_weights(shares, cover=cover, **limits)
     weights = weights.withColumn(
         "n_blocks", F.least(F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)), F.lit(max_blocks)))
-    # where a document stands in its source's order: 32 bits of a seeded md5
-    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))), 1, 8), 16, 10)
-    placed = staged.withColumn("_u", place.cast("long")) \
-        .join(weights.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s") \
-        .withColumn("block", F.floor(F.col("_u") * F.col("n_blocks") / (1 << 32)).cast("int"))
-    if cover:
-        return placed.withColumn("copies", F.col("passes")).drop("_u")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias("_k")
-    blocks = placed.groupBy(key, "block").agg(F.sum("n_tokens").alias("_sum"))
+    placed = staged.withColumn("_u", place("doc_id", seed)) \
+        .join(F.broadcast(weights.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s") \
+        .withColumn("block", F.floor(F.col("_u") * F.col("n_blocks") / (1 << 32)).cast("int")) \
+        .withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))
+    narrow = placed.drop(*[c for c in (*keep, "_text") if c not in ("doc_id", "source")]) if keep else placed
+    blocks = narrow.groupBy("_k", "block").agg(F.sum("n_tokens").alias("_sum"))
     before = Window.partitionBy("_k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy("_k", "block").orderBy("_u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = placed.withColumn("_k", key).join(blocks, ["_k", "block"]) \
+    # equal ids of a source are drawn together, as in SQL's default frame
+    inside = Window.partitionBy("_k", "block").orderBy("_u", "doc_id").rangeBetween(Window.unboundedPreceding, 0)
+    summed = narrow.join(blocks, ["_k", "block"]) \
         .withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(inside))
-    return drawn.withColumn("copies", F.col("passes") + (F.col("_upto") <= F.col("rest")).cast("long")) \
+    again = F.col("_upto") <= F.col("rest")
+    if keep:
+        at = F.struct("block", "_u", "doc_id")
+        last = summed.where(again).groupBy("_k").agg(F.max(at).alias("_last"))
+        summed = placed.join(F.broadcast(last), "_k", "left")
+        again = F.coalesce(at <= F.col("_last"), F.lit(False))
+    return summed.withColumn("copies", F.col("passes") + again.cast("long")) \
         .select("doc_id", "source", *keep, "n_tokens", "exponent", "weight", "block", "copies")
 
 
-def cover_weights(shares: DataFrame, max_repeats: float) -> DataFrame:
-    """Weights whose passes are whole and between 1 and ``max_repeats``: the mix at the smallest covering budget.
-
-    At budget B source s is read B * w_s / t_s times, most for the smallest
-    source; with B = max(t_s / w_s) the largest is read once. Passes are cut
-    to whole ones, which keeps every document.
-    """
-    top, least = shares.agg(F.max("tokens")).scalar(), shares.agg(F.min("tokens")).scalar()
-    ratio = (F.col("top") / F.col("least")).cast("double")
-    flat = F.when(ratio <= max_repeats, F.lit(1.0)).otherwise(F.log(F.lit(float(max_repeats))) / F.log(ratio))
-    out = shares.withColumn("top", top).withColumn("least", least).withColumn("exponent", F.round(1 - flat, 9))
-    out = out.withColumn("_r", F.pow(F.col("top") / F.col("tokens"), 1 - F.col("exponent")))
-    out = out.withColumn("passes", F.greatest(F.floor(F.col("_r") + 1e-6), F.lit(1)).cast("long"))
-    total = F.sum(F.col("tokens") * F.col("passes")).over(Window.partitionBy(F.lit(0)))
-    return out.select("source", "tokens", "exponent", (F.col("tokens") * F.col("passes") / total).alias("weight"),
-                      (F.col("tokens") * F.col("passes")).alias("budget"), "passes", F.lit(0).cast("long").alias("rest"))
-
-
 def realise(drawn: DataFrame, seed: str = SEED) -> DataFrame:
     """Copies as rows with `epoch` and `order_key`: sorting by it visits every source's blocks in random turns."""
     return drawn.where("copies > 0").withColumn("epoch", F.explode(F.expr("sequence(1L, copies)"))) \

@@ -430,3 +430,29 @@ def test_pipeline_keeps_documents_without_id(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(expect)
     out = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert out == {None: 2, 3: 1, 6: 1, 8: 1}
+
+
+def test_covering_mix_reaches_its_weights(spark):
+    import corpus_pipeline
+    sizes = {"a": 1200, "b": 400, "c": 200, "d": 120, None: 80}            # shares 60/20/10/6/4
+    rows = [(1000 * k + i, "w w w w", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for keep in ((), ("text",)):
+        out = mixing.mix_sources(data, block_tokens=100, cover=True, max_repeats=2.0, keep=keep).collect()
+        drawn, weight = collections.Counter(), {}
+        for r in out:
+            drawn[r.source] += r.copies
+            weight[r.source] = r.weight
+        assert len(out) == len(rows) and {r.copies for r in out} == {1, 2}
+        flat = math.log(2) / math.log(1200 / 80)
+        for s, n in sizes.items():
+            assert drawn[s] / n == pytest.approx((1200 / n) ** flat, abs=1.5 / n)
+            assert drawn[s] / sum(drawn.values()) == pytest.approx(weight[s], abs=1e-3)
+    # a ratio under the limit: all sources alike
+    few = data.where("source in ('c', 'd')")
+    few = mixing.mix_sources(few, cover=True, max_repeats=2.0).groupBy("source").agg(F.sum("copies").alias("n"))
+    assert {r.source: r.n for r in few.collect()} == {"c": 200, "d": 200}
+    docs = data.selectExpr("doc_id", "concat(text, doc_id) as text", "'en' as lang", "source", "0L as n_chars")
+    mixed = corpus_pipeline.mix(spark, docs, "").groupBy("source").count().collect()
+    for r in mixed:
+        assert r["count"] / sizes[r.source] == pytest.approx((1200 / sizes[r.source]) ** flat, abs=1.5 / sizes[r.source])
