@@ -162,6 +162,11 @@ def realise(drawn: DataFrame, seed: str = SEED) -> DataFrame:
         .withColumn("order_key", F.md5(F.concat_ws("|", F.lit(seed), "epoch", F.coalesce("source", F.lit("")), "block")))
 
 
+def in_order(realised: DataFrame, seed: str = SEED) -> DataFrame:
+    """Rows sorted as they are to be visited: blocks by ``order_key``, a block's documents in their source's order."""
+    return realised.orderBy("order_key", place("doc_id", seed), "doc_id")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     """Copies of every document in the flattest mix of as many tokens that repeats no source over 4 times."""
     out = mix_sources(documents(spark, sf_dir))

@@ -456,3 +456,20 @@ def test_covering_mix_reaches_its_weights(spark):
     mixed = corpus_pipeline.mix(spark, docs, "").groupBy("source").count().collect()
     for r in mixed:
         assert r["count"] / sizes[r.source] == pytest.approx((1200 / sizes[r.source]) ** flat, abs=1.5 / sizes[r.source])
+
+
+def test_pipeline_writes_the_draw_in_block_order(spark, tmp_path):
+    import corpus_pipeline
+    rows = [(i, f"w w w w {i}", "en", "ab"[i % 4 == 0], 0) for i in range(2000)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix(spark, data.repartition(5), "").write.parquet(f"{tmp_path}/mixed")
+    out = []
+    for part in sorted(tmp_path.glob("mixed/part-*")):
+        out += [(r.order_key, r.epoch, r.source, r.doc_id) for r in spark.read.parquet(str(part)).collect()]
+    assert len(out) > 2000 and {e for _, e, _, _ in out} == {1, 2}
+    assert [x[0] for x in out] == sorted(x[0] for x in out)                       # blocks in the order of their keys
+    assert len({x[0] for x in out}) == len({x[:3] for x in out}) >= 3 and len(set(out)) == len(out)
+    first = [d for _, e, s, d in out if (e, s) == (1, "a")]
+    assert sorted(first) != first and len(first) == len(set(first)) == 1500      # a seeded order, every document once
+    again = corpus_pipeline.mix(spark, data, "").collect()
+    assert [(r.order_key, r.epoch, r.source, r.doc_id) for r in again] == out
