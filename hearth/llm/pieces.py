@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, slices, store
 
 SPACE = "▁"
 OWN_SPACE = "\udc81"          # U+2581 of the text itself; a lone surrogate is in no valid text
 FALLBACK = 10.0
 CACHE_ENTRIES = 500_000
+DECODE_ROWS = 500
 _worker: dict = {}
 
 
@@ -139,9 +140,9 @@ def _coder(pieces, key) -> PieceCoder:
 
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-                  digest: bool = False) -> DataFrame:
-    """doc_id, n_pieces, score and `ids`; with ``digest`` instead of ids their crc32
-    and `round_trip`, whether decoding them gives the text back.
+                  digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` columns, n_pieces, score and `ids`; with ``digest`` instead of ids
+    their crc32 and `round_trip`, whether decoding them gives the text back.
 
     The pieces (a file's fixed table) travel with the function.
     """
@@ -151,13 +152,13 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         coder = _coder(pieces, key)
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 4 << 20):
-                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            for lo, hi in slices(batch.column(0), 4 << 20):
+                texts = [t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()]
                 got = [coder.encode(t) for t in texts]
                 sizes = np.array([len(g) // 4 for g, _ in got], np.int64)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(sizes),
+                columns = [*batch.slice(lo, hi - lo).columns[1:], pa.array(sizes),
                            pa.array([s for _, s in got], pa.float64())]
-                names = ["doc_id", "n_pieces", "score"]
+                names = ["doc_id", *keep, "n_pieces", "score"]
                 if digest:
                     same = [coder.decode(np.frombuffer(g, "<i4").tolist()) == t for (g, _), t in zip(got, texts)]
                     columns += [pa.array([zlib.crc32(g) for g, _ in got], pa.int64()), pa.array(same, pa.bool_())]
@@ -169,28 +170,50 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    carried = docs.select(F.col(id_col).alias("doc_id"), *keep)
     last = "ids_crc32 long, round_trip boolean" if digest else "ids array<int>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, f"doc_id {kind}, n_pieces long, score double, {last}")
+    return docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep) \
+        .mapInArrow(run, f"{_fields(carried)}, n_pieces long, score double, {last}")
 
 
-def decode_pieces(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, text of rows with `ids` (null ids: empty text)."""
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def decode_pieces(encoded: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` columns, text and crc32 of the ids, of rows with `ids` (null ids: empty text)."""
     pieces = load_pieces(vocabulary or default_vocabulary())
     key = (vocabulary, len(pieces))
 
     def run(batches):
         coder = _coder(pieces, key)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([coder.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())],
-                names=["doc_id", "text"])
-
-    kind = encoded.select("doc_id").schema[0].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+            for lo in range(0, len(batch), DECODE_ROWS):
+                part = batch.slice(lo, DECODE_ROWS)
+                ids = part.column(0)
+                flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+                own = [flat[a:b] if ok else flat[:0] for a, b, ok in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], pa.array([coder.decode(x.tolist()) for x in own], pa.string()),
+                     pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in own], pa.int64())],
+                    names=["doc_id", *keep, "text", "ids_crc32"])
+
+    return encoded.select("ids", "doc_id", *keep) \
+        .mapInArrow(run, f"{_fields(encoded.select('doc_id', *keep))}, text string, ids_crc32 long")
+
+
+def checked_pieces(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` columns, n_pieces, score, ids, and of the ids as written and read again:
+    their crc32 and `round_trip`, whether they decode to the text (by its length and SHA-256).
+    """
+    seen = lambda text: F.concat_ws(":", F.octet_length(text), F.sha2(text, 256))
+    docs = docs.withColumn("_seen", seen(F.coalesce("text", F.lit(""))))
+    encoded = store(encode_pieces(docs, keep=(*keep, "_seen")), "pieces")
+    carried = (*keep, "n_pieces", "score")
+    return decode_pieces(encoded.withColumn("_ids", F.col("ids")), keep=(*carried, "_ids", "_seen")) \
+        .select("doc_id", *carried, F.col("_ids").alias("ids"), "ids_crc32", (seen("text") == F.col("_seen")).alias("round_trip"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Pieces of every whole text: count, score, crc32 of the ids, and whether they decode to the text."""
-    return encode_pieces(documents(spark, sf_dir), digest=True)
+    """Pieces of every whole text: count, score, ids, their crc32, and whether they decode to the text."""
+    return checked_pieces(documents(spark, sf_dir))

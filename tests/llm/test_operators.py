@@ -473,3 +473,17 @@ def test_pipeline_writes_the_draw_in_block_order(spark, tmp_path):
     assert sorted(first) != first and len(first) == len(set(first)) == 1500      # a seeded order, every document once
     again = corpus_pipeline.mix(spark, data, "").collect()
     assert [(r.order_key, r.epoch, r.source, r.doc_id) for r in again] == out
+
+
+def test_op7_returns_ids_that_decode(spark, docs, tmp_path):
+    import corpus_pipeline
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = pieces.op7(spark, str(tmp_path))
+    assert dict(out.dtypes)["ids"] == "array<int>"
+    got = sorted((_key(r.doc_id), r.n_pieces, r.ids_crc32, r.round_trip) for r in out.collect())
+    plain = pieces.encode_pieces(docs).collect()
+    assert got == sorted((_key(r.doc_id), len(r.ids), zlib.crc32(np.array(r.ids, "<i4").tobytes()), True) for r in plain)
+    texts = sorted((_key(r.doc_id), r.text) for r in pieces.decode_pieces(out).collect())
+    assert texts == sorted((_key(r[0]), r[1] or "") for r in _rows())
+    last = corpus_pipeline.encode(spark, docs, "")
+    assert {"ids", "ids_crc32", "round_trip"} <= set(last.columns) and last.where("size(ids) <> n_pieces").count() == 0
