@@ -181,12 +181,13 @@ def _fields(df: DataFrame) -> str:
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep`` columns, text and crc32 of the ids, of rows with `ids` (null ids: empty text)."""
+    """doc_id, ``keep`` columns, ids, text and crc32 of the ids, of rows with `ids` (null ids: empty text)."""
     pieces = load_pieces(vocabulary or default_vocabulary())
     key = (vocabulary, len(pieces))
 
     def run(batches):
         coder = _coder(pieces, key)
+        coder.cache.clear()                      # words of an encoding before; only room is lost
         for batch in batches:
             for lo in range(0, len(batch), DECODE_ROWS):
                 part = batch.slice(lo, DECODE_ROWS)
@@ -194,12 +195,12 @@ def decode_pieces(encoded: DataFrame, vocabulary: str | None = None, keep: tuple
                 flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
                 own = [flat[a:b] if ok else flat[:0] for a, b, ok in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array([coder.decode(x.tolist()) for x in own], pa.string()),
+                    [*part.columns[1:], ids, pa.array([coder.decode(x.tolist()) for x in own], pa.string()),
                      pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in own], pa.int64())],
-                    names=["doc_id", *keep, "text", "ids_crc32"])
+                    names=["doc_id", *keep, "ids", "text", "ids_crc32"])
 
     return encoded.select("ids", "doc_id", *keep) \
-        .mapInArrow(run, f"{_fields(encoded.select('doc_id', *keep))}, text string, ids_crc32 long")
+        .mapInArrow(run, f"{_fields(encoded.select('doc_id', *keep))}, ids array<int>, text string, ids_crc32 long")
 
 
 def checked_pieces(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -210,8 +211,8 @@ def checked_pieces(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     docs = docs.withColumn("_seen", seen(F.coalesce("text", F.lit(""))))
     encoded = store(encode_pieces(docs, keep=(*keep, "_seen")), "pieces")
     carried = (*keep, "n_pieces", "score")
-    return decode_pieces(encoded.withColumn("_ids", F.col("ids")), keep=(*carried, "_ids", "_seen")) \
-        .select("doc_id", *carried, F.col("_ids").alias("ids"), "ids_crc32", (seen("text") == F.col("_seen")).alias("round_trip"))
+    return decode_pieces(encoded, keep=(*carried, "_seen")) \
+        .select("doc_id", *carried, "ids", "ids_crc32", (seen("text") == F.col("_seen")).alias("round_trip"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
