@@ -31,6 +31,8 @@ DIMENSIONS = 512
 MAX_LANGUAGES = 2000
 UND = "und"
 UNITS = 1 << 20
+#: Texts of more trigrams are scaled alone: whole units for each trigram would lose their weight.
+LONG = 1 << 12
 _cache: dict = {}
 
 
@@ -94,8 +96,13 @@ def _fit_task(dims: int):
             for lo, hi in slices(batch.column(0)):
                 grams = Trigrams([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()], dims)
                 langs = np.array(lang_all[lo:hi], object)
-                # each text has the same weight, dealt evenly (in whole units) to its trigrams
-                weight = (UNITS // np.maximum(np.diff(grams.bounds), 1))[grams.doc]
+                # each text has the same weight, dealt evenly to its trigrams: in whole units, or
+                # for a long text by scaling its whole bundle
+                size = np.diff(grams.bounds)
+                weight = np.where(size > LONG, 0, UNITS // np.maximum(size, 1))[grams.doc]
+                for i in np.flatnonzero(size > LONG):
+                    got = np.rint(grams.bundle(i) * (UNITS / float(size[i]))).astype(np.int64)
+                    sums[langs[i]] = sums.get(langs[i], 0) + got
                 for lang in set(langs):
                     own = np.flatnonzero(langs == lang)
                     mine = np.isin(grams.doc, own)

@@ -487,3 +487,19 @@ def test_op7_returns_ids_that_decode(spark, docs, tmp_path):
     assert texts == sorted((_key(r[0]), r[1] or "") for r in _rows())
     last = corpus_pipeline.encode(spark, docs, "")
     assert {"ids", "ids_crc32", "round_trip"} <= set(last.columns) and last.where("size(ids) <> n_pieces").count() == 0
+
+
+def test_language_id_learns_from_very_long_texts(spark):
+    rng = random.Random(6)
+    long = {x: (_text(rng, x, 4000) + " ") for x in ("en", "de")}
+    long = {x: t * (1_300_000 // len(t) + 1) for x, t in long.items()}
+    assert all(len(langid.Trigrams([t]).doc) > 1_100_000 for t in long.values())
+    model = langid.fit_prototypes(spark.createDataFrame(list(long.items()), "lang string, text string"))
+    assert all(np.abs(v).max() > langid.UNITS // 100 for v in model.values())
+    tests = [(i, _text(rng, "de" if i % 2 else "en", 80)) for i in range(20)]
+    got = langid.predict_language(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: "de" if i % 2 else "en" for i in range(20)}
+    # a text repeated to any length weighs as much as one copy
+    once = long["en"][:len(long["en"]) // 40]
+    short = langid.fit_prototypes(spark.createDataFrame([("en", once)], "lang string, text string"))["en"]
+    assert np.linalg.norm(model["en"]) == pytest.approx(np.linalg.norm(short), rel=0.2)
