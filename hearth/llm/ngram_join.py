@@ -102,7 +102,8 @@ def band_edges(percent: int, limit: int) -> list[int]:
         first += 1
     edges = [first]
     while edges[-1] <= limit:
-        edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * RATIO)))
+        # linked sets lie in one band or the next: a band reaches 100 / percent times its first size
+        edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * RATIO), -(-100 * edges[-1] // percent)))
     return edges
 
 

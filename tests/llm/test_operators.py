@@ -503,3 +503,15 @@ def test_language_id_learns_from_very_long_texts(spark):
     once = long["en"][:len(long["en"]) // 40]
     short = langid.fit_prototypes(spark.createDataFrame([("en", once)], "lang string, text string"))["en"]
     assert np.linalg.norm(model["en"]) == pytest.approx(np.linalg.norm(short), rel=0.2)
+
+
+def test_links_share_a_key_below_80_percent():
+    rng = np.random.default_rng(4)
+    for percent, large in ((60, 100), (60, 41), (50, 90), (70, 50)):
+        a = rng.integers(0, 2**63, large, dtype=np.uint64)
+        for small in range(-(-percent * large // 100), large):
+            b = a[:small]
+            sets, bounds = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)])
+            sig = ngram_join.signatures(sets, bounds)
+            keys, owner = ngram_join.part_keys(sets, bounds, sig, percent)
+            assert set(keys[owner == sig[0]]) & set(keys[owner == sig[1]]), (percent, large, small)
