@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, ngram_join, pieces, ppm, quality, quotes, token_files, toxicity
+from . import decontam, exact_dedup, langid, mixing, ngram_join, pieces, ppm, quality, quotes, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": langid.op8,
     "op9_token_files": token_files.op9,
     "op10_mix_sources": mixing.op10,
+    "op12_decontaminate": decontam.op12,
 }
 
 ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE_OP2,
     "op5_exact_dedup": exact_dedup.ORACLE_OP5,
     "op10_mix_sources": mixing.ORACLE_OP10,
+    "op12_decontaminate": decontam.ORACLE_OP12,
 }
