@@ -100,11 +100,11 @@ _LOWER[65:91] += 32
 class Words:
     """Words of a list of byte texts: byte spans, owning row and 64-bit hash, in text order."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, separators: np.ndarray = _IS_SPACE):
         buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         if lower:
             buf = _LOWER[buf]
-        space = _IS_SPACE[buf]
+        space = separators[buf]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
