@@ -117,7 +117,11 @@ def _opt(prefs: DataFrame, name: str, dtype: str) -> F.Column:
 
 
 PROFILE = ("max_budget", "min_budget", "priorities", "u_state", "u_metro", "u_min_edu", "u_min_income")
-BLOCK = 256
+# The index of zips: at most STRATA price strata of STRATUM zips or more, cut into blocks of
+# BLOCK zips by quality; a profile's first look is at SEED_BLOCKS of each of SEED_STRATA strata.
+STRATA, STRATUM, BLOCK = 256, 128, 16
+SEED_STRATA, SEED_BLOCKS = 2, 2
+ROUNDING = 0.0501          # half a step of the rounded score, and float noise
 
 
 def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10) -> DataFrame:
@@ -126,12 +130,10 @@ def recommend(features: DataFrame, prefs: DataFrame, limit: int = 10) -> DataFra
     A result depends on the preferences only, so each distinct set of
     preferences (a profile) is scored once and its users take the result.
     A profile's candidates are the zips priced at most 1.2 x max_budget and
-    at least 0.8 x min_budget that pass its optional filters. Zips are
-    numbered by (price desc, zip); a profile meets those from its price cap
-    (``merged_positions``) to its price floor, block by block, and every
-    qualifying one is scored. The top-k window keeps ``limit`` rows per
-    profile before the shuffle. A profile without candidates gives no rows
-    (see ``without_candidates``).
+    at least 0.8 x min_budget that pass its optional filters. Only zips that can
+    be among its ``limit`` best are scored (``scored_pairs``); the top-k window keeps
+    ``limit`` rows per profile before the shuffle. A profile without
+    candidates gives no rows (see ``without_candidates``).
     """
     best = _ranked(features, profiles(prefs), limit)
     users = _keyed(prefs).select("user_id", "_profile")
@@ -161,35 +163,130 @@ def profiles(prefs: DataFrame) -> DataFrame:
     return _keyed(prefs).groupBy("_profile").agg(*[F.first(c).alias(c) for c in PROFILE])
 
 
-def _ranked(features: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    from ..operators.positions import band_join, merged_positions
-    cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("city").isNotNull()) \
-                   .select(*RESULT_COLS)
+def _qualify() -> F.Column:
+    """Whether a zip passes a profile's price range and optional filters."""
+    return ((F.col("zhvi_sfr") <= F.col("_cap"))
+            & (F.col("_floor").isNull() | (F.col("zhvi_sfr") >= F.col("_floor")))
+            & (F.col("u_state").isNull() | (F.upper("state") == F.upper("u_state")))
+            & (F.col("u_metro").isNull()
+               | F.lower("metro_area").contains(F.lower(F.coalesce("u_metro", F.lit("")))))
+            & (F.col("u_min_edu").isNull() | (F.col("u_min_edu") == 0)
+               | (F.col("education_index") >= F.col("u_min_edu")))
+            & (F.col("u_min_income").isNull() | (F.col("u_min_income") == 0)
+               | (F.col("median_income") >= F.col("u_min_income"))))
+
+
+def zip_index(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The zips by price stratum and block (_s, _b), and one row per stratum with the extremes of it and its blocks.
+
+    Strata are runs of the order by price, so prices within one are close; a
+    stratum's zips are cut into blocks by quality (education and income). Extremes: the
+    price range, the largest sum of each priority's terms, education and income, and, for a
+    block, its states and metros.
+    """
+    from ..operators.positions import with_positions
+    cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("city").isNotNull()).select(*RESULT_COLS)
+    width = max(STRATUM, -(-cand.count() // STRATA))
+    placed = with_positions(cand, [F.col("zhvi_sfr").desc(), F.col("zip_code").asc()]) \
+        .withColumn("_s", F.floor(F.col("_pos") / width))
+    quality = F.coalesce(F.col("education_index"), F.lit(0.0)) / METRIC_MAX["education_index"] \
+        + F.coalesce(F.col("median_income"), F.lit(0.0)) / METRIC_MAX["median_income"]
+    inside = Window.partitionBy("_s").orderBy(quality.desc(), "zip_code")
+    placed = cut_lineage(placed.withColumn("_b", F.floor((F.row_number().over(inside) - 1) / BLOCK)).drop("_pos"))
+    terms = [sum((_metric_term(m, w) for m, w in mw[1:]), _metric_term(*mw[0])) for mw in PRIORITY_WEIGHTS.values()]
+    blocks = placed.groupBy("_s", "_b").agg(
+        F.min("zhvi_sfr").alias("lo"), F.max("zhvi_sfr").alias("hi"), F.array(*[F.max(t) for t in terms]).alias("terms"),
+        F.max("education_index").alias("edu"), F.max("median_income").alias("inc"),
+        F.collect_set(F.upper("state")).alias("states"), F.collect_set(F.lower("metro_area")).alias("metros"))
+    strata = blocks.groupBy("_s").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.array(*[F.max(F.col("terms")[i]) for i in range(len(terms))]).alias("terms"),
+        F.max("edu").alias("edu"), F.max("inc").alias("inc"),
+        F.collect_list(F.struct("_b", "lo", "hi", "terms", "edu", "inc", "states", "metros")).alias("blocks"))
+    return placed, cut_lineage(strata)
+
+
+def score_bound(x) -> F.Column:
+    """At least the score of every zip among those whose extremes are ``x``; not rounded."""
+    mx = F.col("max_budget")
+    mn = F.coalesce(F.nullif(F.col("min_budget"), F.lit(0.0)), mx * 0.5)
+    best = mx * 0.85
+    nearest = F.greatest(F.greatest(x["lo"], mn), F.least(F.least(x["hi"], mx), best))
+    within = F.when((x["hi"] >= mn) & (x["lo"] <= mx) & (mn <= mx),
+                    F.greatest(F.lit(0.0), 1.0 - F.abs(nearest - best) / (mx * 0.5)) * 40)
+    below = F.when(x["lo"] < mn, F.lit(15.0))
+    above = F.when(x["hi"] > mx, 0.0 - (F.greatest(x["lo"], mx) - mx) / mx * 30)
+    budget = F.greatest(within, below, above, F.lit(-1000.0))
+
+    def most(p):
+        out = None
+        for i, name in enumerate(PRIORITY_WEIGHTS):
+            out = F.when(p == name, x["terms"][i]) if out is None else out.when(p == name, x["terms"][i])
+        return out.otherwise(F.lit(0.0))
+
+    n = F.size("priorities")
+    wishes = F.aggregate(F.transform("priorities", most), F.lit(0.0), lambda a, b: a + b) / n * 40
+    s = F.when(n > 0, budget + wishes).otherwise(budget) \
+        + F.greatest(F.coalesce(x["edu"], F.lit(0.0)), F.lit(0.0)) / 100 * 10 \
+        + F.greatest(F.lit(0.0), F.least(F.lit(10.0), (F.coalesce(x["inc"], F.lit(0.0)) - 50000) / 20000))
+    return F.when(mx > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), s))).otherwise(F.lit(100.0))
+
+
+def _may_qualify(x, names: bool) -> F.Column:
+    wanted = lambda value, least: least.isNull() | (least == 0) | (value >= least)
+    ok = ((x["lo"] <= F.col("_cap")) & (F.col("_floor").isNull() | (x["hi"] >= F.col("_floor")))
+          & wanted(x["edu"], F.col("u_min_edu")) & wanted(x["inc"], F.col("u_min_income")))
+    if names:
+        metro = F.lower(F.coalesce("u_metro", F.lit("")))
+        ok = ok & (F.col("u_state").isNull() | F.array_contains(x["states"], F.upper("u_state"))) \
+            & (F.col("u_metro").isNull() | F.exists(x["metros"], lambda m: m.contains(metro)))
+    return F.coalesce(ok, F.lit(False))
+
+
+def _blocks_of(looks: DataFrame, strata: DataFrame, pick) -> DataFrame:
+    """Profiles with the blocks (_s, _b) of their strata that ``pick`` keeps of the qualifying (bound, _b), best first."""
+    x = F.filter("blocks", lambda b: _may_qualify(b, True))
+    bounds = F.sort_array(F.transform(x, lambda b: F.struct(score_bound(b).alias("bound"), b["_b"].alias("_b"))), asc=False)
+    return looks.join(strata.select("_s", "blocks"), "_s").withColumn("_bounds", bounds) \
+        .drop("blocks").withColumn("_b", F.explode(pick(F.col("_bounds")))).withColumn("_b", F.col("_b._b")).drop("_bounds")
+
+
+def scored_pairs(features: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """(profile, zip) pairs with match_score, among them each profile's ``limit`` best.
+
+    Block-max search: a profile bounds its score in each price stratum by the
+    stratum's extremes, looks into the best few blocks of its best strata, and takes its k-th
+    score there as the threshold; then it meets the blocks whose bound reaches
+    the threshold, ties included, and no other. The list of strata (at most STRATA) is handed to
+    every profile; blocks and zips come by joins on their numbers.
+    """
+    zips, strata = zip_index(features)
     asked = asked.select(
         "*", (F.col("max_budget") * BUDGET_OVER).alias("_cap"),
         F.when(F.coalesce(F.col("min_budget"), F.lit(0.0)) != 0,
                F.col("min_budget") * BUDGET_UNDER).alias("_floor"))
-    # one pass: candidates numbered by (price desc, zip), each profile's start
-    # = number of candidates priced above its cap
-    pos, todo = merged_positions(asked, cand, "_cap", "zhvi_sfr", "_profile", "zip_code",
-                                 descending=True, marker_first=True)
-    qualify = ((F.col("_floor").isNull() | (F.col("zhvi_sfr") >= F.col("_floor")))
-               & (F.col("u_state").isNull() | (F.upper("state") == F.upper("u_state")))
-               & (F.col("u_metro").isNull()
-                  | F.lower("metro_area").contains(F.lower(F.coalesce("u_metro", F.lit("")))))
-               & (F.col("u_min_edu").isNull() | (F.col("u_min_edu") == 0)
-                  | (F.col("education_index") >= F.col("u_min_edu")))
-               & (F.col("u_min_income").isNull() | (F.col("u_min_income") == 0)
-                  | (F.col("median_income") >= F.col("u_min_income"))))
-    # the cheapest price of each block: blocks below a profile's floor are not read
-    blocks = pos.groupBy(F.floor(F.col("_pos") / BLOCK).alias("_b")).agg(F.max("zhvi_sfr").alias("top"))
-    tops = blocks.select(F.array_sort(F.collect_list(F.struct("_b", "top")))).scalar()
-    todo = todo.withColumn("_tops", tops)
-    last = F.aggregate("_tops", F.col("_start") - 1, lambda a, b: F.when(
-        F.col("_floor").isNull() | (b["top"] >= F.col("_floor")), F.greatest(a, (b["_b"] + 1) * BLOCK - 1)).otherwise(a))
-    todo = todo.withColumn("_reach", last - F.col("_start")).drop("_tops").where("_reach >= 0")
-    pairs = band_join(todo, pos, "_start", "_pos", 0, F.col("_reach"), block=BLOCK).where(qualify)
-    scored = pairs.withColumn("match_score", match_score()).withColumn("reason", reason())
+    listed = strata.select(F.collect_list(F.struct("_s", "lo", "hi", "terms", "edu", "inc"))).scalar()
+    near = F.filter("_all", lambda x: _may_qualify(x, False))
+    looks = asked.withColumn("_all", listed).withColumn("_near", F.sort_array(
+        F.transform(near, lambda x: F.struct(score_bound(x).alias("bound"), x["_s"].alias("_s"))), asc=False)).drop("_all")
+    looks = cut_lineage(looks.where(F.size("_near") > 0))
+
+    first = looks.select("*", F.explode(F.slice("_near", 1, SEED_STRATA)).alias("_n")).drop("_near") \
+        .withColumn("_s", F.col("_n._s")).drop("_n")
+    seeds = _blocks_of(first, strata, lambda b: F.slice(b, 1, SEED_BLOCKS)).join(zips, ["_s", "_b"]).where(_qualify()) \
+        .select("_profile", match_score().alias("score"))
+    # at most SEED_STRATA * SEED_BLOCKS * BLOCK scores a profile
+    kth = seeds.groupBy("_profile").agg(
+        F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(limit)).alias("kth"))
+    rest = looks.join(kth, "_profile", "left").withColumn("_least", F.coalesce("kth", F.lit(-1.0)) - ROUNDING).drop("kth")
+    rest = rest.withColumn("_n", F.explode(F.filter("_near", lambda x: x["bound"] >= F.col("_least")))).drop("_near") \
+        .withColumn("_s", F.col("_n._s")).drop("_n")
+    met = _blocks_of(rest, strata, lambda b: F.filter(b, lambda x: x["bound"] >= F.col("_least")))
+    return met.join(zips, ["_s", "_b"]).where(_qualify()).withColumn("match_score", match_score())
+
+
+def _ranked(features: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    scored = scored_pairs(features, asked, limit).withColumn("reason", reason())
     best = Window.partitionBy("_profile").orderBy(F.col("match_score").desc(),
                                                   F.col("zhvi_sfr").desc(), F.col("zip_code").asc())
     return (scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
