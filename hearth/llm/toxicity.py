@@ -40,7 +40,9 @@ LAMBDA = 0.8
 SPAN = 6
 FLOOR = 0.4
 LONGEST = 24
+#: Words a worker's table holds in each generation, and different views it holds.
 CACHE_ENTRIES = 400_000
+CACHE_ROWS = 50_000
 _GAPS = [(b, c) for c in range(2, SPAN) for b in range(1, c)]      # offsets of the 2nd and 3rd letter
 _OTHER = re.compile(r"[\W\d_]+")
 _worker: dict = {}
@@ -118,7 +120,12 @@ class Kernel:
         table = np.zeros((len(self.codes), len(landmarks)))
         np.add.at(table, (np.searchsorted(self.codes, code), row), weight)
         norm = np.sqrt(self_kernel(landmarks))
-        self.table = (table / np.maximum(norm, 1e-12)).astype(np.float32)
+        table = (table / np.maximum(norm, 1e-12)).astype(np.float32)
+        # most triples are in few landmarks: the table's rows as lists of (landmark, value)
+        at, self.column = np.nonzero(table)
+        self.value = table[at, self.column].astype(np.float64)
+        self.count = np.append(np.bincount(at, minlength=len(self.codes)), 0)
+        self.start = np.append(np.cumsum(self.count[:-1]) - self.count[:-1], 0)
         self.place = np.full(self.base ** 3, -1, np.int32)
         self.place[self.codes] = np.arange(len(self.codes))
         self.m = len(landmarks)
@@ -133,11 +140,13 @@ class Kernel:
             row, place, weight = row[hit], place[hit], weight[hit]
             if not len(row):
                 continue
-            order = np.argsort(row, kind="stable")
-            row, place, weight = row[order], place[order], weight[order]
-            cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            raw = np.add.reduceat(self.table[place] * weight[:, None], cut, axis=0)
-            rows = row[cut]
+            n = self.count[place]
+            owner = np.repeat(np.arange(len(row)), n)
+            entry = np.arange(len(owner)) + np.repeat(self.start[place] - (np.cumsum(n) - n), n)
+            dense = np.bincount(row[owner] * self.m + self.column[entry], weights=weight[owner] * self.value[entry],
+                                minlength=len(part) * self.m).reshape(-1, self.m)
+            rows = np.flatnonzero(np.bincount(row, minlength=len(part)))
+            raw = dense[rows]
             # K(s, s) is at least the sum of squared single weights: most words can't reach the floor
             size = np.array([len(part[r]) for r in rows])
             least = sum(np.maximum(size - c, 0) * LAMBDA ** (2 * c + 2) for _, c in _GAPS)
@@ -149,42 +158,72 @@ class Kernel:
 
 
 class Viewer:
-    """Best kernel value of a text's words for each landmark; values of words kept per Python worker."""
+    """Best kernel value of a text's words for each landmark.
+
+    Values are kept per Python worker, for words as written and for the letters they stand for, in
+    tables of two generations: the older goes when the younger is full, and words still in use move over.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.kernel = Kernel(landmarks)
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.letters: dict[str, int] = {}
         self.rows = [np.zeros(len(landmarks), np.float32)]
+        self.place = {self.rows[0].tobytes(): 0}
+
+    def _row(self, view: np.ndarray) -> int:
+        return self.place.setdefault(view.tobytes(), len(self.place))
+
+    def _turn(self) -> None:
+        if len(self.rows) > CACHE_ROWS:
+            self.known, self.older, self.letters = {}, {}, {}
+            del self.rows[1:]
+            self.place = {self.rows[0].tobytes(): 0}
+        elif len(self.known) > CACHE_ENTRIES:
+            self.known, self.older, self.letters = {}, self.known, {}
 
     def _learn(self, words: set[str]) -> None:
-        flat, owner = [], []
-        new = list(words)
-        for i, w in enumerate(new):
-            for u in units(w):
-                flat.append(u)
-                owner.append(i)
-        best: dict[int, np.ndarray] = {}
-        if flat:
-            values = self.kernel(flat)
-            for j in np.flatnonzero(values.max(1) >= FLOOR):
-                i = owner[j]
-                best[i] = np.maximum(best[i], values[j]) if i in best else values[j]
-        for i, w in enumerate(new):
-            if i in best:
-                self.known[w] = len(self.rows)
-                self.rows.append(np.maximum(0, (best[i] - FLOOR) / (1 - FLOOR)))
+        todo, standing = [], {}
+        for w in words:
+            at = self.older.get(w)
+            if at is None:
+                found = units(w)
+                standing[w] = found
+                todo += [u for u in found if u not in self.letters]
+            else:
+                self.known[w] = at
+        todo = list(dict.fromkeys(todo))
+        if todo:
+            values = self.kernel(todo)
+            high = set(np.flatnonzero(values.max(1) >= FLOOR).tolist())
+            for j, u in enumerate(todo):
+                if j in high:
+                    view = np.maximum(0, (values[j] - FLOOR) / (1 - FLOOR)).astype(np.float32)
+                    self.letters[u] = self._row(view)
+                    if self.letters[u] == len(self.rows):
+                        self.rows.append(view)
+                else:
+                    self.letters[u] = 0
+        for w, found in standing.items():
+            at = {self.letters[u] for u in found}
+            at.discard(0)
+            if len(at) > 1:
+                view = np.max([self.rows[k] for k in at], axis=0)
+                k = self._row(view)
+                if k == len(self.rows):
+                    self.rows.append(view)
             else:
-                self.known[w] = 0
+                k = at.pop() if at else 0
+            self.known[w] = k
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.rows = {}, self.rows[:1]
-        split = [read_words(t) for t in texts]
-        self._learn({w for words in split for w in words if w not in self.known})
-        known = self.known
+        self._turn()
+        split = [set(read_words(t)) for t in texts]
+        self._learn(set().union(*(s.difference(self.known) for s in split)))
         out = np.zeros((len(texts), self.kernel.m), np.float32)
         for i, words in enumerate(split):
-            used = {known[w] for w in words}
+            used = set(map(self.known.__getitem__, words))
             used.discard(0)
             if used:
                 out[i] = np.max([self.rows[k] for k in used], axis=0)
@@ -214,6 +253,8 @@ def choose_landmarks(sample: DataFrame, m: int = LANDMARKS) -> list[str]:
     """Words of (text, toxic) rows with the largest z-score of their log-odds, no two with a kernel over 0.85."""
     words = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.regexp_replace(x, r"[^\p{L}]+", "")))
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if toxic in (0, total):                          # one label alone says nothing
+        return []
     counts = sample.select("toxic", F.explode(words).alias("w")).where(F.length("w").between(3, LONGEST)) \
         .groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("t >= 4")
     t, c = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
