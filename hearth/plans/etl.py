@@ -20,6 +20,7 @@ from ..functions.indices import (air_quality_index, education_index, minmax_0_10
                                  natural_amenity_score, p95_clip_score, pct,
                                  rate_per_100k, safety_index)
 from ..functions.numeric import exact_mean, nonzero, round_half_even, to_int, to_num
+from ..operators.selection import exact_percentiles
 from ..operators.county import join_county_metrics
 from ..operators.reshape import align_outer, melt_wide
 from ..session import cut_lineage
@@ -172,7 +173,7 @@ def build_education(schools_raw: DataFrame, scores_raw: DataFrame) -> DataFrame:
                    .groupBy("zip_code")
                    .agg(exact_mean("academic_score", 1).alias("academic_score")))
     result = by_zip.join(seda_by_zip, "zip_code", "left")
-    p95 = result.select(F.percentile(F.col("total_schools").cast("double"), 0.95)).scalar()
+    p95 = F.lit(exact_percentiles(result, {"total_schools": [0.95]})["total_schools", 0.95]).cast("double")
     schools_norm = p95_clip_score(F.col("total_schools").cast("double"), p95)
     return result.select(
         "zip_code", "total_schools", "charter_schools", "charter_pct", "academic_score",
@@ -215,10 +216,8 @@ def crime_by_county(raw: DataFrame, suffixes=COUNTY_SUFFIXES_CRIME) -> DataFrame
                       state_from_county_name("COUNTY_NAME").alias("state_abbr"),
                       rate_per_100k(violent, pop).alias("violent_crime_rate"),
                       rate_per_100k(prop, pop).alias("property_crime_rate"))
-    # one subquery for both statistics (referenced twice, executed once)
-    p95 = rates.select(F.struct(F.percentile("violent_crime_rate", 0.95).alias("v"),
-                                F.percentile("property_crime_rate", 0.95).alias("p"))).scalar()
-    p95v, p95p = p95.getField("v"), p95.getField("p")
+    p95 = exact_percentiles(rates, {"violent_crime_rate": [0.95], "property_crime_rate": [0.95]})
+    p95v, p95p = (F.lit(p95[c, 0.95]).cast("double") for c in ("violent_crime_rate", "property_crime_rate"))
     out = rates.withColumn("safety_index", safety_index("violent_crime_rate",
                                                         "property_crime_rate", p95v, p95p))
     return out.dropna()
@@ -249,7 +248,7 @@ def aqi_by_county(raw: DataFrame, state_is_abbreviation: bool = False,
                      to_num("median_aqi").alias("median_aqi"),
                      round_half_even(to_num("good_days") / nonzero(to_num("days_with_aqi")) * 100.0,
                                      1).alias("good_day_pct"))
-    p95 = base.select(F.percentile("median_aqi", 0.95)).scalar()
+    p95 = F.lit(exact_percentiles(base, {"median_aqi": [0.95]})["median_aqi", 0.95]).cast("double")
     return base.withColumn("air_quality_index", air_quality_index("median_aqi", p95)).dropna()
 
 
