@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_round_half_up, round_half_even
+from ..operators.kdtree import LEAF, near_cells, split_cells
 from ..session import cut_lineage
 
 
@@ -298,9 +297,7 @@ SIMILAR_DEFAULTS = (("zhvi_sfr", 400000.0), ("median_income", 65000.0),
                     ("education_index", 50.0), ("owner_occupied_pct", 60.0))
 SIMILAR_COLS = ("zip_code", "city", "state", "metro_area", "zhvi_sfr", "median_income",
                 "education_index", "owner_occupied_pct")
-CELL_SIZES = tuple(0.0125 * 2 ** i for i in range(10))   # grid cell sizes to choose from, in log units
-CELL_POINTS = 8       # points that share a point's cell, on average, in the first grid
-TINY = 1e-9           # values at or below this share the lowest cell
+TINY = 1e-9           # values at or below this are one value to the splits
 
 
 def _distance() -> F.Column:
@@ -314,18 +311,8 @@ def _distance() -> F.Column:
     return F.sqrt(total)
 
 
-def _first_cell(pts: DataFrame, dims: int) -> float:
-    """The largest of ``CELL_SIZES`` at which a point shares its cell with
-    ``CELL_POINTS`` points on average; one count per size reaches the driver."""
-    sizes = pts.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in CELL_SIZES])))
-    cells = sizes.groupBy("_h", *[F.floor(F.col(f"_u{i}") / F.col("_h")).alias(f"_c{i}") for i in range(dims)]) \
-                 .agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    shared = cells.groupBy("_h").agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("_s"))
-    return max((r["_h"] for r in shared.where(F.col("_s") <= CELL_POINTS).collect()), default=CELL_SIZES[0])
-
-
 def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
-                 targets: DataFrame | None = None, first_cell: float | None = None) -> DataFrame:
+                 targets: DataFrame | None = None, leaf: int | None = None) -> DataFrame:
     """Q13 for many target zips at once: the k most similar other zips.
 
     Order is distance ascending with NULL distances first (the warehouse's
@@ -334,20 +321,12 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     so the k+1 smallest such zips are one bounded array handed to every
     target by a scalar subquery.
 
-    Targets still short of k take an exact nearest-neighbour search over a
-    grid instead of all pairs. Candidate values are taken in log space
-    (values at or below ``TINY`` share the lowest cell) and bucketed into
-    cells of side h; a target reads the 3^4 cells around its own reference
-    point (an equi-join on the four cell ids). A candidate outside that box
-    is more than h away in some log coordinate, so its relative difference
-    there, and hence its distance, exceeds 1 - e^-h. A target is settled
-    once its k-th distance beats that bound or the box covers every
-    candidate; otherwise the next round uses cells of twice the side. The first size
-    comes from the data (``_first_cell``), so that a first round reads about
-    as many pairs per target however many zips there are. Exact copies
-    of one value vector are first cut to their k+1 smallest zips, which
-    cannot change any answer. A cell can still be hot when many distinct zips
-    have nearly the same values (see README).
+    Targets still short of k take an exact nearest-neighbour search instead of all
+    pairs (``operators.kdtree``): candidates are cut into cells of at most ``leaf`` zips
+    by their values on a log scale, and a target goes down the cells, leaving those
+    whose box is farther away than its k-th neighbour can be. Crowded values are cut finer
+    and a far target skips empty space. Exact copies of one value vector are first cut to their k+1
+    smallest zips, which cannot change any answer.
     """
     from .explore import state_is
     cand = features.where(F.col("zhvi_sfr").isNotNull() & F.col("median_income").isNotNull()
@@ -374,60 +353,26 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     tg = tg.withColumn("_need", F.lit(k) - F.size("_nulls"))
 
     scored = cand.where(F.col("owner_occupied_pct").isNotNull()).select("zip_code", *dims)
-    n_total = scored.select(F.count(F.lit(1))).scalar()
     need = cut_lineage(tg.where(F.col("_need") > 0))
-    found = []
     if need.isEmpty():          # the NULL-distance head already answers everyone
         return _similar_output(tg, None, cand)
-    # Grid search in log space. Exact copies beyond the k+1 smallest zips of
-    # one value vector can never be chosen (at most one of them is the
-    # target itself), so each vector is cut to k+1 rows first.
+    # exact copies beyond the k+1 smallest zips of one value vector can never be
+    # chosen (at most one of them is the target itself)
     copies = Window.partitionBy(*dims).orderBy("zip_code")
-    pts = scored.withColumn("_g", F.row_number().over(copies)).where(F.col("_g") <= k + 1) \
-                .drop("_g")
-    logs = {m: F.log(F.greatest(F.col(m), F.lit(TINY))) for m in dims}
-    pts = cut_lineage(pts.select("zip_code", *dims, *[logs[m].alias(f"_u{i}")
-                                                      for i, m in enumerate(dims)]))
-    span = pts.select(F.struct(*[F.min(f"_u{i}").alias(f"lo{i}") for i in range(len(dims))],
-                               *[F.max(f"_u{i}").alias(f"hi{i}") for i in range(len(dims))])).scalar()
-    todo = need.select("target_zip", "_need", *[f"r_{m}" for m in dims],
-                       *[F.log(F.greatest(F.col(f"r_{m}"), F.lit(TINY))).alias(f"_t{i}")
-                         for i, m in enumerate(dims)])
-    h = first_cell or _first_cell(pts, len(dims))
-    while True:
-        cells = pts.select("*", *[F.floor(F.col(f"_u{i}") / h).alias(f"_c{i}")
-                                  for i in range(len(dims))])
-        probe = todo
-        for i in range(len(dims)):
-            c = F.floor(F.col(f"_t{i}") / h)
-            probe = probe.withColumn(f"_c{i}", F.explode(F.sequence(c - 1, c + 1)))
-        pairs = (probe.join(cells, [f"_c{i}" for i in range(len(dims))])
-                      .where(F.col("zip_code") != F.col("target_zip")))
-        near_k = (pairs.select("target_zip", "zip_code", item(_distance()).alias("_it"))
-                  .withColumn("_rk", F.row_number().over(
-                      Window.partitionBy("target_zip").orderBy(F.col("_it.d"), F.col("zip_code"))))
-                  .where(F.col("_rk") <= k)
-                  .groupBy("target_zip").agg(F.sort_array(F.collect_list("_it")).alias("_all")))
-        st = todo.join(near_k, "target_zip", "left")
-        best = F.slice(F.coalesce(F.col("_all"), F.array()), 1, F.col("_need"))
-        kth = F.try_element_at(best, F.col("_need"))["d"]
-        bound = 1.0 - math.exp(-h)           # any point outside the 3^4 cell box is this far
-        covered = None
-        for i in range(len(dims)):
-            c = F.floor(F.col(f"_t{i}") / h)
-            inside = (F.floor(span.getField(f"lo{i}") / h) >= c - 1) & \
-                     (F.floor(span.getField(f"hi{i}") / h) <= c + 1)
-            covered = inside if covered is None else covered & inside
-        done = ((F.size(best) >= F.col("_need")) & (kth < bound * (1 - 1e-9))) | covered
-        st = cut_lineage(st.select("target_zip", best.alias("_best"), done.alias("_done")))
-        found.append(st.where("_done").select("target_zip", "_best"))
-        todo = todo.join(st.where(~F.col("_done")).select("target_zip"), "target_zip", "left_semi")
-        if todo.isEmpty():
-            break
-        h *= 2
-    near = found[0]
-    for f in found[1:]:
-        near = near.unionByName(f)
+    pts = scored.withColumn("_g", F.row_number().over(copies)).where(F.col("_g") <= k + 1).drop("_g")
+    coords = [f"_u{i}" for i in range(len(dims))]
+    logs = [F.log(F.greatest(F.col(m), F.lit(TINY))).alias(u) for m, u in zip(dims, coords)]
+    pts, rounds = split_cells(pts.select("zip_code", *dims, *logs), coords, leaf or LEAF)
+    todo = need.select("target_zip", "_need", *[f"r_{m}" for m in dims])
+    cells = near_cells(todo, pts, rounds, dims, "target_zip", "_need")
+    pairs = cells.join(pts.select("zip_code", *dims, F.col(f"_c{rounds}").alias("_n")), "_n") \
+        .where(F.col("zip_code") != F.col("target_zip"))
+    near = (pairs.select("target_zip", "_need", "zip_code", item(_distance()).alias("_it"))
+            .withColumn("_rk", F.row_number().over(
+                Window.partitionBy("target_zip").orderBy(F.col("_it.d"), F.col("zip_code"))))
+            .where(F.col("_rk") <= k)
+            .groupBy("target_zip", "_need").agg(F.sort_array(F.collect_list("_it")).alias("_all"))
+            .select("target_zip", F.slice("_all", 1, F.col("_need")).alias("_best")))
     return _similar_output(tg, near, cand)
 
 

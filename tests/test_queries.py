@@ -131,7 +131,7 @@ def test_similar_matches_brute_force(spark, catalog, fill_owner):
     if fill_owner:   # everyone has a distance: the banded search does all the work
         f = f.withColumn("owner_occupied_pct", F.coalesce("owner_occupied_pct", F.lit(55.0)))
     got = sorted((r.target_zip, r.rank, r.zip_code)
-                 for r in find_similar(f, k=4, first_cell=0.01).collect())
+                 for r in find_similar(f, k=4, leaf=8).collect())
     assert got == _brute_similar(f.toPandas(), 4)
 
 
@@ -259,14 +259,6 @@ def test_capped_top_k_plans(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_first_cell_shrinks_as_points_crowd(spark):
-    from hearth.plans.recommend import CELL_SIZES, _first_cell
-    spread = spark.range(400).select(*[(F.col("id") * (i + 1) * 0.37 % 9).alias(f"_u{i}") for i in range(4)])
-    crowded = spread.select(*[(F.col(c) / 300).alias(c) for c in spread.columns])
-    assert _first_cell(spread, 4) > _first_cell(crowded, 4)
-    assert _first_cell(spread.where("_u0 < 0"), 4) == CELL_SIZES[0]
-
-
 def test_predict_without_a_model_is_the_formula(spark):
     from hearth.plans.catalog import Catalog
     from hearth.plans.training import predict
