@@ -1,8 +1,9 @@
 """Exact duplicates by Patricia-trie owners.
 
 Every map task inserts its whole texts into a compressed radix trie and
-keeps one row per distinct text (largest or smallest id, count, the text),
-so a group of copies of any size crosses the shuffle once per task. Rows
+keeps one row per distinct text (largest or smallest id, count, the text); the
+ids of its rows leave the task at once, so a group of copies takes one terminal
+node's room. A group of copies of any size crosses the shuffle once per task. Rows
 are dealt by (byte length, content hash) into partitions, where a second
 trie over the full byte strings joins the tasks' rows; its terminal nodes
 hold the owner of the text. Each document then looks its own task's row up
@@ -37,42 +38,56 @@ class PatriciaTrie:
     """Compressed radix trie from byte strings to payloads merged by ``merge``.
 
     A node is [edge label, children by first byte, payload or None]; the
-    labels on the way to a node spell its string. ``items`` yields every
-    string once, resident branches first, then the spilled ones.
+    labels on the way to a node spell its string. ``merge(a, b)`` adds b to a in
+    place. ``insert`` returns the string's payload, or None if its branch is
+    spilled. ``items`` yields every string once, resident branches first, then
+    the spilled ones.
     """
 
+    PAYLOAD_BYTES = 200
+
     def __init__(self, merge: Callable, budget: int = 64 << 20):
         self.merge, self.budget = merge, budget
         self.root: list = [b"", {}, None]
         self.size: dict[int, int] = {}
         self.spilled: dict[int, object] = {}
 
-    def insert(self, s: bytes, payload) -> None:
+    def _merged(self, node: list, payload):
+        if node[2] is None:
+            node[2] = payload
+        else:
+            self.merge(node[2], payload)
+        return node[2]
+
+    def insert(self, s: bytes, payload):
         if not s:
-            self.root[2] = payload if self.root[2] is None else self.merge(self.root[2], payload)
-            return
+            return self._merged(self.root, payload)
         first = s[0]
         if first in self.spilled:
             pickle.dump((s, payload), self.spilled[first])
-            return
-        self.size[first] = self.size.get(first, 0) + self._put(s, payload) + 64
-        if sum(self.size.values()) > self.budget:
-            self._spill()
-
-    def _put(self, s: bytes, payload) -> int:
-        """Insert below the root; returns the bytes of labels added."""
+            return None
+        added, got = self._put(s, payload)
+        if got is payload:
+            self.size[first] = self.size.get(first, 0) + added + self.PAYLOAD_BYTES
+            if sum(self.size.values()) > self.budget:
+                self._spill()
+                if first in self.spilled:
+                    return None
+        return got
+
+    def _put(self, s: bytes, payload) -> tuple[int, list]:
+        """Insert below the root; returns the bytes of labels added and the string's payload."""
         node, at = self.root, 0
         while True:
             child = node[1].get(s[at])
             if child is None:
                 node[1][s[at]] = [s[at:], {}, payload]
-                return len(s) - at
+                return len(s) - at, payload
             label = child[0]
             if s.startswith(label, at):
                 node, at = child, at + len(label)
                 if at == len(s):
-                    child[2] = payload if child[2] is None else self.merge(child[2], payload)
-                    return 0
+                    return 0, self._merged(child, payload)
                 continue
             lo, hi = 1, min(len(label), len(s) - at)      # longest common prefix, by halves
             while lo < hi:
@@ -84,9 +99,9 @@ class PatriciaTrie:
             node[1][s[at]] = upper
             if at + lo == len(s):
                 upper[2] = payload
-                return 0
+                return 0, payload
             upper[1][s[at + lo]] = [s[at + lo:], {}, payload]
-            return len(s) - at - lo
+            return len(s) - at - lo, payload
 
     def _spill(self) -> None:
         first = max(self.size, key=self.size.get)
@@ -155,24 +170,33 @@ def _local_pass(keep: str, budget: int):
     schema = pa.schema([("doc_id", pa.int64()), ("rep", pa.int64()), ("keep", pa.int64()), ("n", pa.int64()),
                         ("n_bytes", pa.int64()), ("hash", pa.int64()), ("text", pa.binary())])
 
+    def merge(a, b):
+        # [number that names the text in this task, best id, rows, ids still to be given their number]
+        a[0] = b[0] if a[0] is None else a[0]
+        a[1], a[2] = _better(a[1], b[1], keep), a[2] + b[2]
+        a[3] += b[3]
+
     def run(batches):
-        # payload: [row number that names the text in this task, best id, the ids]
-        trie = PatriciaTrie(lambda a, b: (a[0] + b[0], _better(a[1], b[1], keep)), budget)
+        trie = PatriciaTrie(merge, budget)
 
-        def rows():
+        def flat():
+            numbers = 0
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                    trie.insert(text, ([doc_id], doc_id))
-            for text, (ids, best) in trie.items():
-                digest = hashlib.blake2b(text, digest_size=8).digest()
-                code = int.from_bytes(digest, "little", signed=True)
-                yield None, None, best, len(ids), len(text), code, text, ids
-
-        def flat():
-            for number, (_, _, best, n, size, code, text, ids) in enumerate(rows()):
-                yield None, number, best, n, size, code, text
+                    got = trie.insert(text, [None, doc_id, 1, [doc_id]])
+                    if got is None:
+                        continue                     # its branch is spilled: numbered at the end
+                    if got[0] is None:
+                        got[0], numbers = numbers, numbers + 1
+                    got[3] = []
+                    yield doc_id, got[0], None, None, None, None, None
+            for text, (number, best, n, ids) in trie.items():
+                if number is None:
+                    number, numbers = numbers, numbers + 1
                 for doc_id in ids:
                     yield doc_id, number, None, None, None, None, None
+                digest = hashlib.blake2b(text, digest_size=8).digest()
+                yield None, number, best, n, len(text), int.from_bytes(digest, "little", signed=True), text
 
         yield from _batches(flat(), schema, lambda r: 64 + len(r[6] or b""))
 
@@ -183,14 +207,18 @@ def _owner_pass(keep: str, budget: int):
     schema = pa.schema([("task", pa.int64()), ("rep", pa.int64()), ("keep_id", pa.int64()),
                         ("group_size", pa.int64()), ("text_sha256", pa.string())])
 
+    def merge(a, b):
+        a[0] += b[0]
+        a[1], a[2] = a[1] + b[1], _better(a[2], b[2], keep)
+
     def run(batches):
-        trie = PatriciaTrie(lambda a, b: (a[0] + b[0], a[1] + b[1], _better(a[2], b[2], keep)), budget)
+        trie = PatriciaTrie(merge, budget)
 
         def rows():
             for batch in batches:
                 task, rep, best, n, text = (batch.column(i).to_pylist() for i in range(5))
                 for t, r, k, m, s in zip(task, rep, best, n, text):
-                    trie.insert(s, ([(t, r)], m, k))
+                    trie.insert(s, [[(t, r)], m, k])
             for text, (reps, size, owner) in trie.items():
                 sha = hashlib.sha256(text).hexdigest()
                 for t, r in reps:
