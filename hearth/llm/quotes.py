@@ -17,7 +17,9 @@ writes nor a conversation of any length lands in one task.
 Cases: null and empty texts have no passages and an empty body; a message of
 quotes only keeps an empty body; quotes without an original, or of a later
 message, link nothing; a null conv_id or turn links nothing; repeated rows are
-separate messages with the same links; an empty table gives none. Only the four
+separate messages with the same links; different messages on one turn are told
+apart by a hash of the whole row, and of two that hold a passage first, the one with
+the smaller hash is its original; an empty table gives none. Only the four
 named columns are read.
 """
 
@@ -79,43 +81,46 @@ def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, int, int]], lis
 def _parse_pass(batches):
     kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())]))
     for batch in batches:
-        rows = [parse_quotes(t) for t in batch.column(3).to_pylist()]
+        texts = batch.column(3).to_pylist()
+        rows = [parse_quotes(t) for t in texts]
+        names = [_hash(repr(x)) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), texts)]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array([r[0] for r in rows], pa.string()),
+            [pa.array(names, pa.int64()), *batch.columns[:3], pa.array([r[0] for r in rows], pa.string()),
              pa.array([[dict(zip(("level", "hash", "words"), q)) for q in r[1]] for r in rows], kind),
              pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-            names=["conv_id", "turn", "role", "text", "quoted", "own"])
+            names=["id", "conv_id", "turn", "role", "text", "quoted", "own"])
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quotes, parent_turn, root_turn, depth, position."""
     parsed = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text") \
-        .mapInArrow(_parse_pass, "conv_id long, turn long, role string, text string, "
+        .mapInArrow(_parse_pass, "id long, conv_id long, turn long, role string, text string, "
                                  "quoted array<struct<level:int,hash:bigint,words:int>>, own array<bigint>")
     parsed = store(parsed, "quotes-parsed")
-    quotes = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")) \
-        .select("conv_id", "turn", "q.level", "q.hash", "q.words")
-    firsts = parsed.select("conv_id", "turn", F.explode("own").alias("hash")) \
-        .groupBy("conv_id", "hash").agg(F.min("turn").alias("first"))
-    votes = quotes.join(firsts, ["conv_id", "hash"]).where("first < turn") \
-        .groupBy("conv_id", "turn", "first").agg(F.min("level").alias("level"), F.sum("words").alias("words"))
-    parents = votes.groupBy("conv_id", "turn").agg(
-        F.max(F.struct((F.col("level") == 1).alias("direct"), "words", F.col("first").alias("up")))["up"].alias("parent_turn"))
+    quotes = parsed.where(F.size("quoted") > 0).select("id", "conv_id", "turn", F.explode("quoted").alias("q")) \
+        .select("id", "conv_id", "turn", "q.level", "q.hash", "q.words")
+    firsts = parsed.where("turn is not null").select("conv_id", F.struct("turn", "id").alias("at"), F.explode("own").alias("hash")) \
+        .groupBy("conv_id", "hash").agg(F.min("at").alias("first"))
+    votes = quotes.join(firsts, ["conv_id", "hash"]).where("first.turn < turn") \
+        .groupBy("id", "first").agg(F.min("level").alias("level"), F.sum("words").alias("words"))
+    parents = votes.groupBy("id").agg(
+        F.max(F.struct((F.col("level") == 1).alias("direct"), "words", F.col("first").alias("up")))["up"].alias("up"))
     links = store(parents, "quotes-parents")
-    paths = links.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).alias("hops"))
+    paths = links.select("id", "up", F.lit(1).alias("hops"))
     while True:
-        above = paths.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
-        paths = store(paths.join(above, ["conv_id", "up"], "left")
-                      .select("conv_id", "turn", F.coalesce("_up", "up").alias("up"),
+        above = paths.select(F.col("id").alias("_at"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
+        paths = store(paths.join(above, F.col("up.id") == F.col("_at"), "left")
+                      .select("id", F.coalesce("_up", "up").alias("up"),
                               (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
                               F.col("_up").isNotNull().alias("moved")), "quotes-paths")
         if not paths.where("moved").limit(1).count():
             break
         paths = paths.drop("moved")
-    out = parsed.select("conv_id", "turn", "role", "text", F.size("quoted").alias("n_quotes")) \
-        .join(links.join(paths, ["conv_id", "turn"]).select("conv_id", "turn", "parent_turn", "up", "hops"),
-              ["conv_id", "turn"], "left") \
-        .select("conv_id", "turn", "role", "text", "n_quotes", "parent_turn", F.coalesce("up", "turn").alias("root_turn"),
+    roots = links.select("id", F.col("up.turn").alias("parent_turn")).join(
+        paths.select("id", F.col("up.turn").alias("_root"), "hops"), "id")
+    out = parsed.select("id", "conv_id", "turn", "role", "text", F.size("quoted").alias("n_quotes")) \
+        .join(roots, "id", "left") \
+        .select("conv_id", "turn", "role", "text", "n_quotes", "parent_turn", F.coalesce("_root", "turn").alias("root_turn"),
                 F.coalesce("hops", F.lit(0)).alias("depth"))
     return with_positions(out, ["conv_id", "root_turn", "turn", "role", "text"]).withColumnRenamed("_pos", "position")
 
