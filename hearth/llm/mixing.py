@@ -30,7 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from ..operators.positions import POS, with_positions
+from .common import documents, store
 
 MAX_REPEATS = 4.0
 BLOCK_TOKENS = 16_384
@@ -167,11 +168,18 @@ def in_order(realised: DataFrame, seed: str = SEED) -> DataFrame:
     return realised.orderBy("order_key", place("doc_id", seed), "doc_id")
 
 
+def positioned(realised: DataFrame, seed: str = SEED) -> DataFrame:
+    """Adds `position`, the row's number (from 0) in the order of ``in_order``; rows repeated with one id in any order."""
+    return with_positions(realised.withColumn("_u", place("doc_id", seed)), ["order_key", "_u", "doc_id"]) \
+        .drop("_u").withColumnRenamed(POS, "position")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
-    """Copies of every document in the flattest mix of as many tokens that repeats no source over 4 times."""
+    """The draw of the flattest mix of as many tokens that repeats no source over 4 times: one row per copy."""
     out = mix_sources(documents(spark, sf_dir))
-    return out.select("doc_id", "source", "n_tokens", F.round("exponent", 6).alias("exponent"),
-                      F.round("weight", 9).alias("weight"), "block", "copies")
+    out = out.select("doc_id", "source", "n_tokens", F.round("exponent", 6).alias("exponent"),
+                     F.round("weight", 9).alias("weight"), "block", "copies")
+    return positioned(store(realise(out), "mix-draw"))
 
 
 ORACLE_OP10 = r"""
@@ -194,7 +202,11 @@ w as (select source, t, a, pow(t / total, a) / z as weight,
              least(greatest(ceil(t / 16384.0), 1), 4096)::bigint as nb from s, tot, ex, z),
 p as (select d.*, w.a, w.weight, budget // t as passes, budget % t as rest,
              floor(u * nb / 4294967296.0)::int as block from d join w using (source)),
-q as (select *, sum(n_tokens) over (partition by source order by u, doc_id) as upto from p)
-select doc_id, source, n_tokens::bigint as n_tokens, round(a, 6) as exponent, round(weight, 9) as weight, block,
-       (passes + (upto <= rest)::bigint)::bigint as copies from q
+q as (select *, sum(n_tokens) over (partition by source order by u, doc_id) as upto from p),
+c as (select doc_id, source, n_tokens::bigint as n_tokens, round(a, 6) as exponent, round(weight, 9) as weight, block, u,
+             (passes + (upto <= rest)::bigint)::bigint as copies from q),
+r as (select *, unnest(range(1, copies + 1)) as epoch from c),
+k as (select *, md5(concat_ws('|', 'mix-1', epoch, coalesce(source, ''), block)) as order_key from r)
+select doc_id, source, n_tokens, exponent, weight, block, copies, epoch, order_key,
+       row_number() over (order by order_key, u, doc_id) - 1 as position from k
 """
