@@ -9,14 +9,14 @@ so a filter on doc_id reads only the pages that hold it, and a read of the
 metadata columns never touches the ids.
 
 Texts are encoded by the `tokenizers` library. A text is cut at single spaces
-between non-spaces, where byte-level pre-tokenisation cuts in any case, and
-the pieces' ids are kept in a bounded table per Python worker; a text with
-other spacing is encoded whole.
+and line ends between non-spaces, where byte-level pre-tokenisation cuts in any
+case, and the pieces' ids are kept in a table of bounded bytes per Python worker; a
+text with other spacing is encoded whole.
 
 Cases: null and empty texts have the end id alone; a null doc_id comes first;
-rows repeated with one doc_id stay, in no set order among themselves; strings
-of special tokens in a text are ordinary text; an empty table gives an empty
-one. Only the named columns are read.
+rows repeated with one doc_id stay, in no set order among themselves; the string of a
+special token in a text becomes that token, as the library reads it; an
+empty table gives an empty one. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, slices, store
 
 END_ID = 2
-CACHE_ENTRIES = 400_000
+#: Most a worker's table of pieces takes, both generations; a task's share of Python memory besides its texts.
+CACHE_BYTES = 64 << 20
+#: Rough size of an entry's objects besides its characters and ids.
+ENTRY_BYTES = 200
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 _worker: dict = {}
@@ -46,33 +49,37 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Letters and a tail of ASCII punctuation other than the apostrophe: two pre-tokens.
+#: Latin letters and a tail of ASCII marks other than the apostrophe: two pre-tokens.
 WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class CachedEncoder:
-    """Ids of texts as int32 arrays, each distinct space-separated piece encoded once.
-
-    A new piece of letters (with a punctuation tail, over several lines) goes
-    pre-token by pre-token to the library's model, others to its encoder. The
-    table has two generations: when the young one is full the old one goes,
-    and pieces still in use move back on their next miss.
+    """Ids of texts as int32 arrays, each distinct piece encoded once.
+
+    Pieces are what single spaces and line ends separate; a line end belongs to the
+    piece after it. Byte-level pre-tokenisation cuts there in any case, unless white
+    space touches white space: but for an empty line, such texts are encoded
+    whole, and so are texts with the string of an added (special) token, which the library
+    reads as that token. A new piece of letters and a tail of marks goes pre-token by
+    pre-token to the library's model, others go to its encoder together.
+    The table has two generations: when the young one has ``cache_bytes`` / 2 the old one
+    goes, and pieces still in use move back on their next miss.
     """
 
-    def __init__(self, vocabulary: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, vocabulary: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.odd = ["\n\n\n", "\n\n ", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        letters = [chr(c) for c in range(0x41, 0x100) if WORD.fullmatch(chr(c))]
-        self.spelled = str.maketrans({c: split(c)[0][0] for c in letters})
+        self.spelled = str.maketrans({c: split(c)[0][0] for c in map(chr, range(0x80, 0x100)) if WORD.fullmatch(c)})
         self.space = split(" a")[0][0][0]
-        self.entries = entries
-        self.tails: dict[str, bytes] = {"": b"", "\n": self._plain(["\n"])[0]}
-        self.young: list[dict] = [{}, {}]        # of a text's first piece, and of pieces after a space
-        self.old: list[dict] = [{}, {}]
+        self.line_end = self._plain(["\n"])[0]
+        self.limit, self.held = cache_bytes // 2, 0
+        self.tails: dict[str, bytes] = {"": b""}
+        self.young: dict = {}
+        self.old: dict = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -80,50 +87,76 @@ class CachedEncoder:
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
-            if len(self.tails) > 50_000:
-                self.tails = {k: self.tails[k] for k in ("", "\n")}
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
             self.tails[tail] = self._plain([tail])[0]
         return self.tails[tail]
 
-    def _letters(self, word: str, after_space: int) -> bytes:
-        known = self.young[after_space].get(word) or self.old[after_space].get(word)
-        if known is None:
-            spelled = word.translate(self.spelled)
-            tokens = self.model.tokenize(self.space + spelled if after_space else spelled)
-            known = self.young[after_space][word] = array("i", [t.id for t in tokens]).tobytes()
-        return known
-
-    def _piece(self, piece: str, after_space: int) -> bytes | None:
-        out = b""
-        for line in piece.split("\n"):
-            word = WORD.fullmatch(line)
-            if word is None:
-                return self._plain([" " + piece if after_space else piece])[0]
-            out += (self.tails["\n"] if out else b"") + self._letters(word[1], after_space) + self._tail(word[2])
-            after_space = 0
-        return out
+    def _keep(self, piece: str, ids) -> None:
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[piece] = ids
+        self.held += ENTRY_BYTES + len(piece) + len(ids or b"")
 
-    def _learn(self, pieces: set, after_space: int) -> None:
-        young, old = self.young[after_space], self.old[after_space]
+    def _learn(self, pieces: set) -> dict:
+        """Ids of pieces that are not in the young table; False for those that are not safe to cut."""
+        found, others = {}, []
+        tokenize, space, old = self.tokenize, self.space, self.old
         for p in pieces:
-            if p in old:
-                young[p] = old[p]
-            elif not p or p[0].isspace() or p[-1].isspace():
-                young[p] = None                      # a run of spaces touches it: no safe cut
-            else:
-                young[p] = self._piece(p, after_space)
+            ids = old.get(p)
+            if ids is None:
+                at_end = p[:1] == "\n"
+                word = WORD.fullmatch(p, at_end)
+                if word:
+                    letters, tail = word.groups()
+                    if not letters.isascii():
+                        letters = letters.translate(self.spelled)
+                    tokens = tokenize(letters if at_end else space + letters)
+                    ids = array("i", [t.id for t in tokens]).tobytes()
+                    if tail:
+                        ids += self._tail(tail)
+                    if at_end:
+                        ids = self.line_end + ids
+                elif p == "\n":
+                    ids = self.line_end
+                else:
+                    body = p[1:] if at_end else p
+                    if body and not body[0].isspace() and not body[-1].isspace():
+                        others.append(p)
+                        continue
+                    ids = False                      # white space touches it
+            found[p] = ids
+        if others:
+            found.update(zip(others, self._plain([p if p[0] == "\n" else " " + p for p in others])))
+        for p, ids in found.items():
+            self._keep(p, ids)
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if sum(map(len, self.young)) > self.entries:
-            self.old, self.young = self.young, [{}, {}]
-        first, later = self.young
-        parts = [t.split(" ") for t in texts]
-        self._learn({p[0] for p in parts if p[0] not in first}, 0)
-        self._learn({x for p in parts for x in p[1:] if x not in later}, 1)
+        pieces, known, missing = [], [], set()
+        get = self.young.get
+        for t in texts:
+            if not t or t[0] in "\n " or t.endswith("\n\n") or any(x in t for x in self.odd):
+                pieces.append(None)
+                known.append(None)
+                continue
+            first, *p = t.replace("\n", " \n").split(" ")
+            ids = list(map(get, p))
+            if None in ids:
+                missing.update([x for x, y in zip(p, ids) if y is None])
+            pieces.append((first, p))
+            known.append(ids)
+        new = self._learn(missing) if missing else {}
+        starts = [p[0] for p in pieces if p]
+        starts = dict(zip(starts, self._plain(starts)))
         out = []
-        for text, p in zip(texts, parts):
-            ids = [first[p[0]], *map(later.__getitem__, p[1:])]
-            out.append(b"".join(ids) if None not in ids else self._plain([text])[0] if text else b"")
+        for t, p, ids in zip(texts, pieces, known):
+            if p and None in ids:
+                ids = [new[x] if y is None else y for x, y in zip(p[1], ids)]
+            if p and not p[0][-1].isspace() and False not in ids:
+                out.append(starts[p[0]] + b"".join(ids))
+            else:
+                out.append(self._plain([t])[0] if t else b"")
         return out
 
 
@@ -142,7 +175,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         encoder = _worker[vocabulary]
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts):
                 got = encoder(texts.slice(lo, hi - lo).to_pylist())
                 sizes = np.array([len(g) // 4 + 1 for g in got], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -65,10 +65,11 @@ def test_helpers():
 def test_trie_merges_and_spills(budget):
     rng = random.Random(2)
     strings = [bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(400)] + [b"a" * 300, b"a" * 300 + b"b"]
-    trie = exact_dedup.PatriciaTrie(lambda a, b: a + b, budget)
+    trie = exact_dedup.PatriciaTrie(list.extend, budget)
     for s in strings:
-        trie.insert(s, 1)
-    assert dict(trie.items()) == collections.Counter(strings)
+        got = trie.insert(s, [1])
+        assert (got is None) == (s[:1] != b"" and s[0] in trie.spilled)
+    assert {s: sum(n) for s, n in trie.items()} == collections.Counter(strings)
     assert bool(trie.spilled) == (budget == 40)
 
 
@@ -251,7 +252,6 @@ def test_pieces_round_trip_and_best_path(spark, docs, empty):
 def test_token_files(docs, empty, encoding):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(token_files.default_vocabulary())
-    library.encode_special_tokens = True
     files = token_files.write_token_files(token_files.encode(docs), encoding, row_group_bytes=1 << 16, page_bytes=4096)
     got = sorted((_key(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_digests(files).collect())
     expect, start = [], 0
@@ -266,16 +266,26 @@ def test_token_files(docs, empty, encoding):
 def test_encoder_matches_library_on_odd_texts():
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(token_files.default_vocabulary())
-    library.encode_special_tokens = True
-    encoder = token_files.CachedEncoder(token_files.default_vocabulary(), entries=20)
+    encoder = token_files.CachedEncoder(token_files.default_vocabulary(), cache_bytes=20_000)
     rng = random.Random(7)
     parts = ["Été", "naïve,", "don't", "I'll", "x\ny", "x.\nY!", "\n", " ", "  ", "a1b2", "***", "ÿ×÷ß", " ", "\x1c", "日本",
-             "end.", "'s", "-", "_a_", "O'Neil.", "<|endoftext|>"]
-    for _ in range(300):
-        t = rng.choice(["", " "]).join(rng.choices(parts, k=rng.randint(0, 7)))
+             "end.", "'s", "-", "_a_", "O'Neil.", "<|endoftext|>", "\r", "\u00a0", "\t", "\n\n", "\u3000z"]
+    for i in range(3000):
+        # most without the special token, so that the cut path is met too
+        t = rng.choice(["", " ", " ", "\n"]).join(rng.choices(parts if i % 5 == 0 else [x for x in parts if x[0] != "<"],
+                                                              k=rng.randint(0, 7)))
         assert encoder([t])[0] == np.array(library.encode(t, add_special_tokens=False).ids, np.int32).tobytes(), repr(t)
 
 
+def test_encoder_table_is_bounded_in_bytes():
+    encoder = token_files.CachedEncoder(token_files.default_vocabulary(), cache_bytes=50_000)
+    rng = random.Random(1)
+    for _ in range(20):
+        encoder([" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(300))])
+        for table in (encoder.young, encoder.old):
+            assert sum(token_files.ENTRY_BYTES + len(k) + len(v or b"") for k, v in table.items()) < 26_000
+
+
 def test_ppm_matches_brute_force(docs, empty):
     train = F.col("doc_id") % 3 != 0
     got = {_key(r.doc_id): r for r in ppm.ppm_scores(docs, train).collect()}
