@@ -510,6 +510,7 @@ where zip_count >= 3
 order by avg_education desc nulls last, avg_income desc nulls last, metro_area, state limit 10""")
     q.update(panel_queries())
     q.update(source_queries())
+    q.update(model_queries(q["training_data"]))
     q.update(recommend_queries())
     q["comparables"] = _feat("""
 select target_zip, zip_code, city, state, zhvi_sfr, median_income, education_index, value_diff,
@@ -627,6 +628,73 @@ where z.zhvi_sfr is not null and z.date >= date '1998-01-01' and c.median_income
     return q
 
 
+def model_queries(training: str) -> dict[str, str]:
+    from .plans.training import FEATURE_COLS, SERVING_DEFAULTS
+    q: dict[str, str] = {}
+    tr = [("tr", f"select * from ({training}) t")]
+    stats = " union all ".join(
+        f"select '{c}' as feature, count({c}) as count, {rhu(f'avg(cast({c} as double))', 4)} as mean, "
+        f"{rhu(f'stddev_samp(cast({c} as double))', 4)} as stddev, min(cast({c} as double)) as min, "
+        + ", ".join(f"quantile_cont(cast({c} as double), {p}) as {n}" for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
+        + f", max(cast({c} as double)) as max from tr" for c in FEATURE_COLS)
+    q["training_stats"] = render(tr, stats)
+    bucket = "(('0x' || substr(md5(zip_code || '|' || year || '|' || month), 1, 8))::ubigint % 100)"
+    split = [("sp", f"""
+select *, coalesce(state, 'UNKNOWN') as st,
+       case when {bucket} < 15 then 'test' when {bucket} < 30 then 'validation' else 'train' end as split from tr"""),
+             ("med", "select " + ", ".join(f"quantile_cont(cast({c} as double), 0.5) as {c}" for c in FEATURE_COLS)
+              + " from sp where split = 'train'"),
+             ("codes", "select s, row_number() over (order by s) - 1 as code from "
+                       "(select distinct st as s from sp where split <> 'test') d")]
+    q["model_inputs"] = render(tr + split, "select sp.zip_code, sp.year as panel_year, sp.month as panel_month, sp.split, "
+                               "cast(coalesce(codes.code, 0) as double) as state_encoded, "
+                               + ", ".join(f"coalesce(cast(sp.{c} as double), med.{c}, 0) as {c}" for c in FEATURE_COLS)
+                               + " from sp cross join med left join codes on codes.s = sp.st")
+    trend = f"""
+select zip_code, count(*) as n_months, max(case when rn = 1 then zhvi_sfr end) as l1,
+       max(case when rn = 12 then zhvi_sfr end) as l12, max(case when rn = 3 then zhvi_sfr end) as l3
+from (select zip_code, zhvi_sfr, row_number() over (partition by zip_code order by date desc) as rn
+      from fx_zip_market where date >= {_as_of()} - interval 14 month) t group by zip_code"""
+    cur = "coalesce(nullif(s.l1, 0), 0.0)"
+
+    def growth(lag):
+        ago = f"coalesce(nullif(s.{lag}, 0), {cur})"
+        return f"(case when coalesce(s.n_months, 0) >= 12 and {ago} <> 0 then ({cur} - {ago}) / {ago} * 100 else 0.0 end)"
+
+    served = {"year": f"cast(year({_as_of()}) as double)", "month": f"cast(month({_as_of()}) as double)",
+              "price_yoy_pct": growth("l12"), "price_3mo_pct": growth("l3")}
+    for name, source, default in SERVING_DEFAULTS:
+        served[name] = dbl(default) if source is None else f"coalesce(nullif(cast(f.{source} as double), 0), {dbl(default)})"
+    base = features_ctes() + with_fx("fx_zip_market", "fx_properties") + [("tstats", trend)]
+    joined = "from fx_properties p join features f on p.zip_code = f.zip_code left join tstats s on p.zip_code = s.zip_code"
+    q["serving_inputs"] = render(base, "select p.property_id, "
+                                 + ", ".join(f"cast({served[c]} as double) as {c}" for c in FEATURE_COLS) + f" {joined}")
+    cond = (f"(case lower(p.condition) when 'excellent' then {dbl(1.08)} when 'good' then {dbl(1.0)} when 'fair' then {dbl(0.89)} "
+            f"when 'poor' then {dbl(0.76)} else {dbl(1.0)} end)")
+    typ = (f"(case lower(p.property_type) when 'single_family' then {dbl(1.0)} when 'condo' then {dbl(0.87)} "
+           f"when 'townhouse' then {dbl(0.93)} else {dbl(1.0)} end)")
+    est = (f"coalesce(nullif(f.zhvi_sfr, 0), {dbl(300000.0)}) * pow(p.sqft / {dbl(1800.0)}, {dbl(0.85)}) "
+           f"* (1 + (p.bedrooms - 3) * {dbl(0.035)}) * (1 + (p.bathrooms - 2) * {dbl(0.025)}) "
+           f"* greatest({dbl(0.70)}, 1 - greatest(0, year({_as_of()}) - p.year_built) * {dbl(0.0025)}) "
+           f"* {cond} * {typ} * (case when p.garage then {dbl(1.035)} else {dbl(1.0)} end)")
+    conf = (f"least({dbl(92.0)}, greatest({dbl(70.0)}, 100 - (select cast(count(distinct zip_code) % 7 as double) from fx_zip_market) * 3)) "
+            "- (case when coalesce(f.median_income, 0) = 0 then 5 else 0 end) "
+            "- (case when coalesce(f.education_index, 0) = 0 then 3 else 0 end) "
+            "- (case when coalesce(s.n_months, 0) = 0 then 4 else 0 end)")
+    valued = base + [("valued", f"select p.property_id, p.zip_code, p.sqft, {est} as est, {conf} as conf {joined}")]
+    margin = "((100 - conf) / 100)"
+    q["predict_given_price"] = render(valued, f"""
+select property_id, zip_code, {rhe('est', -2)} as estimated_value, {rhe(f'est * (1 - {margin} * 1.2)', -2)} as low_estimate,
+       {rhe(f'est * (1 + {margin} * 1.2)', -2)} as high_estimate, {rhe('conf', 1)} as confidence,
+       {rhe('est / nullif(sqft, 0)', 2)} as price_per_sqft from valued""")
+    note = "'Cañón ' || upper(trim(state))"
+    q["raw_files"] = render(amenities_ctes(), f"""
+select county_clean, state, amenity_rank, natural_amenity_score, topography_z, water_area_pct,
+       (select min({note}) from fx_amenity_raw) as note_lo, (select max({note}) from fx_amenity_raw) as note_hi,
+       (select count(*) from fx_amenity_raw) as rows_written from amenity_county""")
+    return q
+
+
 def source_queries() -> dict[str, str]:
     from .plans.registry import named_states
     from .functions.clean import STATE_ABBREVIATIONS

@@ -155,10 +155,6 @@ class Catalog:
             F.when(u % 4 == 2, F.lit(60000.0)).alias("min_income"))
 
     # model -----------------------------------------------------------------
-    # Boosting rounds of the registered queries; the library default (the
-    # source's 500) stays in training.GBT_PARAMS.
-    QUERY_GBT_ROUNDS = 40
-
     @cached_property
     def training_data(self) -> DataFrame:
         from .training import build_training_data
@@ -168,6 +164,5 @@ class Catalog:
     @cached_property
     def model(self):
         from .training import fit_valuation_model
-        model, metrics, importance = fit_valuation_model(self.training_data,
-                                                         maxIter=self.QUERY_GBT_ROUNDS)
+        model, metrics, importance = fit_valuation_model(self.training_data)
         return model, self._keep(metrics), self._keep(importance)

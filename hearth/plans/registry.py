@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import (COUNTY_SUFFIXES_CRIME, COUNTY_SUFFIXES_CROSSWALK,
                                COUNTY_SUFFIXES_QUALITY, STATE_ABBREVIATIONS, aqi_label, clean_county,
                                short_metro, state_from_county_name, strip_state_suffix)
+from ..functions.numeric import falsy_to, round_half_up
 from ..session import ensure_checkpoint_dir
 from ..sources import io, schemas
 from . import dashboard, etl, explore
@@ -342,7 +343,63 @@ def q_predict_ml(spark, sf):
 @query("training_stats")
 def q_training_stats(spark, sf):
     from .training import feature_stats
-    return feature_stats(Catalog.of(spark, sf).training_data)
+    stats = feature_stats(Catalog.of(spark, sf).training_data)
+    return stats.select("feature", "count", *[round_half_up(c, 4).alias(c) for c in ("mean", "stddev")],
+                        "min", "q1", "median", "q3", "max")
+
+
+@query("model_inputs")
+def q_model_inputs(spark, sf):
+    """The model's input rows: split, state code, and features with exact medians of the training rows."""
+    from .training import FEATURE_COLS, STATE_FEATURE, prepare
+    rows, model = prepare(Catalog.of(spark, sf).training_data)
+    return model.inputs(rows).select(
+        "zip_code", F.col("year").alias("panel_year"), F.col("month").alias("panel_month"), F.col("_split").alias("split"),
+        STATE_FEATURE, *[F.col(f"_i_{c}").alias(c) for c in FEATURE_COLS])
+
+
+@query("serving_inputs")
+def q_serving_inputs(spark, sf):
+    """The features a valuation request is served with: the zip's values, growth and defaults."""
+    from .training import FEATURE_COLS, requests, serving_inputs
+    c = Catalog.of(spark, sf)
+    df = requests(c.properties, c.features, c.zip_market)
+    served = serving_inputs(df, explore.as_of_date(c.zip_market, None))
+    return df.select("property_id", *[served[x].cast("double").alias(x) for x in FEATURE_COLS])
+
+
+@query("predict_given_price")
+def q_predict_given_price(spark, sf):
+    """The model's whole response (adjustments, confidence, range) where the model's price is the neighborhood's value."""
+    from .training import ValuationModel, predict
+    from ..operators.boosting import Boosted
+
+    class GivenPrice(ValuationModel):
+        def score(self, df):
+            return df.withColumn("prediction", falsy_to("zhvi_sfr", 300000.0))
+
+    c = Catalog.of(spark, sf)
+    mape = c.zip_market.select((F.countDistinct("zip_code") % 7).cast("double").alias("mape"))
+    p = predict(c.properties, c.features, c.zip_market, GivenPrice([], {}, Boosted(0.0, [])), mape)
+    return p.select("property_id", "zip_code", "estimated_value", "low_estimate", "high_estimate", "confidence",
+                    "price_per_sqft")
+
+
+@query("raw_files")
+def q_raw_files(spark, sf):
+    """A Latin-1 file without usable headers, written and read by position; `rows_written` is what the load counted."""
+    raw = Catalog.of(spark, sf).fx.fx_amenity_raw
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    named = {**{c: F.col(c).cast("string") for c in raw.columns}, "fips_used": F.concat(F.lit("Cañón "), F.upper(F.trim("state")))}
+    wide = raw.select(*[named.get(c, F.lit("0")).alias(f"c{i}") for i, c in enumerate(etl.AMENITY_COLUMNS)])
+    io.write_table(wide, f"{root}/file", fmt="csv", encoding="ISO-8859-1")
+    read = io.read_raw_csv(spark, f"{root}/file", encoding="ISO-8859-1")
+    rows = io.replace_table(read, f"{root}/table")
+    table = io.read_table(spark, f"{root}/table")
+    note = F.get(F.array(*table.columns), F.lit(etl.AMENITY_COLUMNS.index("fips_used")))
+    notes = table.select(F.min(note).alias("lo"), F.max(note).alias("hi"))
+    return etl.amenities_by_county(table, positional=True).select(
+        "*", *[notes.select(c).scalar().alias(f"note_{c}") for c in ("lo", "hi")], F.lit(rows).cast("long").alias("rows_written"))
 
 
 @query("price_history_recent")

@@ -1,10 +1,22 @@
-"""Training set (E7) and the valuation model (M1-M10) with ``pyspark.ml``."""
+"""Training set (E7) and the valuation model (M1-M10): boosted trees over Spark jobs."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import falsy_to, round_half_even
+from ..operators.boosting import Boosted, Params, Tree, fit
+from ..operators.selection import exact_percentiles
+from ..session import cut_lineage
+from .explore import as_of_date
+from .valuation import (FALLBACK_ADJ, FALLBACK_CONFIDENCE, FALLBACK_RANGE, ML_ADJ, adjusted_value,
+                        fallback_base, forecast_fields, growth_rate, recent_trend_stats)
+
 # Feature order of the model input vector.
 FEATURE_COLS = (
     "year", "month", "median_income", "owner_occupied_pct", "total_units", "median_rooms",
@@ -68,8 +80,8 @@ def build_training_data(zip_market: DataFrame, census: DataFrame, education: Dat
 # ---------------------------------------------------------------------------
 # Hyper-parameters of the source model, and serving defaults
 # for missing neighborhood values (None: always the constant).
-GBT_PARAMS = {"maxIter": 500, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
-              "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5, "seed": 42}
+MODEL_PARAMS = {"rounds": 500, "depth": 8, "rate": 0.05, "rows": 0.8, "features": 0.8,
+                "min_rows": 5, "l1": 0.1, "l2": 1.0, "patience": 20, "seed": 42}
 TEST_PERCENT = 15
 VALIDATION_PERCENT = 15
 SERVING_DEFAULTS = (
@@ -83,7 +95,7 @@ SERVING_DEFAULTS = (
     ("safety_index", "safety_index", 50.0), ("air_quality_index", "air_quality_index", 65.0),
     ("natural_amenity_score", "natural_amenity_score", 50.0),
 )
-MODEL_VERSION = "gbt-v1"
+MODEL_VERSION = "boosted-v2"
 
 
 def split_column(how: str = "row", training: DataFrame | None = None) -> F.Column:
@@ -91,138 +103,171 @@ def split_column(how: str = "row", training: DataFrame | None = None) -> F.Colum
     (zip, year, month) like a random row split; 'zip' keeps all months of
     a zip on one side (no leakage between months of one zip); 'time' puts
     the latest months in test and the months before them in validation
-    (cut points are exact percentiles of the month index, a scalar
-    subquery over ``training``)."""
+    (cut points are exact percentiles of the month index over ``training``)."""
     if how == "time":
         idx = F.col("year") * 12 + F.col("month")
-        cuts = training.select(F.struct(
-            F.percentile(F.col("year") * 12 + F.col("month"),
-                         1 - TEST_PERCENT / 100).alias("t"),
-            F.percentile(F.col("year") * 12 + F.col("month"),
-                         1 - (TEST_PERCENT + VALIDATION_PERCENT) / 100).alias("v"))).scalar()
-        return (F.when(idx > cuts.getField("t"), "test")
-                 .when(idx > cuts.getField("v"), "validation").otherwise("train"))
-    if how == "zip":
-        h = F.xxhash64("zip_code")
-    else:
-        h = F.xxhash64("zip_code", "year", "month")
-    b = F.pmod(h, F.lit(100))
+        shares = [1 - TEST_PERCENT / 100, 1 - (TEST_PERCENT + VALIDATION_PERCENT) / 100]
+        cuts = exact_percentiles(training.select(idx.alias("i")), {"i": shares})
+        test, validation = (F.lit(cuts["i", p]) for p in shares)
+        return F.when(idx > test, "test").when(idx > validation, "validation").otherwise("train")
+    # 32 bits of an md5, which any engine can recompute
+    key = F.concat_ws("|", "zip_code") if how == "zip" else F.concat_ws("|", "zip_code", "year", "month")
+    b = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 100
     return (F.when(b < TEST_PERCENT, "test")
              .when(b < TEST_PERCENT + VALIDATION_PERCENT, "validation").otherwise("train"))
 
 
-def _num_features(df: DataFrame) -> DataFrame:
-    return df.select("*", *[F.col(c).cast("double").alias(f"_f_{c}") for c in FEATURE_COLS],
-                     F.coalesce(F.col("state"), F.lit("UNKNOWN")).alias("_state"))
+@dataclass
+class ValuationModel:
+    """State codes, medians of missing features, and the trees."""
+    labels: list[str]
+    medians: dict[str, float | None]
+    trees: Boosted
+
+    def state_code(self) -> F.Column:
+        """The state's place among the known ones; a state not seen in training gets 0, as the source does."""
+        known = F.array(*map(F.lit, self.labels)).cast("array<string>")
+        return F.greatest(F.array_position(known, F.coalesce(F.col("state"), F.lit("UNKNOWN"))) - 1, F.lit(0)).cast("double")
+
+    def inputs(self, df: DataFrame) -> DataFrame:
+        """Adds `_i_<feature>` (missing values are medians, of a feature without any 0) and the state's code."""
+        filled = {f"_i_{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]).cast("double"), F.lit(0.0))
+                  for c in FEATURE_COLS}
+        return df.withColumns({**filled, STATE_FEATURE: self.state_code()})
+
+    @staticmethod
+    def vector() -> F.Column:
+        return F.array(*[F.col(f"_i_{c}") for c in FEATURE_COLS], F.col(STATE_FEATURE))
 
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds `prediction` from the inputs; trees run over Arrow batches."""
+        trees = self.trees
 
-def fit_valuation_model(training: DataFrame, split: str = "row", **gbt_overrides):
-    """Fit state encoder + median imputer + assembler + boosted trees.
+        @F.pandas_udf("double")
+        def price(x: pd.Series) -> pd.Series:
+            return pd.Series(trees.predict(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
-    The imputer is fitted on training rows only; early stopping watches a
-    separate validation slice (the test slice only scores). Returns
-    (PipelineModel, metrics DataFrame, feature-importance DataFrame).
+        return df.withColumn("prediction", price(self.vector()))
+
+
+def prepare(training: DataFrame, split: str = "row") -> tuple[DataFrame, ValuationModel]:
+    """Training rows with `_split`, and a model without trees: states of rows outside the test slice, medians of training rows."""
+    rows = cut_lineage(training.withColumn("_split", split_column(split, training)))
+    states = rows.where("_split <> 'test'").select(F.coalesce("state", F.lit("UNKNOWN")).alias("s")).distinct()
+    labels = sorted(r["s"] for r in states.collect())               # one per state
+    found = exact_percentiles(rows.where("_split = 'train'"), {c: [0.5] for c in FEATURE_COLS})
+    return rows, ValuationModel(labels, {c: found[c, 0.5] for c in FEATURE_COLS}, Boosted(0.0, []))
+
+
+def fit_valuation_model(training: DataFrame, split: str = "row", **overrides):
+    """Fit state codes, exact medians and boosted trees (``operators.boosting``) with the source's parameters.
+
+    Medians come from training rows only; patience watches a separate validation
+    slice (the test slice only scores). Returns (ValuationModel, metrics DataFrame,
+    feature-importance DataFrame).
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    df = _num_features(training).withColumn("_split", split_column(split, training))
-    fit_rows = df.where(F.col("_split") != "test").withColumn(
-        "_is_val", F.col("_split") == "validation")
-    num_in = [f"_f_{c}" for c in FEATURE_COLS]
-    num_out = [f"_i_{c}" for c in FEATURE_COLS]
-    params = dict(GBT_PARAMS, **gbt_overrides)
-    stages = [
-        StringIndexer(inputCol="_state", outputCol=STATE_FEATURE, stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
-        Imputer(strategy="median", inputCols=num_in, outputCols=num_out),
-        VectorAssembler(inputCols=num_out + [STATE_FEATURE], outputCol="features",
-                        handleInvalid="keep"),
-        GBTRegressor(labelCol="home_value", featuresCol="features", predictionCol="prediction",
-                     validationIndicatorCol="_is_val", validationTol=0.0, **params),
-    ]
-    model = Pipeline(stages=stages).fit(fit_rows)
-    test = model.transform(df.where(F.col("_split") == "test"))
+    rows, model = prepare(training, split)
+    x = model.inputs(rows)
+    fit_rows = x.where("_split <> 'test'").select(
+        F.xxhash64("zip_code", "year", "month").alias("row"), (F.col("_split") == "validation").alias("held"),
+        "home_value", model.vector().alias("features"))
+    model.trees = fit(fit_rows, "features", "home_value", "held", "row", Params(**dict(MODEL_PARAMS, **overrides)))
+    test = model.score(x.where("_split = 'test'"))
     metrics = test.agg(
         F.avg(F.abs(F.col("home_value") - F.col("prediction"))).alias("mae"),
         (F.avg(F.abs((F.col("home_value") - F.col("prediction")) / F.col("home_value"))) * 100)
         .alias("mape"),
-        F.count(F.lit(1)).alias("n_test"))
-    gbt = model.stages[-1]
+        F.count(F.lit(1)).alias("n_test"),
+        F.lit(len(model.trees.trees)).alias("n_trees"))
     names = list(FEATURE_COLS) + [STATE_FEATURE]
-    spark = training.sparkSession
-    imp = spark.createDataFrame(
-        [(n, float(v)) for n, v in zip(names, gbt.featureImportances.toArray())],
+    imp = training.sparkSession.createDataFrame(
+        [(n, float(v)) for n, v in zip(names, model.trees.importance())],
         "feature string, importance double")
     importance = imp.orderBy(F.col("importance").desc(), "feature").limit(10)
     return model, metrics, importance
 
 
-def encode_state(indexer, df: DataFrame) -> DataFrame:
-    """Fitted state encoder at serving time: a state never seen in training
-    gets code 0 (Spark's 'keep' puts it at the end; the source used 0)."""
-    n_labels = len(indexer.labelsArray[0])
-    out = indexer.transform(df)
-    return out.withColumn(STATE_FEATURE, F.when(F.col(STATE_FEATURE) >= n_labels, 0.0)
-                          .otherwise(F.col(STATE_FEATURE)))
-
-
 def feature_stats(training: DataFrame) -> DataFrame:
-    """A17: count, mean, stddev, min, quartiles, max of every feature."""
-    return training.select(*[F.col(c).cast("double").alias(c) for c in FEATURE_COLS]).summary()
+    """A17: one row per feature: count, mean, stddev, min, exact quartiles, max."""
+    cols = [F.col(c).cast("double").alias(c) for c in FEATURE_COLS]
+    rows = cut_lineage(training.select(*cols))
+    at = exact_percentiles(rows, {c: [0.25, 0.5, 0.75] for c in FEATURE_COLS})
+    stats = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev(c).alias("stddev"),
+                      F.min(c).alias("min"), *[F.lit(at[c, p]).cast("double").alias(n) for p, n in
+                                               ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
+                      F.max(c).alias("max")) for c in FEATURE_COLS]
+    return rows.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
-def save_model(model, metrics: DataFrame, path: str) -> None:
-    model.write().overwrite().save(f"{path}/pipeline")
+def save_model(model: ValuationModel, metrics: DataFrame, path: str) -> None:
+    """Tables trees (one row per node), parts (states, medians, cuts, base) and metrics under ``path``."""
+    spark = metrics.sparkSession
+    nodes = [(t, int(i), int(tree.feature[i]), int(tree.cut[i]), float(tree.value[i]), float(tree.gain[i]))
+             for t, tree in enumerate(model.trees.trees) for i in range(len(tree.feature))]
+    spark.createDataFrame(nodes, "tree int, node int, feature int, cut int, value double, gain double") \
+        .write.mode("overwrite").parquet(f"{path}/trees")
+    parts = [(model.labels, [(k, v) for k, v in model.medians.items()], [c.tolist() for c in model.trees.cuts],
+              model.trees.base, model.trees.errors)]
+    spark.createDataFrame(parts, "labels array<string>, medians array<struct<k:string,v:double>>, cuts array<array<double>>, "
+                                 "base double, errors array<double>").write.mode("overwrite").parquet(f"{path}/parts")
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
 
 
 def load_model(spark, path: str):
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/metrics")
+    """(model, metrics) as saved."""
+    p = spark.read.parquet(f"{path}/parts").first()
+    nodes = spark.read.parquet(f"{path}/trees").orderBy("tree", "node").toPandas()       # rounds x 2^(depth + 1) rows
+    trees = [Tree(t.feature.to_numpy(np.int16), t.cut.to_numpy(np.int16), t.value.to_numpy(), t.gain.to_numpy())
+             for _, t in nodes.groupby("tree", sort=True)]
+    boosted = Boosted(p["base"], [np.array(c, np.float64) for c in p["cuts"]], trees, list(p["errors"]))
+    return ValuationModel(list(p["labels"]), {m["k"]: m["v"] for m in p["medians"]}, boosted), \
+        spark.read.parquet(f"{path}/metrics")
 
 
-def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model=None,
-            metrics: DataFrame | None = None, as_of=None) -> DataFrame:
-    """Q15 (batch): valuation of every property whose zip is in the mart,
-    with the property adjustments, confidence, range and forecast list. The
-    fitted model gives the base price; without a model the formula does
-    (``model_version`` says which). ``valuation.unmatched`` lists the rest."""
-    from .explore import as_of_date
-    from .valuation import (FALLBACK_ADJ, FALLBACK_CONFIDENCE, FALLBACK_RANGE, ML_ADJ, adjusted_value,
-                            fallback_base, forecast_fields, growth_rate, recent_trend_stats)
-    from ..functions.numeric import falsy_to, round_half_even
-
-    as_of_c = as_of_date(panel, as_of)
-    stats = recent_trend_stats(panel, as_of=as_of)
-    nb = features.select("zip_code", "city", "state", "metro_area", "zhvi_sfr", "zhvi_sfrcondo",
-                         "zori_rent", "median_sale_price", "days_to_pending", "market_heat_index",
-                         "median_income", "owner_occupied_pct", "education_index",
-                         "academic_score", "total_schools", "safety_index", "air_quality_index",
-                         "natural_amenity_score", "value_score", "value_tier",
-                         "total_population", "pop_density_class")
-    df = properties.join(nb, "zip_code", "inner").join(stats, "zip_code", "left")
+def serving_inputs(df: DataFrame, as_of: F.Column) -> dict[str, F.Column]:
+    """The model's features for a request joined with its neighborhood and trend: values, defaults and growth."""
     n = F.coalesce(F.col("n_months"), F.lit(0))
     cur = falsy_to("zhvi_last", 0.0)
     ago12 = falsy_to("zhvi_12th_last", cur)
     ago3 = falsy_to("zhvi_3rd_last", cur)
     yoy = F.when((n >= 12) & (ago12 != 0), (cur - ago12) / ago12 * 100).otherwise(0.0)
     mo3 = F.when((n >= 12) & (ago3 != 0), (cur - ago3) / ago3 * 100).otherwise(0.0)
-    served = {"year": F.year(as_of_c).cast("double"), "month": F.month(as_of_c).cast("double"),
+    served = {"year": F.year(as_of).cast("double"), "month": F.month(as_of).cast("double"),
               "price_yoy_pct": yoy, "price_3mo_pct": mo3}
     for name, source, default in SERVING_DEFAULTS:
         served[name] = F.lit(default) if source is None else falsy_to(F.col(source).cast("double"), default)
+    return served
+
+
+def requests(properties: DataFrame, features: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
+    """Properties whose zip is in the mart, with its values and its recent trend."""
+    nb = features.select("zip_code", "city", "state", "metro_area", "zhvi_sfr", "zhvi_sfrcondo",
+                         "zori_rent", "median_sale_price", "days_to_pending", "market_heat_index",
+                         "median_income", "owner_occupied_pct", "education_index",
+                         "academic_score", "total_schools", "safety_index", "air_quality_index",
+                         "natural_amenity_score", "value_score", "value_tier",
+                         "total_population", "pop_density_class")
+    return properties.join(nb, "zip_code", "inner").join(recent_trend_stats(panel, as_of=as_of), "zip_code", "left")
+
+
+def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model=None,
+            metrics: DataFrame | None = None, as_of=None) -> DataFrame:
+    """Q15 (batch): valuation of every property whose zip is in the mart,
+    with the property adjustments, confidence, range and forecast list. The
+    fitted model gives the base price; without a model the formula does
+    (``model_version`` says which). ``valuation.unmatched`` lists the rest."""
+    as_of_c = as_of_date(panel, as_of)
+    df = requests(properties, features, panel, as_of)
+    n = F.coalesce(F.col("n_months"), F.lit(0))
+    served = serving_inputs(df, as_of_c)
     if model is None:
         x = df.withColumn("_est", adjusted_value(fallback_base(), FALLBACK_ADJ, F.year(as_of_c))) \
               .withColumn("_conf", F.lit(FALLBACK_CONFIDENCE))
         low, high = (F.col("_est") * f for f in FALLBACK_RANGE)
         version = "fallback"
     else:
-        x = df.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
-                      F.coalesce(F.col("state"), F.lit("UNKNOWN")).alias("_state"))
-        indexer, _imputer, assembler, gbt = model.stages
-        x = gbt.transform(assembler.transform(encode_state(indexer, x)))
+        x = model.score(df.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
+                                  model.state_code().alias(STATE_FEATURE)))
         mape = metrics.select(F.first("mape")).scalar()
         conf = F.least(F.lit(92.0), F.greatest(F.lit(70.0), 100 - mape * 3))
         conf = conf - F.when(falsy_to("median_income", 0.0) == 0, 5).otherwise(0) \

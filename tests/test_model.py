@@ -10,7 +10,7 @@ from hearth.plans.valuation import unmatched
 
 def test_fit_save_load_predict(spark, catalog):
     training = catalog.training_data
-    model, metrics, importance = fit_valuation_model(training, maxIter=3, maxDepth=3)
+    model, metrics, importance = fit_valuation_model(training, rounds=3, depth=3)
     m = metrics.first()
     assert m.n_test > 0 and m.mae >= 0 and m.mape >= 0
     imp = importance.collect()
@@ -69,4 +69,4 @@ def test_predict_carries_forecast_list(spark, catalog):
     assert inline.count() > 0
     # one pass: the trees are applied once, the mart and the trends joined once
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("UDF(") == 1 and plan.count("Join ") == 2 and "Generate" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Join ") == 2 and "Generate" not in plan
