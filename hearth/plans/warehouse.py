@@ -5,17 +5,17 @@ the builders of ``plans.etl``, writes every table as parquet under
 ``out_dir`` with its fixed schema (the zip panel partitioned by month),
 then builds the feature mart from the *written* tables. Writing and
 re-reading cuts the lineage, so a lost executor late in the run re-reads
-stored tables instead of recomputing the ETL. Row counts come from
-``DataFrame.observe`` on the write itself (no extra pass over the data).
+stored tables instead of recomputing the ETL. Each table is replaced as a
+whole (``replace_table``): a run that fails leaves the tables it has not reached as
+they were. Row counts come from ``DataFrame.observe`` on the write itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import schemas
-from ..sources.io import drop_repeated_header, read_raw_csv, read_table, write_table
+from ..sources.io import drop_repeated_header, read_raw_csv, read_table, replace_table
 from . import etl
 from .features import build_neighborhood_features, metro_snapshot, zip_snapshot
 
@@ -29,10 +29,7 @@ CROSSWALK_COLUMNS = ("RegionName", "State", "City", "Metro", "CountyName")
 
 
 def _write(df: DataFrame, out_dir: str, name: str, counts: dict, **kw) -> DataFrame:
-    obs = Observation(name)
-    write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), f"{out_dir}/{name}",
-                schema=schemas.TABLES.get(name), **kw)
-    counts[name] = obs.get["rows"]
+    counts[name] = replace_table(df, f"{out_dir}/{name}", schema=schemas.TABLES.get(name), **kw)
     return read_table(df.sparkSession, f"{out_dir}/{name}")
 
 

@@ -8,7 +8,10 @@ window filters prune whole directories.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,25 +39,83 @@ def with_month(df: DataFrame, date_col: str = "date") -> DataFrame:
 
 def write_table(df: DataFrame, path: str, schema: StructType | None = None,
                 partition_by_month: bool = False, sort_cols=None, mode: str = "overwrite",
-                fmt: str = "parquet") -> None:
+                fmt: str = "parquet", encoding: str | None = None, seen: Observation | None = None) -> None:
     """Truncate-and-load a table: enforce the schema, optionally add the
     month partition column, sort rows inside each file (no global sort),
-    and write."""
+    and write. Month partitions are clustered first: rows are dealt by ranges of month and
+    the sort columns, so a task holds few months, a month few files, and a file a narrow
+    range of keys, however many tasks the rows come from. ``seen`` observes the rows written."""
     if schema is not None:
         df = enforce_schema(df, schema)
     writer_df = with_month(df) if partition_by_month else df
-    if sort_cols:
-        writer_df = writer_df.sortWithinPartitions(*sort_cols)
+    order = [*(["month"] if partition_by_month else []), *(sort_cols or [])]
+    if partition_by_month:
+        # the number of ranges is left to Spark, which joins small ones at run time
+        writer_df = writer_df.repartitionByRange(*order)
+    if seen is not None:
+        # behind the exchange: the pass that samples its ranges would count rows again
+        writer_df = writer_df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if order:
+        writer_df = writer_df.sortWithinPartitions(*order)
     w = writer_df.write.mode(mode).format(fmt)
     if partition_by_month:
         w = w.partitionBy("month")
     if fmt == "csv":
         w = w.option("header", True)
+    if encoding:
+        w = w.option("encoding", encoding)
     w.save(path)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+LOG_SCHEMA = "version long, folder string, rows long, fields string"
+
+
+def _log(spark: SparkSession, path: str):
+    """The last committed version of a table that ``replace_table`` wrote, or None."""
+    try:
+        # the schema is given, so only the log's few small files are read
+        return spark.read.schema(LOG_SCHEMA).json(f"{path}/log/*").orderBy(F.desc("version")).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def replace_table(df: DataFrame, path: str, schema: StructType | None = None, expect_rows: int | None = None, **options) -> int:
+    """Load a table in place of its last version, all or nothing; returns the rows written.
+
+    Rows go to a new folder under ``path``/versions. Its files are read back, and rows (against those
+    that the write saw, and ``expect_rows``) and columns checked; then one small file
+    under ``path``/log names it. Readers (``read_table``) follow the newest entry, so a job that
+    fails before leaves the old version in place, and one that reads meanwhile keeps its files.
+    Of two writers of one version the later fails.
+    """
+    spark = df.sparkSession
+    last = _log(spark, path)
+    version = last["version"] + 1 if last else 1
+    folder, seen = f"versions/{version:08d}-{uuid.uuid4().hex}", Observation()
+    write_table(df, f"{path}/{folder}", schema, seen=seen, **options)
+    written, rows = spark.read.parquet(f"{path}/{folder}"), seen.get["rows"]
+    names = [f.name for f in schema.fields] if schema is not None else df.columns
+    if written.count() != rows or (expect_rows is not None and rows != expect_rows):
+        raise ValueError(f"{path}: {rows} rows seen, {written.count()} in files, {expect_rows} expected; the table stays as it was")
+    if [c for c in written.columns if c in names] != [c for c in names if c in written.columns] or set(names) - set(written.columns):
+        raise ValueError(f"{path}: columns {written.columns} written, {names} expected; the table stays as it was")
+    entry = spark.createDataFrame([(version, folder, rows, ",".join(written.columns))], LOG_SCHEMA)
+    entry.coalesce(1).write.mode("error").json(f"{path}/log/{version:08d}")
+    return rows
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", version: int | None = None) -> DataFrame:
+    """A table's last version (or the one asked for), or the plain files under ``path``."""
+    entry = _log(spark, path) if fmt == "parquet" else None
+    if entry is None:
+        return spark.read.format(fmt).load(path)
+    if version is not None:
+        entry = spark.read.schema(LOG_SCHEMA).json(f"{path}/log/*").where(F.col("version") == version).first()
+        if entry is None:
+            raise ValueError(f"{path} has no version {version}")
+    return spark.read.parquet(f"{path}/{entry['folder']}")
 
 
 def month_range_filter(start, end=None) -> F.Column:

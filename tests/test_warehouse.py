@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hearth.plans import etl
 from hearth.plans.registry import pivot_wide
 from hearth.plans.warehouse import build_warehouse
-from hearth.sources.io import read_raw_csv
+from hearth.sources.io import read_raw_csv, read_table, replace_table
 from hearth.sources.schemas import NEIGHBORHOOD_FEATURES, enforce_schema
 
 
@@ -46,7 +46,7 @@ def test_build_warehouse_from_raw_files(spark, catalog):
     counts = build_warehouse(spark, raw, out, zip_listing=listing, amenities_positional=False)
 
     def same(table, df):
-        got = sorted(map(tuple, spark.read.parquet(f"{out}/{table}").select(*df.columns).collect()))
+        got = sorted(map(tuple, read_table(spark, f"{out}/{table}").select(*df.columns).collect()))
         assert got == sorted(map(tuple, df.collect())), table
 
     same("crime", catalog.crime)
@@ -57,11 +57,11 @@ def test_build_warehouse_from_raw_files(spark, catalog):
     same("crosswalk", catalog.crosswalk)
     same("zip_market", fx.fx_zip_market)
     assert counts["zip_market"] == fx.fx_zip_market.count()
-    feats = spark.read.parquet(f"{out}/neighborhood_features")
+    feats = read_table(spark, f"{out}/neighborhood_features")
     assert feats.columns == [f.name for f in NEIGHBORHOOD_FEATURES.fields]
     assert counts["neighborhood_features"] == feats.count() == fx.fx_zip_market.select("zip_code").distinct().count()
     # the panel is month-partitioned on disk
-    assert "month" in spark.read.parquet(f"{out}/zip_market").columns
+    assert "month" in read_table(spark, f"{out}/zip_market").columns
 
 
 def test_enforce_schema_and_raw_reader(spark):
@@ -95,3 +95,47 @@ def test_trailing_windows_prune_month_partitions(spark, catalog):
     flat_hist = explore.price_history(catalog.fx.fx_zip_market, catalog.fx.fx_features_base,
                                       months=24, last_n=6)
     assert sorted(map(tuple, hist.collect())) == sorted(map(tuple, flat_hist.collect()))
+
+
+def test_a_failed_load_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(100).selectExpr("id", "id * 2 as x")
+    assert replace_table(old, path) == 100
+
+    def same_as_old():
+        return sorted(map(tuple, read_table(spark, path).collect())) == [(i, 2 * i) for i in range(100)]
+
+    broken = spark.range(0, 1000, numPartitions=4).select("id", F.when(F.col("id") < 990, F.col("id")).otherwise(
+        F.raise_error(F.lit("lost midway")).cast("long")).alias("x"))
+    with pytest.raises(Exception, match="lost midway"):
+        replace_table(broken, path)
+    assert same_as_old()
+    with pytest.raises(ValueError, match="stays as it was"):
+        replace_table(spark.range(5).selectExpr("id", "id as x"), path, expect_rows=6)
+    assert same_as_old()
+    reader = read_table(spark, path)                       # planned before the switch
+    assert replace_table(spark.range(7).selectExpr("id", "id as x"), path) == 7
+    assert read_table(spark, path).count() == 7 and reader.count() == 100
+    assert read_table(spark, path, version=1).count() == 100
+    with pytest.raises(ValueError, match="no version"):
+        read_table(spark, path, version=9)
+
+
+def test_months_have_few_files_with_narrow_keys(spark, tmp_path):
+    from hearth.sources.io import write_table
+    path = str(tmp_path / "panel")
+    rows = spark.range(0, 60_000, numPartitions=200).select(
+        F.lpad((F.col("id") * 7919 % 5000).cast("string"), 5, "0").alias("zip_code"),
+        F.add_months(F.lit("2020-01-01").cast("date"), (F.col("id") % 12).cast("int")).alias("date"), F.rand(3).alias("zhvi_sfr"))
+    write_table(rows, path, partition_by_month=True, sort_cols=["zip_code", "date"])
+    files = spark.read.parquet(path).groupBy("month", F.input_file_name().alias("f")) \
+        .agg(F.min("zip_code").alias("lo"), F.max("zip_code").alias("hi"), F.count("*").alias("n"))
+    per_month = {r["month"]: r["count"] for r in files.groupBy("month").count().collect()}
+    assert len(per_month) == 12 and max(per_month.values()) <= 3 and files.count() <= 12 + 16
+    seen: dict = {}
+    for r in files.orderBy("month", "lo").collect():
+        assert r["month"] not in seen or seen[r["month"]] <= r["lo"]       # ranges of one month do not overlap
+        seen[r["month"]] = r["hi"]
+    one = files.first()["f"]
+    inside = [r.zip_code for r in spark.read.parquet(one).collect()]
+    assert inside == sorted(inside)                        # T1: sorted inside the file
