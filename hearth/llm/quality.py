@@ -128,8 +128,8 @@ def select_cutoffs(figures: DataFrame, labels: DataFrame, rules=RULES, alpha: fl
                    delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff_no, n_good, good_rejected, bad_rejected, tail): the cutoff in force per chain.
 
-    ``cutoff_no`` counts from 1, the most lenient. What is aggregated is one
-    row per stratum, rule and cutoff, whatever the number of labels.
+    ``cutoff_no`` counts from 1, the strictest: a text is rejected if it reaches that many cutoffs.
+    What is aggregated is one row per stratum, rule and cutoff, whatever the number of labels.
     """
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     rows = figures.join(good, "doc_id").where("not base_failed") \
@@ -148,7 +148,7 @@ def select_cutoffs(figures: DataFrame, labels: DataFrame, rules=RULES, alpha: fl
         .withColumn("tail", binomial_tail(F.col("n_good"), F.col("good_rejected"), alpha / len(rules)))
     certified = tested.where((F.col("tail") <= delta / (F.col("strata") * len(rules)))
                              & (F.col("bad_rejected") > F.col("good_rejected")))
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc(F.expr("bad_rejected - good_rejected")), "cutoff_no")
+    best = Window.partitionBy("stratum", "rule").orderBy(F.desc(F.expr("bad_rejected - good_rejected")), F.desc("cutoff_no"))
     return certified.withColumn("_r", F.row_number().over(best)).where("_r = 1") \
         .select("stratum", "rule", "cutoff_no", "n_good", "good_rejected", "bad_rejected", "tail")
 
@@ -176,3 +176,57 @@ def op4(spark, sf_dir: str) -> DataFrame:
     out = apply_rules(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def _oracle(rules=RULES, alpha: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> str:
+    reached = " union all ".join(
+        f"select r, doc_id, stratum, base_failed, {i} as o, '{name}' as rule, {len(grid)} as cutoffs, "
+        f"len(list_filter([{', '.join(f'cast({c!r} as double)' for c in grid)}], "
+        f"lambda c: c <= (case when n_words > 0 then ({figure}) else -1 end))) as reached from f"
+        for i, (name, (figure, grid)) in enumerate(rules.items()))
+    a = f"cast({alpha / len(rules)!r} as double)"
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(lang, 'und') as stratum, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as lines from documents),
+win as (select r, unnest(range(0, len(w) - {WINDOW - 1})) as i,
+               unnest(list_transform(range(0, len(w) - {WINDOW - 1}), lambda i: array_to_string(w[i + 1:i + {WINDOW}], ' '))) as s
+        from d where len(w) >= {WINDOW}),
+twice as (select r, i from (select r, i, count(*) over (partition by r, s) as n from win) where n > 1),
+rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + {WINDOW})) as p from twice) group by r),
+g as (
+  select r, doc_id, stratum, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, len(regexp_extract_all(t, '[A-Z]'))::bigint as n_upper,
+         len(regexp_extract_all(t, '[!?]'))::bigint as n_exclaims, len(lines)::bigint as n_lines,
+         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+  from d left join rep using (r)),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from g),
+reach as ({reached}),
+good as (select doc_id, min(quality) as good from labels where quality is not null group by doc_id),
+bins as (
+  select stratum, rule, cutoffs, reached, count(*) filter (good = 1) as good, count(*) filter (good <> 1) as bad
+  from reach join good using (doc_id) where not base_failed group by all),
+chains as (select stratum, rule, cutoffs, sum(good)::bigint as n_good from bins group by all),
+tested as (
+  select c.stratum, c.rule, c.n_good, j as cutoff_no, sum(coalesce(b.good, 0))::bigint as k, sum(coalesce(b.bad, 0))::bigint as bad
+  from (select *, unnest(range(1, cutoffs + 1)) as j from chains) c
+  left join bins b on b.stratum = c.stratum and b.rule = c.rule and b.reached >= j group by all),
+tails as (
+  select *, case when k >= n_good * {a} then 1.0 else (
+           select sum(exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({a}) + (n_good - i) * ln(1 - {a})))
+           from (select unnest(range(0, k + 1)) as i)) end as tail from tested),
+best as (
+  select stratum, rule, cutoff_no, row_number() over (partition by stratum, rule order by bad - k desc, cutoff_no desc) as o
+  from tails where bad > k and tail <= {delta!r} / ((select count(distinct stratum) from chains) * {len(rules)})),
+failed as (
+  select r, string_agg(x.rule, ',' order by x.o) as rules
+  from reach x join best on best.o = 1 and best.stratum = x.stratum and best.rule = x.rule and x.reached >= best.cutoff_no
+  group by r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and failed.rules is null as kept, coalesce(failed.rules, '') as failed_rules
+from f left join failed using (r)
+"""
+
+
+ORACLE_OP4 = _oracle()

@@ -22,6 +22,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE_OP2,
+    "op4_quality_rules": quality.ORACLE_OP4,
     "op5_exact_dedup": exact_dedup.ORACLE_OP5,
     "op10_mix_sources": mixing.ORACLE_OP10,
     "op11_collocations": collocations.ORACLE_OP11,
