@@ -11,6 +11,12 @@ expects. No piece has a space after another character (checked when the
 vocabulary is loaded), so the best path passes every start of a word: words
 are encoded alone, each distinct one once per Python worker (bounded table).
 
+The path maximises the sum of the file's own scores. In a unigram file these are log
+probabilities, and the ids are the ones SentencePiece gives. The default file is a BPE model,
+whose scores are the ranks of its merges: there the sum is no probability, `score`
+only orders paths, and the ids differ from the library's, which applies merges one by one (over
+the 200 documents of sf0.001 218,524 pieces here, 191,304 there). Decoding is exact either way.
+
 Cases: null and empty texts have no piece; U+2581 in a text is spelled in
 bytes, so decoding is exact for every text; long texts and words need memory
 in proportion; repeated rows are encoded each; an empty table gives none.
