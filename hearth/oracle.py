@@ -635,7 +635,8 @@ def model_queries(training: str) -> dict[str, str]:
     stats = " union all ".join(
         f"select '{c}' as feature, count({c}) as count, {rhu(f'avg(cast({c} as double))', 4)} as mean, "
         f"{rhu(f'stddev_samp(cast({c} as double))', 4)} as stddev, min(cast({c} as double)) as min, "
-        + ", ".join(f"quantile_cont(cast({c} as double), {p}) as {n}" for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
+        + ", ".join(f"{rhu(f'quantile_cont(cast({c} as double), {p})', 4)} as {n}"
+                    for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
         + f", max(cast({c} as double)) as max from tr" for c in FEATURE_COLS)
     q["training_stats"] = render(tr, stats)
     bucket = "(('0x' || substr(md5(zip_code || '|' || year || '|' || month), 1, 8))::ubigint % 100)"
@@ -648,7 +649,7 @@ select *, coalesce(state, 'UNKNOWN') as st,
                        "(select distinct st as s from sp where split <> 'test') d")]
     q["model_inputs"] = render(tr + split, "select sp.zip_code, sp.year as panel_year, sp.month as panel_month, sp.split, "
                                "cast(coalesce(codes.code, 0) as double) as state_encoded, "
-                               + ", ".join(f"coalesce(cast(sp.{c} as double), med.{c}, 0) as {c}" for c in FEATURE_COLS)
+                               + ", ".join(f"{rhu(f'coalesce(cast(sp.{c} as double), med.{c}, 0)', 6)} as {c}" for c in FEATURE_COLS)
                                + " from sp cross join med left join codes on codes.s = sp.st")
     trend = f"""
 select zip_code, count(*) as n_months, max(case when rn = 1 then zhvi_sfr end) as l1,

@@ -344,8 +344,9 @@ def q_predict_ml(spark, sf):
 def q_training_stats(spark, sf):
     from .training import feature_stats
     stats = feature_stats(Catalog.of(spark, sf).training_data)
-    return stats.select("feature", "count", *[round_half_up(c, 4).alias(c) for c in ("mean", "stddev")],
-                        "min", "q1", "median", "q3", "max")
+    # engines interpolate and add up with other last bits
+    rounded = [round_half_up(c, 4).alias(c) for c in ("mean", "stddev", "q1", "median", "q3")]
+    return stats.select("feature", "count", "min", "max", *rounded)
 
 
 @query("model_inputs")
@@ -355,7 +356,7 @@ def q_model_inputs(spark, sf):
     rows, model = prepare(Catalog.of(spark, sf).training_data)
     return model.inputs(rows).select(
         "zip_code", F.col("year").alias("panel_year"), F.col("month").alias("panel_month"), F.col("_split").alias("split"),
-        STATE_FEATURE, *[F.col(f"_i_{c}").alias(c) for c in FEATURE_COLS])
+        STATE_FEATURE, *[round_half_up(f"_i_{c}", 6).alias(c) for c in FEATURE_COLS])
 
 
 @query("serving_inputs")
