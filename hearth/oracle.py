@@ -688,6 +688,12 @@ from (select zip_code, zhvi_sfr, row_number() over (partition by zip_code order
 select property_id, zip_code, {rhe('est', -2)} as estimated_value, {rhe(f'est * (1 - {margin} * 1.2)', -2)} as low_estimate,
        {rhe(f'est * (1 + {margin} * 1.2)', -2)} as high_estimate, {rhe('conf', 1)} as confidence,
        {rhe('est / nullif(sqft, 0)', 2)} as price_per_sqft from valued""")
+    bad, long_ = "cast(gys_mn_all as integer) % 11 = 0", "length(sedaleaname) % 5 = 0"
+    good = f"not ({long_}) and coalesce(not ({bad}), true)"
+    q["load_rejects"] = render(with_fx("fx_seda_raw"), f"""
+select count(*) filter ({good}) as accepted, sum(case when {good} then {num('gys_mn_all')} end) as score_sum,
+       count(*) filter (not ({good})) as rejected, count(*) as rows_read, count(*) filter ({long_}) as malformed,
+       count(*) filter (not ({long_}) and {bad}) as bad_score, cast(0 as bigint) as bad_year from fx_seda_raw""")
     note = "'Cañón ' || upper(trim(state))"
     q["raw_files"] = render(amenities_ctes(), f"""
 select county_clean, state, amenity_rank, natural_amenity_score, topography_z, water_area_pct,

@@ -403,6 +403,27 @@ def q_raw_files(spark, sf):
         "*", *[notes.select(c).scalar().alias(f"note_{c}") for c in ("lo", "hi")], F.lit(rows).cast("long").alias("rows_written"))
 
 
+@query("load_rejects")
+def q_load_rejects(spark, sf):
+    """A district file with lines of too many fields and scores that are no numbers: what the load accepts and rejects, and why."""
+    from ..functions.numeric import to_int, to_num
+    from ..sources.rejects import MALFORMED, load_checked, read_csv_lines
+    raw = Catalog.of(spark, sf).fx.fx_seda_raw
+    score = F.when(F.col("gys_mn_all").cast("int") % 11 == 0, F.lit("n/a")).otherwise(F.col("gys_mn_all"))
+    fields = [F.concat(F.lit('"'), "sedaleaname", F.lit('"')), F.col("stateabb"), F.col("year"), score,
+              F.when(F.length("sedaleaname") % 5 == 0, F.lit("left over"))]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rejects-{uuid.uuid4().hex}"
+    raw.select(F.concat_ws(",", *[f.cast("string") for f in fields])).write.text(f"{root}/file")
+    lines = read_csv_lines(spark, f"{root}/file", ["sedaleaname", "stateabb", "year", "gys_mn_all"])
+    accepted, rejected, counts = load_checked(lines, {
+        "score is no number": to_num("gys_mn_all").isNull() & F.col("gys_mn_all").isNotNull(),
+        "year is no year": to_int("year").isNull()}, root)
+    return accepted.agg(F.count("*").alias("accepted"), F.sum(to_num("gys_mn_all")).alias("score_sum")).select(
+        "*", rejected.select(F.count("*")).scalar().alias("rejected"),
+        *[F.lit(counts[k]).cast("long").alias(n) for k, n in (("rows", "rows_read"), (MALFORMED, "malformed"),
+                                                              ("score is no number", "bad_score"), ("year is no year", "bad_year"))])
+
+
 @query("price_history_recent")
 def q_price_history_recent(spark, sf):
     """The explorer's short history: each zip's last 6 months of the window."""
