@@ -688,6 +688,9 @@ from (select zip_code, zhvi_sfr, row_number() over (partition by zip_code order
 select property_id, zip_code, {rhe('est', -2)} as estimated_value, {rhe(f'est * (1 - {margin} * 1.2)', -2)} as low_estimate,
        {rhe(f'est * (1 + {margin} * 1.2)', -2)} as high_estimate, {rhe('conf', 1)} as confidence,
        {rhe('est / nullif(sqft, 0)', 2)} as price_per_sqft from valued""")
+    q["metro_zip_counts"] = render(with_fx("fx_zip_market"), """
+select metro_area, cast(date_trunc('quarter', date) as date) as quarter, count(distinct zip_code) as zip_count
+from fx_zip_market where metro_area is not null group by all""")
     bad, long_ = "cast(gys_mn_all as integer) % 11 = 0", "length(sedaleaname) % 5 = 0"
     good = f"not ({long_}) and coalesce(not ({bad}), true)"
     q["load_rejects"] = render(with_fx("fx_seda_raw"), f"""

@@ -16,7 +16,7 @@ from ..functions.clean import (COUNTY_SUFFIXES_CRIME, COUNTY_SUFFIXES_CROSSWALK,
                                COUNTY_SUFFIXES_QUALITY, STATE_ABBREVIATIONS, aqi_label, clean_county,
                                short_metro, state_from_county_name, strip_state_suffix)
 from ..functions.numeric import falsy_to, round_half_up
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import io, schemas
 from . import dashboard, etl, explore
 from .catalog import TOP_METROS_MAX_BUDGET, Catalog
@@ -403,6 +403,19 @@ def q_raw_files(spark, sf):
         "*", *[notes.select(c).scalar().alias(f"note_{c}") for c in ("lo", "hi")], F.lit(rows).cast("long").alias("rows_written"))
 
 
+@query("metro_zip_counts")
+def q_metro_zip_counts(spark, sf):
+    """Distinct zips per metro and quarter, from bitmaps kept per metro and month; the last month is added afterwards."""
+    from ..operators.bitmaps import extend_numbers, group_bitmaps, merged_counts
+    panel = Catalog.of(spark, sf).zip_market.where(F.col("metro_area").isNotNull())
+    last = panel.select(F.max("date")).scalar()
+    first, added = panel.where(F.col("date") < last), panel.where(F.col("date") == last)
+    numbers = cut_lineage(extend_numbers(first, "zip_code"))
+    kept = cut_lineage(group_bitmaps(first, ["metro_area", "date"], numbers, "zip_code"))
+    more = group_bitmaps(added, ["metro_area", "date"], extend_numbers(added, "zip_code", numbers), "zip_code")
+    return merged_counts(kept.unionByName(more), ["metro_area", F.trunc("date", "quarter").alias("quarter")], "zip_count")
+
+
 @query("load_rejects")
 def q_load_rejects(spark, sf):
     """A district file with lines of too many fields and scores that are no numbers: what the load accepts and rejects, and why."""
