@@ -80,13 +80,11 @@ def test_ui_helpers(spark):
 
 
 def test_unseen_state_encodes_to_zero(spark):
-    from pyspark.ml.feature import StringIndexer
-    from hearth.plans.training import STATE_FEATURE, encode_state
-    train = spark.createDataFrame([("TX",), ("CA",), ("NY",)], "_state string")
-    idx = StringIndexer(inputCol="_state", outputCol=STATE_FEATURE, stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(train)
-    serve = spark.createDataFrame([("CA",), ("NY",), ("TX",), ("ZZ",)], "_state string")
-    got = [r[0] for r in encode_state(idx, serve).select(STATE_FEATURE).collect()]
+    from hearth.operators.boosting import Boosted
+    from hearth.plans.training import ValuationModel
+    model = ValuationModel(["CA", "NY", "TX"], {}, Boosted(0.0, []))
+    serve = spark.createDataFrame([("CA",), ("NY",), ("TX",), ("ZZ",)], "state string")
+    got = [r[0] for r in serve.select(model.state_code()).collect()]
     assert got == [0.0, 1.0, 2.0, 0.0]
 
 
