@@ -510,6 +510,7 @@ where zip_count >= 3
 order by avg_education desc nulls last, avg_income desc nulls last, metro_area, state limit 10""")
     q.update(panel_queries())
     q.update(source_queries())
+    q["training_data_stored"] = q["training_data"]
     q.update(model_queries(q["training_data"]))
     q.update(recommend_queries())
     q["comparables"] = _feat("""

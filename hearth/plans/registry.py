@@ -279,6 +279,20 @@ def q_training_data(spark, sf):
                                start=TRAINING_START)
 
 
+@query("training_data_stored")
+def q_training_data_stored(spark, sf):
+    """The training set from tables in hash buckets of the zip: written, read back, joined and lagged bucket by bucket."""
+    from .warehouse import training_table, write_by_zip
+    c = Catalog.of(spark, sf)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/by-zip-{uuid.uuid4().hex}"
+    buckets = io.bucket_count(c.zip_market.count())
+    for name, df in (("zip_history", c.zip_market), ("census", c.census), ("education", c.education),
+                     ("neighborhood_features", c.features)):
+        write_by_zip(df, root, name, buckets)
+    io.replace_table(c.metro_market, f"{root}/metro_market", schema=schemas.TABLES["metro_market"], sort_cols=["metro_area", "date"])
+    return training_table(spark, root, start=TRAINING_START)
+
+
 @query("comparables")
 def q_comparables(spark, sf):
     return valuation.comparables(Catalog.of(spark, sf).features, k=5)

@@ -8,6 +8,11 @@ re-reading cuts the lineage, so a lost executor late in the run re-reads
 stored tables instead of recomputing the ETL. Each table is replaced as a
 whole (``replace_table``): a run that fails leaves the tables it has not reached as
 they were. Row counts come from ``DataFrame.observe`` on the write itself.
+
+The panel is kept twice, for its two ways of reading: ``zip_market`` by month for trailing
+windows, ``zip_history`` in hash buckets of the zip, sorted by date, for what runs per zip.
+The zip tables have the same buckets, so the training set (``training_table``) joins them and takes its
+LAGs without an exchange. A bucket can't get hot: a zip has one row a month.
 """
 
 from __future__ import annotations
@@ -15,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import schemas
-from ..sources.io import drop_repeated_header, read_raw_csv, read_table, replace_table
+from ..sources.io import bucket_count, drop_repeated_header, read_raw_csv, read_table, replace_table
 from . import etl
 from .features import build_neighborhood_features, metro_snapshot, zip_snapshot
+from .training import build_training_data
 
 # Keys of the ``raw`` path mapping.
 RAW_KEYS = (
@@ -25,9 +31,25 @@ RAW_KEYS = (
     "census_income", "census_housing", "schools", "district_scores", "crime", "aqi",
     "amenities",
 )
+# Tables dealt by zip, and the order inside their buckets.
+BY_ZIP = {"zip_history": ["zip_code", "date"], "census": ["zip_code"], "education": ["zip_code"],
+          "neighborhood_features": ["zip_code"]}
 CROSSWALK_COLUMNS = ("RegionName", "State", "City", "Metro", "CountyName")
 
 
+def write_by_zip(df: DataFrame, out_dir: str, name: str, buckets: int) -> int:
+    """Load one of the tables that are dealt by zip; returns the rows written."""
+    return replace_table(df, f"{out_dir}/{name}", schema=schemas.TABLES.get(name), bucket_by="zip_code", buckets=buckets,
+                         sort_cols=BY_ZIP[name])
+
+
+def training_table(spark: SparkSession, out_dir: str, start: str = "2018-01-01") -> DataFrame:
+    """The training set from written tables; joins by zip and LAGs follow the tables' buckets."""
+    table = lambda name: read_table(spark, f"{out_dir}/{name}")
+    return build_training_data(table("zip_history"), table("census"), table("education"), table("metro_market"),
+                               table("neighborhood_features"), start=start)
+
+
 def _write(df: DataFrame, out_dir: str, name: str, counts: dict, **kw) -> DataFrame:
     counts[name] = replace_table(df, f"{out_dir}/{name}", schema=schemas.TABLES.get(name), **kw)
     return read_table(df.sparkSession, f"{out_dir}/{name}")
@@ -36,7 +58,7 @@ def _write(df: DataFrame, out_dir: str, name: str, counts: dict, **kw) -> DataFr
 def build_warehouse(spark: SparkSession, raw: dict[str, str], out_dir: str,
                     zip_listing: str | None = None, schools_encoding: str = "ISO-8859-1",
                     aqi_state_is_abbreviation: bool = False,
-                    amenities_positional: bool = True) -> dict[str, int]:
+                    amenities_positional: bool = True, rows_per_bucket: int = 1_000_000) -> dict[str, int]:
     """Build and write all tables; returns rows written per table."""
     read = lambda key, **kw: read_raw_csv(spark, raw[key], **kw)
     counts: dict[str, int] = {}
@@ -44,18 +66,23 @@ def build_warehouse(spark: SparkSession, raw: dict[str, str], out_dir: str,
     zip_market = _write(etl.build_zip_market({v: read(f"zip_{v}") for v in etl.ZIP_VALUE_NAMES}),
                         out_dir, "zip_market", counts, partition_by_month=True,
                         sort_cols=["zip_code", "date"])
+    buckets = bucket_count(counts["zip_market"], rows_per_bucket)
+
+    def by_zip(df: DataFrame, name: str) -> DataFrame:
+        counts[name] = write_by_zip(df, out_dir, name, buckets)
+        return read_table(spark, f"{out_dir}/{name}")
+
+    by_zip(zip_market, "zip_history")
     metro_market = _write(
         etl.build_metro_market({v: read(f"metro_{v}") for v in etl.METRO_VALUE_NAMES}),
         out_dir, "metro_market", counts, sort_cols=["metro_area", "date"])
     listing = read_raw_csv(spark, zip_listing or raw["zip_zhvi_sfr"], columns=CROSSWALK_COLUMNS)
     crosswalk = _write(etl.build_crosswalk(listing), out_dir, "crosswalk", counts)
-    census = _write(etl.build_census(
+    census = by_zip(etl.build_census(
         drop_repeated_header(read("census_income"), "GEO_ID", "Geography"),
-        drop_repeated_header(read("census_housing"), "GEO_ID", "Geography")),
-        out_dir, "census", counts, sort_cols=["zip_code"])
-    education = _write(etl.build_education(read("schools", encoding=schools_encoding),
-                                           read("district_scores")),
-                       out_dir, "education", counts)
+        drop_repeated_header(read("census_housing"), "GEO_ID", "Geography")), "census")
+    education = by_zip(etl.build_education(read("schools", encoding=schools_encoding),
+                                           read("district_scores")), "education")
     crime = _write(etl.build_crime(read("crime"), crosswalk), out_dir, "crime", counts)
     air = _write(etl.build_air_quality(read("aqi"), crosswalk,
                                        state_is_abbreviation=aqi_state_is_abbreviation),
@@ -65,5 +92,5 @@ def build_warehouse(spark: SparkSession, raw: dict[str, str], out_dir: str,
                   out_dir, "natural_amenities", counts)
     features = build_neighborhood_features(zip_snapshot(zip_market), census, education, crime,
                                            air, amen, metro_snapshot(metro_market))
-    _write(features, out_dir, "neighborhood_features", counts)
+    by_zip(features, "neighborhood_features")
     return counts

@@ -41,7 +41,7 @@ NEIGHBORHOOD_FEATURES = _schema(
     "total_population:f pop_density_class:s last_updated:d",
     required=("zip_code", "last_updated"))
 
-TABLES = {"zip_market": ZIP_MARKET, "metro_market": METRO_MARKET, "census": CENSUS,
+TABLES = {"zip_market": ZIP_MARKET, "zip_history": ZIP_MARKET, "metro_market": METRO_MARKET, "census": CENSUS,
           "education": EDUCATION, "crime": CRIME, "air_quality": AIR_QUALITY,
           "natural_amenities": NATURAL_AMENITIES, "crosswalk": CROSSWALK,
           "neighborhood_features": NEIGHBORHOOD_FEATURES}
