@@ -32,13 +32,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, slices, store
+from .common import U64, documents, mix, partitions, slices, store
 
 END_ID = 2
 #: Most a worker's table of pieces takes, both generations; a task's share of Python memory besides its texts.
 CACHE_BYTES = 64 << 20
-#: Rough size of an entry's objects besides its characters and ids.
-ENTRY_BYTES = 200
+#: Pieces of more bytes are encoded each time they are met in a slice of text.
+KEY_BYTES = 24
+#: Room for ids in the table, per piece; the count that marks a piece as not safe to cut.
+IDS, UNSAFE = 4, 0xFFFF
+BREAK = b"\xff"                    # a byte that UTF-8 never uses
+_CUTS = np.isin(np.arange(256), [0x20, 0x0A, BREAK[0]])
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U64)
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 _worker: dict = {}
@@ -53,8 +59,84 @@ def default_vocabulary() -> str:
 WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def piece_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows of four numbers that tell pieces of at most KEY_BYTES bytes apart: their bytes, and their length.
+
+    ``buf`` has KEY_BYTES bytes behind the last piece."""
+    words = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))       # the 8 bytes from every place on
+    keys = np.empty((len(start), 4), U64)
+    for j in range(KEY_BYTES // 8):
+        keys[:, j] = words[start + 8 * j] & _FIRST[np.clip(size - 8 * j, 0, 8)]
+    keys[:, 3] = size
+    return keys
+
+
+class PieceTable:
+    """Exact open-addressing table from pieces to their ids, looked up for many pieces at once."""
+
+    def __init__(self, max_bytes: int):
+        # a row of 4 numbers, 2 slots and room for IDS ids each
+        self.capacity = 1 << max(3, (max_bytes // (32 + 8 + 4 * IDS)).bit_length() - 1)
+        bits = self.capacity.bit_length()
+        self.mask, self.shift = (1 << bits) - 1, U64(64 - bits)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.rows = np.empty((self.capacity, 4), U64)     # the key; the last number also holds offset and count
+        self.ids = np.empty(self.capacity * IDS, np.int32)
+        self.n = self.used = 0
+
+    @property
+    def nbytes(self) -> int:
+        return self.slots.nbytes + self.rows.nbytes + self.ids.nbytes
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * U64(0x9E3779B97F4A7C15) + keys[:, 1] * U64(0xC2B2AE3D27D4EB4F) + keys[:, 2] * U64(0x165667B19E3779F9)
+        return (mix(h + keys[:, 3]) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each piece is known, where its ids begin, and how many there are (UNSAFE: not to be cut)."""
+        at, todo = self._home(keys), np.arange(len(keys))
+        known = np.zeros(len(keys), bool)
+        meta = np.zeros(len(keys), U64)
+        while len(todo):
+            entry = self.slots[at]
+            used = entry >= 0
+            todo, at, entry = todo[used], at[used], entry[used]
+            row, key = self.rows[entry], keys[todo]
+            hit = (row[:, 0] == key[:, 0]) & (row[:, 1] == key[:, 1]) & (row[:, 2] == key[:, 2]) \
+                & ((row[:, 3] & U64(0xFF)) == key[:, 3])
+            known[todo[hit]] = True
+            meta[todo[hit]] = row[hit, 3]
+            todo, at = todo[~hit], (at[~hit] + 1) & self.mask
+        return known, (meta >> U64(32)).astype(np.int64), ((meta >> U64(8)) & U64(UNSAFE)).astype(np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bool:
+        """Take new pieces, told apart and unknown here, with their ids one after the other; False if there is no room."""
+        if self.n + len(keys) > self.capacity or self.used + len(ids) > len(self.ids):
+            return False
+        sizes = np.where(counts == UNSAFE, 0, counts)
+        offset = self.used + np.cumsum(sizes) - sizes
+        entry = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.rows[entry] = keys
+        self.rows[entry, 3] |= (offset.astype(U64) << U64(32)) | (counts.astype(U64) << U64(8))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(keys), self.used + len(ids)
+        at = self._home(keys)
+        while len(entry):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entry[free]            # the last writer of a slot keeps it
+            lost = self.slots[at] != entry
+            entry, at = entry[lost], (at[lost] + 1) & self.mask
+        return True
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class CachedEncoder:
-    """Ids of texts as int32 arrays, each distinct piece encoded once.
+    """Ids of texts as int32 arrays, pieces met before taken from a table.
 
     Pieces are what single spaces and line ends separate; a line end belongs to the
     piece after it. Byte-level pre-tokenisation cuts there in any case, unless white
@@ -62,8 +144,9 @@ class CachedEncoder:
     whole, and so are texts with the string of an added (special) token, which the library
     reads as that token. A new piece of letters and a tail of marks goes pre-token by
     pre-token to the library's model, others go to its encoder together.
-    The table has two generations: when the young one has ``cache_bytes`` / 2 the old one
-    goes, and pieces still in use move back on their next miss.
+    Pieces of at most KEY_BYTES bytes are kept, by their very bytes. The table has two generations of
+    half of ``cache_bytes`` each: when the young one is full the old one
+    goes, and pieces still in use move back when they are next met.
     """
 
     def __init__(self, vocabulary: str, cache_bytes: int = CACHE_BYTES):
@@ -76,10 +159,9 @@ class CachedEncoder:
         self.spelled = str.maketrans({c: split(c)[0][0] for c in map(chr, range(0x80, 0x100)) if WORD.fullmatch(c)})
         self.space = split(" a")[0][0][0]
         self.line_end = self._plain(["\n"])[0]
-        self.limit, self.held = cache_bytes // 2, 0
         self.tails: dict[str, bytes] = {"": b""}
-        self.young: dict = {}
-        self.old: dict = {}
+        self.half = cache_bytes // 2
+        self.young, self.old = PieceTable(self.half), PieceTable(0)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -92,72 +174,105 @@ class CachedEncoder:
             self.tails[tail] = self._plain([tail])[0]
         return self.tails[tail]
 
-    def _keep(self, piece: str, ids) -> None:
-        if self.held > self.limit:
-            self.old, self.young, self.held = self.young, {}, 0
-        self.young[piece] = ids
-        self.held += ENTRY_BYTES + len(piece) + len(ids or b"")
-
-    def _learn(self, pieces: set) -> dict:
-        """Ids of pieces that are not in the young table; False for those that are not safe to cut."""
-        found, others = {}, []
-        tokenize, space, old = self.tokenize, self.space, self.old
-        for p in pieces:
-            ids = old.get(p)
-            if ids is None:
-                at_end = p[:1] == "\n"
-                word = WORD.fullmatch(p, at_end)
-                if word:
-                    letters, tail = word.groups()
-                    if not letters.isascii():
-                        letters = letters.translate(self.spelled)
-                    tokens = tokenize(letters if at_end else space + letters)
-                    ids = array("i", [t.id for t in tokens]).tobytes()
-                    if tail:
-                        ids += self._tail(tail)
-                    if at_end:
-                        ids = self.line_end + ids
-                elif p == "\n":
-                    ids = self.line_end
-                else:
-                    body = p[1:] if at_end else p
-                    if body and not body[0].isspace() and not body[-1].isspace():
-                        others.append(p)
-                        continue
-                    ids = False                      # white space touches it
-            found[p] = ids
+    def _learn(self, pieces: list[str]) -> list:
+        """Ids of pieces; None for those that are not safe to cut."""
+        found: list = [None] * len(pieces)
+        others = []
+        tokenize, space = self.tokenize, self.space
+        for i, p in enumerate(pieces):
+            at_end = p[:1] == "\n"
+            word = WORD.fullmatch(p, at_end)
+            if word:
+                letters, tail = word.groups()
+                if not letters.isascii():
+                    letters = letters.translate(self.spelled)
+                tokens = tokenize(letters if at_end else space + letters)
+                ids = array("i", [t.id for t in tokens]).tobytes()
+                if tail:
+                    ids += self._tail(tail)
+                found[i] = self.line_end + ids if at_end else ids
+            elif p == "\n":
+                found[i] = self.line_end
+            else:
+                body = p[1:] if at_end else p
+                if body and not body[0].isspace() and not body[-1].isspace():      # no white space touches it
+                    others.append(i)
         if others:
-            found.update(zip(others, self._plain([p if p[0] == "\n" else " " + p for p in others])))
-        for p, ids in found.items():
-            self._keep(p, ids)
+            whole = self._plain([p if p[0] == "\n" else " " + p for p in map(pieces.__getitem__, others)])
+            for i, ids in zip(others, whole):
+                found[i] = ids
         return found
 
+    def _keep(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        if not len(keys) or self.young.add(keys, counts, ids):
+            return
+        self.young, self.old = PieceTable(self.half), self.young
+        if not self.young.add(keys, counts, ids) and len(keys) > 1:     # too many at once: half of them
+            half = len(keys) // 2
+            cut = int(np.where(counts[:half] == UNSAFE, 0, counts[:half]).sum())
+            self._keep(keys[:half], counts[:half], ids[:cut])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces, known, missing = [], [], set()
-        get = self.young.get
-        for t in texts:
-            if not t or t[0] in "\n " or t.endswith("\n\n") or any(x in t for x in self.odd):
-                pieces.append(None)
-                known.append(None)
-                continue
-            first, *p = t.replace("\n", " \n").split(" ")
-            ids = list(map(get, p))
-            if None in ids:
-                missing.update([x for x, y in zip(p, ids) if y is None])
-            pieces.append((first, p))
-            known.append(ids)
-        new = self._learn(missing) if missing else {}
-        starts = [p[0] for p in pieces if p]
-        starts = dict(zip(starts, self._plain(starts)))
-        out = []
-        for t, p, ids in zip(texts, pieces, known):
-            if p and None in ids:
-                ids = [new[x] if y is None else y for x, y in zip(p[1], ids)]
-            if p and not p[0][-1].isspace() and False not in ids:
-                out.append(starts[p[0]] + b"".join(ids))
-            else:
-                out.append(self._plain([t])[0] if t else b"")
-        return out
+        raw = b"".join([BREAK + t.encode() for t in texts]) + BREAK
+        buf = np.frombuffer(raw + bytes(KEY_BYTES + 8), np.uint8)
+        cuts = np.flatnonzero(_CUTS[buf[:len(raw)]])
+        mark = buf[cuts[:-1]]
+        start, end = cuts[:-1] + (mark != 10), cuts[1:]
+        first = mark == BREAK[0]
+        doc = np.cumsum(first) - 1
+        whole = np.fromiter((not t or t[0] in "\n " or t.endswith("\n\n") or any(x in t for x in self.odd)
+                             for t in texts), bool, len(texts))
+        opening = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
+        whole |= np.fromiter((x[-1:].isspace() for x in opening), bool, len(texts))
+
+        use = np.flatnonzero(~first & ~whole[doc])
+        start, size, doc = start[use], (end - start)[use], doc[use]
+        short = np.flatnonzero(size <= KEY_BYTES)
+        keys = np.zeros((len(use), 4), U64)
+        keys[short] = piece_keys(buf, start[short], size[short])
+        source, offset, count = (np.full(len(use), x, np.int64) for x in (2, 0, 0))
+        todo, sources = short, []
+        for i, table in enumerate((self.young, self.old)):
+            known, o, n = table.find(keys[todo])
+            at = todo[known]
+            source[at], offset[at], count[at] = i, o[known], n[known]
+            todo = todo[~known]
+            sources.append(table.ids)
+        # new pieces and long ones: each distinct one is encoded once, and kept if it is short
+        new = np.flatnonzero(source == 2)
+        index: dict[bytes, int] = {}
+        which = np.array([index.setdefault(raw[a:a + n], len(index)) for a, n in zip(start[new].tolist(), size[new].tolist())],
+                         np.int64)
+        got = self._learn([p.decode() for p in index])
+        counts = np.fromiter((UNSAFE if g is None else len(g) // 4 for g in got), np.int64, len(got))
+        sizes = np.where(counts == UNSAFE, 0, counts)
+        begin = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(g or b"" for g in got), np.int32)
+        sources.append(ids)
+        offset[new], count[new] = begin[which], counts[which]
+        sample = np.zeros(len(index), np.int64)
+        sample[which] = new
+        fits = np.flatnonzero((size[sample] <= KEY_BYTES) & (sizes < UNSAFE))
+        self._keep(keys[sample[fits]], counts[fits], ids[_ranges(begin[fits], sizes[fits])])
+        again = np.flatnonzero(source == 1)
+        if len(again):
+            # of two pieces with one hash, one stays behind and is learned again
+            one = again[np.unique(keys[again] @ _SPREAD, return_index=True)[1]]
+            n = np.where(count[one] == UNSAFE, 0, count[one])
+            self._keep(keys[one], count[one], sources[1][_ranges(offset[one], n)])
+
+        whole[doc[count == UNSAFE]] = True
+        count[count == UNSAFE] = 0
+        last = np.cumsum(count)
+        values = np.empty(int(last[-1]) if len(last) else 0, np.int32)
+        for i, pool in enumerate(sources):
+            at = np.flatnonzero(source == i)
+            values[_ranges(last[at] - count[at], count[at])] = pool[_ranges(offset[at], count[at])]
+        ends = np.concatenate([[0], last])[np.searchsorted(doc, np.arange(len(texts) + 1))]
+        cut = [x for x, w in zip(opening, whole.tolist()) if not w]
+        head = dict(zip(cut, self._plain(cut)))
+        return [(self._plain([t])[0] if t else b"") if w else head[x] + values[a:b].tobytes()
+                for t, w, x, a, b in zip(texts, whole.tolist(), opening, ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,

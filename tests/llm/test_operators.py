@@ -283,7 +283,42 @@ def test_encoder_table_is_bounded_in_bytes():
     for _ in range(20):
         encoder([" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(300))])
         for table in (encoder.young, encoder.old):
-            assert sum(token_files.ENTRY_BYTES + len(k) + len(v or b"") for k, v in table.items()) < 26_000
+            assert table.nbytes < 26_000 and table.n <= table.capacity
+
+
+def test_piece_table_tells_pieces_apart_by_their_bytes():
+    rng = random.Random(3)
+    made = {bytes(rng.choices(b"ab\0", k=rng.randint(0, token_files.KEY_BYTES))) for _ in range(3000)}
+    made |= {b"a" * n for n in range(25)} | {b"a" * n + b"\0" for n in range(24)}
+    pieces = sorted(made)
+    buf = np.frombuffer(b"".join(pieces) + bytes(32), np.uint8)
+    size = np.array([len(p) for p in pieces])
+    keys = token_files.piece_keys(buf, np.cumsum(size) - size, size)
+    assert len({k.tobytes() for k in keys}) == len(pieces)
+    counts = np.array([token_files.UNSAFE if i % 7 == 3 else i % 4 for i in range(len(pieces))])
+    sizes = np.where(counts == token_files.UNSAFE, 0, counts)
+    table = token_files.PieceTable(1 << 20)
+    half = np.arange(len(pieces)) % 2 == 0
+    ids = np.repeat(np.arange(len(pieces)), sizes).astype(np.int32)
+    assert table.add(keys[half], counts[half], ids[np.isin(ids, np.flatnonzero(half))])
+    known, offset, count = table.find(keys)
+    assert (known == half).all() and (count[half] == counts[half]).all()
+    for i in np.flatnonzero(half & (sizes > 0)):
+        assert (table.ids[offset[i]:offset[i] + count[i]] == i).all()
+    small = token_files.PieceTable(0)
+    assert not small.add(keys[half], counts[half], ids) and not small.find(keys)[0].any()
+
+
+def test_encoder_keeps_ids_right_while_generations_turn():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(token_files.default_vocabulary())
+    encoder = token_files.CachedEncoder(token_files.default_vocabulary(), cache_bytes=4000)
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 30))) + rng.choice(["", "", ".", ",", "'s"]) for _ in range(150)]
+    for _ in range(60):
+        texts = [rng.choice([" ", "\n"]).join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(4)] + ["", " x", "a  b"]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, np.int32).tobytes() for t in texts]
+        assert encoder(texts) == want
 
 
 def test_ppm_matches_brute_force(docs, empty):
