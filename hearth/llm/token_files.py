@@ -24,7 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,13 @@ KEY_BYTES = 24
 #: Room for ids in the table, per piece; the count that marks a piece as not safe to cut.
 IDS, UNSAFE = 4, 0xFFFF
 BREAK = b"\xff"                    # a byte that UTF-8 never uses
+SPACED = U64(0x80)                 # in a key: a space is in front
+_ASCII = [chr(i) for i in range(128)]
+_LETTERS = np.array([x.isalpha() for x in _ASCII] + [False] * 128)
+_MARKS = np.array(["!" <= x <= "~" and not x.isalnum() and x != "'" for x in _ASCII] + [False] * 128)
 _CUTS = np.isin(np.arange(256), [0x20, 0x0A, BREAK[0]])
-_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+# by place of the 8 bytes and size of the piece: which of them belong to it
+_FIRST = np.array([[(1 << 8 * min(max(n - 8 * j, 0), 8)) - 1 for n in range(KEY_BYTES + 1)] for j in range(KEY_BYTES // 8)], U64)
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U64)
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -66,7 +71,7 @@ def piece_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     words = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))       # the 8 bytes from every place on
     keys = np.empty((len(start), 4), U64)
     for j in range(KEY_BYTES // 8):
-        keys[:, j] = words[start + 8 * j] & _FIRST[np.clip(size - 8 * j, 0, 8)]
+        keys[:, j] = words[start + 8 * j] & _FIRST[j].take(size)
     keys[:, 3] = size
     return keys
 
@@ -94,19 +99,24 @@ class PieceTable:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each piece is known, where its ids begin, and how many there are (UNSAFE: not to be cut)."""
-        at, todo = self._home(keys), np.arange(len(keys))
+        at = self._home(keys)
+        entry = self.slots.take(at)
         known = np.zeros(len(keys), bool)
         meta = np.zeros(len(keys), U64)
+        todo = np.flatnonzero(entry >= 0)
+        at, entry = at[todo], entry[todo]
         while len(todo):
+            row = self.rows.take(entry, 0)
+            differs = row ^ keys.take(todo, 0)
+            differs[:, 3] &= U64(0xFF)
+            hit = ~differs.any(1)
+            known[todo[hit]] = True
+            meta[todo[hit]] = row[hit, 3]
+            miss = np.flatnonzero(~hit)
+            todo, at = todo[miss], (at[miss] + 1) & self.mask
             entry = self.slots[at]
             used = entry >= 0
             todo, at, entry = todo[used], at[used], entry[used]
-            row, key = self.rows[entry], keys[todo]
-            hit = (row[:, 0] == key[:, 0]) & (row[:, 1] == key[:, 1]) & (row[:, 2] == key[:, 2]) \
-                & ((row[:, 3] & U64(0xFF)) == key[:, 3])
-            known[todo[hit]] = True
-            meta[todo[hit]] = row[hit, 3]
-            todo, at = todo[~hit], (at[~hit] + 1) & self.mask
         return known, (meta >> U64(32)).astype(np.int64), ((meta >> U64(8)) & U64(UNSAFE)).astype(np.int64)
 
     def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bool:
@@ -138,7 +148,8 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class CachedEncoder:
     """Ids of texts as int32 arrays, pieces met before taken from a table.
 
-    Pieces are what single spaces and line ends separate; a line end belongs to the
+    Pieces are what single spaces and line ends separate, and cuts between an ASCII letter and a mark
+    other than the apostrophe; a line end belongs to the
     piece after it. Byte-level pre-tokenisation cuts there in any case, unless white
     space touches white space: but for an empty line, such texts are encoded
     whole, and so are texts with the string of an added (special) token, which the library
@@ -158,8 +169,8 @@ class CachedEncoder:
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelled = str.maketrans({c: split(c)[0][0] for c in map(chr, range(0x80, 0x100)) if WORD.fullmatch(c)})
         self.space = split(" a")[0][0][0]
-        self.line_end = self._plain(["\n"])[0]
-        self.tails: dict[str, bytes] = {"": b""}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.tails: dict[str, list[int]] = {}
         self.half = cache_bytes // 2
         self.young, self.old = PieceTable(self.half), PieceTable(0)
 
@@ -167,41 +178,44 @@ class CachedEncoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32).tobytes() for e in got]
 
-    def _tail(self, tail: str) -> bytes:
+    def _tail(self, tail: str) -> list[int]:
         if tail not in self.tails:
             if len(self.tails) > 10_000:
-                self.tails = {"": b""}
-            self.tails[tail] = self._plain([tail])[0]
+                self.tails = {}
+            self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
         return self.tails[tail]
 
-    def _learn(self, pieces: list[str]) -> list:
-        """Ids of pieces; None for those that are not safe to cut."""
-        found: list = [None] * len(pieces)
-        others = []
+    def _learn(self, pieces: list[str]) -> tuple[list, list[int]]:
+        """Ids of pieces, each with its space, line end or mark in front, and which are not safe to cut."""
+        found: list = [()] * len(pieces)
+        others, unsafe = [], []
         tokenize, space = self.tokenize, self.space
         for i, p in enumerate(pieces):
-            at_end = p[:1] == "\n"
-            word = WORD.fullmatch(p, at_end)
-            if word:
+            if p[0] == " " and p.isascii() and p[1:].isalpha():
+                found[i] = [t.id for t in tokenize(space + p[1:])]
+                continue
+            word = WORD.fullmatch(p, 1)
+            if word and p[0] in " \n":
                 letters, tail = word.groups()
                 if not letters.isascii():
                     letters = letters.translate(self.spelled)
-                tokens = tokenize(letters if at_end else space + letters)
-                ids = array("i", [t.id for t in tokens]).tobytes()
-                if tail:
-                    ids += self._tail(tail)
-                found[i] = self.line_end + ids if at_end else ids
+                if p[0] == " ":
+                    ids = [t.id for t in tokenize(space + letters)]
+                else:
+                    ids = [*self.line_end, *[t.id for t in tokenize(letters)]]
+                found[i] = ids + self._tail(tail) if tail else ids
             elif p == "\n":
                 found[i] = self.line_end
             else:
-                body = p[1:] if at_end else p
+                body = p[1:] if p[0] in " \n" else p
                 if body and not body[0].isspace() and not body[-1].isspace():      # no white space touches it
                     others.append(i)
+                else:
+                    unsafe.append(i)
         if others:
-            whole = self._plain([p if p[0] == "\n" else " " + p for p in map(pieces.__getitem__, others)])
-            for i, ids in zip(others, whole):
-                found[i] = ids
-        return found
+            for i, e in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)):
+                found[i] = e.ids
+        return found, unsafe
 
     def _keep(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
         if not len(keys) or self.young.add(keys, counts, ids):
@@ -215,21 +229,25 @@ class CachedEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         raw = b"".join([BREAK + t.encode() for t in texts]) + BREAK
         buf = np.frombuffer(raw + bytes(KEY_BYTES + 8), np.uint8)
-        cuts = np.flatnonzero(_CUTS[buf[:len(raw)]])
-        mark = buf[cuts[:-1]]
-        start, end = cuts[:-1] + (mark != 10), cuts[1:]
-        first = mark == BREAK[0]
+        is_cut = _CUTS[buf[:len(raw)]]
+        is_cut[1:] |= _MARKS[buf[1:len(raw)]] & _LETTERS[buf[:len(raw) - 1]]
+        cuts = np.flatnonzero(is_cut)
+        front = buf[cuts[:-1]]
+        first = front == BREAK[0]
+        start, end = cuts[:-1] + (first | (front == 0x20)), cuts[1:]
         doc = np.cumsum(first) - 1
-        whole = np.fromiter((not t or t[0] in "\n " or t.endswith("\n\n") or any(x in t for x in self.odd)
+        odd = [x for x in self.odd if x.encode() in raw]
+        whole = np.fromiter((not t or t[0] in "\n " or t.endswith("\n\n") or any(x in t for x in odd)
                              for t in texts), bool, len(texts))
         opening = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
         whole |= np.fromiter((x[-1:].isspace() for x in opening), bool, len(texts))
 
         use = np.flatnonzero(~first & ~whole[doc])
-        start, size, doc = start[use], (end - start)[use], doc[use]
+        start, size, doc, spaced = start[use], (end - start)[use], doc[use], front[use] == 0x20
         short = np.flatnonzero(size <= KEY_BYTES)
         keys = np.zeros((len(use), 4), U64)
         keys[short] = piece_keys(buf, start[short], size[short])
+        keys[spaced, 3] |= SPACED
         source, offset, count = (np.full(len(use), x, np.int64) for x in (2, 0, 0))
         todo, sources = short, []
         for i, table in enumerate((self.young, self.old)):
@@ -241,13 +259,14 @@ class CachedEncoder:
         # new pieces and long ones: each distinct one is encoded once, and kept if it is short
         new = np.flatnonzero(source == 2)
         index: dict[bytes, int] = {}
-        which = np.array([index.setdefault(raw[a:a + n], len(index)) for a, n in zip(start[new].tolist(), size[new].tolist())],
-                         np.int64)
-        got = self._learn([p.decode() for p in index])
-        counts = np.fromiter((UNSAFE if g is None else len(g) // 4 for g in got), np.int64, len(got))
-        sizes = np.where(counts == UNSAFE, 0, counts)
+        which = np.array([index.setdefault(raw[a:b], len(index)) for a, b in
+                          zip((start - spaced)[new].tolist(), (start + size)[new].tolist())], np.int64)
+        got, unsafe = self._learn([p.decode() for p in index])
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        counts = sizes.copy()
+        counts[unsafe] = UNSAFE
         begin = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(g or b"" for g in got), np.int32)
+        ids = np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))
         sources.append(ids)
         offset[new], count[new] = begin[which], counts[which]
         sample = np.zeros(len(index), np.int64)
