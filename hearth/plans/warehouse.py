@@ -17,10 +17,13 @@ LAGs without an exchange. A bucket can't get hot: a zip has one row a month.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.numeric import to_num
 from ..sources import schemas
 from ..sources.io import bucket_count, drop_repeated_header, read_raw_csv, read_table, replace_table
+from ..sources.rejects import load_checked, read_checked_csv
 from . import etl
 from .features import build_neighborhood_features, metro_snapshot, zip_snapshot
 from .training import build_training_data
@@ -37,6 +40,27 @@ BY_ZIP = {"zip_history": ["zip_code", "date"], "census": ["zip_code"], "educatio
 CROSSWALK_COLUMNS = ("RegionName", "State", "City", "Metro", "CountyName")
 
 
+def raw_rules(key: str, columns: list[str], amenities_positional: bool = True) -> dict[str, Column]:
+    """Reason -> condition for raw rows that their builder can't use: it would drop them without a word.
+
+    A value that is there but is no number counts; an empty one does not, nor does a repeated header.
+    """
+    needed = {"census_income": "S1901_C01_012E", "census_housing": "DP04_0001E", "crime": "POPULATION", "aqi": "Median AQI",
+              "amenities": "amenity_rank"}.get(key)
+    if key == "amenities" and amenities_positional:
+        at = etl.AMENITY_COLUMNS.index("amenity_rank")
+        name = columns[at] if at < len(columns) else None
+    else:
+        name = next((c for c in columns if needed and c.strip().strip('"').lower() == needed.lower()), None)
+    if name is None:
+        return {}
+    value = F.col("`" + name.replace("`", "``") + "`")
+    rule = (F.trim(value) != "") & to_num(value).isNull()
+    if key.startswith("census") and "GEO_ID" in columns:
+        rule = rule & (F.col("GEO_ID") != "Geography")
+    return {f"{needed} is no number": rule}
+
+
 def write_by_zip(df: DataFrame, out_dir: str, name: str, buckets: int) -> int:
     """Load one of the tables that are dealt by zip; returns the rows written."""
     return replace_table(df, f"{out_dir}/{name}", schema=schemas.TABLES.get(name), bucket_by="zip_code", buckets=buckets,
@@ -58,11 +82,25 @@ def _write(df: DataFrame, out_dir: str, name: str, counts: dict, **kw) -> DataFr
 def build_warehouse(spark: SparkSession, raw: dict[str, str], out_dir: str,
                     zip_listing: str | None = None, schools_encoding: str = "ISO-8859-1",
                     aqi_state_is_abbreviation: bool = False,
-                    amenities_positional: bool = True, rows_per_bucket: int = 1_000_000) -> dict[str, int]:
-    """Build and write all tables; returns rows written per table."""
-    read = lambda key, **kw: read_raw_csv(spark, raw[key], **kw)
+                    amenities_positional: bool = True, rows_per_bucket: int = 1_000_000,
+                    rejects_dir: str | None = None) -> dict[str, int]:
+    """Build and write all tables; returns rows written per table.
+
+    ``rejects_dir``: raw files are staged there once, split into rows to load and rows that are malformed (more or fewer
+    fields than the header) or break ``raw_rules``, with reasons and file. Counts then also hold `<raw key>: <reason>`.
+    """
     counts: dict[str, int] = {}
 
+    def read(key: str, **kw) -> DataFrame:
+        if rejects_dir is None:
+            return read_raw_csv(spark, raw[key], **kw)
+        lines = read_checked_csv(spark, raw[key], **kw)
+        rules = raw_rules(key, lines.columns, amenities_positional)
+        accepted, _, seen = load_checked(lines, rules, f"{rejects_dir}/{key}")
+        counts.update({f"{key}: {reason}": n for reason, n in seen.items()})
+        return accepted
+
+
     zip_market = _write(etl.build_zip_market({v: read(f"zip_{v}") for v in etl.ZIP_VALUE_NAMES}),
                         out_dir, "zip_market", counts, partition_by_month=True,
                         sort_cols=["zip_code", "date"])

@@ -24,6 +24,12 @@ def read_csv_lines(spark: SparkSession, path: str, columns: list[str], header: b
         .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
+def read_checked_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A CSV with a header as text columns of its names, and `_corrupt_record` as in ``read_csv_lines``."""
+    names = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).csv(path).columns
+    return read_csv_lines(spark, path, names, header=True, encoding=encoding)
+
+
 def load_checked(raw: DataFrame, rules: dict[str, Column], path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(accepted rows, rejected rows with `_reasons` and `_file`, counts by reason and of all `rows`).
 

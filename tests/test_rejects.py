@@ -35,3 +35,25 @@ def test_a_clean_and_an_empty_load(spark, tmp_path):
     assert good.count() == 1 and bad.count() == 0 and counts == {"rows": 1, "no number": 0, "no year": 0}
     good, bad, counts = load_checked(clean.where("false"), _rules(), str(tmp_path))
     assert good.count() == 0 and bad.count() == 0 and counts["rows"] == 0
+
+
+def test_raw_files_of_the_warehouse(spark, tmp_path):
+    from hearth.plans import etl
+    from hearth.plans.warehouse import raw_rules
+    from hearth.sources.io import read_raw_csv
+    from hearth.sources.rejects import read_checked_csv
+    path = tmp_path / "inc.csv"
+    path.write_text("GEO_ID,S1901_C01_012E,S1901_C01_012M\nGeography,Estimate,Margin\n8600000US01001,50000,10\n8600000US01002,-,10\n"
+                    "8600000US01003,,10\n8600000US01004,70000,10,extra\n8600000US01005,\"61,000\",**\n", encoding="utf-8")
+    lines = read_checked_csv(spark, str(path))
+    rules = raw_rules("census_income", lines.columns)
+    good, bad, counts = load_checked(lines, rules, str(tmp_path / "out"))
+    reason = "S1901_C01_012E is no number"
+    assert counts["rows"] == 6 and counts[MALFORMED] == 1
+    assert {r.GEO_ID[-5:]: r._reasons for r in bad.collect()}["01002"] == [reason]
+    # what is rejected for its value gave no row before either; the longer line is rejected alone
+    before = {tuple(r) for r in etl.census_income(read_raw_csv(spark, str(path))).collect()}
+    assert before - {tuple(r) for r in etl.census_income(good).collect()} == {("01004", 70000.0, 10.0)}
+    assert raw_rules("schools", ["LZIP"]) == raw_rules("crime", ["county"]) == raw_rules("amenities", ["a", "b"]) == {}
+    assert list(raw_rules("aqi", ['"Median AQI"'])) == ["Median AQI is no number"]
+    assert list(raw_rules("amenities", [f"c{i}" for i in range(22)])) == ["amenity_rank is no number"]

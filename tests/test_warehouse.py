@@ -43,7 +43,8 @@ def test_build_warehouse_from_raw_files(spark, catalog):
     raw["amenities"] = _csv(fx.fx_amenity_raw, root, "amen")
     listing = _csv(catalog.crosswalk_raw, root, "listing")
 
-    counts = build_warehouse(spark, raw, out, zip_listing=listing, amenities_positional=False)
+    counts = build_warehouse(spark, raw, out, zip_listing=listing, amenities_positional=False, rejects_dir=f"{out}/rejects")
+    assert counts["crime: rows"] == fx.fx_crime_raw.count() and counts["crime: malformed line"] == 0
 
     def same(table, df):
         got = sorted(map(tuple, read_table(spark, f"{out}/{table}").select(*df.columns).collect()))
