@@ -1,8 +1,9 @@
 """Boosted regression trees by grouped gradient sums, with L1 and L2 terms and patience.
 
-Rows are binned once. A tree grows level by level: every task sums the gradients of its rows by
-node, feature and bin, the sums are added up, and the driver picks splits from them. A node with at most
-``local_rows`` rows is finished by one task instead (its rows grouped by node, many nodes at
+Rows are binned once, into blocks of numpy columns, one a partition. A tree grows level by level: every task
+sums the gradients of its rows by node, feature and bin, the sums are added up, and the driver picks
+splits from them. Of two siblings only the smaller one is summed; the other is what is left of their parent. Nodes
+with at most ``local_rows`` rows are finished by tasks instead (a node's rows grouped, many nodes at
 once), which saves the lower levels' passes. Both ways give the same tree: gradients are summed as
 whole numbers of 1 / UNIT, so no order of rows changes a sum.
 
@@ -13,18 +14,21 @@ and round) and of the features. The first prediction is the mean label. After ea
 round the mean absolute error of the validation rows is taken, in the next round's pass; when it
 has not fallen for ``patience`` rounds, or after ``rounds``, the trees up to the best round are the model.
 
-Predictions are kept with the rows and written anew every REFRESH rounds; tasks apply the
-trees since, so a lost task only reads its rows again. What the driver holds is the trees and one level's sums.
+Predictions are kept in the blocks, which Spark holds; a round's tree is added to them once, and every REFRESH rounds
+the blocks are checkpointed, so a lost task redoes few rounds. A pass is a small RDD job: a round has up to
+``depth`` of them, whatever the number of rows. What the driver holds is the trees and one level's sums.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,10 @@ from ..session import ensure_checkpoint_dir
 
 BINS = 64
 UNIT = 256
-REFRESH = 10
-LOCAL_ROWS = 50_000
+REFRESH = 25
+LOCAL_ROWS = 4_096
+#: Rows of a block: at least, where cores are left over, and at most.
+BLOCK_ROWS = (4_096, 500_000)
 #: Tables of sums are added up in tasks first where more tasks than this send one.
 DIRECT = 16
 
@@ -167,145 +173,145 @@ def grow(tree: Tree, root: int, bins: np.ndarray, g: np.ndarray, allowed: np.nda
             todo += [(2 * node + 1, rows[~right]), (2 * node + 2, rows[right])]
 
 
-SCHEMA = "row long, held boolean, label double, bins binary, pred double"
+SCHEMA = "row long, held boolean, label double, bins binary"
 
 
-def _read(batch, trees: list[Tree], k: int):
-    """Row hashes, held, labels, bins and predictions of a batch, with ``trees`` applied."""
-    bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, k)
-    pred = batch.column(4).to_numpy().copy()
-    for t in trees:
-        pred += t.predict(bins)
-    return (batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), bins, pred)
+def _gradients(block, tree: Tree, round_: int, p: Params):
+    """Bins, whole-number gradients and nodes of a round's rows."""
+    row, held, label, bins, pred = block
+    use = ~held & drawn(row, round_, p)
+    bins = bins[use]
+    return bins, np.rint((pred[use] - label[use]) * UNIT).astype(np.int64), tree.node_of(bins)
 
 
-def _gradients(batch, trees, k, round_, p):
-    """(bins, whole-number gradients) of a round's rows; (error, rows) of validation rows."""
-    row, held, label, bins, pred = _read(batch, trees, k)
-    use = ~held & drawn(row, round_, p)
-    g = np.rint((pred[use] - label[use]) * UNIT).astype(np.int64)
-    return bins[use], g, float(np.abs(label[held] - pred[held]).sum()), int(held.sum())
+def _blocks(table: DataFrame, k: int, base: float, parts: int) -> RDD:
+    """(row hashes, held, labels, bins, predictions) of each partition's rows, as numpy columns."""
+    def pack(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(),
+                np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, k)) for b in batches if b.num_rows]
+        if got:
+            columns = [np.concatenate(c) for c in zip(*got)]
+            block = (*columns, np.full(len(columns[0]), base))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], names=["block"])
+
+    return table.repartition(parts).mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r[0])) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 class _Trainer:
-    def __init__(self, table: DataFrame, model: Boosted, p: Params):
-        self.table, self.model, self.p, self.k = table, model, p, len(model.cuts)
-        self.spark, self.pending = table.sparkSession, []
-
-    def refresh(self) -> None:
-        """Write the rows anew with the pending trees in their predictions."""
-        trees, k = self.pending, self.k
-
-        def run(batches):
-            for batch in batches:
-                pred = _read(batch, trees, k)[4]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(pred)], schema=batch.schema)
-
-        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/boosting-{uuid.uuid4().hex}"
-        self.table.mapInArrow(run, SCHEMA).write.parquet(path)
-        self.table, self.pending = self.spark.read.schema(SCHEMA).parquet(path), []
-
-    def level(self, tree: Tree, nodes: list[int], round_: int):
-        """Sums of ``nodes``, and the validation error so far."""
-        trees, k, p, want = list(self.pending), self.k, self.p, np.array(nodes)
-
-        def run(batches):
-            total_g = np.zeros((len(want), k, BINS), np.int64)
-            total_n = np.zeros((len(want), k, BINS), np.int64)
-            error, held = 0.0, 0
-            for batch in batches:
-                bins, g, e, h = _gradients(batch, trees, k, round_, p)
-                at = np.searchsorted(want, node := tree.node_of(bins))
+    def __init__(self, blocks: RDD, parts: int, model: Boosted, p: Params):
+        self.blocks, self.parts, self.model, self.p, self.k = blocks, parts, model, p, len(model.cuts)
+        self.added, self.stale = 0, None
+
+    def add(self, tree: Tree) -> None:
+        """Add a tree to the blocks' predictions."""
+        def run(blocks):
+            for *columns, bins, pred in blocks:
+                yield (*columns, bins, pred + tree.predict(bins))
+
+        self.stale, self.blocks = self.blocks, self.blocks.mapPartitions(run, True).persist(StorageLevel.MEMORY_AND_DISK)
+        self.added += 1
+        if self.added % REFRESH == 0:
+            self.blocks.checkpoint()
+
+    def close(self) -> None:
+        for blocks in (self.blocks, self.stale):
+            if blocks is not None:
+                blocks.unpersist()
+
+    def level(self, tree: Tree, nodes: list[int], features: np.ndarray, round_: int):
+        """Gradients and rows of ``nodes`` by feature and bin; with the root, also the validation error so far."""
+        p, want, errors = self.p, np.array(nodes), 0 in nodes
+        shape = (len(want), len(features), BINS)
+
+        def run(blocks):
+            total_g, total_n, error, held = np.zeros(shape, np.int64), np.zeros(shape, np.int64), 0.0, 0
+            for block in blocks:
+                bins, g, node = _gradients(block, tree, round_, p)
+                at = np.searchsorted(want, node)
                 here = want[np.minimum(at, len(want) - 1)] == node
-                a, b = sums(bins[here], g[here], at[here], len(want))
+                a, b = sums(bins[here][:, features], g[here], at[here], len(want))
                 total_g += a
                 total_n += b
-                error, held = error + e, held + h
-            yield pa.RecordBatch.from_pylist([{"g": total_g.tobytes(), "n": total_n.tobytes(), "error": error, "held": held}])
-
-        def add(batches):
-            out = None
-            for batch in batches:
-                for r in batch.to_pylist():
-                    r = [np.frombuffer(r["g"], np.int64), np.frombuffer(r["n"], np.int64), r["error"], r["held"]]
-                    out = r if out is None else [a + b for a, b in zip(out, r)]
-            if out:
-                yield pa.RecordBatch.from_pylist([{"g": out[0].tobytes(), "n": out[1].tobytes(), "error": out[2], "held": out[3]}])
-
-        schema = "g binary, n binary, error double, held long"
-        got, width = self.table.mapInArrow(run, schema), self.spark.sparkContext.defaultParallelism
-        if width > DIRECT:
-            got = got.repartition(DIRECT).mapInArrow(add, schema)
-        rows = got.collect()
-        shape = (len(nodes), k, BINS)
-        g = sum(np.frombuffer(r["g"], np.int64).reshape(shape) for r in rows)
-        n = sum(np.frombuffer(r["n"], np.int64).reshape(shape) for r in rows)
-        return g, n, sum(r["error"] for r in rows), sum(r["held"] for r in rows)
-
-    def finish(self, tree: Tree, nodes: list[int], round_: int) -> tuple[float, int]:
-        """Grow ``nodes`` to their ends, each in one task; returns the validation error so far."""
-        trees, k, p, want = list(self.pending), self.k, self.p, set(nodes)
-        allowed, size = allowed_features(k, round_, p), len(tree.feature)
-
-        def run(batches):
-            error, held = 0.0, 0
-            for batch in batches:
-                bins, g, e, h = _gradients(batch, trees, k, round_, p)
-                error, held = error + e, held + h
-                node = tree.node_of(bins)
-                here = np.flatnonzero(np.isin(node, list(want)))
-                flat = bins[here].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[here].astype(np.int32)), pa.array([flat[i:i + k] for i in range(0, len(flat), k)], pa.binary()),
-                     pa.array(g[here]), pa.array(np.zeros(len(here)))], names=["node", "bins", "g", "error"])
-            # one row a task: its validation error
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""]), pa.array([held]), pa.array([error])],
-                                             names=["node", "bins", "g", "error"])
-
-        def one(table):
-            node, g = table.column("node")[0].as_py(), table.column("g").to_numpy()
-            out = Tree.empty(p.depth)
-            if node < 0:
-                out.value[0], out.gain[0] = math.fsum(table.column("error").to_pylist()), g.sum()
-            else:
-                bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, k)
-                grow(out, node, bins, g, allowed, p)
+                if errors:
+                    _, out, label, _, pred = block
+                    error, held = error + float(np.abs(label[out] - pred[out]).sum()), held + int(out.sum())
+            yield total_g, total_n, error, held
+
+        got = self.blocks.mapPartitions(run)
+        add = lambda x, y: tuple(a + b for a, b in zip(x, y))
+        if self.parts > DIRECT:
+            return got.treeReduce(add, 2)
+        total = None
+        for one in got.collect():
+            total = one if total is None else add(total, one)
+        return total
+
+    def finish(self, tree: Tree, nodes: list[int], allowed: np.ndarray, round_: int) -> None:
+        """Grow ``nodes`` to their ends, each in one task."""
+        p, want = self.p, np.array(sorted(nodes))
+
+        def send(blocks):
+            for block in blocks:
+                bins, g, node = _gradients(block, tree, round_, p)
+                order = np.argsort(node, kind="stable")
+                node = node[order]
+                for one, lo, hi in zip(want, np.searchsorted(node, want), np.searchsorted(node, want, side="right")):
+                    if lo < hi:
+                        yield int(one), (bins[order[lo:hi]], g[order[lo:hi]])
+
+        def one(item):
+            node, rows = item
+            rows, out = list(rows), Tree.empty(p.depth)
+            grow(out, node, np.concatenate([b for b, _ in rows]), np.concatenate([g for _, g in rows]), allowed, p)
             at = np.flatnonzero((out.feature >= 0) | (out.value != 0) | (out.gain != 0))
-            return pa.table({"of": pa.array(np.full(len(at), node, np.int32)), "at": pa.array(at.astype(np.int32)),
-                             "feature": pa.array(out.feature[at].astype(np.int32)), "cut": pa.array(out.cut[at].astype(np.int32)),
-                             "value": pa.array(out.value[at]), "gain": pa.array(out.gain[at])})
-
-        rows = self.table.mapInArrow(run, "node int, bins binary, g long, error double").groupBy("node") \
-            .applyInArrow(one, "of int, at int, feature int, cut int, value double, gain double").collect()
-        error, held = 0.0, 0
-        for r in rows:                               # at most 2^(depth + 1) rows
-            if r["of"] < 0:
-                error, held = r["value"], int(r["gain"])
-            else:
-                i = r["at"]
-                tree.feature[i], tree.cut[i], tree.value[i], tree.gain[i] = r["feature"], r["cut"], r["value"], r["gain"]
-        assert size == len(tree.feature)
-        return error, held
-
-    def tree(self, round_: int, rows: int) -> tuple[Tree, float, int]:
-        """A round's tree, and the validation error before it. ``rows``: a bound of the round's rows."""
-        p, tree = self.p, Tree.empty(self.p.depth)
-        large, small, error, held = ([], [0], 0.0, 0) if rows <= p.local_rows else ([0], [], 0.0, 0)
+            return at, out.feature[at], out.cut[at], out.value[at], out.gain[at]
+
+        found = self.blocks.mapPartitions(send).groupByKey(min(self.parts, len(nodes))).map(one)
+        for at, *values in found.collect():          # at most 2^(depth + 1) nodes
+            for column, v in zip((tree.feature, tree.cut, tree.value, tree.gain), values):
+                column[at] = v
+
+    def tree(self, round_: int) -> tuple[Tree, float, int]:
+        """A round's tree, and the validation error before it."""
+        p, tree, small = self.p, Tree.empty(self.p.depth), []
         allowed = allowed_features(self.k, round_, p)
-        while large:
-            g, n, error, held = self.level(tree, large, round_)
-            below: list[int] = []
-            for i, node in enumerate(large):
-                count = int(n[i, 0].sum())
-                tree.value[node] = leaf_value(g[i, 0].sum() / UNIT, count, p)
-                found = best_split(g[i], n[i], allowed, p) if 2 * node + 2 < len(tree.feature) and count >= 2 * p.min_rows else None
+        features = np.flatnonzero(allowed)
+        g, n, error, held = self.level(tree, [0], features, round_)
+        if self.stale is not None:
+            self.stale.unpersist()
+            self.stale = None
+        have = {0: (g[0], n[0])}
+        while have:
+            below: list[tuple] = []
+            for node, (g, n) in have.items():
+                count = int(n[0].sum())
+                tree.value[node] = leaf_value(g[0].sum() / UNIT, count, p)
+                found = best_split(g, n, np.ones(len(features), bool), p) \
+                    if 2 * node + 2 < len(tree.feature) and count >= 2 * p.min_rows else None
                 if found:
-                    tree.gain[node], tree.feature[node], tree.cut[node] = found[:3]
-                    for child, size in ((2 * node + 1, found[3]), (2 * node + 2, count - found[3])):
-                        (below if size > p.local_rows else small).append(child)
-            large = sorted(below)
+                    gain, f, cut, left = found
+                    tree.gain[node], tree.feature[node], tree.cut[node] = gain, features[f], cut
+                    kids = {2 * node + 1: left, 2 * node + 2: count - left}
+                    if 4 * node + 4 < len(tree.feature):
+                        local = [x for x, size in kids.items() if size <= p.local_rows]
+                        small += local
+                        if len(local) < 2:
+                            below.append((min(kids, key=kids.get), node, local))
+                    else:                            # the last level: its sums are known from the split
+                        for child, part in ((2 * node + 1, slice(None, cut + 1)), (2 * node + 2, slice(cut + 1, None))):
+                            tree.value[child] = leaf_value(g[f, part].sum() / UNIT, kids[child], p)
+            parents, have = have, {}
+            if below:
+                below.sort()
+                g, n, _, _ = self.level(tree, [x for x, _, _ in below], features, round_)
+                for i, (x, parent, local) in enumerate(below):
+                    other = 4 * parent + 3 - x
+                    for child, pair in ((x, (g[i], n[i])), (other, (parents[parent][0] - g[i], parents[parent][1] - n[i]))):
+                        if child not in local:
+                            have[child] = pair
         if small:
-            error, held = self.finish(tree, small, round_)
+            self.finish(tree, small, allowed, round_)
         return tree, error, held
 
 
@@ -320,26 +326,27 @@ def fit(rows: DataFrame, features: str, label: str, held: str, row: str, p: Para
     rows = spark.read.schema(rows.schema).parquet(path)
     train = rows.where("not held")
     first = rows.agg(F.avg(F.when(~F.col("held"), F.round("label", 6))).alias("base"), F.count(F.when(~F.col("held"), 1)).alias("n"),
-                     F.max(F.size("x")).alias("k")).first()
+                     F.max(F.size("x")).alias("k"), F.count("*").alias("rows")).first()
     if not first["n"]:
         raise ValueError("no training rows")
     shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     cuts = train.agg(*[F.percentile_approx(F.get("x", F.lit(i)), shares, 10_000).alias(f"c{i}") for i in range(first["k"])]).first()
     model = Boosted(float(first["base"]), [np.unique(np.array(c, np.float64)) for c in cuts])
-    base, plain = model.base, Boosted(model.base, model.cuts)
+    plain = Boosted(model.base, model.cuts)
 
     def bin_rows(batches):
         for batch in batches:
             x = np.array(batch.column(3).flatten()).reshape(batch.num_rows, -1)
             flat, k = plain.bins(x).tobytes(), len(plain.cuts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([flat[i:i + k] for i in range(0, len(flat), k)], pa.binary()),
-                                              pa.array(np.full(batch.num_rows, base))], names=["row", "held", "label", "bins", "pred"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([flat[i:i + k] for i in range(0, len(flat), k)], pa.binary())],
+                                             names=["row", "held", "label", "bins"])
 
-    trainer = _Trainer(rows.mapInArrow(bin_rows, SCHEMA), model, p)
-    trainer.refresh()
+    least, most = BLOCK_ROWS
+    parts = max(min(spark.sparkContext.defaultParallelism, -(-first["rows"] // least)), -(-first["rows"] // most))
+    trainer = _Trainer(_blocks(rows.mapInArrow(bin_rows, SCHEMA), len(plain.cuts), model.base, parts), parts, model, p)
     for round_ in range(p.rounds + 1):
-        # the pass of a round finds the error after the rounds before it
-        tree, error, n = trainer.tree(round_, first["n"])
+        # the first pass of a round finds the error after the rounds before it
+        tree, error, n = trainer.tree(round_)
         if round_:
             model.errors.append(error / n if n else 0.0)
             best = int(np.argmin(model.errors))
@@ -348,9 +355,8 @@ def fit(rows: DataFrame, features: str, label: str, held: str, row: str, p: Para
         if round_ == p.rounds:
             break
         model.trees.append(tree)
-        trainer.pending.append(tree)
-        if len(trainer.pending) == REFRESH:
-            trainer.refresh()
+        trainer.add(tree)
+    trainer.close()
     if any(model.errors):
         del model.trees[int(np.argmin(model.errors)) + 1:]
     return model

@@ -88,3 +88,14 @@ def test_patience_keeps_the_best_round(spark):
     best = int(np.argmin(model.errors))
     assert len(model.trees) == best + 1 and len(model.errors) == best + 1 + p.patience < p.rounds
     assert np.abs(model.predict(x[held]) - y[held]).mean() == pytest.approx(model.errors[best])
+
+
+def test_no_task_gets_all_rows_and_one_of_two_siblings_is_summed(spark, monkeypatch):
+    x, y = _data(400, seed=8, k=6)
+    summed, local, level, finish = [], [], B._Trainer.level, B._Trainer.finish
+    monkeypatch.setattr(B._Trainer, "level", lambda self, tree, nodes, *a: summed.append(list(nodes)) or level(self, tree, nodes, *a))
+    monkeypatch.setattr(B._Trainer, "finish", lambda self, tree, nodes, *a: local.append(list(nodes)) or finish(self, tree, nodes, *a))
+    for rows in (0, 10**9):
+        B.fit(_frame(spark, x, y), "x", "y", "held", "row", B.Params(rounds=2, depth=4, local_rows=rows))
+    assert local and all(0 not in nodes for nodes in local)
+    assert all(len({(i - 1) // 2 for i in nodes}) == len(nodes) for nodes in summed) and max(map(len, summed)) > 1
