@@ -279,13 +279,17 @@ def q_training_data(spark, sf):
                                start=TRAINING_START)
 
 
+# A bucket is one task's work in every pass over it: a panel of a million rows keeps a dozen cores busy.
+PANEL_ROWS_PER_BUCKET = 65_536
+
+
 @query("training_data_stored")
 def q_training_data_stored(spark, sf):
     """The training set from tables in hash buckets of the zip: written, read back, joined and lagged bucket by bucket."""
     from .warehouse import training_table, write_by_zip
     c = Catalog.of(spark, sf)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/by-zip-{uuid.uuid4().hex}"
-    buckets = io.bucket_count(c.zip_market.count())
+    buckets = io.bucket_count(c.zip_market.count(), PANEL_ROWS_PER_BUCKET)
     for name, df in (("zip_history", c.zip_market), ("census", c.census), ("education", c.education),
                      ("neighborhood_features", c.features)):
         write_by_zip(df, root, name, buckets)

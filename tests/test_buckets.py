@@ -18,6 +18,11 @@ def test_bucket_count():
     assert io.bucket_count(10 ** 13) == 1 << 16
 
 
+def test_stored_training_set_has_a_bucket_a_core():
+    from hearth.plans.registry import PANEL_ROWS_PER_BUCKET
+    assert io.bucket_count(840_000, PANEL_ROWS_PER_BUCKET) >= 12         # the panel of 1 GB of tables
+
+
 @pytest.fixture
 def no_broadcast(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
