@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_round_half_up, round_half_even
-from ..operators.kdtree import LEAF, near_cells, split_cells
+from ..operators.kdtree import LEAF, near_cells, split_cells, within_reach
 from ..session import cut_lineage
 
 
@@ -366,7 +366,8 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     todo = need.select("target_zip", "_need", *[f"r_{m}" for m in dims])
     cells = near_cells(todo, pts, rounds, dims, "target_zip", "_need")
     pairs = cells.join(pts.select("zip_code", *dims, F.col(f"_c{rounds}").alias("_n")), "_n") \
-        .where(F.col("zip_code") != F.col("target_zip"))
+        .where(F.col("zip_code") != F.col("target_zip")) \
+        .where(F.col("_reach").isNull() | within_reach(F.pow(_distance(), 2)))
     near = (pairs.select("target_zip", "_need", "zip_code", item(_distance()).alias("_it"))
             .withColumn("_rk", F.row_number().over(
                 Window.partitionBy("target_zip").orderBy(F.col("_it.d"), F.col("zip_code"))))

@@ -55,3 +55,17 @@ def test_neighbours_match_brute_force_and_few_points_are_measured(spark):
     todo = targets.select(F.col("zip_code").alias("t"), F.lit(k).alias("need"), *[F.col(m).alias(f"r_{m}") for m in DIMS])
     met = near_cells(todo, cells, rounds, DIMS, "t", "need").join(cells.select(F.col(f"_c{rounds}").alias("_n")), "_n").count()
     assert met < 0.2 * n * targets.count()
+
+
+def test_reach_holds_enough_points_and_cells_are_few(spark):
+    need = 5
+    pts = spark.range(4000).select("id", *[(_r(i) + 1).alias(d) for i, d in enumerate("abc")])
+    cells, rounds = split_cells(pts, ["a", "b", "c"], leaf=32)
+    targets = pts.where("id % 40 = 0").select("id", F.lit(need).alias("need"), *[F.col(d).alias(f"r_{d}") for d in "abc"])
+    met = near_cells(targets, cells, rounds, ["a", "b", "c"], "id", "need")
+    reach = {r.id: r._reach for r in met.select("id", "_reach").distinct().collect()}
+    rows = [tuple(r) for r in pts.collect()]
+    for t in rows[::400]:
+        near = sorted(sum(((x - y) / y) ** 2 for x, y in zip(c[1:], t[1:])) for c in rows if c[0] != t[0])
+        assert near[need - 1] <= reach[t[0]] * (1 + 1e-9) < near[400]
+    assert len(reach) == 100 and met.count() < 25 * 100
