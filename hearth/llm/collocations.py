@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, documents, mix, slices, store
+from .common import U64, Words, as_bytes, documents, mix, partitions, slices, store
 
 MIN_COUNT = 30
 TOP = 2000
@@ -46,8 +46,11 @@ LONGEST = 4
 SCALE = 2_000_000
 DROP_PERCENT = 80
 FILTER_BITS = 25
-CHUNK = 1 << 21
-HELD_WORDS = 250_000
+# what a task holds at once: n-gram occurrences to combine, tokens scanned, rows per batch sent on, distinct words
+CHUNK = 1 << 20
+SCAN = 1 << 18
+SENT = 1 << 17
+HELD_WORDS = 100_000
 LEVELS = [800_000, 400_000, 200_000, 100_000, 50_000, 25_000, 12_000, 6_000, 3_000, 1_500, 700, 300]
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _IS_END = np.zeros(256, bool)
@@ -75,10 +78,12 @@ def _count_words(batches):
     totals: Counter = Counter()
 
     def rows():
-        columns = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
-        columns += [(lang, None, n) for lang, n in totals.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns), (pa.string(), pa.binary(), pa.int64()))],
-                                          names=["lang", "word", "n"])
+        while totals:
+            lang, n = totals.popitem()
+            c = held.pop(lang)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * (len(c) + 1), pa.string()), pa.array([*c.keys(), None], pa.binary()), pa.array([*c.values(), n], pa.int64())],
+                names=["lang", "word", "n"])
 
     for batch in batches:
         for lo, hi in slices(batch.column(1), 4 << 20):
@@ -88,11 +93,8 @@ def _count_words(batches):
                 held.setdefault(lang, Counter()).update(words)
                 totals[lang] += len(words)
             if sum(map(len, held.values())) > HELD_WORDS:
-                yield rows()
-                held.clear()
-                totals.clear()
-    if totals:
-        yield rows()
+                yield from rows()
+    yield from rows()
 
 
 def _name_words(batches):
@@ -105,8 +107,9 @@ def _name_words(batches):
 
 def count_words(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
     """(lang, word, n, token) of frequent words; (lang, n) of all words."""
+    # counts are combined in tasks already: no second table of them is built before the shuffle, and its parts stay small
     counts = docs.mapInArrow(_count_words, "lang string, word binary, n long") \
-        .groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= min_count))
+        .repartition(partitions(docs.sparkSession), "lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= min_count))
     counts = store(counts, "phrases-words")
     totals = counts.where("word is null").select("lang", "n")
     words = store(counts.where("word is not null").mapInArrow(_name_words, "lang string, word binary, n long, token long"),
@@ -185,13 +188,15 @@ def write_tokens(docs: DataFrame, frequent) -> DataFrame:
                  **{"parquet.dictionary.page.size": str(8 << 20), "compression": "zstd"})
 
 
-def _combine(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct rows of ``columns`` and how often each occurs."""
+def _combine(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Distinct rows of the columns in ``held`` (emptied) and how often each occurs."""
+    columns = [np.concatenate(c) for c in zip(*held)]
+    held.clear()
     order = np.argsort(gram_codes(columns))
-    columns = [c[order] for c in columns]
     first = np.zeros(len(order), bool)
     first[:1] = True
-    for c in columns:
+    for i, c in enumerate(columns):
+        columns[i] = c = c[order]
         first[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(first)
     return [*(c[at].view(np.int64) for c in columns), np.diff(np.append(at, len(order)))]
@@ -201,12 +206,17 @@ def count_grams(stream: DataFrame, n: int, min_count: int, wanted=None) -> DataF
     """w1..wn, a: n-grams that occur ``min_count`` times; ``wanted`` picks them from their columns inside tasks."""
     names = [*WORDS[:n], "a"]
 
+    def combined(held):
+        columns = _combine(held)
+        for lo in range(0, len(columns[0]), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + SENT]) for c in columns], names=names)
+
     def run(batches):
         held, size = [], 0
         for batch in batches:
             flat = pc.list_flatten(batch.column(0)).to_numpy().view(U64)
-            for lo in range(0, len(flat), CHUNK):
-                t = flat[lo:lo + CHUNK + n - 1]
+            for lo in range(0, len(flat), SCAN):
+                t = flat[lo:lo + SCAN + n - 1]
                 if len(t) < n:
                     continue
                 columns = [t[i:len(t) - n + 1 + i] for i in range(n)]
@@ -218,14 +228,13 @@ def count_grams(stream: DataFrame, n: int, min_count: int, wanted=None) -> DataF
                 held.append(columns)
                 size += len(columns[0])
                 if size >= CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combine([np.concatenate(c) for c in zip(*held)])],
-                                                     names=names)
-                    held, size = [], 0
+                    yield from combined(held)
+                    size = 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combine([np.concatenate(c) for c in zip(*held)])], names=names)
+            yield from combined(held)
 
     schema = ", ".join(f"{x} long" for x in names)
-    return stream.mapInArrow(run, schema).groupBy(*names[:n]).agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
+    return stream.mapInArrow(run, schema).repartition(partitions(stream.sparkSession), *names[:n]).groupBy(*names[:n]).agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
 
 
 def _grow(n: int, pairs, now, before):

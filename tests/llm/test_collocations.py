@@ -107,3 +107,12 @@ def test_bitmaps_match_their_rows(spark):
     assert got["all"](codes).all() and got["half"](codes[rows[:, 0] > 0]).all()
     assert np.unpackbits(got["all"].bits).sum() == len(np.unique(codes >> np.uint64(64 - collocations.FILTER_BITS)))
     assert not Bits(20)(codes).any()
+
+
+def test_counts_are_shuffled_as_tasks_combined_them(spark):
+    stream = spark.createDataFrame([([5, 6, 5, 6, 0, 7],)], "tokens array<long>")
+    counted = collocations.count_grams(stream, 2, 1)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    # one exchange, with no aggregate between it and the tasks' own counts
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, counted.collect())) == [(5, 6, 2), (6, 5, 1)]
