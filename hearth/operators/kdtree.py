@@ -34,21 +34,20 @@ def split_cells(points: DataFrame, coords: list[str], leaf: int = LEAF) -> tuple
         stats = cur.groupBy(here).agg(F.count("*").alias("n"), F.array(*widths).alias("w"),
                                       F.array(*[F.percentile_approx(c, shares, 1000) for c in coords]).alias("q"))
         # no more cuts than leave some leaf / 2 points between two of them
-        step = F.lit((CUTS + 1) // 4)
-        for parts in (8, CUTS + 1):
+        step = F.lit((CUTS + 1) // 2)
+        for parts in (4, 8, CUTS + 1):
             step = F.when(F.col("n") >= parts * max(leaf // 2, 1), (CUTS + 1) // parts).otherwise(step)
         wide = stats.where((F.col("n") > leaf) & (F.array_max("w") > 0)) \
             .select(here, "n", (F.array_position("w", F.array_max("w")) - 1).cast("int").alias("_axis"), "q") \
             .withColumn("_step", step).withColumn("q", F.get("q", F.col("_axis"))) \
-            .withColumn("q", F.filter("q", lambda _, i: (i + 1) % F.col("_step") == 0)) \
-            .select(here, "_axis", F.array_distinct("q").alias("_cuts"),
+            .select(here, "_axis", F.array_distinct(F.filter("q", lambda _, i: (i + 1) % F.col("_step") == 0)).alias("_cuts"),
                     F.array_distinct(F.filter("q", lambda c, i: (i > 0) & (F.get("q", i - 1) == c))).alias("_hot"))
         wide = cut_lineage(wide)
         if wide.isEmpty():
             return cur, rounds
         rounds += 1
         x = F.get(F.array(*coords), F.col("_axis"))
-        # a value at several cuts has a cell of its own, apart from the ones between cuts
+        # a value at several quantiles has a cell of its own, apart from the ones between cuts
         above = lambda c: F.when(F.array_contains("_hot", c), (c < x).cast("int")).otherwise((c <= x).cast("int"))
         child = F.aggregate("_cuts", F.lit(0), lambda n, c: n + above(c) + (c <= x).cast("int"))
         cur = cut_lineage(cur.join(wide, here, "left")

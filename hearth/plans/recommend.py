@@ -363,8 +363,11 @@ def find_similar(features: DataFrame, k: int = 5, state: str | None = None,
     coords = [f"_u{i}" for i in range(len(dims))]
     logs = [F.log(F.greatest(F.col(m), F.lit(TINY))).alias(u) for m, u in zip(dims, coords)]
     pts, rounds = split_cells(pts.select("zip_code", *dims, *logs), coords, leaf or LEAF)
-    todo = need.select("target_zip", "_need", *[f"r_{m}" for m in dims])
-    cells = near_cells(todo, pts, rounds, dims, "target_zip", "_need")
+    # a target whose zip comes in several rows meets itself as often: so many more points must be within its reach
+    again = pts.groupBy(F.col("zip_code").alias("target_zip")).agg((F.count("*") - 1).cast("int").alias("_again")).where("_again > 0")
+    todo = need.select("target_zip", "_need", *[f"r_{m}" for m in dims]).join(again, "target_zip", "left") \
+        .withColumn("_ask", F.col("_need") + F.coalesce("_again", F.lit(0))).drop("_again")
+    cells = near_cells(todo, pts, rounds, dims, "target_zip", "_ask")
     pairs = cells.join(pts.select("zip_code", *dims, F.col(f"_c{rounds}").alias("_n")), "_n") \
         .where(F.col("zip_code") != F.col("target_zip")) \
         .where(F.col("_reach").isNull() | within_reach(F.pow(_distance(), 2)))

@@ -69,3 +69,11 @@ def test_reach_holds_enough_points_and_cells_are_few(spark):
         near = sorted(sum(((x - y) / y) ** 2 for x, y in zip(c[1:], t[1:])) for c in rows if c[0] != t[0])
         assert near[need - 1] <= reach[t[0]] * (1 + 1e-9) < near[400]
     assert len(reach) == 100 and met.count() < 25 * 100
+
+
+def test_repeated_rows_of_a_zip_do_not_shorten_its_list(spark):
+    n, k = 600, 5
+    f = _near_equal(spark, n).select("*", F.lit("c").alias("city"), F.lit("s").alias("state"), F.lit("m").alias("metro_area"))
+    out = find_similar(f.unionByName(f), k=k, leaf=16).groupBy("target_zip").agg(F.max("rank").alias("most"), F.count("*").alias("n"))
+    # five picks for each of the target's two rows, each with the attributes of the pick's two
+    assert [tuple(r) for r in out.select("most", "n").distinct().collect()] == [(k, 4 * k)] and out.count() == n
