@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, documents, mix, partitions, slices, store
+from .common import U64, Words, as_bytes, documents, folder, mix, partitions, slices, store
 
 MIN_COUNT = 30
 TOP = 2000
@@ -273,41 +273,54 @@ def _with_ends(grams: DataFrame, words: DataFrame, n: int) -> DataFrame:
     return grams.join(first, "w1").join(last, f"w{n}").select(*WORDS[:n], "a", "lang", "f_first", "f_last")
 
 
+def _with_pairs(grams: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Adds lang, the counts of the first and last words, and those of the first and last two.
+
+    Every pair in a frequent phrase is frequent, so ``pairs`` has it, with its words' counts.
+    """
+    first = pairs.select("w1", "w2", "lang", "f_first", F.col("a").alias("l2"))
+    last = pairs.select(*[F.col(x).alias(y) for x, y in zip(WORDS, WORDS[n - 2:n])], "f_last", F.col("a").alias("r2"))
+    return grams.join(first, WORDS[:2]).join(last, WORDS[n - 2:n]) \
+        .select(*WORDS[:n], "a", "lang", "f_first", "f_last", "l2", "r2")
+
+
 def _scored(grams: dict[int, DataFrame], n: int) -> DataFrame:
-    """lang, w1..w4, len, a, score, l, r of ``n``-grams whose parts are all counted."""
+    """lang, w1..w4 (0 beyond ``n``), a, score, l, r of ``n``-grams whose parts are all counted."""
     df = grams[n]
     cuts = []
     for k in range(1, n):
-        if k == 1:
-            left = F.col("f_first")
-        else:
-            part = grams[k].select(*WORDS[:k], F.col("a").alias(f"l{k}"))
-            df, left = df.join(part, WORDS[:k]), F.col(f"l{k}")
-        if n - k == 1:
-            right = F.col("f_last")
-        else:
-            part = grams[n - k].select(*[F.col(x).alias(y) for x, y in zip(WORDS, WORDS[k:n])], F.col("a").alias(f"r{k}"))
-            df, right = df.join(part, WORDS[k:n]), F.col(f"r{k}")
+        # words and pairs came with the phrase; longer parts may be counted in a later batch than it
+        left, right = F.col("f_first" if k == 1 else f"l{k}"), F.col("f_last" if n - k == 1 else f"r{n - k}")
+        if k > 2:
+            df = df.join(grams[k].select(*WORDS[:k], F.col("a").alias(f"l{k}")), WORDS[:k])
+        if n - k > 2:
+            part = grams[n - k].select(*[F.col(x).alias(y) for x, y in zip(WORDS, WORDS[k:n])], F.col("a").alias(f"r{n - k}"))
+            df = df.join(part, WORDS[k:n])
         cuts.append(F.struct(_score("a", left, right).alias("score"), F.lit(k).alias("k"), left.alias("l"), right.alias("r")))
-    rest = [F.lit(None).cast("long").alias(w) for w in WORDS[n:]]
+    rest = [F.lit(0).cast("long").alias(w) for w in WORDS[n:]]
     return df.withColumn("_cut", F.array_min(F.array(*cuts))).select(
-        "lang", *WORDS[:n], *rest, F.lit(n).alias("len"), "a", "_cut.score", "_cut.l", "_cut.r")
+        "lang", *WORDS[:n], *rest, "a", "_cut.score", "_cut.l", "_cut.r")
 
 
 def _survivors(grams: dict[int, DataFrame], levels: DataFrame) -> DataFrame:
     """Scored phrases at or above their language's level that no longer phrase drops."""
-    out = []
-    for n in grams:
-        df = _scored(grams, n).join(F.broadcast(levels), "lang").where("score >= level")       # one row per language
-        if n + 1 in grams:
-            longer = grams[n + 1]
-            sides = longer.select(*WORDS[:n], "a").unionByName(
-                longer.select(*[F.col(x).alias(y) for x, y in zip(WORDS[1:], WORDS[:n])], "a"))
-            most = sides.groupBy(*WORDS[:n]).agg(F.max("a").alias("_most"))
-            df = df.join(most, WORDS[:n], "left").where(
-                F.col("_most").isNull() | (_exact("_most") * 100 < _exact("a") * DROP_PERCENT)).drop("_most")
-        out.append(df.drop("level"))
-    return reduce(DataFrame.unionByName, out)
+    df = reduce(DataFrame.unionByName, [_scored(grams, n) for n in grams]) \
+        .join(F.broadcast(levels), "lang").where("score >= level").drop("level")               # one row per language
+    sides = [grams[n].select(*[F.col(x).alias(y) for x, y in zip(WORDS[k:], WORDS[:n - 1])],
+                             *[F.lit(0).cast("long").alias(w) for w in WORDS[n - 1:]], "a") for n in grams if n > 2 for k in (0, 1)]
+    if not sides:
+        return df
+    most = reduce(DataFrame.unionByName, sides).groupBy(*WORDS).agg(F.max("a").alias("_most"))
+    return df.join(most, WORDS, "left").where(
+        F.col("_most").isNull() | (_exact("_most") * 100 < _exact("a") * DROP_PERCENT)).drop("_most")
+
+
+def _phrases(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds the text of each phrase: one join with the words, whatever the place."""
+    texts = words.select("token", F.col("word").cast("string").alias("t"))
+    placed = found.select("*", F.posexplode(F.array(*WORDS)).alias("at", "token")).where("token != 0").join(texts, "token")
+    return placed.groupBy("lang", *WORDS, "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("_t")) \
+        .withColumn("phrase", F.array_join("_t.t", " ")).drop("_t")
 
 
 def _first_levels(pairs: DataFrame, top: int) -> dict[str, int]:
@@ -328,20 +341,25 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     docs = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     words, totals = count_words(docs, min_count)
     frequent = bitmaps(words.select(F.col("token").alias("w1")), 1, {"all": F.lit(True)})["all"]
-    stream = write_tokens(docs, send(frequent))
+    frequent = send(frequent)
+    stream = write_tokens(docs, frequent)
+    frequent.destroy()
     pairs = store(_with_ends(count_grams(stream, 2, min_count), words, 2), "phrases-2")
     known_pairs = send(bitmaps(pairs, 2, {"all": F.lit(True)})["all"])
     levels = {**_first_levels(pairs, top), **(levels or {})}
     grams: dict[int, DataFrame] = {2: pairs}
     before: dict[int, object] = {}
+    folders = {n: folder(spark, f"phrases-{n}") for n in range(3, longest + 1)}
     while True:
         level_rows = spark.createDataFrame(list(levels.items()), "lang string, level int")
         for n in range(3, longest + 1):
             shorter = grams[n - 1].join(F.broadcast(level_rows), "lang")                       # one row per language
             now = send(bitmaps(shorter, n - 1, {"head": _open("a", "f_first"), "tail": _open("a", "f_last")}))
             more = count_grams(stream, n, min_count, _grow(n, known_pairs, now, before.get(n)))
-            more = store(_with_ends(more, words, n), f"phrases-{n}")
-            grams[n] = grams[n].unionByName(more) if n in grams else more
+            # one folder for all batches, so that a plan reads them as one table however many there are
+            grams[n] = store(_with_pairs(more, pairs, n), f"phrases-{n}", folders[n])
+            if n in before:
+                before[n].destroy()
             before[n] = now
         found = store(_survivors(grams, level_rows), "phrases-survivors")
         counts = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
@@ -350,11 +368,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             break
         # two steps down, so that the batches stay few
         levels.update({x: next(iter(LEVELS[LEVELS.index(levels[x]) + 2:] if levels[x] in LEVELS else []), 0) for x in open_})
-    texts = words.select("token", F.col("word").cast("string").alias("t"))
-    for i in range(1, longest + 1):
-        found = found.join(texts.select(F.col("token").alias(f"w{i}"), F.col("t").alias(f"t{i}")), f"w{i}", "left")
+    for sent in (known_pairs, *before.values()):
+        sent.destroy()
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return found.withColumn("phrase", F.concat_ws(" ", *[f"t{i}" for i in range(1, longest + 1)])) \
+    return _phrases(found, words) \
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top) \
         .join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

@@ -34,15 +34,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def store(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str, into: str | None = None, **options) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back,
+    with what ``into``, if given, holds of earlier calls.
 
     Later plans start from the files: a lost executor re-reads them, and
     nothing upstream runs twice.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    path = into or folder(spark, name)
+    df.write.mode("append").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -116,3 +116,23 @@ def test_counts_are_shuffled_as_tasks_combined_them(spark):
     # one exchange, with no aggregate between it and the tasks' own counts
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert sorted(map(tuple, counted.collect())) == [(5, 6, 2), (6, 5, 1)]
+
+
+def test_a_plan_is_as_small_in_the_last_batch_as_in_the_first(spark, monkeypatch):
+    """The driver holds every join and scan of a plan: their number is fixed, however many batches there are."""
+    plans, store = [], collocations.store
+
+    def seen(df, name, *args, **options):
+        if name == "phrases-survivors":
+            text = df._jdf.queryExecution().executedPlan().toString()
+            plans.append((text.count("Join ["), text.count("FileScan parquet")))
+        return store(df, name, *args, **options)
+
+    monkeypatch.setattr(collocations, "store", seen)
+    rows = _rows(80, 7)
+    got = collocations.collocations(_frame(spark, rows), top=12, min_count=4, levels={x: 800_000 for x in ("en", "de", "x", "und")})
+    assert sorted(map(tuple, got.collect())) == _brute(rows, 12, 4)
+    # four words with three at either side, all with the levels and with what drops them
+    assert plans == [(4, 9)] * len(plans) and len(plans) > 1
+    # one join with the words for all places of a phrase, one with the totals
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
