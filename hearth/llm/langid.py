@@ -33,6 +33,8 @@ UND = "und"
 UNITS = 1 << 20
 #: Texts of more trigrams are scaled alone: whole units for each trigram would lose their weight.
 LONG = 1 << 12
+#: Text handled, and sent back, at once inside a task.
+SLICE = 1 << 19
 _cache: dict = {}
 
 
@@ -89,26 +91,29 @@ class Trigrams:
 
 
 def _fit_task(dims: int):
+    def add(sums: dict[str, np.ndarray], texts: list[str], langs: np.ndarray):
+        grams = Trigrams(texts, dims)
+        # each text has the same weight, dealt evenly to its trigrams: in whole units, or
+        # for a long text by scaling its whole bundle
+        size = np.diff(grams.bounds)
+        weight = np.where(size > LONG, 0, UNITS // np.maximum(size, 1))[grams.doc]
+        for i in np.flatnonzero(size > LONG):
+            got = np.rint(grams.bundle(i) * (UNITS / float(size[i]))).astype(np.int64)
+            sums[langs[i]] = sums.get(langs[i], 0) + got
+        for lang in set(langs):
+            own = np.flatnonzero(langs == lang)
+            mine = np.isin(grams.doc, own)
+            counts = np.bincount(grams.index[mine], weights=weight[mine], minlength=len(grams.vectors))
+            got = np.rint(counts @ grams.vectors.astype(np.float64)).astype(np.int64)
+            sums[lang] = sums.get(lang, 0) + got
+
     def run(batches: Iterator[pa.RecordBatch]):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             lang_all = batch.column(1).to_pylist()
-            for lo, hi in slices(batch.column(0)):
-                grams = Trigrams([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()], dims)
-                langs = np.array(lang_all[lo:hi], object)
-                # each text has the same weight, dealt evenly to its trigrams: in whole units, or
-                # for a long text by scaling its whole bundle
-                size = np.diff(grams.bounds)
-                weight = np.where(size > LONG, 0, UNITS // np.maximum(size, 1))[grams.doc]
-                for i in np.flatnonzero(size > LONG):
-                    got = np.rint(grams.bundle(i) * (UNITS / float(size[i]))).astype(np.int64)
-                    sums[langs[i]] = sums.get(langs[i], 0) + got
-                for lang in set(langs):
-                    own = np.flatnonzero(langs == lang)
-                    mine = np.isin(grams.doc, own)
-                    counts = np.bincount(grams.index[mine], weights=weight[mine], minlength=len(grams.vectors))
-                    got = np.rint(counts @ grams.vectors.astype(np.float64)).astype(np.int64)
-                    sums[lang] = sums.get(lang, 0) + got
+            for lo, hi in slices(batch.column(0), SLICE):
+                # a slice's trigrams go before the next slice is read
+                add(sums, [t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()], np.array(lang_all[lo:hi], object))
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))],
@@ -135,41 +140,55 @@ def fit_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return {r["lang"]: np.array([x["v"] for x in r["b"]], np.float64) for r in rows}
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id",
-                     text_col: str = "text", keep: tuple[str, ...] = (), dims: int = DIMENSIONS) -> DataFrame:
-    """doc_id, ``keep`` columns, lang_pred, score (cosine with the predicted language, clipped to 0..1)."""
+def _predict_task(prototypes: dict[str, np.ndarray], text_at: int, width: int, dims: int):
+    """Batches of the first ``width`` columns with lang_pred and score, a slice of text each; the text is column ``text_at``."""
     langs = sorted(k for k, v in prototypes.items() if np.any(v))
     unit = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in langs]) if langs else np.zeros((0, dims))
     mean = unit.mean(0) if len(langs) > 1 else np.zeros(dims)
     centred = unit - mean
     centred = (centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     axis = (mean / max(np.linalg.norm(mean), 1e-12)).astype(np.float32)
-    out_schema = docs.select(F.col(id_col).alias("doc_id"), *keep).schema
 
-    def run(batches):
+    def told(texts: list[str]) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        grams = Trigrams(texts, dims)
+        for i in range(len(texts)):
+            if not langs or not grams.has_letter[i]:
+                names.append(UND)
+                scores.append(0.0)
+                continue
+            profile = grams.bundle(i)
+            profile = profile - (profile @ axis) * axis
+            cosine = centred @ profile / max(float(np.linalg.norm(profile)), 1e-12)
+            best = int(np.argmax(cosine))
+            names.append(langs[best])
+            scores.append(float(min(1.0, max(0.0, cosine[best]))))
+        return names, scores
+
+    def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            names, scores = [], []
-            texts = batch.column(0)
-            for lo, hi in slices(texts):
-                part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
-                grams = Trigrams(part, dims)
-                for i in range(len(part)):
-                    if not langs or not grams.has_letter[i]:
-                        names.append(UND)
-                        scores.append(0.0)
-                        continue
-                    profile = grams.bundle(i)
-                    profile = profile - (profile @ axis) * axis
-                    cosine = centred @ profile / max(float(np.linalg.norm(profile)), 1e-12)
-                    best = int(np.argmax(cosine))
-                    names.append(langs[best])
-                    scores.append(float(min(1.0, max(0.0, cosine[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names[1:], "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_schema)
-    return docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep) \
-               .mapInArrow(run, f"{fields}, lang_pred string, score double")
+            for lo, hi in slices(batch.column(text_at), SLICE):
+                part = batch.slice(lo, hi - lo)
+                names, scores = told([t or "" for t in part.column(text_at).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:width], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*part.schema.names[:width], "lang_pred", "score"])
+
+    return run
+
+
+def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id",
+                     text_col: str = "text", keep: tuple[str, ...] = (), dims: int = DIMENSIONS) -> DataFrame:
+    """doc_id, ``keep`` columns, lang_pred, score (cosine with the predicted language, clipped to 0..1).
+
+    A text that is kept goes to the task once, and comes back a slice at a time.
+    """
+    kept = docs.select(F.col(id_col).alias("doc_id"), *keep)
+    width, own = len(kept.columns), text_col in keep
+    text_at = 1 + keep.index(text_col) if own else width
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    sent = kept if own else docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
+    return sent.mapInArrow(_predict_task(prototypes, text_at, width, dims), f"{fields}, lang_pred string, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

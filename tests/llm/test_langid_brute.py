@@ -1,6 +1,7 @@
 """Language profiles, prototypes, winners and scores recomputed letter by letter."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearth.llm import langid
@@ -62,3 +63,25 @@ def test_prototypes_winners_and_scores(spark):
         cosine = [c @ profile / np.linalg.norm(c) / np.linalg.norm(profile) for c in centred]
         assert r.lang_pred == names[int(np.argmax(cosine))]
         assert r.score == pytest.approx(min(1, max(0, max(cosine))), abs=1e-5)
+
+
+def test_kept_texts_go_once_and_come_back_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 100)
+    prototypes = {lang: _profile(text, 64)[0] for lang, text in TEXTS.items()}
+    texts = [*TEXTS.values(), None, "", "12 !?", "x" * 250] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["k"] * len(texts)), pa.array(texts)],
+                                       names=["doc_id", "lang", "text"])
+    out = list(langid._predict_task(prototypes, 2, 3, 64)(iter([batch])))
+    assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part.column(2).to_pylist()) <= 100 for part in out)
+    table = pa.Table.from_batches(out)
+    assert table.select(["doc_id", "lang", "text"]).equals(pa.Table.from_batches([batch]))
+    assert table["lang_pred"].to_pylist() == ["en", "de", "fr", "und", "und", "und", table["lang_pred"][6].as_py()] * 3
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = langid.predict_language(docs, prototypes, keep=("text",), dims=64)
+    sent = kept._jdf.queryExecution().analyzed().children().head().output().size()
+    assert sent == 2                    # doc_id and one text
+    plain = langid.predict_language(docs, prototypes, dims=64)
+    assert kept.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert sorted(kept.drop("text").collect()) == sorted(plain.collect())
+    assert dict(kept.select("doc_id", "text").collect()) == dict(enumerate(texts))
