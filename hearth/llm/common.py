@@ -7,6 +7,7 @@ so byte offsets cut words exactly where code-point offsets would.
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,6 +53,22 @@ def store(df: DataFrame, name: str, into: str | None = None, **options) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done.
+
+    It does so when the driver's garbage is collected, which else depends on the driver's heap,
+    not on the disk that shuffles take.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``store`` that no later plan reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (a null id: null)."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))

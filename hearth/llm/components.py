@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, store
+from .common import partitions, release, store
 
 #: A node with more than this share of a partition's rows is a hub.
 HUB_SHARE = 4
@@ -52,6 +52,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     (all hanging on roots by then) no longer change.
     """
     edges = store(edges.where("a <> b").distinct(), name)
+    release(edges.sparkSession)          # what the edges were found by may be large
     mark, n = None, edges.count()
     while True:
         # a star gives at most one edge per row it reads, so n bounds both rounds

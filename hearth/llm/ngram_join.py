@@ -21,9 +21,11 @@ hashes, sorted). Two link when 100 * intersection >= percent * union.
    like it, so nothing is lost whatever the filter holds.
    Keys go to their buckets in packed arrays; a bucket hangs all sets with
    one key on the smallest. Components of these links are clusters.
-3. A cluster is a tile; a large one is cut by size band and hash into tiles,
+3. A cluster is a tile; a large one is cut by size band and hash into tiles of bounded rows and bytes,
    and each pair of tiles in equal or neighbouring bands is one task's work,
-   so a group of any size is spread and its pairs are never rows.
+   so a group of any size is spread and its pairs are never rows. Sets meet
+   in as many tiles as their cluster has nearby, so tiles are made in rounds that each
+   send about as many bytes as all sets have: disk follows the input, not the square of a group.
 4. In a tile, parity bitmaps bound the overlap from above: differing bits are
    differing elements, so overlap <= (|A| + |B| - differing bits) / 2. Pairs
    that can still link are intersected exactly as sorted arrays. A tile gives
@@ -45,10 +47,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, documents, mix, partitions, slices, store
+from .common import U64, Words, as_bytes, discard, documents, folder, mix, partitions, release, slices, store
 from .components import components
 
-TILE = 512
+#: Sets of a tile and their bytes, at most (about, as a hash deals them).
+TILE = 4096
+TILE_BYTES = 16 << 20
+#: Sets whose bitmaps are compared at once.
+BLOCK = 512
+#: Bytes that a round of tiles sends at least, if there is that much.
+ROUND_BYTES = 64 << 20
 BITS = 1024
 RATIO = 1.25
 #: Common elements in the filter at most, and the filter's size: fixed, whatever the input.
@@ -324,36 +332,42 @@ def _set_pass(n: int, kept: list[str]):
 
 def bitmaps(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
     """Parity of the elements per hashed bit, one row a set."""
-    out = np.zeros((len(sets), bits), np.float32)
+    out = np.zeros((len(sets), bits), np.uint8)
     for i, s in enumerate(sets):
         out[i] = np.bincount((mix(s) % U64(bits)).astype(np.int64), minlength=bits) & 1
     return out
 
 
 def link_tile(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int):
-    """Linked pairs (i, j): within ``left`` (i < j), or between ``left`` and ``right``."""
+    """Linked pairs (i, distinct js), block by block: within ``left`` (i < j), or between ``left`` and ``right``."""
     other = left if right is None else right
     a, b = np.array([len(s) for s in left]), np.array([len(s) for s in other])
     if not len(a) or not len(b):
-        return []
-    x = bitmaps(left)
-    y = x if right is None else bitmaps(other)
-    differ = x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)
-    total = a[:, None] + b[None, :]
-    bound = (total - differ) // 2
-    maybe = ((100 + percent) * np.minimum(bound, np.minimum(a[:, None], b[None, :])) >= percent * total)
-    if right is None:
-        maybe = np.triu(maybe, 1)
-    links = []
-    for i in np.flatnonzero(maybe.any(1)):
-        js = np.flatnonzero(maybe[i])
-        cat = np.concatenate([other[j] for j in js])
-        at = np.searchsorted(left[i], cat)
-        hit = left[i][np.minimum(at, a[i] - 1)] == cat
-        inter = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(b[js])[:-1]]), dtype=np.int64)
-        good = js[(100 + percent) * inter >= percent * (a[i] + b[js])]
-        links.append((int(i), good))
-    return links
+        return
+    left_bits = bitmaps(left)
+    other_bits = left_bits if right is None else bitmaps(other)
+    for lo in range(0, len(a), BLOCK):
+        own, x = a[lo:lo + BLOCK], left_bits[lo:lo + BLOCK].astype(np.float32)
+        for start in range(lo if right is None else 0, len(b), BLOCK):
+            size = b[start:start + BLOCK]
+            if 100 * own.max() < percent * size.min() or 100 * size.max() < percent * own.min():
+                continue
+            y = other_bits[start:start + BLOCK].astype(np.float32)
+            differ = x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)
+            total = own[:, None] + size[None, :]
+            bound = (total - differ) // 2
+            maybe = ((100 + percent) * np.minimum(bound, np.minimum(own[:, None], size[None, :])) >= percent * total)
+            if right is None and start == lo:
+                maybe = np.triu(maybe, 1)
+            for i in np.flatnonzero(maybe.any(1)):
+                js = np.flatnonzero(maybe[i]) + start
+                mine, cat = left[lo + i], np.concatenate([other[j] for j in js])
+                at = np.searchsorted(mine, cat)
+                hit = mine[np.minimum(at, len(mine) - 1)] == cat
+                inter = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(b[js])[:-1]]), dtype=np.int64)
+                good = js[(100 + percent) * inter >= percent * (own[i] + b[js])]
+                if len(good):
+                    yield int(lo + i), good
 
 
 def _tile_pass(percent: int):
@@ -385,7 +399,7 @@ def _tile_pass(percent: int):
                 js = js if within else js + split
                 links[i] += m[js].sum()
                 links[js] += m[i]
-                for j in js:
+                for j in np.unique(root[js]):
                     p, q = top(i), top(j)
                     if p != q:
                         if rep[p] > rep[q]:
@@ -418,31 +432,46 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = F.floor(F.log(F.col("n").cast("double")) / math.log(1.001 * 100 / percent)).cast("int")
     found = store(classes.where("rep is not null").join(clusters.withColumnsRenamed({"node": "sig", "root": "cluster"}), "sig")
                   .withColumn("band", bands), "ngram-candidates")
-    tiles = found.groupBy("cluster", "band").agg(F.count("*").alias("c")) \
-        .groupBy("cluster").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(
-            F.struct("band", F.ceil(F.col("c") / tile).cast("int").alias("k")))).alias("k"))
-    placed = found.join(store(tiles, "ngram-tiles"), "cluster")
-    small = F.col("total") <= tile
+    release(spark)
+    size = F.sum(F.col("n") * 8)
+    tiles = found.groupBy("cluster", "band").agg(F.count("*").alias("c"), size.alias("b")) \
+        .groupBy("cluster").agg(F.sum("c").alias("total"), F.sum("b").alias("bytes"), F.map_from_entries(F.collect_list(F.struct(
+            "band", F.greatest(F.ceil(F.col("c") / tile), F.ceil(F.col("b") / TILE_BYTES)).cast("int").alias("k")))).alias("k"))
     k = lambda d: F.coalesce(F.try_element_at("k", F.col("band") + d), F.lit(0))
-    placed = placed.withColumn("t", F.when(small, 0).otherwise(F.pmod(F.xxhash64("sig"), k(0)).cast("int")))
-    name = lambda b1, i, b2, j: F.concat_ws("/", "cluster", b1, i, b2, j)
-    up_to = lambda d: F.when(k(d) > 0, F.sequence(F.lit(0), k(d) - 1)).otherwise(F.array().cast("array<int>"))
+    small = (F.col("total") <= tile) & (F.col("bytes") <= TILE_BYTES)
+    spot = F.struct("cluster", "band", small.alias("small"), F.pmod(F.xxhash64("sig"), k(0)).cast("int").alias("t"),
+                    k(0).alias("here"), k(1).alias("up"), k(-1).alias("down"))
+    placed = store(found.join(tiles, "cluster").select("rep", "sig", "m", "n", spot.alias("spot")), "ngram-tiles")
+    copies = F.when(F.col("spot.small"), 1).otherwise(F.col("spot.here") + F.col("spot.up") + F.col("spot.down"))
+    held, sent = placed.agg(size, F.sum(F.col("n") * 8 * copies)).first()
+    rounds = max(1, -(-(sent or 0) // max(ROUND_BYTES, held or 0)))
+
+    kept = ["rep", "sig", "m", "spot"]
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    sets = docs.join(placed.drop("n").withColumnRenamed("rep", "_r"), F.col("doc_id") == F.col("_r")).withColumnRenamed("_r", "rep") \
+        .select(*kept, "text").mapInArrow(_set_pass(n, kept), ", ".join(f"{c} {kinds[c]}" for c in kept) + ", grams binary")
+    at = folder(spark, "ngram-sets")
+    if rounds > 1:
+        sets = store(sets, "ngram-sets", into=at)
+        release(spark)
+    cluster, band, t = (F.col(f"spot.{c}") for c in ("cluster", "band", "t"))
+    name = lambda b1, i, b2, j: F.concat_ws("/", cluster, b1, i, b2, j)
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     one = lambda t, side: F.struct(t.alias("tile"), side.cast("int").alias("side"))
-    band, t = F.col("band"), F.col("t")
     pairs = F.concat(
-        F.transform(up_to(0), lambda j: one(name(band, F.least(t, j), band, F.greatest(t, j)), (t > j).cast("int"))),
-        F.transform(up_to(1), lambda j: one(name(band, t, band + 1, j), F.lit(0))),
-        F.transform(up_to(-1), lambda j: one(name(band - 1, j, band, t), F.lit(1))))
-    alone = F.array(one(F.col("cluster").cast("string"), F.lit(0)))
-    placed = placed.select("rep", "sig", "m", F.when(small, alone).otherwise(pairs).alias("pairs"))
-    kept = ["rep", "sig", "m", "pairs"]
-    sets = docs.join(placed.withColumnRenamed("rep", "_r"), F.col("doc_id") == F.col("_r")).withColumnRenamed("_r", "rep") \
-        .select(*kept, "text").mapInArrow(
-            _set_pass(n, kept), "rep long, sig long, m long, pairs array<struct<tile:string,side:int>>, grams binary")
-    work = sets.select("rep", "sig", "m", "grams", F.explode("pairs").alias("p")) \
-        .select("rep", "sig", "m", "grams", "p.tile", "p.side")
-    linked = store(work.repartition(p, "tile").sortWithinPartitions("tile")
-                   .mapInArrow(_tile_pass(percent), "rep long, root long, links long, large boolean"), "ngram-links")
+        F.transform(up_to(F.col("spot.here")), lambda j: one(name(band, F.least(t, j), band, F.greatest(t, j)), (t > j).cast("int"))),
+        F.transform(up_to(F.col("spot.up")), lambda j: one(name(band, t, band + 1, j), F.lit(0))),
+        F.transform(up_to(F.col("spot.down")), lambda j: one(name(band - 1, j, band, t), F.lit(1))))
+    pairs = F.when(F.col("spot.small"), F.array(one(cluster.cast("string"), F.lit(0)))).otherwise(pairs)
+    links = folder(spark, "ngram-links")
+    for turn in map(F.lit, range(rounds)):
+        now = F.filter(pairs, lambda x: F.pmod(F.xxhash64(x["tile"]), F.lit(rounds)) == turn)  # noqa: B023
+        work = sets.select("rep", "sig", "m", "grams", F.explode(now).alias("p")).select("rep", "sig", "m", "grams", "p.tile", "p.side")
+        linked = store(work.repartition(p, "tile").sortWithinPartitions("tile")
+                       .mapInArrow(_tile_pass(percent), "rep long, root long, links long, large boolean"), "ngram-links", into=links)
+        release(spark)
+    if rounds > 1:
+        discard(spark, at)
     roots = linked.where("not large").select(F.col("rep").alias("node"), "root") \
         .unionByName(components(linked.where("large").select(F.col("root").alias("a"), F.col("rep").alias("b")),
                                 "ngram-components"))

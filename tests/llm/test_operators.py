@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -133,6 +134,48 @@ def test_ngram_join_matches_all_pairs(spark, docs, empty, n, percent, tile):
         assert ngram_join.ngram_jaccard(empty).count() == 0
 
 
+def test_a_large_group_is_sent_in_rounds_of_bounded_bytes(spark, monkeypatch):
+    """A group's sets meet in many tiles: no round sends many times what the sets have, and links are all found."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=60)
+    rows = [(i, " ".join(base[:57] + rng.choices(words, k=1 + i % 3))) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "ROUND_BYTES", 1)
+    names = []
+
+    def store(df, name, *args, keep=ngram_join.store, **options):
+        names.append(name)
+        return keep(df, name, *args, **options)
+
+    monkeypatch.setattr(ngram_join, "store", store)
+    got = ngram_join.ngram_jaccard(docs, n=5, percent=80, tile=8).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == _brute_join(rows, 5, 80)
+    assert names.count("ngram-links") > 4 and names.count("ngram-sets") == 1
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [d for d in os.listdir(root) if d.startswith("ngram-sets")]
+
+
+def test_blocks_of_a_tile_give_the_same_links(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[:k], rng.integers(0, 2**63, 3 + k % 9, dtype=np.uint64)])) for k in range(40, 120, 2)]
+    sets.sort(key=len)
+
+    def links(a, b):
+        return {(i, int(j)) for i, js in ngram_join.link_tile(a, b, 80) for j in js}
+
+    def brute(i, j):
+        inter = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * inter >= 80 * (len(sets[i]) + len(sets[j]) - inter)
+
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if brute(i, j)}
+    for block in (512, 7):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert links(sets, None) == want
+        assert links(sets[:15], sets[15:]) == {(i, j - 15) for i, j in want if i < 15 <= j}
+
+
 def test_links_share_a_key_whatever_is_common():
     """Any two linked sets share a part key, with every choice of elements left out."""
     rng = np.random.default_rng(3)
