@@ -1,9 +1,9 @@
 """Boosted regression trees by grouped gradient sums, with L1 and L2 terms and patience.
 
-Rows are binned once, into blocks of numpy columns, one a partition. A tree grows level by level: every task
+Rows are binned once, into blocks of numpy columns, many a partition. A tree grows level by level: every task
 sums the gradients of its rows by node, feature and bin, the sums are added up, and the driver picks
-splits from them. Of two siblings only the smaller one is summed; the other is what is left of their parent. Nodes
-with at most ``local_rows`` rows are finished by tasks instead (a node's rows grouped, many nodes at
+splits from them. Of two siblings only the smaller one is summed; the other is what is left of their parent. When all
+nodes left have at most ``local_rows`` rows, tasks finish them instead (a node's rows grouped, many nodes at
 once), which saves the lower levels' passes. Both ways give the same tree: gradients are summed as
 whole numbers of 1 / UNIT, so no order of rows changes a sum.
 
@@ -14,9 +14,11 @@ and round) and of the features. The first prediction is the mean label. After ea
 round the mean absolute error of the validation rows is taken, in the next round's pass; when it
 has not fallen for ``patience`` rounds, or after ``rounds``, the trees up to the best round are the model.
 
-Predictions are kept in the blocks, which Spark holds; a round's tree is added to them once, and every REFRESH rounds
-the blocks are checkpointed, so a lost task redoes few rounds. A pass is a small RDD job: a round has up to
-``depth`` of them, whatever the number of rows. What the driver holds is the trees and one level's sums.
+Spark holds three tables of blocks: what never changes (row hashes, labels, bins), the predictions, which get each
+round's tree once, and a round's work: the bins of its features and the gradients, of its rows only. Only the last
+is read level by level. Predictions are checkpointed every REFRESH rounds, so a lost task redoes few
+rounds. A pass is a small RDD job: a round has up to ``depth`` of them, whatever the number of rows. What the driver
+holds is the trees and one level's sums.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,12 @@ BINS = 64
 UNIT = 256
 REFRESH = 25
 LOCAL_ROWS = 4_096
-#: Rows of a block: at least, where cores are left over, and at most.
-BLOCK_ROWS = (4_096, 500_000)
+#: Rows of a partition: at least, where cores are left over, and at most; rows of a block, and rows summed at once.
+PART_ROWS = (4_096, 2_000_000)
+BLOCK_ROWS = 16_384
+SUM_ROWS = 65_536
+#: Levels of a tree in which whole columns are compared.
+MASKED = 4
 #: Tables of sums are added up in tasks first where more tasks than this send one.
 DIRECT = 16
 
@@ -84,6 +91,48 @@ class Tree:
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.node_of(bins)]
 
+    def path(self, bins: np.ndarray, levels: int) -> np.ndarray:
+        """Turns to the right (bits, the first one highest) in the first ``levels`` levels, for bins by feature and row.
+
+        A leaf above goes on to the left. In the first levels whole columns are compared, node by node; below, each
+        row's bin is looked up.
+        """
+        n, cut = bins.shape[1], self.cut.astype(np.uint8)        # of the bins' kind: comparing is fast
+        out, masks = np.zeros(n, np.uint8), {0: np.ones(n, bool)}
+        for _ in range(min(levels, MASKED)):
+            out <<= 1
+            below, turn = {}, np.zeros(n, bool)
+            for node, mask in masks.items():
+                if self.feature[node] >= 0:
+                    right = bins[self.feature[node]] > cut[node]
+                    right &= mask
+                    turn |= right
+                    below[2 * node + 1], below[2 * node + 2] = mask ^ right, right
+            out |= turn.view(np.uint8)
+            masks = below
+        out, row, flat = out.astype(np.int64), np.arange(n), bins.ravel()
+        for level in range(MASKED, levels):
+            here = slice(2 ** level - 1, 2 ** (level + 1) - 1)
+            split = self.feature[here] >= 0
+            at = np.where(split, self.feature[here].astype(np.int64) * n, 0).take(out)
+            at += row
+            right = flat.take(at) > np.where(split, cut[here], 255).astype(np.uint8).take(out)
+            out <<= 1
+            out += right
+        return out
+
+    def ends(self) -> np.ndarray:
+        """The value by whole ``path``."""
+        values = self.value.copy()
+        for node in range(len(values) // 2):
+            if self.feature[node] < 0:
+                values[2 * node + 1] = values[node]
+        return values[len(values) // 2:]
+
+    @property
+    def depth(self) -> int:
+        return len(self.value).bit_length() - 1
+
 
 @dataclass
 class Boosted:
@@ -98,9 +147,11 @@ class Boosted:
         return np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(self.cuts)], 1).astype(np.uint8)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        bins, out = self.bins(x), np.full(len(x), self.base)
-        for t in self.trees:
-            out += t.predict(bins)
+        out, ends = np.full(len(x), self.base), [t.ends() for t in self.trees]
+        for lo in range(0, len(x), BLOCK_ROWS):
+            bins, some = np.ascontiguousarray(self.bins(x[lo:lo + BLOCK_ROWS]).T), out[lo:lo + BLOCK_ROWS]
+            for t, values in zip(self.trees, ends):
+                some += values[t.path(bins, t.depth)]
         return out
 
     def importance(self) -> np.ndarray:
@@ -136,12 +187,43 @@ def best_split(g: np.ndarray, n: np.ndarray, allowed: np.ndarray, p: Params):
 
 
 def sums(bins: np.ndarray, g: np.ndarray, node: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients (whole numbers) and rows by node, feature and bin."""
-    k = bins.shape[1]
-    at = ((node[:, None] * k + np.arange(k)) * BINS + bins).ravel()
-    size = nodes * k * BINS
-    total = np.bincount(at, weights=np.repeat(g, k).astype(np.float64), minlength=size)
-    return (np.rint(total).astype(np.int64).reshape(nodes, k, BINS), np.bincount(at, minlength=size).reshape(nodes, k, BINS))
+    """Gradients (whole numbers) and rows by node, feature and bin; ``bins`` by feature and row.
+
+    Of as few rows as a double holds exactly, one pass sums both: 2^shift + gradient.
+    """
+    k, size = len(bins), nodes * BINS
+    total, rows = np.zeros((k, size)), np.zeros((k, size))
+    bits = int(np.abs(g).max(initial=1)).bit_length()
+    part = min((51 - bits) // 2, 16)
+    both = part >= 12 and 2 ** part >= 2 * size
+    shift = 2.0 ** (bits + part + 1)
+    step = 2 ** part if both else SUM_ROWS
+    at = np.empty(min(step, len(g)), np.int64)
+    for lo in range(0, len(g), step):
+        weight, first = g[lo:lo + step].astype(np.float64), node[lo:lo + step] * BINS
+        if both:
+            weight += shift
+        for i in range(k):
+            here = np.add(first, bins[i, lo:lo + step], out=at[:len(first)])
+            x = np.bincount(here, weight, size)
+            if both:
+                n = np.rint(x / shift)
+                x -= n * shift
+            else:
+                n = np.bincount(here, minlength=size)
+            total[i] += x
+            rows[i] += n
+    total, rows = np.rint(total).astype(np.int64), np.rint(rows).astype(np.int64)
+    by_node = lambda x: x.reshape(k, nodes, BINS).swapaxes(0, 1)
+    return by_node(total), by_node(rows)
+
+
+def taken(bins: np.ndarray, features: np.ndarray | range, rows: np.ndarray) -> np.ndarray:
+    """``bins[features][:, rows]``."""
+    out = np.empty((len(features), len(rows)), bins.dtype)
+    for i, f in enumerate(features):
+        np.take(bins[f], rows, out=out[i], mode="clip")          # without a copy to check in
+    return out
 
 
 def allowed_features(k: int, round_: int, p: Params) -> np.ndarray:
@@ -158,87 +240,128 @@ def drawn(row: np.ndarray, round_: int, p: Params) -> np.ndarray:
 
 
 def grow(tree: Tree, root: int, bins: np.ndarray, g: np.ndarray, allowed: np.ndarray, p: Params) -> None:
-    """Finish ``tree`` below node ``root`` with that node's rows."""
+    """Finish ``tree`` below node ``root`` with that node's rows (``bins`` by feature and row)."""
     todo = [(root, np.arange(len(g)))]
     while todo:
         node, rows = todo.pop()
         tree.value[node] = leaf_value(g[rows].sum() / UNIT, len(rows), p)
         if 2 * node + 2 >= len(tree.feature) or len(rows) < 2 * p.min_rows:
             continue
-        hist, n = sums(bins[rows], g[rows], np.zeros(len(rows), np.int64), 1)
+        hist, n = sums(bins[:, rows], g[rows], np.zeros(len(rows), np.int64), 1)
         found = best_split(hist[0], n[0], allowed, p)
         if found:
             tree.gain[node], tree.feature[node], tree.cut[node] = found[:3]
-            right = bins[rows, found[1]] > found[2]
+            right = bins[found[1], rows] > found[2]
             todo += [(2 * node + 1, rows[~right]), (2 * node + 2, rows[right])]
 
 
 SCHEMA = "row long, held boolean, label double, bins binary"
 
 
-def _gradients(block, tree: Tree, round_: int, p: Params):
-    """Bins, whole-number gradients and nodes of a round's rows."""
-    row, held, label, bins, pred = block
-    use = ~held & drawn(row, round_, p)
-    bins = bins[use]
-    return bins, np.rint((pred[use] - label[use]) * UNIT).astype(np.int64), tree.node_of(bins)
+def _kept(blocks: RDD) -> RDD:
+    """Held by Spark, each block an item of its own, as ``zip`` needs it."""
+    return blocks._reserialize(BatchedSerializer(CPickleSerializer(), 1)).persist(StorageLevel.MEMORY_AND_DISK)
+
 
+def _blocks(table: DataFrame, k: int, parts: int) -> RDD:
+    """(row hashes, held, labels, bins by feature and row) of some rows of a partition, as numpy columns."""
+    def packed(held):
+        columns = [np.concatenate([x[i] for x in held]) for i in range(4)]
+        for lo in range(0, len(columns[0]), BLOCK_ROWS):
+            row, out, label, bins = (c[lo:lo + BLOCK_ROWS] for c in columns)
+            block = pickle.dumps((row, out, label, np.ascontiguousarray(bins.T)), 5)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
 
-def _blocks(table: DataFrame, k: int, base: float, parts: int) -> RDD:
-    """(row hashes, held, labels, bins, predictions) of each partition's rows, as numpy columns."""
     def pack(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(),
-                np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, k)) for b in batches if b.num_rows]
-        if got:
-            columns = [np.concatenate(c) for c in zip(*got)]
-            block = (*columns, np.full(len(columns[0]), base))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], names=["block"])
+        held, rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(),
+                             np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, k)))
+                rows += b.num_rows
+            if rows >= 4 * BLOCK_ROWS:
+                yield from packed(held)
+                held, rows = [], 0
+        if held:
+            yield from packed(held)
+
+    return _kept(table.repartition(parts).mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r[0])))
 
-    return table.repartition(parts).mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r[0])) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+
+def _among(tree: Tree, features: np.ndarray) -> Tree:
+    """``tree`` with features numbered among a round's (ascending) ones."""
+    return Tree(np.where(tree.feature >= 0, np.searchsorted(features, tree.feature), -1), tree.cut, tree.value, tree.gain)
 
 
 class _Trainer:
     def __init__(self, blocks: RDD, parts: int, model: Boosted, p: Params):
         self.blocks, self.parts, self.model, self.p, self.k = blocks, parts, model, p, len(model.cuts)
-        self.added, self.stale = 0, None
+        base = model.base
+        self.blocks.checkpoint()
+        self.pred = _kept(self.blocks.map(lambda b: np.full(len(b[0]), base)))
+        self.added, self.stale, self.work = 0, [], None
 
     def add(self, tree: Tree) -> None:
-        """Add a tree to the blocks' predictions."""
-        def run(blocks):
-            for *columns, bins, pred in blocks:
-                yield (*columns, bins, pred + tree.predict(bins))
-
-        self.stale, self.blocks = self.blocks, self.blocks.mapPartitions(run, True).persist(StorageLevel.MEMORY_AND_DISK)
+        """Add a tree to the predictions."""
+        ends = tree.ends()
+        self.stale.append(self.pred)
+        self.pred = _kept(self.blocks.zip(self.pred).map(lambda x: x[1] + ends[tree.path(x[0][3], tree.depth)]))
         self.added += 1
         if self.added % REFRESH == 0:
-            self.blocks.checkpoint()
+            self.pred.checkpoint()
 
     def close(self) -> None:
-        for blocks in (self.blocks, self.stale):
+        for blocks in (self.blocks, self.pred, self.work, *self.stale):
             if blocks is not None:
                 blocks.unpersist()
 
+    def start(self, features: np.ndarray, round_: int) -> None:
+        """A round's rows: bins of its features and whole-number gradients; also the error and number of validation rows."""
+        p = self.p
+
+        def run(item):
+            (row, held, label, bins), pred = item
+            use = np.flatnonzero(~held & drawn(row, round_, p))
+            g = np.rint((pred[use] - label[use]) * UNIT).astype(np.int64)
+            if len(g) and np.abs(g).max() < 2 ** 31:
+                g = g.astype(np.int32)
+            return taken(bins, features, use), g, float(np.abs(label[held] - pred[held]).sum()), int(held.sum())
+
+        if self.work is not None:
+            self.stale.append(self.work)
+        self.work = _kept(self.blocks.zip(self.pred).map(run))
+
     def level(self, tree: Tree, nodes: list[int], features: np.ndarray, round_: int):
-        """Gradients and rows of ``nodes`` by feature and bin; with the root, also the validation error so far."""
-        p, want, errors = self.p, np.array(nodes), 0 in nodes
-        shape = (len(want), len(features), BINS)
+        """Gradients and rows of ``nodes`` by feature and bin, and the validation error so far."""
+        want = np.array(nodes)                       # all of one level
+        level = int(want[0] + 1).bit_length() - 1
+        place = np.full(2 ** level, -1)
+        place[want + 1 - 2 ** level] = np.arange(len(want))
+        shape, tree = (len(want), len(features), BINS), _among(tree, features)
 
         def run(blocks):
             total_g, total_n, error, held = np.zeros(shape, np.int64), np.zeros(shape, np.int64), 0.0, 0
-            for block in blocks:
-                bins, g, node = _gradients(block, tree, round_, p)
-                at = np.searchsorted(want, node)
-                here = want[np.minimum(at, len(want) - 1)] == node
-                a, b = sums(bins[here][:, features], g[here], at[here], len(want))
-                total_g += a
-                total_n += b
-                if errors:
-                    _, out, label, _, pred = block
-                    error, held = error + float(np.abs(label[out] - pred[out]).sum()), held + int(out.sum())
+            some, rows = [], 0
+
+            def add_up():
+                a, b = sums(*[np.concatenate(x, -1) for x in zip(*some)], len(want))
+                np.add(total_g, a, out=total_g)
+                np.add(total_n, b, out=total_n)
+
+            for bins, g, wrong, out in blocks:
+                error, held = error + wrong, held + out
+                at = place[tree.path(bins, level)]
+                here = np.flatnonzero(at >= 0)
+                some.append((bins, g, at) if len(here) == len(at) else (taken(bins, range(len(bins)), here), g[here], at[here]))
+                rows += len(here)
+                if rows >= SUM_ROWS:
+                    add_up()
+                    some, rows = [], 0
+            if rows:
+                add_up()
             yield total_g, total_n, error, held
 
-        got = self.blocks.mapPartitions(run)
+        got = self.work.mapPartitions(run)
         add = lambda x, y: tuple(a + b for a, b in zip(x, y))
         if self.parts > DIRECT:
             return got.treeReduce(add, 2)
@@ -247,43 +370,46 @@ class _Trainer:
             total = one if total is None else add(total, one)
         return total
 
-    def finish(self, tree: Tree, nodes: list[int], allowed: np.ndarray, round_: int) -> None:
+    def finish(self, tree: Tree, nodes: list[int], features: np.ndarray, round_: int) -> None:
         """Grow ``nodes`` to their ends, each in one task."""
-        p, want = self.p, np.array(sorted(nodes))
+        p, want, known = self.p, np.array(sorted(nodes)), _among(tree, features)
+        level = int(want[0] + 1).bit_length() - 1
 
         def send(blocks):
-            for block in blocks:
-                bins, g, node = _gradients(block, tree, round_, p)
+            for bins, g, _, _ in blocks:
+                node = known.path(bins, level) + 2 ** level - 1
                 order = np.argsort(node, kind="stable")
                 node = node[order]
                 for one, lo, hi in zip(want, np.searchsorted(node, want), np.searchsorted(node, want, side="right")):
                     if lo < hi:
-                        yield int(one), (bins[order[lo:hi]], g[order[lo:hi]])
+                        yield int(one), (taken(bins, range(len(bins)), order[lo:hi]), g[order[lo:hi]])
 
         def one(item):
             node, rows = item
             rows, out = list(rows), Tree.empty(p.depth)
-            grow(out, node, np.concatenate([b for b, _ in rows]), np.concatenate([g for _, g in rows]), allowed, p)
+            bins, g = np.concatenate([b for b, _ in rows], 1), np.concatenate([g for _, g in rows])
+            grow(out, node, bins, g, np.ones(len(features), bool), p)
             at = np.flatnonzero((out.feature >= 0) | (out.value != 0) | (out.gain != 0))
-            return at, out.feature[at], out.cut[at], out.value[at], out.gain[at]
+            return at, np.where(out.feature[at] >= 0, features[out.feature[at]], -1), out.cut[at], out.value[at], out.gain[at]
 
-        found = self.blocks.mapPartitions(send).groupByKey(min(self.parts, len(nodes))).map(one)
+        found = self.work.mapPartitions(send).groupByKey(min(self.parts, len(nodes))).map(one)
         for at, *values in found.collect():          # at most 2^(depth + 1) nodes
             for column, v in zip((tree.feature, tree.cut, tree.value, tree.gain), values):
                 column[at] = v
 
     def tree(self, round_: int) -> tuple[Tree, float, int]:
         """A round's tree, and the validation error before it."""
-        p, tree, small = self.p, Tree.empty(self.p.depth), []
-        allowed = allowed_features(self.k, round_, p)
-        features = np.flatnonzero(allowed)
+        p, tree = self.p, Tree.empty(self.p.depth)
+        features = np.flatnonzero(allowed_features(self.k, round_, p))
+        self.start(features, round_)
         g, n, error, held = self.level(tree, [0], features, round_)
-        if self.stale is not None:
-            self.stale.unpersist()
-            self.stale = None
+        for old in self.stale:
+            old.unpersist()
+        self.stale = []
         have = {0: (g[0], n[0])}
         while have:
             below: list[tuple] = []
+            sizes: dict[int, int] = {}
             for node, (g, n) in have.items():
                 count = int(n[0].sum())
                 tree.value[node] = leaf_value(g[0].sum() / UNIT, count, p)
@@ -294,24 +420,20 @@ class _Trainer:
                     tree.gain[node], tree.feature[node], tree.cut[node] = gain, features[f], cut
                     kids = {2 * node + 1: left, 2 * node + 2: count - left}
                     if 4 * node + 4 < len(tree.feature):
-                        local = [x for x, size in kids.items() if size <= p.local_rows]
-                        small += local
-                        if len(local) < 2:
-                            below.append((min(kids, key=kids.get), node, local))
+                        sizes.update(kids)
+                        below.append((min(kids, key=kids.get), node))
                     else:                            # the last level: its sums are known from the split
                         for child, part in ((2 * node + 1, slice(None, cut + 1)), (2 * node + 2, slice(cut + 1, None))):
                             tree.value[child] = leaf_value(g[f, part].sum() / UNIT, kids[child], p)
             parents, have = have, {}
-            if below:
+            if sizes and max(sizes.values()) <= p.local_rows:
+                self.finish(tree, list(sizes), features, round_)
+            elif below:
                 below.sort()
-                g, n, _, _ = self.level(tree, [x for x, _, _ in below], features, round_)
-                for i, (x, parent, local) in enumerate(below):
-                    other = 4 * parent + 3 - x
-                    for child, pair in ((x, (g[i], n[i])), (other, (parents[parent][0] - g[i], parents[parent][1] - n[i]))):
-                        if child not in local:
-                            have[child] = pair
-        if small:
-            self.finish(tree, small, allowed, round_)
+                g, n, _, _ = self.level(tree, [x for x, _ in below], features, round_)
+                for i, (x, parent) in enumerate(below):
+                    have[x] = g[i], n[i]
+                    have[4 * parent + 3 - x] = parents[parent][0] - g[i], parents[parent][1] - n[i]
         return tree, error, held
 
 
@@ -341,9 +463,9 @@ def fit(rows: DataFrame, features: str, label: str, held: str, row: str, p: Para
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([flat[i:i + k] for i in range(0, len(flat), k)], pa.binary())],
                                              names=["row", "held", "label", "bins"])
 
-    least, most = BLOCK_ROWS
-    parts = max(min(spark.sparkContext.defaultParallelism, -(-first["rows"] // least)), -(-first["rows"] // most))
-    trainer = _Trainer(_blocks(rows.mapInArrow(bin_rows, SCHEMA), len(plain.cuts), model.base, parts), parts, model, p)
+    (least, most), cores = PART_ROWS, spark.sparkContext.defaultParallelism
+    parts = max(1, min(cores, -(-first["rows"] // least))) * -(-first["rows"] // (cores * most))
+    trainer = _Trainer(_blocks(rows.mapInArrow(bin_rows, SCHEMA), len(plain.cuts), parts), parts, model, p)
     for round_ in range(p.rounds + 1):
         # the first pass of a round finds the error after the rounds before it
         tree, error, n = trainer.tree(round_)

@@ -99,3 +99,60 @@ def test_no_task_gets_all_rows_and_one_of_two_siblings_is_summed(spark, monkeypa
         B.fit(_frame(spark, x, y), "x", "y", "held", "row", B.Params(rounds=2, depth=4, local_rows=rows))
     assert local and all(0 not in nodes for nodes in local)
     assert all(len({(i - 1) // 2 for i in nodes}) == len(nodes) for nodes in summed) and max(map(len, summed)) > 1
+
+
+def test_levels_read_a_rounds_rows_and_features_alone(spark, monkeypatch):
+    x, y = _data(500, seed=2, k=10)
+    held, seen, level = np.arange(500) % 5 == 0, [], B._Trainer.level
+
+    def spy(self, tree, nodes, features, round_):
+        if nodes != [0]:
+            seen.append((self.work.map(lambda b: (b[0].shape, len(b[1]))).collect(), len(features)))
+        return level(self, tree, nodes, features, round_)
+
+    monkeypatch.setattr(B._Trainer, "level", spy)
+    B.fit(_frame(spark, x, y, held), "x", "y", "held", "row", B.Params(rounds=1, depth=4, local_rows=0, rows=0.5, features=0.5))
+    assert seen
+    for blocks, k in seen:
+        assert all(shape == (k, rows) for shape, rows in blocks) and k == 5
+        assert 0 < sum(rows for _, rows in blocks) < 0.65 * (~held).sum()
+
+
+def test_small_nodes_are_finished_apart_only_when_no_large_one_is_left(spark, monkeypatch):
+    x, y = _data(600, seed=4, k=5)
+    finished, finish = [], B._Trainer.finish
+    monkeypatch.setattr(B._Trainer, "finish", lambda self, tree, nodes, *a: finished.append(len(nodes)) or finish(self, tree, nodes, *a))
+    rounds = [B.fit(_frame(spark, x, y), "x", "y", "held", "row", B.Params(rounds=4, depth=6, local_rows=n)) for n in (0, 60)]
+    assert 0 < len(finished) <= 5                       # once a round, also in the pass that only finds the last error
+    for a, b in zip(*(m.trees for m in rounds)):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e9])
+@pytest.mark.parametrize("nodes", [1, 5, 64])
+def test_sums_are_exact(scale, nodes):
+    rng = np.random.default_rng(6)
+    n = 70_000
+    bins, node = rng.integers(0, B.BINS, (2, n), dtype=np.uint8), rng.integers(0, nodes, n)
+    g = np.rint(rng.normal(size=n) * scale).astype(np.int64)
+    total, rows = np.zeros((nodes, 2, B.BINS), np.int64), np.zeros((nodes, 2, B.BINS), np.int64)
+    for i in range(2):
+        np.add.at(total, (node, i, bins[i]), g)
+        np.add.at(rows, (node, i, bins[i]), 1)
+    got = B.sums(bins, g, node, nodes)
+    assert (got[0] == total).all() and (got[1] == rows).all()
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6, 9])
+def test_paths_lead_to_the_nodes(depth):
+    rng = np.random.default_rng(depth)
+    tree, bins = B.Tree.empty(depth), rng.integers(0, B.BINS, (4, 900), dtype=np.uint8)
+    for node in range(2 ** depth - 1):
+        if (node == 0 or tree.feature[(node - 1) // 2] >= 0) and rng.random() < 0.8:
+            tree.feature[node], tree.cut[node] = rng.integers(0, 4), rng.integers(0, B.BINS - 1)
+    tree.value[:] = rng.normal(size=len(tree.value))
+    node = tree.node_of(bins.T)
+    assert (tree.ends()[tree.path(bins, depth)] == tree.value[node]).all()
+    for level in range(depth):
+        here = (node >= 2 ** level - 1) & (node < 2 ** (level + 1) - 1)      # leaves of that level
+        assert (tree.path(bins, level)[here] == node[here] + 1 - 2 ** level).all()
