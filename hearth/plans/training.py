@@ -239,15 +239,20 @@ def serving_inputs(df: DataFrame, as_of: F.Column) -> dict[str, F.Column]:
     return served
 
 
-def requests(properties: DataFrame, features: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
-    """Properties whose zip is in the mart, with its values and its recent trend."""
+def neighborhoods(features: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
+    """The mart's zips with their values and recent trend."""
     nb = features.select("zip_code", "city", "state", "metro_area", "zhvi_sfr", "zhvi_sfrcondo",
                          "zori_rent", "median_sale_price", "days_to_pending", "market_heat_index",
                          "median_income", "owner_occupied_pct", "education_index",
                          "academic_score", "total_schools", "safety_index", "air_quality_index",
                          "natural_amenity_score", "value_score", "value_tier",
                          "total_population", "pop_density_class")
-    return properties.join(nb, "zip_code", "inner").join(recent_trend_stats(panel, as_of=as_of), "zip_code", "left")
+    return nb.join(recent_trend_stats(panel, as_of=as_of), "zip_code", "left")
+
+
+def requests(properties: DataFrame, features: DataFrame, panel: DataFrame, as_of=None) -> DataFrame:
+    """Properties whose zip is in the mart, with its values and its recent trend."""
+    return properties.join(neighborhoods(features, panel, as_of), "zip_code", "inner")
 
 
 def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model=None,
@@ -257,17 +262,20 @@ def predict(properties: DataFrame, features: DataFrame, panel: DataFrame, model=
     fitted model gives the base price; without a model the formula does
     (``model_version`` says which). ``valuation.unmatched`` lists the rest."""
     as_of_c = as_of_date(panel, as_of)
-    df = requests(properties, features, panel, as_of)
     n = F.coalesce(F.col("n_months"), F.lit(0))
-    served = serving_inputs(df, as_of_c)
     if model is None:
+        df = requests(properties, features, panel, as_of)
         x = df.withColumn("_est", adjusted_value(fallback_base(), FALLBACK_ADJ, F.year(as_of_c))) \
               .withColumn("_conf", F.lit(FALLBACK_CONFIDENCE))
         low, high = (F.col("_est") * f for f in FALLBACK_RANGE)
         version = "fallback"
     else:
-        x = model.score(df.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
-                                  model.state_code().alias(STATE_FEATURE)))
+        # the model's inputs are the neighborhood's alone: a zip is scored once, whatever the number of its properties
+        near = neighborhoods(features, panel, as_of)
+        served = serving_inputs(near, as_of_c)
+        scored = model.score(near.select("*", *[served[c].alias(f"_i_{c}") for c in FEATURE_COLS],
+                                         model.state_code().alias(STATE_FEATURE)))
+        x = properties.join(scored, "zip_code", "inner")
         mape = metrics.select(F.first("mape")).scalar()
         conf = F.least(F.lit(92.0), F.greatest(F.lit(70.0), 100 - mape * 3))
         conf = conf - F.when(falsy_to("median_income", 0.0) == 0, 5).otherwise(0) \

@@ -70,3 +70,13 @@ def test_predict_carries_forecast_list(spark, catalog):
     # one pass: the trees are applied once, the mart and the trends joined once
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.count("Join ") == 2 and "Generate" not in plan
+
+
+def test_a_zip_is_scored_once_whatever_its_properties(spark, catalog):
+    model, metrics, _ = fit_valuation_model(catalog.training_data, rounds=2, depth=3)
+    out = predict(catalog.properties, catalog.features, catalog.zip_market, model, metrics)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    scored = next(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
+    depth = len(plan[scored]) - len(plan[scored].lstrip(" :+-"))
+    below = [line for line in plan[scored + 1:] if len(line) - len(line.lstrip(" :+-")) > depth]
+    assert below and not any("o_orderkey" in line for line in below)
