@@ -294,8 +294,9 @@ def _among(tree: Tree, features: np.ndarray) -> Tree:
 
 
 class _Trainer:
-    def __init__(self, blocks: RDD, parts: int, model: Boosted, p: Params):
-        self.blocks, self.parts, self.model, self.p, self.k = blocks, parts, model, p, len(model.cuts)
+    def __init__(self, blocks: RDD, parts: int, model: Boosted, p: Params, few: bool):
+        """``few``: so few rows that a pass makes a round's work again sooner than Spark keeps it."""
+        self.few, self.blocks, self.parts, self.model, self.p, self.k = few, blocks, parts, model, p, len(model.cuts)
         base = model.base
         self.blocks.checkpoint()
         self.pred = _kept(self.blocks.map(lambda b: np.full(len(b[0]), base)))
@@ -311,9 +312,8 @@ class _Trainer:
             self.pred.checkpoint()
 
     def close(self) -> None:
-        for blocks in (self.blocks, self.pred, self.work, *self.stale):
-            if blocks is not None:
-                blocks.unpersist()
+        for blocks in (self.blocks, self.pred, *self.stale, *([] if self.few or self.work is None else [self.work])):
+            blocks.unpersist()
 
     def start(self, features: np.ndarray, round_: int) -> None:
         """A round's rows: bins of its features and whole-number gradients; also the error and number of validation rows."""
@@ -327,9 +327,10 @@ class _Trainer:
                 g = g.astype(np.int32)
             return taken(bins, features, use), g, float(np.abs(label[held] - pred[held]).sum()), int(held.sum())
 
-        if self.work is not None:
+        if self.work is not None and not self.few:
             self.stale.append(self.work)
-        self.work = _kept(self.blocks.zip(self.pred).map(run))
+        work = self.blocks.zip(self.pred).map(run)
+        self.work = work if self.few else _kept(work)
 
     def level(self, tree: Tree, nodes: list[int], features: np.ndarray, round_: int):
         """Gradients and rows of ``nodes`` by feature and bin, and the validation error so far."""
@@ -465,7 +466,8 @@ def fit(rows: DataFrame, features: str, label: str, held: str, row: str, p: Para
 
     (least, most), cores = PART_ROWS, spark.sparkContext.defaultParallelism
     parts = max(1, min(cores, -(-first["rows"] // least))) * -(-first["rows"] // (cores * most))
-    trainer = _Trainer(_blocks(rows.mapInArrow(bin_rows, SCHEMA), len(plain.cuts), parts), parts, model, p)
+    trainer = _Trainer(_blocks(rows.mapInArrow(bin_rows, SCHEMA), len(plain.cuts), parts), parts, model, p,
+                       few=first["rows"] <= parts * SUM_ROWS)
     for round_ in range(p.rounds + 1):
         # the first pass of a round finds the error after the rounds before it
         tree, error, n = trainer.tree(round_)
